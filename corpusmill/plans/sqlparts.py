@@ -72,3 +72,26 @@ FROM pairs p
 LEFT JOIN ({explode('pairs', 'pair_id', ws(side))}) t ON t.doc = p.pair_id
 LEFT JOIN {vocab} v ON v.word = t.word
 GROUP BY p.pair_id"""
+
+# Encoded examples of pipeline v3: text ids + <EOS>, summary ids; special ids.
+SEQ = FIRST_SEEN_VOCAB + f""",
+sp AS (SELECT (SELECT id FROM vocab WHERE word = '<UNK>')::INTEGER AS unk,
+              (SELECT id FROM vocab WHERE word = '<PAD>')::INTEGER AS pad,
+              (SELECT id FROM vocab WHERE word = '<EOS>')::INTEGER AS eos,
+              (SELECT id FROM vocab WHERE word = '<GO>')::INTEGER AS go),
+et AS ({encoded('text')}), es AS ({encoded('summary')}),
+ex AS (SELECT et.pair_id, list_append(et.ids, sp.eos) AS t, es.ids AS s
+       FROM et JOIN es ON et.pair_id = es.pair_id, sp),
+kept AS (SELECT ex.* FROM ex, sp
+         WHERE len(s) >= 2 AND len(s) <= 30 AND len(t) >= 2 AND len(t) < 400
+           AND len(list_filter(s, lambda x: x = sp.unk)) <= 5
+           AND len(list_filter(t, lambda x: x = sp.unk)) <= 30),
+ranked AS (SELECT kept.*, (row_number() OVER (ORDER BY len(t), pair_id) - 1)::BIGINT AS rn FROM kept),
+batched AS (SELECT pair_id, t, s, rn, (rn // 64)::BIGINT AS batch_id, (rn % 64)::INTEGER AS slot
+            FROM ranked WHERE rn < (SELECT count(*) FROM ranked) // 64 * 64),
+padded AS (SELECT b.*, len(t)::INTEGER AS text_len, len(s)::INTEGER AS summary_len,
+                  (max(len(t)) OVER (PARTITION BY batch_id))::INTEGER AS text_padded_len,
+                  (max(len(s)) OVER (PARTITION BY batch_id))::INTEGER AS summary_padded_len
+           FROM batched b),
+padded2 AS (SELECT padded.*, list_resize(t, text_padded_len, sp.pad) AS tp, list_resize(s, summary_padded_len, sp.pad) AS spd
+            FROM padded, sp)"""
