@@ -1,6 +1,6 @@
 """All registered queries (importing a plan module registers its queries)."""
 
-from corpusmill.plans import q_sequences, q_vocab  # noqa: F401
+from corpusmill.plans import q_sampling, q_sequences, q_vocab  # noqa: F401
 from corpusmill.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -95,3 +95,23 @@ padded AS (SELECT b.*, len(t)::INTEGER AS text_len, len(s)::INTEGER AS summary_l
            FROM batched b),
 padded2 AS (SELECT padded.*, list_resize(t, text_padded_len, sp.pad) AS tp, list_resize(s, summary_padded_len, sp.pad) AS spd
             FROM padded, sp)"""
+
+
+def freq_vocab(n_words: int) -> str:
+    """W1 over the corpus stream: ``fv(id, word, cnt)`` with UNK = 0 and ``n_words`` words."""
+    return CORPUS_TOKENS + f""",
+fcnt AS (SELECT word, count(*) AS cnt, min({{'doc': doc, 'pos': pos}}) AS first FROM ctok GROUP BY word),
+ftop AS (SELECT row_number() OVER (ORDER BY cnt DESC, first)::BIGINT AS id, word, cnt::BIGINT AS cnt
+         FROM fcnt QUALIFY id <= {n_words}),
+fv AS (SELECT 0::BIGINT AS id, 'UNK' AS word,
+              ((SELECT count(*) FROM ctok) - coalesce((SELECT sum(cnt) FROM ftop), 0))::BIGINT AS cnt
+       UNION ALL SELECT id, word, cnt FROM ftop)"""
+
+
+def exact_split_sql(table: str, id_col: str, seed: str, p1: float, p2: float, names=("train", "test", "eval")) -> str:
+    """Rows ``(id, part)`` of T6 (seed is an SQL expression)."""
+    return f"""(SELECT {id_col}, CASE WHEN r < a THEN '{names[0]}' WHEN r < a + b THEN '{names[1]}' ELSE '{names[2]}' END AS part
+FROM (SELECT {id_col}, (row_number() OVER (ORDER BY md5({seed} || ':' || {id_col}::VARCHAR), {id_col}) - 1) AS r FROM {table}) x,
+     (SELECT n - ceil(n * {p1}::DOUBLE) AS a,
+             ceil(n * {p1}::DOUBLE) - ceil(ceil(n * {p1}::DOUBLE) * {p2}::DOUBLE) AS b
+      FROM (SELECT count(*) AS n FROM {table})) s)"""
