@@ -71,3 +71,43 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").cast("long").alias("run"),
                     (F.row_number().over(w) - 1).cast("long").alias("step"),
                     F.col("value").cast("double").alias("loss"))
+
+
+# --- fixed values: stand-in robots files ------------------------------------
+ROBOTS_AGENT = "corpusmill"
+ROBOTS_TEXTS = [
+    None,  # site without a robots.txt
+    "User-agent: corpusmill\nDisallow: /A\nAllow: /\n\nUser-agent: *\nDisallow: /\n",
+    "User-agent: *\nAllow: /The\nDisallow: /T  # no T pages\nCrawl-delay: 5\n",
+    "User-agent: Other\nUser-agent: CORPUSMILL\n\nUser-agent: *\nDisallow: /e\nAllow:\n",
+]
+# ---------------------------------------------------------------------------
+
+
+def robots_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(site, text)``: one of the stand-in robots files per site of ``pages``,
+    chosen by the length of the site key; sites given ``None`` have no file."""
+    from corpusmill.operators.links import site_key
+    sites = read_table(spark, sf_dir, "pages").select(site_key(F.col("url")).alias("site")).distinct()
+    k = F.length("site") % len(ROBOTS_TEXTS)
+    text = F.coalesce(*[F.when(k == i, F.lit(t)) for i, t in enumerate(ROBOTS_TEXTS) if t is not None])
+    return sites.select("site", text.alias("text")).filter(F.col("text").isNotNull())
+
+
+def link_graph(spark: SparkSession, sf_dir: str, follow=None) -> DataFrame:
+    """Walkable stand-in graph ``(src, pos, dest)``: page -> link path and link path -> page.
+
+    Page hrefs never name other pages, so a link path (e.g. ``/The``) is a node
+    of its own, linked back to every page that carries it (position = page_id).
+    """
+    from corpusmill.operators.links import link_table, url_path
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    links = link_table(pages)
+    fwd = links.select("src", F.col("pos").cast("long").alias("pos"), url_path(F.col("dest")).alias("dest"))
+    back = (links.select(url_path(F.col("dest")).alias("src"), F.col("src").alias("url"))
+            .join(pages.select("url", "page_id"), "url")
+            .select("src", F.col("page_id").cast("long").alias("pos"), F.col("url").alias("dest")))
+    g = fwd.unionByName(back)
+    if follow is not None:
+        g = g.filter(follow(F.col("dest"), F.lit(None).cast("string")))
+    return g

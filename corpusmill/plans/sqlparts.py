@@ -115,3 +115,55 @@ FROM (SELECT {id_col}, (row_number() OVER (ORDER BY md5({seed} || ':' || {id_col
      (SELECT n - ceil(n * {p1}::DOUBLE) AS a,
              ceil(n * {p1}::DOUBLE) - ceil(ceil(n * {p1}::DOUBLE) * {p2}::DOUBLE) AS b
       FROM (SELECT count(*) AS n FROM {table})) s)"""
+
+# --- pages ------------------------------------------------------------------
+LINK_RE = r"""(?is)<a\s[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))[^>]*>(.*?)</a>"""
+SCHEME_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
+
+
+def q(s: str) -> str:
+    """SQL string literal."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _site_sql(u: str) -> str:
+    auth = f"regexp_replace(regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1), '^[^@]*@', '')"
+    scheme = f"lower(regexp_extract({u}, {q(SCHEME_RE)}, 1))"
+    port = f"regexp_extract({auth}, ':([0-9]+)$', 1)"
+    return (f"({scheme} || '://' || regexp_extract({auth}, '^([^:]*)', 1) || ':' || "
+            f"CASE WHEN {port} <> '' THEN {port} WHEN {scheme} = 'http' THEN '80' "
+            f"WHEN {scheme} = 'https' THEN '443' WHEN {scheme} = 'ftp' THEN '21' ELSE '-1' END)")
+
+
+def site_sql(u: str) -> str:
+    return _site_sql(u)
+
+
+def path_sql(u: str) -> str:
+    return f"regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1)"
+
+
+LINKS = f"""raw_links AS (
+  SELECT url AS src, regexp_extract_all(html, {q(LINK_RE)}, 1) AS g1, regexp_extract_all(html, {q(LINK_RE)}, 2) AS g2,
+         regexp_extract_all(html, {q(LINK_RE)}, 3) AS g3, regexp_extract_all(html, {q(LINK_RE)}, 4) AS g4
+  FROM pages),
+hrefs AS (
+  SELECT src, u.i::INTEGER AS pos, trim(coalesce(g1[u.i + 1], '') || coalesce(g2[u.i + 1], '') || coalesce(g3[u.i + 1], '')) AS h, g4[u.i + 1] AS anchor,
+         regexp_extract(src, {q(SCHEME_RE)}, 1) AS scheme,
+         regexp_extract(src, {q(SCHEME_RE)}, 1) || '://' || regexp_extract(src, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1) AS origin,
+         {path_sql('src')} AS bpath, regexp_replace(src, '#.*$', '') AS bnofrag
+  FROM raw_links, unnest(range(len(g4))) AS u(i)),
+resolved AS (
+  SELECT src, pos, anchor, regexp_replace(
+    CASE WHEN regexp_matches(h, {q(SCHEME_RE)}) THEN h
+         WHEN starts_with(h, '//') THEN scheme || ':' || h
+         WHEN h = '' THEN bnofrag
+         WHEN starts_with(h, '#') THEN bnofrag || h
+         WHEN starts_with(h, '?') THEN origin || bpath || h
+         WHEN starts_with(h, '/') THEN origin || h
+         ELSE origin || CASE WHEN bpath = '' THEN '/' ELSE regexp_extract(bpath, '^(.*/)', 1) END || h END,
+    '#[^#]*$', '') AS dest
+  FROM hrefs),
+links AS (
+  SELECT src, pos, dest, anchor FROM resolved
+  WHERE lower(regexp_extract(dest, {q(SCHEME_RE)}, 1)) IN ('http', 'https', 'ftp', 'file', 'jar', 'mailto'))"""
