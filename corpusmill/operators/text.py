@@ -32,7 +32,7 @@ def make_pairs(claims: DataFrame, id_col: str = "pair_id", sentences_col: str =
     """
     sents = F.coalesce(F.col(sentences_col), F.array().cast("array<string>"))
     return claims.select(
-        F.col(id_col).cast("long").alias("pair_id"),
+        F.col(id_col).alias("pair_id"),
         F.concat(F.lit(" "), F.lower(F.array_join(sents, sep))).alias("text"),
         F.col(claim_col).alias("summary"))
 

@@ -111,3 +111,32 @@ def link_graph(spark: SparkSession, sf_dir: str, follow=None) -> DataFrame:
     if follow is not None:
         g = g.filter(follow(F.col("dest"), F.lit(None).cast("string")))
     return g
+
+
+def conversation_debates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Debates ``(debate_key, name, for_claims, against_claims)`` from ``conversations``.
+
+    A conversation is a debate named by the first line of its first turn.  Each
+    ``user`` turn is a claim: its argument is the next turn when that turn is not
+    a user turn, its counter is the turn three ahead under the same condition
+    (the reply to the following claim).  Claims alternate for / against in turn
+    order.  A conversation's turns are one bounded window group.
+    """
+    c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+
+    def reply(k):
+        return F.when(F.lead("role", k).over(w) != "user", F.lead("text", k).over(w))
+
+    turns = c.select("conv_id", "turn", "role", "text", reply(1).alias("argument"), reply(3).alias("counter"))
+    users = turns.filter(F.col("role") == "user").withColumn(
+        "k", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1)
+    item = F.struct("turn", F.col("text").alias("claim"), "argument", "counter")
+    strip = lambda a: F.transform(F.array_sort(a), lambda s: F.struct(
+        s["claim"].alias("claim"), s["argument"].alias("argument"), s["counter"].alias("counter")))
+    claims = users.groupBy("conv_id").agg(
+        strip(F.collect_list(F.when(F.col("k") % 2 == 0, item))).alias("for_claims"),
+        strip(F.collect_list(F.when(F.col("k") % 2 == 1, item))).alias("against_claims"))
+    names = c.groupBy("conv_id").agg(F.substring_index(F.min_by("text", "turn"), NL, 1).alias("name"))
+    return names.join(claims, "conv_id", "left").select(
+        F.col("conv_id").cast("long").alias("debate_key"), "name", "for_claims", "against_claims")

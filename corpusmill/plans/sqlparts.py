@@ -167,3 +167,37 @@ resolved AS (
 links AS (
   SELECT src, pos, dest, anchor FROM resolved
   WHERE lower(regexp_extract(dest, {q(SCHEME_RE)}, 1)) IN ('http', 'https', 'ftp', 'file', 'jar', 'mailto'))"""
+
+# --- records ----------------------------------------------------------------
+from corpusmill.functions.text import SENTENCE_PATTERN, TOKEN_PATTERN  # noqa: E402
+
+
+def split_argument_sql(x: str) -> str:
+    toks = f"list_transform(regexp_extract_all(coalesce({x}, ''), {q(SENTENCE_PATTERN)}), lambda s: regexp_extract_all(s, {q(TOKEN_PATTERN)}))"
+    return (f"list_transform(list_filter({toks}, lambda t: len(t) > 1), lambda t: array_to_string("
+            f"list_transform(list_filter(t, lambda w: NOT starts_with(w, 'http:')), lambda w: replace(w, '\"', '')), ' '))")
+
+
+DEBATES = """turns AS (
+  SELECT conv_id, turn, role, text,
+         CASE WHEN lead(role, 1) OVER w <> 'user' THEN lead(text, 1) OVER w END AS argument,
+         CASE WHEN lead(role, 3) OVER w <> 'user' THEN lead(text, 3) OVER w END AS counter
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+users AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM turns WHERE role = 'user'),
+dnames AS (SELECT conv_id, split_part(arg_min(text, turn), chr(10), 1) AS name FROM conversations GROUP BY conv_id),
+dids AS (SELECT conv_id, (1000000 + row_number() OVER (ORDER BY conv_id) - 1)::BIGINT AS debate_id, name FROM dnames),
+claims AS (
+  SELECT d.debate_id, d.name, (row_number() OVER (PARTITION BY u.conv_id ORDER BY u.k % 2, u.turn) - 1)::BIGINT AS claim_no,
+         (u.k % 2 = 1) AS is_opposing, u.text AS claim, u.argument, u.counter
+  FROM users u JOIN dids d ON d.conv_id = u.conv_id)"""
+
+SENTENCES = DEBATES + f""",
+sents0 AS (
+  SELECT debate_id, claim_no,
+         list_concat(list_transform({split_argument_sql('argument')}, lambda s: {{'side': 'argument', 'sentence': s}}),
+                     list_transform({split_argument_sql('counter')}, lambda s: {{'side': 'counter', 'sentence': s}})) AS l
+  FROM claims),
+sents AS (
+  SELECT debate_id, claim_no, u.i::BIGINT AS sno, debate_id || '_' || claim_no || '_' || u.i AS sentence_id,
+         l[u.i + 1].side AS side, l[u.i + 1].sentence AS sentence
+  FROM sents0, unnest(range(len(l))) AS u(i))"""
