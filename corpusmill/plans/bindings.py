@@ -140,3 +140,13 @@ def conversation_debates(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = c.groupBy("conv_id").agg(F.substring_index(F.min_by("text", "turn"), NL, 1).alias("name"))
     return names.join(claims, "conv_id", "left").select(
         F.col("conv_id").cast("long").alias("debate_key"), "name", "for_claims", "against_claims")
+
+
+STEPS_PER_EPOCH = 20  # stand-in epoch length of the run log
+
+
+def training_log(spark: SparkSession, sf_dir: str, steps_per_epoch: int = STEPS_PER_EPOCH) -> DataFrame:
+    """``(run, step, epoch, batch, loss)``: the run log cut into epochs of ``steps_per_epoch``."""
+    r = run_log(spark, sf_dir)
+    return r.select("run", "step", (F.floor(F.col("step") / steps_per_epoch) + 1).cast("long").alias("epoch"),
+                    (F.col("step") % steps_per_epoch).cast("long").alias("batch"), "loss")
