@@ -88,19 +88,20 @@ def join_words(c: Column, sep: str = " ") -> Column:
 
 def l2_norm(v: Column) -> Column:
     """Euclidean norm of an array<float>."""
-    return F.sqrt(F.aggregate(v, F.lit(0.0).cast("double"), lambda acc, x: acc + x * x))
+    return F.sqrt(F.aggregate(v, F.lit(0.0).cast("double"),
+                              lambda acc, x: acc + x.cast("double") * x.cast("double")))
 
 
 def normalize(v: Column) -> Column:
     """unit vector (a zero vector stays zero)."""
     n = l2_norm(v)
-    return F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)).cast("double"))
+    return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
 
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product of two equal-length arrays."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0).cast("double"),
-                       lambda acc, x: acc + x)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
+                       F.lit(0.0).cast("double"), lambda acc, x: acc + x)
 
 
 def element_text(c: Column) -> Column:

@@ -150,3 +150,9 @@ def training_log(spark: SparkSession, sf_dir: str, steps_per_epoch: int = STEPS_
     r = run_log(spark, sf_dir)
     return r.select("run", "step", (F.floor(F.col("step") / steps_per_epoch) + 1).cast("long").alias("epoch"),
                     (F.col("step") % steps_per_epoch).cast("long").alias("batch"), "loss")
+
+
+def corpus_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(pair_id, text)``: the argument sentences of each document claim joined by spaces."""
+    c = document_claims(spark, sf_dir)
+    return c.select("pair_id", F.array_join("sentences", " ").alias("text"))

@@ -201,3 +201,27 @@ sents AS (
   SELECT debate_id, claim_no, u.i::BIGINT AS sno, debate_id || '_' || claim_no || '_' || u.i AS sentence_id,
          l[u.i + 1].side AS side, l[u.i + 1].sentence AS sentence
   FROM sents0, unnest(range(len(l))) AS u(i))"""
+
+# --- vectors ----------------------------------------------------------------
+
+
+def hash_unit_sql(key: str) -> str:
+    return f"((('0x' || substr(md5({key}), 1, 8))::UBIGINT)::DOUBLE / 4294967296.0)"
+
+
+def norm_sql(v: str) -> str:
+    return f"sqrt(list_reduce(list_transform({v}, lambda x: x::DOUBLE * x::DOUBLE), lambda a, b: a + b))"
+
+
+def vsum_sql(v: str) -> str:
+    return f"list_reduce(list_transform({v}, lambda x: x::DOUBLE), lambda a, b: a + b)"
+
+
+def corpus_encoded(n_words: int) -> str:
+    return freq_vocab(n_words) + """,
+cenc AS (
+  SELECT c.pair_id AS doc,
+         coalesce(list_transform(list_sort(list({'pos': t.pos, 'id': coalesce(f.id, 0)::INTEGER}) FILTER (WHERE t.pos IS NOT NULL)),
+                                 lambda s: s.id), []::INTEGER[]) AS ids
+  FROM claims c LEFT JOIN ctok t ON t.doc = c.pair_id LEFT JOIN fv f ON f.word = t.word
+  GROUP BY c.pair_id)"""
