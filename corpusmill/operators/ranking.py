@@ -19,21 +19,30 @@ _PID, _MID, _OFF = "__pid", "__mid", "__off"
 
 
 def global_row_number(df: DataFrame, order: list[Column | str], name: str = "rn",
-                      start: int = 0) -> DataFrame:
-    """Add ``name`` = position of each row in ``order`` (a total order), from ``start``."""
-    tagged = (df.orderBy(*order)
+                      start: int = 0, partition_by: list[str] | None = None) -> DataFrame:
+    """Add ``name`` = position of each row in ``order`` (a total order), from ``start``.
+
+    With ``partition_by`` the numbering restarts for each key.  The table is
+    range-partitioned by ``(keys, order)``, so a key holding a third of all rows
+    spans many partitions; its offsets come from the per-(partition, key) counts
+    (at most partitions + keys rows), never from one task holding the key.
+    """
+    keys = list(partition_by or [])
+    tagged = (df.orderBy(*keys, *order)
               .withColumn(_PID, F.spark_partition_id())
               .withColumn(_MID, F.monotonically_increasing_id()))
     tagged = cut_lineage(tagged)
-    counts = tagged.groupBy(_PID).agg(F.count(F.lit(1)).alias("__n"))
+    counts = tagged.groupBy(_PID, *keys).agg(F.count(F.lit(1)).alias("__n"), F.min(_MID).alias("__m0"))
+    w = Window.partitionBy(*keys).orderBy(_PID) if keys else Window.orderBy(_PID)
     offsets = counts.select(
-        _PID,
-        F.coalesce(F.sum("__n").over(Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias(_OFF))
-    local = F.col(_MID) - F.shiftleft(F.col(_PID).cast("long"), 33)
-    return (tagged.join(F.broadcast(offsets), _PID)
+        _PID, *keys, "__m0",
+        F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(_OFF))
+    if not keys:
+        offsets = F.broadcast(offsets)  # one row per partition
+    local = F.col(_MID) - F.col("__m0")
+    return (tagged.join(offsets, [_PID, *keys])
             .withColumn(name, (F.col(_OFF) + local + F.lit(start)).cast("long"))
-            .drop(_PID, _MID, _OFF))
+            .drop(_PID, _MID, _OFF, "__m0"))
 
 
 def is_bounded(df: DataFrame, max_rows: int) -> bool:

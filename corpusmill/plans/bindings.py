@@ -65,12 +65,13 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(run, step, loss)``; step = 0-based row number by (ts, event_id) within the run."""
-    e = read_table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.select(F.col("user_id").cast("long").alias("run"),
-                    (F.row_number().over(w) - 1).cast("long").alias("step"),
-                    F.col("value").cast("double").alias("loss"))
+    """``(run, step, loss)``; step = 0-based row number by (ts, event_id) within the run
+    (a distributed per-run row number, so one busy run is not one task)."""
+    from corpusmill.operators.ranking import global_row_number
+    e = read_table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("run"), "ts",
+                                                   "event_id", F.col("value").cast("double").alias("loss"))
+    return global_row_number(e, [F.col("ts"), F.col("event_id")], "step", partition_by=["run"]).select(
+        "run", "step", "loss")
 
 
 # --- fixed values: stand-in robots files ------------------------------------
