@@ -61,3 +61,21 @@ def pair_tokens(pairs: DataFrame) -> DataFrame:
     """Text tokens (src 0) then summary tokens (src 1) as one bag."""
     return token_rows(pairs, "pair_id", "text", 0).unionByName(
         token_rows(pairs, "pair_id", "summary", 1))
+
+
+def token_arrays(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(doc, toks)``: whitespace tokens of ``text_col`` as one array per row."""
+    return df.select(F.col(id_col).alias("doc"), ws_tokens(F.col(text_col)).alias("toks"))
+
+
+def pair_streams(pairs: DataFrame) -> list[tuple[int, DataFrame]]:
+    """U1 as token-array streams: texts (src 0) then summaries (src 1)."""
+    return [(0, token_arrays(pairs, "pair_id", "text")), (1, token_arrays(pairs, "pair_id", "summary"))]
+
+
+def corpus_arrays(claims: DataFrame, id_col: str = "pair_id", sentences_col: str = "sentences",
+                  fuse: bool = False) -> DataFrame:
+    """P2 as ``(doc, toks)``: the word stream of each claim's argument sentences, case kept."""
+    sents = F.coalesce(F.col(sentences_col), F.array().cast("array<string>"))
+    return claims.select(F.col(id_col).cast("long").alias("doc"),
+                         ws_tokens(F.array_join(sents, "" if fuse else " ")).alias("toks"))

@@ -48,6 +48,11 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.corpus_tokens(document_claims(spark, sf_dir))
 
 
+def corpus_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P2 word stream as ``(doc, toks)`` arrays."""
+    return T.corpus_arrays(document_claims(spark, sf_dir))
+
+
 def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vector dictionary ``(pos, word, vec)``.
 
@@ -57,8 +62,8 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     emb = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     n = emb.count()
-    toks = T.token_rows(pairs(spark, sf_dir), "pair_id", "text", 0)
-    top = V.frequency_vocab(toks, n + 1).filter(F.col("id") > 0)
+    counts = V.word_stats([(0, T.token_arrays(pairs(spark, sf_dir), "pair_id", "text"))])
+    top = V.frequency_vocab(counts, n + 1).filter(F.col("id") > 0)
     return (emb.join(top, emb["vec_id"] + 1 == top["id"])
             .select(F.col("vec_id").cast("long").alias("pos"), "word",
                     F.col("embedding").alias("vec")))

@@ -14,8 +14,8 @@ W1_SIZE = 20000  # vocabulary_size of the word-vector pipeline
 
 
 def _flagged_counts(spark, sf):
-    toks = T.pair_tokens(B.pairs(spark, sf))
-    return V.with_dictionary_flag(V.word_counts(toks), B.dictionary(spark, sf))
+    counts = V.word_stats(T.pair_streams(B.pairs(spark, sf)))
+    return V.with_dictionary_flag(counts, B.dictionary(spark, sf))
 
 
 def first_seen(spark, sf):
@@ -26,8 +26,8 @@ def first_seen(spark, sf):
 SELECT word, count(*)::BIGINT AS cnt FROM ptok GROUP BY word""")
 def word_counts(spark, sf):
     """A1 + U1: counts of whitespace tokens over texts and summaries."""
-    toks = T.pair_tokens(B.pairs(spark, sf))
-    return V.word_counts(toks).select("word", F.col("cnt").cast("long").alias("cnt"))
+    counts = V.word_stats(T.pair_streams(B.pairs(spark, sf)))
+    return counts.select("word", F.col("cnt").cast("long").alias("cnt"))
 
 
 @query("distinct_words", f"""WITH {S.PAIR_TOKENS}
@@ -47,8 +47,7 @@ UNION ALL SELECT id, word, cnt FROM top"""
 
 
 def _frequency_vocab(spark, sf, size):
-    c = B.corpus(spark, sf).select(F.lit(0).alias("src"), "doc", "pos", "word")
-    return V.frequency_vocab(c, size)
+    return V.frequency_vocab(V.word_stats([(0, B.corpus_stream(spark, sf))]), size)
 
 
 @query("frequency_vocab", FREQ_SQL.replace("__N__", str(W1_SIZE - 1)))
