@@ -19,23 +19,37 @@ def ngrams(tokens: Column, n: int) -> Column:
                   ).otherwise(F.array().cast("array<string>"))
 
 
-def _clipped(df: DataFrame, id_col: str, cand: str, ref: str, n: int) -> DataFrame:
-    """Per pair: clipped overlap, candidate and reference n-gram totals."""
-    c = (df.select(id_col, F.explode(ngrams(F.col(cand), n)).alias("g"))
-         .groupBy(id_col, "g").agg(F.count(F.lit(1)).alias("cc")))
-    r = (df.select(id_col, F.explode(ngrams(F.col(ref), n)).alias("g"))
-         .groupBy(id_col, "g").agg(F.count(F.lit(1)).alias("rc")))
-    overlap = (c.join(r, [id_col, "g"]).groupBy(id_col)
-               .agg(F.sum(F.least("cc", "rc")).alias("overlap")))
-    totals = df.select(id_col, F.greatest(F.size(cand) - n + 1, F.lit(0)).alias("cand_total"),
-                       F.greatest(F.size(ref) - n + 1, F.lit(0)).alias("ref_total"))
-    return (totals.join(overlap, id_col, "left")
+def _grams(tokens: Column, ns: list[int], side: int) -> Column:
+    def tag(n: int):
+        return lambda g: F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), g.alias("g"))
+    return F.flatten(F.array(*[F.transform(ngrams(tokens, n), tag(n)) for n in ns]))
+
+
+def clipped_counts(df: DataFrame, id_col: str, cand: str, ref: str, ns: list[int]) -> DataFrame:
+    """Per (pair, n): clipped overlap and candidate / reference n-gram totals.
+
+    Both sides' n-grams of every order go through one explode and one grouped
+    count by (pair, n, gram) with a count per side - one shuffle, partial
+    aggregation first - then ``sum(least(cand, ref))`` per (pair, n).
+    """
+    grams = F.concat(_grams(F.col(cand), ns, 0), _grams(F.col(ref), ns, 1))
+    g = (df.select(id_col, F.explode(grams).alias("x"))
+         .groupBy(id_col, F.col("x.n").alias("n"), F.col("x.g").alias("g"))
+         .agg(F.sum(F.when(F.col("x.side") == 0, 1).otherwise(0)).alias("cc"),
+              F.sum(F.when(F.col("x.side") == 1, 1).otherwise(0)).alias("rc")))
+    overlap = g.groupBy(id_col, "n").agg(F.sum(F.least("cc", "rc")).alias("overlap"))
+    totals = df.select(id_col, F.explode(F.array(*[F.struct(
+        F.lit(n).alias("n"),
+        F.greatest(F.size(cand) - n + 1, F.lit(0)).alias("cand_total"),
+        F.greatest(F.size(ref) - n + 1, F.lit(0)).alias("ref_total")) for n in ns])).alias("t")).select(
+        id_col, "t.n", "t.cand_total", "t.ref_total")
+    return (totals.join(overlap, [id_col, "n"], "left")
             .withColumn("overlap", F.coalesce(F.col("overlap"), F.lit(0)).cast("long")))
 
 
 def rouge_n(df: DataFrame, id_col: str, cand: str, ref: str, n: int = 2) -> DataFrame:
     """M1: ``(id, recall, precision, f1)``; a side with no n-grams gives 0."""
-    t = _clipped(df, id_col, cand, ref, n)
+    t = clipped_counts(df, id_col, cand, ref, [n])
     rec = F.when(F.col("ref_total") > 0, F.col("overlap") / F.col("ref_total")).otherwise(0.0)
     pre = F.when(F.col("cand_total") > 0, F.col("overlap") / F.col("cand_total")).otherwise(0.0)
     t = t.select(id_col, "overlap", rec.alias("recall"), pre.alias("precision"))
@@ -47,19 +61,13 @@ def rouge_n(df: DataFrame, id_col: str, cand: str, ref: str, n: int = 2) -> Data
 def corpus_bleu(df: DataFrame, id_col: str, cand: str, ref: str, max_n: int = 4) -> DataFrame:
     """M2: corpus BLEU-``max_n``: clipped precisions summed over the corpus,
     geometric mean, brevity penalty ``exp(1 - r/c)`` when the candidates are shorter."""
-    parts = []
-    for n in range(1, max_n + 1):
-        t = _clipped(df, id_col, cand, ref, n)
-        parts.append(t.agg(F.sum("overlap").alias("o"), F.sum("cand_total").alias("c"))
-                     .select(F.lit(n).alias("n"), "o", "c"))
-    p = parts[0]
-    for x in parts[1:]:
-        p = p.unionByName(x)
+    from corpusmill.operators.ranking import one_row
+    t = clipped_counts(df, id_col, cand, ref, list(range(1, max_n + 1)))
+    p = t.groupBy("n").agg(F.sum("overlap").alias("o"), F.sum("cand_total").alias("c"))
     lens = df.agg(F.sum(F.size(cand)).alias("cand_len"), F.sum(F.size(ref)).alias("ref_len"))
     prec = p.agg(
         F.sum(F.when((F.col("o") > 0) & (F.col("c") > 0), F.log(F.col("o") / F.col("c")))).alias("logsum"),
         F.min(F.when(F.col("c") > 0, F.col("o")).otherwise(0)).alias("min_o"))
-    from corpusmill.operators.ranking import one_row
     both = one_row(lens.select(F.col("cand_len").cast("long"), F.col("ref_len").cast("long")),
                    prec.select("logsum", F.col("min_o").cast("long")))
     bp = F.when(F.col("cand_len") > F.col("ref_len"), F.lit(1.0)).otherwise(

@@ -24,6 +24,25 @@ def hash_unit(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
+# --- fixed values -----------------------------------------------------------
+# MINSTD generator (Park-Miller, multiplier 48271, modulus 2^31 - 1).
+MINSTD_A, MINSTD_M = 48271, 2 ** 31 - 1
+# ---------------------------------------------------------------------------
+
+
+def minstd_powers(n: int) -> list[int]:
+    """``A^k mod M`` for k = 1..n (so draw k is ``x0 * A^k mod M``, no sequential state)."""
+    return [pow(MINSTD_A, k, MINSTD_M) for k in range(1, n + 1)]
+
+
+def hash_units(key: Column, n: int) -> Column:
+    """``n`` uniforms in (0, 1): one ``md5(key)`` seeds a MINSTD stream, expanded in
+    closed form - one hash per key, one multiply and modulo per draw."""
+    x0 = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % (MINSTD_M - 1) + 1
+    powers = F.array(*[F.lit(p).cast("long") for p in minstd_powers(n)])
+    return F.transform(powers, lambda p: ((x0 * p) % MINSTD_M).cast("double") / float(MINSTD_M))
+
+
 def skipgram_pairs(seqs: DataFrame, id_col: str, ids_col: str, window: int = 1, num_skips: int = 2,
                    seed: int = 0, batch_size: int | None = None) -> DataFrame:
     """Q11 + J9: ``(doc, pos, center, context)``; contexts within ``window`` of the
@@ -39,6 +58,8 @@ def skipgram_pairs(seqs: DataFrame, id_col: str, ids_col: str, window: int = 1,
 
     def contexts(i):
         cand = F.filter(F.sequence(i - window, i + window), lambda j: (j != i) & (j >= 0) & (j < n))
+        if num_skips == 2 * window:
+            return cand  # every context in range is used; no draw needed
         keyed = F.transform(cand, lambda j: F.struct(
             F.md5(F.concat_ws(":", F.lit(str(seed)), doc.cast("string"), i.cast("string"), j.cast("string"))).alias("h"),
             j.alias("j")))
@@ -60,23 +81,23 @@ def log_uniform(u: Column, vocab_size: int) -> Column:
 
 def negative_samples(seqs: DataFrame, id_col: str, ids_col: str, vocab_size: int, k: int = 64,
                      centers_per_batch: int = 64, seed: int = 0) -> DataFrame:
-    """Q12: ``k`` log-uniform class ids per batch of ``centers_per_batch`` centres of a document."""
+    """Q12: ``k`` log-uniform class ids per batch of ``centers_per_batch`` centres of a document
+    (uniforms from ``hash_units`` of (seed, doc, batch))."""
     n_batches = F.ceil(F.size(ids_col) / centers_per_batch).cast("int")
     batches = F.when(n_batches > 0, F.sequence(F.lit(0), n_batches - 1))
     b = seqs.select(F.col(id_col).alias("doc"), F.explode(batches).alias("batch"))
-    s = b.select("doc", "batch", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("k"))
-    key = F.concat_ws(":", F.lit(str(seed)), F.col("doc").cast("string"), F.col("batch").cast("string"),
-                      F.col("k").cast("string"))
-    return s.withColumn("class_id", log_uniform(hash_unit(key), vocab_size))
+    key = F.concat_ws(":", F.lit(str(seed)), F.col("doc").cast("string"), F.col("batch").cast("string"))
+    s = b.select("doc", "batch", F.posexplode(hash_units(key, k)).alias("k", "u"))
+    return s.select("doc", "batch", "k", log_uniform(F.col("u"), vocab_size).alias("class_id"))
 
 
 def embedding_matrix(vocab: DataFrame, dictionary: DataFrame, dim: int, seed: int = 0) -> DataFrame:
     """Q13: ``(id, word, has_vec, vec)`` - the dictionary vector, else uniform(-1, 1)
-    drawn from a hash of (seed, word, j) so re-runs give the same matrix."""
+    drawn from ``hash_units`` of (seed, word) so re-runs give the same matrix."""
     d = dictionary.select("word", F.col("vec").alias("dvec"))
     j = vocab.select("id", "word").join(d, "word", "left")
-    rnd = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: (
-        hash_unit(F.concat_ws(":", F.lit(str(seed)), F.col("word"), k.cast("string"))) * 2 - 1).cast("float"))
+    rnd = F.transform(hash_units(F.concat_ws(":", F.lit(str(seed)), F.col("word")), dim),
+                      lambda u: (u * 2 - 1).cast("float"))
     return j.select("id", "word", F.col("dvec").isNotNull().alias("has_vec"),
                     F.coalesce(F.col("dvec"), rnd).alias("vec"))
 

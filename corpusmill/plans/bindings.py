@@ -64,9 +64,10 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = emb.count()
     counts = V.word_stats([(0, T.token_arrays(pairs(spark, sf_dir), "pair_id", "text"))])
     top = V.frequency_vocab(counts, n + 1).filter(F.col("id") > 0)
-    return (emb.join(top, emb["vec_id"] + 1 == top["id"])
-            .select(F.col("vec_id").cast("long").alias("pos"), "word",
-                    F.col("embedding").alias("vec")))
+    d = (emb.join(top, emb["vec_id"] + 1 == top["id"])
+         .select(F.col("vec_id").cast("long").alias("pos"), "word", F.col("embedding").alias("vec")))
+    from corpusmill.session import cut_lineage
+    return cut_lineage(d)  # bounded by the number of vectors; built once, used several times
 
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,11 +28,8 @@ def encoded_examples(spark, sf):
     """``(pair_id, t, s)``: text ids with ``<EOS>`` (Q2, v3) and summary ids; plus special ids."""
     vocab = first_seen(spark, sf)
     sp = specials(vocab)
-    pairs = B.pairs(spark, sf)
-    t = V.encode_texts(pairs, "pair_id", "text", vocab, sp["<UNK>"])
-    s = V.encode_texts(pairs, "pair_id", "summary", vocab, sp["<UNK>"])
-    ex = t.select("pair_id", Q.append_eos(F.col("ids"), sp["<EOS>"]).alias("t")).join(
-        s.select("pair_id", F.col("ids").alias("s")), "pair_id")
+    e = V.encode_many(B.pairs(spark, sf), "pair_id", ["text", "summary"], vocab, sp["<UNK>"])
+    ex = e.select("pair_id", Q.append_eos(F.col("text_ids"), sp["<EOS>"]).alias("t"), F.col("summary_ids").alias("s"))
     return ex, sp
 
 

@@ -45,7 +45,7 @@ def skipgram_pairs(spark, sf):
 b AS (SELECT doc, unnest(range(ceil(len(ids) / {CENTERS})::BIGINT)) AS batch FROM cenc),
 s AS (SELECT doc, batch, unnest(range({NEG_K})) AS k FROM b)
 SELECT doc, batch::INTEGER AS batch, k::INTEGER AS k,
-       (floor(exp({S.hash_unit_sql(f"'{SEED}:' || doc || ':' || batch || ':' || k")} * ln({W1_SIZE + 1}))) - 1)::BIGINT AS class_id
+       (floor(exp({S.hash_units_sql(f"'{SEED}:' || doc || ':' || batch", 'k', NEG_K)} * ln({W1_SIZE + 1}))) - 1)::BIGINT AS class_id
 FROM s""")
 def negative_samples(spark, sf):
     """Q12: 64 log-uniform negative class ids per batch of 64 centres."""
@@ -55,7 +55,7 @@ def negative_samples(spark, sf):
 def _matrix(spark, sf):
     d = B.dictionary(spark, sf)
     dim = d.select(F.max(F.size("vec"))).first()[0]
-    return VX.embedding_matrix(first_seen(spark, sf), d, int(dim), SEED)
+    return VX.embedding_matrix(first_seen(spark, sf, d), d, int(dim), SEED)
 
 
 MATRIX_SQL = f"""WITH {S.FIRST_SEEN_VOCAB},
@@ -63,7 +63,7 @@ dim AS (SELECT max(len(vec)) AS dim FROM dict),
 mx AS (
   SELECT v.id, v.word, d.vec IS NOT NULL AS has_vec,
          coalesce(d.vec, list_transform(range((SELECT dim FROM dim)),
-                  lambda k: ({S.hash_unit_sql(f"'{SEED}:' || v.word || ':' || k")} * 2 - 1)::FLOAT)) AS vec
+                  lambda k: ({S.hash_units_sql(f"'{SEED}:' || v.word", 'k', 512)} * 2 - 1)::FLOAT)) AS vec
   FROM vocab v LEFT JOIN dict d ON d.word = v.word)"""
 
 
@@ -84,8 +84,8 @@ FROM ids i JOIN mx m ON m.id = i.id GROUP BY i.pair_id""")
 def vector_lookup(spark, sf):
     """Id -> vector lookup of every summary token; per pair the count and mean vector norm."""
     from corpusmill.plans.q_vocab import encode_side
-    vocab = first_seen(spark, sf)
     d = B.dictionary(spark, sf)
+    vocab = first_seen(spark, sf, d)
     dim = int(d.select(F.max(F.size("vec"))).first()[0])
     m = VX.embedding_matrix(vocab, d, dim, SEED)
     ids = encode_side(spark, sf, "summary", vocab).select("pair_id", F.explode("ids").alias("id"))

@@ -13,13 +13,14 @@ from corpusmill.plans.registry import query
 W1_SIZE = 20000  # vocabulary_size of the word-vector pipeline
 
 
-def _flagged_counts(spark, sf):
+def _flagged_counts(spark, sf, dictionary=None):
     counts = V.word_stats(T.pair_streams(B.pairs(spark, sf)))
-    return V.with_dictionary_flag(counts, B.dictionary(spark, sf))
+    d = B.dictionary(spark, sf) if dictionary is None else dictionary
+    return V.with_dictionary_flag(counts, d)
 
 
-def first_seen(spark, sf):
-    return V.first_seen_vocab(_flagged_counts(spark, sf))
+def first_seen(spark, sf, dictionary=None):
+    return V.first_seen_vocab(_flagged_counts(spark, sf, dictionary))
 
 
 @query("word_counts", f"""WITH {S.PAIR_TOKENS}
@@ -138,8 +139,8 @@ def unk_stats(spark, sf):
     """A5: tokens, UNKs and UNK percent over texts and summaries (no <EOS> counted)."""
     vocab = first_seen(spark, sf)
     unk = V.lookup_id(vocab, "<UNK>")
-    both = (encode_side(spark, sf, "text", vocab).select("ids")
-            .unionByName(encode_side(spark, sf, "summary", vocab).select("ids")))
+    e = V.encode_many(B.pairs(spark, sf), "pair_id", ["text", "summary"], vocab, unk)
+    both = e.select(F.col("text_ids").alias("ids")).unionByName(e.select(F.col("summary_ids").alias("ids")))
     n_unk = F.size(F.filter("ids", lambda x: x == unk))
     return both.agg(F.sum(F.size("ids")).cast("long").alias("word_count"),
                     F.sum(n_unk).cast("long").alias("unk_count")).withColumn(
@@ -156,10 +157,10 @@ def unk_per_sequence(spark, sf):
     """UNK count of every encoded text and summary."""
     vocab = first_seen(spark, sf)
     unk = V.lookup_id(vocab, "<UNK>")
-    n_unk = F.size(F.filter("ids", lambda x: x == unk)).alias("unk")
-    return (encode_side(spark, sf, "text", vocab).select("pair_id", F.lit("text").alias("side"), n_unk)
-            .unionByName(encode_side(spark, sf, "summary", vocab)
-                         .select("pair_id", F.lit("summary").alias("side"), n_unk)))
+    e = V.encode_many(B.pairs(spark, sf), "pair_id", ["text", "summary"], vocab, unk)
+    n_unk = lambda c: F.size(F.filter(c, lambda x: x == unk)).alias("unk")
+    return (e.select("pair_id", F.lit("text").alias("side"), n_unk("text_ids"))
+            .unionByName(e.select("pair_id", F.lit("summary").alias("side"), n_unk("summary_ids"))))
 
 
 @query("decode_text", f"""WITH {S.FIRST_SEEN_VOCAB},

@@ -225,3 +225,12 @@ cenc AS (
                                  lambda s: s.id), []::INTEGER[]) AS ids
   FROM claims c LEFT JOIN ctok t ON t.doc = c.pair_id LEFT JOIN fv f ON f.word = t.word
   GROUP BY c.pair_id)"""
+
+
+def hash_units_sql(key: str, j: str, n: int) -> str:
+    """Draw ``j`` (0-based, ``j < n``) of ``hash_units(key, m)`` for any ``m > j``
+    (draw j uses the power A^(j+1) whatever the stream length)."""
+    from corpusmill.operators.vectors import MINSTD_M, minstd_powers
+    powers = "([" + ", ".join(str(p) for p in minstd_powers(n)) + "]::BIGINT[])"
+    x0 = f"(((('0x' || substr(md5({key}), 1, 8))::UBIGINT)::BIGINT % {MINSTD_M - 1}) + 1)"
+    return f"((({x0} * {powers}[{j} + 1]) % {MINSTD_M})::DOUBLE / {MINSTD_M}.0)"
