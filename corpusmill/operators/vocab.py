@@ -191,29 +191,29 @@ def encode_many(df: DataFrame, id_col: str, text_cols: list[str], vocab: DataFra
 
     Whitespace tokens are mapped by J4 (unknown -> ``unk_id``) and put back in
     order.  With a broadcast vocabulary (at most ``BROADCAST_VOCAB_ROWS`` rows,
-    checked) the rows are first hash-partitioned by ``id_col`` - one shuffle of
-    the text, not of token rows - so explode, lookup and re-collect of every
-    column run in one stage.  A larger vocabulary is a shuffle join where AQE
+    checked) each column is first hash-partitioned by ``id_col`` with only its
+    own text - a shuffle of the text, not of token rows - so explode, lookup and
+    re-collect run in one stage.  A larger vocabulary is a shuffle join where AQE
     splits hot words.  Empty texts give empty arrays.
     """
     from corpusmill.functions.text import ws_tokens
     v = vocab.select("word", F.col("id").alias("vid"))
     if broadcast_vocab is None:
         broadcast_vocab = is_bounded(v, BROADCAST_VOCAB_ROWS)
-    src = df.select(F.col(id_col), *[F.col(c) for c in text_cols])
     if broadcast_vocab:
-        src = src.repartition(id_col)
         v = F.broadcast(v)
-    def tag(k: int):
-        return lambda w, i: F.struct(F.lit(k).alias("side"), i.alias("pos"), w.alias("word"))
-
-    tagged = F.concat(*[F.transform(ws_tokens(F.col(c)), tag(k)) for k, c in enumerate(text_cols)])
-    toks = src.select(id_col, F.explode_outer(tagged).alias("t")).select(
-        id_col, F.col("t.side").alias("side"), F.col("t.pos").alias("pos"), F.col("t.word").alias("word"))
+    toks = None
+    for k, c in enumerate(text_cols):
+        src = df.select(F.col(id_col), F.col(c))
+        if broadcast_vocab:
+            src = src.repartition(id_col)  # union keeps this partitioning: no shuffle at the group-by
+        part = src.select(id_col, F.lit(k).alias("side"),
+                          F.posexplode_outer(ws_tokens(F.col(c))).alias("pos", "word"))
+        toks = part if toks is None else toks.unionByName(part)
     joined = toks.join(v, "word", "left")
     out = []
     for k, c in enumerate(text_cols):
-        item = F.when(F.col("side") == k, F.struct(
+        item = F.when((F.col("side") == k) & F.col("pos").isNotNull(), F.struct(
             F.col("pos"), F.coalesce(F.col("vid"), F.lit(unk_id)).cast("int").alias("id")))
         out.append(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["id"]).alias(f"{c}_ids"))
     return joined.groupBy(id_col).agg(*out)
