@@ -9,8 +9,27 @@ TABLES = (
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+# Row key of each text table: used to spread a scan that has too few splits.
+KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "events": "event_id",
+        "embeddings": "vec_id", "benchmark": "item_id", "labels": "doc_id"}
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    """Read one table.
+
+    A Parquet file that is a single row group is a single scan task, and all
+    per-row work before the first shuffle (tokenising, regex extraction, HTML
+    parsing, partial aggregation) would then run on one core.  When the scan
+    has fewer splits than the session's parallelism, the rows are
+    hash-partitioned by the table's key - a planning-time check, so a large,
+    well-split input is read as is and never reshuffled.
+    """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    key = KEYS.get(name)
+    if spread and key is not None:
+        parallel = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < parallel:
+            df = df.repartition(parallel, key)
+    return df
