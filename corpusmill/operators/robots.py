@@ -46,19 +46,21 @@ def parse_robots(robots: DataFrame, agent: str, site_col: str = "site",
     is_allow, is_dis = F.col("line").startswith(ALLOW), F.col("line").startswith(DISALLOW)
     path = F.when(is_allow, F.trim(F.substring(F.col("line"), len(ALLOW) + 1, 1 << 30))) \
         .otherwise(F.trim(F.substring(F.col("line"), len(DISALLOW) + 1, 1 << 30)))
-    rules = (lines.filter(~F.col("is_ua") & (is_allow | is_dis))
+    is_rule = ~F.col("is_ua") & (is_allow | is_dis)
+    rules = (lines.filter(is_rule)
              .select("site", "grp", "ln",
                      F.when(is_allow, path != "").otherwise(path == "").alias("allow"),
                      path.alias("prefix")))
-    groups = lines.groupBy("site", "grp").agg(
+    # One aggregate per (site, group): which agents it names and how many rules it has.
+    g = lines.groupBy("site", "grp").agg(
         F.max(F.col("is_ua") & (name == agent.lower())).alias("names_agent"),
-        F.max(F.col("is_ua") & (name == "*")).alias("names_star"))
-    n_rules = rules.groupBy("site", "grp").agg(F.count(F.lit(1)).alias("n_rules"))
-    g = groups.join(n_rules, ["site", "grp"], "left").fillna(0, ["n_rules"])
+        F.max(F.col("is_ua") & (name == "*")).alias("names_star"),
+        F.sum(is_rule.cast("int")).alias("n_rules"))
+    agent_grp = F.when(F.col("names_agent"), F.col("grp"))
     pick = g.groupBy("site").agg(
-        F.min(F.when(F.col("names_agent"), F.struct("grp", "n_rules"))).alias("a"),
+        F.min(agent_grp).alias("a_grp"), F.min_by(F.col("n_rules"), agent_grp).alias("a_rules"),
         F.min(F.when(F.col("names_star"), F.col("grp"))).alias("star"))
-    pick = pick.select("site", F.when(F.col("a.n_rules") > 0, F.col("a.grp"))
+    pick = pick.select("site", F.when(F.col("a_rules") > 0, F.col("a_grp"))
                        .otherwise(F.col("star")).alias("grp")).filter(F.col("grp").isNotNull())
     chosen = rules.join(pick, ["site", "grp"], "left_semi")
     rw = Window.partitionBy("site").orderBy("ln")

@@ -68,9 +68,9 @@ def token_arrays(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc"), ws_tokens(F.col(text_col)).alias("toks"))
 
 
-def pair_streams(pairs: DataFrame) -> list[tuple[int, DataFrame]]:
-    """U1 as token-array streams: texts (src 0) then summaries (src 1)."""
-    return [(0, token_arrays(pairs, "pair_id", "text")), (1, token_arrays(pairs, "pair_id", "summary"))]
+def pair_streams(pairs: DataFrame) -> tuple[DataFrame, str, list[tuple[int, Column]]]:
+    """U1 as ``word_stats`` arguments: texts (src 0) then summaries (src 1) of one scan."""
+    return pairs, "pair_id", [(0, ws_tokens(F.col("text"))), (1, ws_tokens(F.col("summary")))]
 
 
 def corpus_arrays(claims: DataFrame, id_col: str = "pair_id", sentences_col: str = "sentences",

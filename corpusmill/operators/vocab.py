@@ -38,28 +38,38 @@ def word_counts(tokens: DataFrame) -> DataFrame:
 SOURCES = (0, 1)
 
 
-def word_stats(streams: list[tuple[int, DataFrame]]) -> DataFrame:
+def _stream_items(src: int, toks: Column) -> Column:
+    """All tokens (``k`` null) and the document's distinct tokens (``k`` = index in
+    first-occurrence order) of one source, as ``array<struct<word, k, src>>``."""
+    n = F.size(toks)
+    d = F.array_distinct(toks)
+    nd = F.size(d)
+    every = F.arrays_zip(toks.alias("word"), F.array_repeat(F.lit(None).cast("int"), n).alias("k"),
+                         F.array_repeat(F.lit(src), n).alias("src"))
+    firsts = F.arrays_zip(d.alias("word"),
+                          F.when(nd > 0, F.sequence(F.lit(0), nd - 1)).otherwise(F.array().cast("array<int>")).alias("k"),
+                          F.array_repeat(F.lit(src), nd).alias("src"))
+    return F.concat(every, firsts)
+
+
+def word_stats(df: DataFrame, doc_col: str, token_cols: list[tuple[int, Column]]) -> DataFrame:
     """A1 + U1 on token arrays: ``(word, cnt, first)``.
 
-    ``streams`` are ``(src, DataFrame(doc, toks))`` with ``src`` in ``SOURCES``.
-    ``first = (src, doc, k)`` orders words by first appearance: ``k`` is the
-    word's index in ``array_distinct(toks)``, which keeps first-occurrence
-    order inside a document.  One shuffle, hash aggregates only: all tokens
-    count, the per-document distinct words feed ``min(doc)`` and ``min_by(k, doc)``
-    per source (a word occurs once per document there, so no ties).  Partial
-    aggregation collapses hot words before the shuffle.
+    ``token_cols`` are ``(src, array<string> column)`` of ``df`` with ``src`` in
+    ``SOURCES``.  ``first = (src, doc, k)`` orders words by first appearance:
+    ``k`` is the word's index in ``array_distinct(toks)``, which keeps
+    first-occurrence order inside a document.  One scan and one explode (all
+    array functions here are code-generated), one shuffle, hash aggregates only:
+    every token counts, and each document's distinct words feed ``min(doc)`` and
+    ``min_by(k, doc)`` per source (a word occurs once per document there, so no
+    ties).  Partial aggregation collapses hot words before the shuffle.
     """
-    parts = []
-    for src, df in streams:
+    for src, _ in token_cols:
         if src not in SOURCES:
             raise ValueError(f"source {src} not in {SOURCES}")
-        parts.append(df.select(F.lit(src).alias("src"), "doc", F.explode("toks").alias("word"),
-                               F.lit(None).cast("int").alias("k")))
-        parts.append(df.select(F.lit(src).alias("src"), "doc",
-                               F.posexplode(F.array_distinct("toks")).alias("k", "word")).select("src", "doc", "word", "k"))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
+    items = F.concat(*[_stream_items(src, c) for src, c in token_cols])
+    u = df.select(F.col(doc_col).alias("doc"), F.explode(items).alias("x")).select(
+        "doc", F.col("x.src").alias("src"), F.col("x.word").alias("word"), F.col("x.k").alias("k"))
     aggs = [F.count(F.when(F.col("k").isNull(), 1)).alias("cnt")]
     for s in SOURCES:
         d = F.when((F.col("src") == s) & F.col("k").isNotNull(), F.col("doc"))

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.text import ws_tokens
 from corpusmill.operators import text as T
 from corpusmill.operators import vocab as V
 from corpusmill.sources.tables import read_table
@@ -62,7 +63,7 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     emb = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     n = emb.count()
-    counts = V.word_stats([(0, T.token_arrays(pairs(spark, sf_dir), "pair_id", "text"))])
+    counts = V.word_stats(pairs(spark, sf_dir), "pair_id", [(0, ws_tokens(F.col("text")))])
     top = V.frequency_vocab(counts, n + 1).filter(F.col("id") > 0)
     d = (emb.join(top, emb["vec_id"] + 1 == top["id"])
          .select(F.col("vec_id").cast("long").alias("pos"), "word", F.col("embedding").alias("vec")))

@@ -14,7 +14,7 @@ W1_SIZE = 20000  # vocabulary_size of the word-vector pipeline
 
 
 def _flagged_counts(spark, sf, dictionary=None):
-    counts = V.word_stats(T.pair_streams(B.pairs(spark, sf)))
+    counts = V.word_stats(*T.pair_streams(B.pairs(spark, sf)))
     d = B.dictionary(spark, sf) if dictionary is None else dictionary
     return V.with_dictionary_flag(counts, d)
 
@@ -27,7 +27,7 @@ def first_seen(spark, sf, dictionary=None):
 SELECT word, count(*)::BIGINT AS cnt FROM ptok GROUP BY word""")
 def word_counts(spark, sf):
     """A1 + U1: counts of whitespace tokens over texts and summaries."""
-    counts = V.word_stats(T.pair_streams(B.pairs(spark, sf)))
+    counts = V.word_stats(*T.pair_streams(B.pairs(spark, sf)))
     return counts.select("word", F.col("cnt").cast("long").alias("cnt"))
 
 
@@ -48,7 +48,7 @@ UNION ALL SELECT id, word, cnt FROM top"""
 
 
 def _frequency_vocab(spark, sf, size):
-    return V.frequency_vocab(V.word_stats([(0, B.corpus_stream(spark, sf))]), size)
+    return V.frequency_vocab(V.word_stats(B.corpus_stream(spark, sf), "doc", [(0, F.col("toks"))]), size)
 
 
 @query("frequency_vocab", FREQ_SQL.replace("__N__", str(W1_SIZE - 1)))

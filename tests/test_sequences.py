@@ -79,6 +79,6 @@ def test_frequency_vocab_ties_by_first_seen(spark):
                                  "src int, doc long, pos int, word string")
     v = [(r.id, r.word, r.cnt) for r in V.frequency_vocab(V.word_counts(toks), 3).orderBy("id").collect()]
     arr = spark.createDataFrame([(0, "b a c a b d".split())], "doc long, toks array<string>")
-    w = [(r.id, r.word, r.cnt) for r in V.frequency_vocab(V.word_stats([(0, arr)]), 3).orderBy("id").collect()]
+    w = [(r.id, r.word, r.cnt) for r in V.frequency_vocab(V.word_stats(arr, "doc", [(0, F.col("toks"))]), 3).orderBy("id").collect()]
     assert w == v
     assert v == [(0, "UNK", 2), (1, "b", 2), (2, "a", 2)]
