@@ -15,9 +15,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.operators.ranking import global_row_number
+from corpusmill.session import cut_lineage
 
 MAX_DEPTH = 10
 MAX_VISITED = 10000
+POS_BITS = 31  # link positions are array indexes (< 2^31)
+
+
+def _first_key(pr: str, pos: str, max_rank: int, pos_ok: bool):
+    """Order key of (parent rank, link position): one long when ranks stay below
+    2^32 and positions lie in [0, 2^31) (a hash aggregate takes its ``min``), else a struct."""
+    if pos_ok and max_rank < (1 << 32):
+        return (F.col(pr).cast("long") * (1 << POS_BITS) + F.col(pos).cast("long")), True
+    return F.struct(F.col(pr).alias("pr"), F.col(pos).alias("pos")), False
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, expandable: DataFrame | None = None,
@@ -35,14 +45,18 @@ def bfs(edges: DataFrame, seeds: DataFrame, expandable: DataFrame | None = None,
     total = level.count()
     levels = [level]
     seen = level.select("url")
-    edges = edges.select("src", "pos", "dest")
+    # The edge table is joined once per level: materialise it once.
+    edges = cut_lineage(edges.select("src", "pos", "dest"))
+    lo, hi = edges.agg(F.min("pos"), F.max("pos")).first()
+    pos_ok = lo is None or (lo >= 0 and hi < (1 << POS_BITS))
     depth = 1
     while depth < max_depth and total < max_visited:
         src = level.select("url", "rank")
         if expandable is not None:
             src = src.join(expandable.select("url").distinct(), "url", "left_semi")
+        key, _ = _first_key("rank", "pos", total, pos_ok)
         cand = (src.join(edges, src["url"] == edges["src"])
-                .select(F.col("dest").alias("url"), F.struct(F.col("rank").alias("pr"), "pos").alias("key")))
+                .select(F.col("dest").alias("url"), key.alias("key")))
         cand = cand.join(seen, "url", "left_anti")
         nxt = cand.groupBy("url").agg(F.min("key").alias("key"))
         nxt = global_row_number(nxt, [F.col("key")], "rank", start=total).select(
