@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import ws_tokens
 from corpusmill.operators.ranking import global_row_number
 
 
@@ -106,11 +105,6 @@ def pad_in_batch(batched: DataFrame, ids_col: str, pad_id: int, prefix: str) ->
             .withColumn(ids_col, pad_to(F.col(ids_col), F.col(f"{prefix}_padded_len"), pad_id)))
 
 
-def token_lengths(df: DataFrame, col: str) -> Column:
-    """A8 input: whitespace-token length of a text column."""
-    return F.size(ws_tokens(F.col(col)))
-
-
 def length_summary(lengths: DataFrame, group: str, length: str) -> DataFrame:
     """Count, mean, std (sample), min, quartiles (linear), max per group."""
     q = F.percentile(F.col(length), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))

@@ -63,11 +63,6 @@ def pair_tokens(pairs: DataFrame) -> DataFrame:
         token_rows(pairs, "pair_id", "summary", 1))
 
 
-def token_arrays(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc, toks)``: whitespace tokens of ``text_col`` as one array per row."""
-    return df.select(F.col(id_col).alias("doc"), ws_tokens(F.col(text_col)).alias("toks"))
-
-
 def pair_streams(pairs: DataFrame) -> tuple[DataFrame, str, list[tuple[int, Column]]]:
     """U1 as ``word_stats`` arguments: texts (src 0) then summaries (src 1) of one scan."""
     return pairs, "pair_id", [(0, ws_tokens(F.col("text"))), (1, ws_tokens(F.col("summary")))]

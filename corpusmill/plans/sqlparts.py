@@ -205,10 +205,6 @@ sents AS (
 # --- vectors ----------------------------------------------------------------
 
 
-def hash_unit_sql(key: str) -> str:
-    return f"((('0x' || substr(md5({key}), 1, 8))::UBIGINT)::DOUBLE / 4294967296.0)"
-
-
 def norm_sql(v: str) -> str:
     return f"sqrt(list_reduce(list_transform({v}, lambda x: x::DOUBLE * x::DOUBLE), lambda a, b: a + b))"
 

@@ -82,3 +82,10 @@ def test_frequency_vocab_ties_by_first_seen(spark):
     w = [(r.id, r.word, r.cnt) for r in V.frequency_vocab(V.word_stats(arr, "doc", [(0, F.col("toks"))]), 3).orderBy("id").collect()]
     assert w == v
     assert v == [(0, "UNK", 2), (1, "b", 2), (2, "a", 2)]
+
+
+def test_encode_tokens_row_form(spark):
+    vocab = spark.createDataFrame([(0, "a"), (1, "b")], "id long, word string")
+    toks = spark.createDataFrame([(1, 0, "a"), (1, 1, "zz")], "doc long, pos int, word string")
+    got = sorted((r.pos, r.id) for r in V.encode_tokens(toks, vocab, 9).collect())
+    assert got == [(0, 0), (1, 9)]

@@ -32,3 +32,14 @@ def test_java_bucket_exact(spark):
     df = spark.createDataFrame([(u,) for u in urls], "u string")
     got = [r[0] for r in df.select(ST.java_bucket(F.col("u"))).collect()]
     assert got == [format((java_hash(u) >> 1) % 16, "x") for u in urls]
+
+
+def test_url_list_in_visit_order(spark, scratch):
+    import os as _os
+    v = spark.createDataFrame([(2, "c"), (0, "a"), (1, "b")], "rank long, url string").repartition(3)
+    path = _os.path.join(scratch, "urls")
+    ST.write_url_list(v, path)
+    lines = [r.value for r in spark.read.text(path).collect()]
+    files = sorted(f for f in _os.listdir(path) if f.startswith("part-"))
+    ordered = [ln for f in files for ln in open(_os.path.join(path, f)).read().split()]
+    assert ordered == ["a", "b", "c"] and sorted(lines) == ["a", "b", "c"]

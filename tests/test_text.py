@@ -49,3 +49,11 @@ def test_cut_references_and_charset(spark):
 
 def test_pct4(spark):
     assert one(spark, TX.pct4(F.col("x")), 0.123456, "x double") == round(0.123456, 4) * 100
+
+
+def test_element_text_iequals_join(spark):
+    assert one(spark, TX.element_text(F.col("x")), "  a \n\t b  ") == "a b"
+    df = spark.createDataFrame([("User-Agent", "user-agent")], "a string, b string")
+    assert df.select(TX.iequals(F.col("a"), F.col("b"))).first()[0] is True
+    arr = spark.createDataFrame([(["a", "b"],)], "x array<string>")
+    assert arr.select(TX.join_words(F.col("x"), "|")).first()[0] == "a|b"
