@@ -87,10 +87,16 @@ def split_cached(frontier: DataFrame, stored: DataFrame, url_col: str = "url"
     return (frontier.join(s, url_col, "left_semi"), frontier.join(s, url_col, "left_anti"))
 
 
-def first_seen_links(links: DataFrame, src_rank: DataFrame) -> DataFrame:
+def first_seen_links(links: DataFrame, src_rank: DataFrame, positions_are_indexes: bool = False
+                     ) -> DataFrame:
     """U2 + ranks: distinct link destinations, each ranked by its first
-    ``(source rank, position)``; ``src_rank`` is ``(url, rank)`` of the sources."""
+    ``(source rank, position)``; ``src_rank`` is ``(url, rank)`` of the sources.
+
+    ``positions_are_indexes`` states that ``pos`` is an array index (as from
+    ``links.link_table``), so it lies in [0, 2^31) and the key can be one long.
+    """
     j = links.join(src_rank.withColumnRenamed("url", "src"), "src")
-    first = j.groupBy(F.col("dest").alias("url")).agg(
-        F.min(F.struct(F.col("rank").alias("pr"), F.col("pos"))).alias("key"))
+    max_rank = src_rank.count() if positions_are_indexes else 1 << 62
+    key, _ = _first_key("rank", "pos", max_rank, positions_are_indexes)
+    first = j.groupBy(F.col("dest").alias("url")).agg(F.min(key).alias("key"))
     return global_row_number(first, [F.col("key")], "rank").select("url", "rank")
