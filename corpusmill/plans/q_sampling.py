@@ -95,7 +95,17 @@ def holdout_first_batch(spark, sf):
     return M.holdout_first(B.pairs(spark, sf), "pair_id", HOLDOUT)
 
 
-@query("threshold_split_sizes", None)
+_CUT_A = 1.0 - 0.2
+_CUT_B = _CUT_A + 0.2 * (1.0 - 0.5)
+
+
+@query("threshold_split_sizes", f"""WITH {S.PAIRS},
+u AS (SELECT pair_id, ((('0x' || substr(md5('{SEED}:' || pair_id::VARCHAR), 1, 8))::UBIGINT)::DOUBLE / 4294967296.0) AS u
+      FROM pairs)
+SELECT CASE WHEN u < {_CUT_A!r} THEN 'train' WHEN u < {_CUT_B!r} THEN 'test' ELSE 'eval' END AS part,
+       count(*)::BIGINT AS count
+FROM u GROUP BY ALL""")
 def threshold_split_sizes(spark, sf):
     """T6, threshold form for very large tables: part sizes from a hash threshold (no sort)."""
-    return M.threshold_split(B.pairs(spark, sf), "pair_id", SEED).groupBy("part").count()
+    return M.threshold_split(B.pairs(spark, sf), "pair_id", SEED).groupBy("part").agg(
+        F.count(F.lit(1)).cast("long").alias("count"))

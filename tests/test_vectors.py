@@ -53,3 +53,17 @@ def test_negative_samples_range(spark):
     seqs = spark.createDataFrame([(1, list(range(130))), (2, [])], "doc long, ids array<int>")
     s = VX.negative_samples(seqs, "doc", "ids", 100, k=8, centers_per_batch=64).collect()
     assert len(s) == 3 * 8 and all(0 <= r.class_id < 100 for r in s)
+
+
+def test_pca_matches_numpy(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 5)) @ np.diag([5.0, 2.0, 1.0, 0.5, 0.1])
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, vec array<double>")
+    got = {r.id: (r.x, r.y) for r in VX.project_2d(df).collect()}
+    # Spark's PCA projects the raw (uncentred) rows on the covariance's top components
+    _, _, vt = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    proj = x @ vt[:2].T
+    for k in range(2):
+        col = np.array([got[i][k] for i in range(60)])
+        assert min(np.abs(col - proj[:, k]).max(), np.abs(col + proj[:, k]).max()) < 1e-6
