@@ -140,7 +140,8 @@ def length_histogram(lengths: DataFrame, group: str, length: str, bins: int = 20
     width = (F.col("hi") - F.col("lo")) / bins
     idx = (F.col(length) - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))
     b = F.least(F.floor(idx).cast("int") + 1, F.lit(bins))
-    counted = (lengths.join(F.broadcast(stats), group)
+    # one row of bounds per group; AQE broadcasts it when the groups are few
+    counted = (lengths.join(stats, group)
                .select(group, b.alias("bin")).groupBy(group, "bin")
                .agg(F.count(F.lit(1)).cast("long").alias("n")))
     grid = stats.select(group, "lo", "hi", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
