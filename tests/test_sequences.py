@@ -89,3 +89,9 @@ def test_encode_tokens_row_form(spark):
     toks = spark.createDataFrame([(1, 0, "a"), (1, 1, "zz")], "doc long, pos int, word string")
     got = sorted((r.pos, r.id) for r in V.encode_tokens(toks, vocab, 9).collect())
     assert got == [(0, 0), (1, 9)]
+
+
+def test_threshold_split_sizes_close(spark):
+    df = spark.range(0, 20000).withColumnRenamed("id", "pair_id")
+    sizes = {r.part: r["count"] for r in M.threshold_split(df, "pair_id", 5).groupBy("part").count().collect()}
+    assert abs(sizes["train"] - 16000) < 400 and abs(sizes["test"] - 2000) < 250 and abs(sizes["eval"] - 2000) < 250

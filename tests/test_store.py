@@ -43,3 +43,19 @@ def test_url_list_in_visit_order(spark, scratch):
     files = sorted(f for f in _os.listdir(path) if f.startswith("part-"))
     ordered = [ln for f in files for ln in open(_os.path.join(path, f)).read().split()]
     assert ordered == ["a", "b", "c"] and sorted(lines) == ["a", "b", "c"]
+
+
+def test_parquet_store_keep_last_and_fast_bucket(spark, scratch):
+    import datetime as dt
+    import os as _os
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("http://a.org/x", t0, "text/html", b"old"), ("http://a.org/x", t0 + dt.timedelta(days=1), "text/html", b"newer"),
+            ("http://a.org/y", t0, "text/html", b"y1"), ("http://a.org/y", t0, "text/html", b"y-longer")]
+    df = spark.createDataFrame(rows, "url string, retrieved timestamp, content_type string, content binary")
+    path = _os.path.join(scratch, "store")
+    ST.append_pages(df.limit(2), path, exact_bucket=False)
+    ST.append_pages(df.filter(F.col("url").endswith("y")), path)
+    got = {r.url: bytes(r.content) for r in ST.read_store(spark, path).collect()}
+    assert got == {"http://a.org/x": b"newer", "http://a.org/y": b"y-longer"}   # tie on time: longer wins
+    b = spark.createDataFrame([("http://a.org/x",)], "u string").select(ST.fast_bucket(F.col("u"))).first()[0]
+    assert b in [format(i, "x") for i in range(16)]

@@ -67,3 +67,16 @@ def test_pca_matches_numpy(spark):
     for k in range(2):
         col = np.array([got[i][k] for i in range(60)])
         assert min(np.abs(col - proj[:, k]).max(), np.abs(col + proj[:, k]).max()) < 1e-6
+
+
+def test_vector_file_positions_across_part_files(spark, scratch):
+    vecs = spark.createDataFrame([(i, f"w{i}", [float(i)]) for i in range(50)], "pos long, word string, vec array<float>")
+    path = os.path.join(scratch, "vecs")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # keep several part files
+    try:
+        SV.write_vector_file(vecs.repartition(4), path)   # range-partitioned: part files in pos order
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len([f for f in os.listdir(path) if f.startswith("part-")]) > 1
+    back = {r.word: r.pos for r in SV.read_vector_file(spark, path).collect()}
+    assert back == {f"w{i}": i for i in range(50)}
