@@ -73,8 +73,8 @@ def format_iso_ts(c: Column) -> Column:
 
 
 def pct4(c: Column) -> Column:
-    """F8: ``round(x, 4) * 100`` as double."""
-    return (F.round(c.cast("double"), 4) * F.lit(100.0)).cast("double")
+    """F8: ``round(x, 4) * 100`` as double (then to 6 places, so engines agree on the last bits)."""
+    return F.round((F.round(c.cast("double"), 4) * F.lit(100.0)).cast("double"), 6)
 
 
 def iequals(a: Column, b: Column) -> Column:

@@ -72,21 +72,27 @@ SIDE_LENGTHS = """lens AS (SELECT 'text' AS side, len(t) AS len FROM ex UNION AL
 
 @query("length_summary", f"""WITH {S.SEQ}, {SIDE_LENGTHS}
 SELECT side, count(*)::BIGINT AS count, round(avg(len), 6) AS mean, round(stddev_samp(len), 6) AS std,
-       min(len)::BIGINT AS min, quantile_cont(len, 0.25) AS p25, quantile_cont(len, 0.5) AS p50,
-       quantile_cont(len, 0.75) AS p75, max(len)::BIGINT AS max
+       min(len)::BIGINT AS min, round(quantile_cont(len, 0.25), 6) AS p25, round(quantile_cont(len, 0.5), 6) AS p50,
+       round(quantile_cont(len, 0.75), 6) AS p75, max(len)::BIGINT AS max
 FROM lens GROUP BY side""")
 def length_summary(spark, sf):
     """describe() of encoded lengths per side (text lengths include <EOS>)."""
     out = Q.length_summary(_side_lengths(spark, sf), "side", "len")
-    return out.withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
+    for c in ("mean", "std", "p25", "p50", "p75"):
+        out = out.withColumn(c, F.round(c, 6))
+    return out
 
 
 @query("length_percentiles", f"""WITH {S.SEQ}, {SIDE_LENGTHS}
-SELECT side, quantile_cont(len, 0.9) AS p90, quantile_cont(len, 0.95) AS p95, quantile_cont(len, 0.99) AS p99
+SELECT side, round(quantile_cont(len, 0.9), 6) AS p90, round(quantile_cont(len, 0.95), 6) AS p95,
+       round(quantile_cont(len, 0.99), 6) AS p99
 FROM lens GROUP BY side""")
 def length_percentiles(spark, sf):
     """A10: 90th, 95th and 99th percentile of encoded lengths, linear interpolation."""
-    return Q.length_percentiles(_side_lengths(spark, sf), "side", "len")
+    out = Q.length_percentiles(_side_lengths(spark, sf), "side", "len")
+    for c in ("p90", "p95", "p99"):
+        out = out.withColumn(c, F.round(c, 6))
+    return out
 
 
 @query("length_histogram", f"""WITH {S.PAIRS},

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusmill.functions.text import pct4
 from corpusmill.operators import text as T
 from corpusmill.operators import vocab as V
 from corpusmill.plans import bindings as B
@@ -73,7 +74,7 @@ def dictionary_coverage(spark, sf):
 @query("missing_words", f"""WITH {S.FIRST_SEEN_VOCAB}
 SELECT sum(CASE WHEN cnt > 2 AND NOT has_vec THEN 1 ELSE 0 END)::BIGINT AS missing_words,
        count(*)::BIGINT AS n_words,
-       (round(sum(CASE WHEN cnt > 2 AND NOT has_vec THEN 1 ELSE 0 END) / count(*), 4) * 100)::DOUBLE AS missing_pct
+       round((round(sum(CASE WHEN cnt > 2 AND NOT has_vec THEN 1 ELSE 0 END) / count(*), 4) * 100)::DOUBLE, 6) AS missing_pct
 FROM wcf""")
 def missing_words(spark, sf):
     """A3: frequent words (count > 2) without a vector."""
@@ -89,7 +90,7 @@ def first_seen_vocab(spark, sf):
 
 @query("usage_ratio", f"""WITH {S.FIRST_SEEN_VOCAB}
 SELECT (SELECT count(*) FROM vocab)::BIGINT AS vocab_size, (SELECT count(*) FROM wc)::BIGINT AS n_words,
-       (round((SELECT count(*) FROM vocab) / (SELECT count(*) FROM wc), 4) * 100)::DOUBLE AS usage_pct""")
+       round((round((SELECT count(*) FROM vocab) / (SELECT count(*) FROM wc), 4) * 100)::DOUBLE, 6) AS usage_pct""")
 def usage_ratio(spark, sf):
     """A4."""
     counts = _flagged_counts(spark, sf)
@@ -133,7 +134,7 @@ u AS (SELECT (SELECT id FROM vocab WHERE word = '<UNK>') AS unk),
 allids AS (SELECT ids FROM et UNION ALL SELECT ids FROM es)
 SELECT sum(len(ids))::BIGINT AS word_count,
        sum(len(list_filter(ids, lambda x: x = unk)))::BIGINT AS unk_count,
-       (round(sum(len(list_filter(ids, lambda x: x = unk))) / sum(len(ids)), 4) * 100)::DOUBLE AS unk_pct
+       round((round(sum(len(list_filter(ids, lambda x: x = unk))) / sum(len(ids)), 4) * 100)::DOUBLE, 6) AS unk_pct
 FROM allids, u""")
 def unk_stats(spark, sf):
     """A5: tokens, UNKs and UNK percent over texts and summaries (no <EOS> counted)."""
@@ -144,7 +145,7 @@ def unk_stats(spark, sf):
     n_unk = F.size(F.filter("ids", lambda x: x == unk))
     return both.agg(F.sum(F.size("ids")).cast("long").alias("word_count"),
                     F.sum(n_unk).cast("long").alias("unk_count")).withColumn(
-        "unk_pct", (F.round(F.col("unk_count") / F.col("word_count"), 4) * 100.0).cast("double"))
+        "unk_pct", pct4(F.col("unk_count") / F.col("word_count")))
 
 
 @query("unk_per_sequence", f"""WITH {S.FIRST_SEEN_VOCAB},

@@ -7,6 +7,7 @@ row count, column names, and an order-insensitive multiset of normalised rows.
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from collections import Counter
@@ -34,6 +35,8 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
+        if os.environ.get("ORACLE_STRICT"):  # raw doubles, as a value hash would see them
+            return v + 0.0
         return round(v, 6) + 0.0
     if hasattr(v, "tolist"):
         v = v.tolist()

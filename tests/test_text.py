@@ -48,7 +48,7 @@ def test_cut_references_and_charset(spark):
 
 
 def test_pct4(spark):
-    assert one(spark, TX.pct4(F.col("x")), 0.123456, "x double") == round(0.123456, 4) * 100
+    assert one(spark, TX.pct4(F.col("x")), 0.123456, "x double") == round(round(0.123456, 4) * 100, 6)
 
 
 def test_element_text_iequals_join(spark):
