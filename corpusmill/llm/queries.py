@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import host_reputation, pfair_mix
+from corpusmill.llm import host_reputation, pfair_mix, simhash_dedup
 
 QUERIES = {
     "op1_host_reputation": host_reputation.op1_host_reputation,
     "op2_pfair_mix": pfair_mix.op2_pfair_mix,
+    "op10_simhash_dedup": simhash_dedup.op10_simhash_dedup,
 }
 
 ORACLE = {
