@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import host_reputation, pfair_mix, simhash_dedup
+from corpusmill.llm import host_reputation, pfair_mix, simhash_dedup, token_blocks
 
 QUERIES = {
     "op1_host_reputation": host_reputation.op1_host_reputation,
     "op2_pfair_mix": pfair_mix.op2_pfair_mix,
+    "op3_token_blocks": token_blocks.op3_token_blocks,
     "op10_simhash_dedup": simhash_dedup.op10_simhash_dedup,
 }
 
