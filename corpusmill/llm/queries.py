@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import host_reputation, pfair_mix, simhash_dedup, token_blocks
+from corpusmill.llm import host_reputation, pfair_mix, simhash_dedup, string_tiling, token_blocks
 
 QUERIES = {
     "op1_host_reputation": host_reputation.op1_host_reputation,
     "op2_pfair_mix": pfair_mix.op2_pfair_mix,
     "op3_token_blocks": token_blocks.op3_token_blocks,
+    "op4_string_tiling": string_tiling.op4_string_tiling,
     "op10_simhash_dedup": simhash_dedup.op10_simhash_dedup,
 }
 
