@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import host_reputation, pfair_mix, simhash_dedup, string_tiling, token_blocks, toxic_neighbours
+from corpusmill.llm import host_reputation, pfair_mix, simhash_dedup, snapshot_collapse, string_tiling, token_blocks, toxic_neighbours
 
 QUERIES = {
     "op1_host_reputation": host_reputation.op1_host_reputation,
     "op2_pfair_mix": pfair_mix.op2_pfair_mix,
     "op3_token_blocks": token_blocks.op3_token_blocks,
     "op4_string_tiling": string_tiling.op4_string_tiling,
+    "op5_snapshot_collapse": snapshot_collapse.op5_snapshot_collapse,
     "op9_toxic_neighbours": toxic_neighbours.op9_toxic_neighbours,
     "op10_simhash_dedup": simhash_dedup.op10_simhash_dedup,
 }
@@ -16,4 +17,5 @@ QUERIES = {
 ORACLE = {
     "op1_host_reputation": host_reputation.SQL,
     "op2_pfair_mix": pfair_mix.SQL,
+    "op5_snapshot_collapse": snapshot_collapse.SQL,
 }
