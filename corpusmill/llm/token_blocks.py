@@ -18,6 +18,7 @@ u8 width, exceptions' u16 places and u32 differences, packed bits.
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 import types
@@ -35,7 +36,7 @@ from corpusmill.llm.common import scratch_path, table
 BLOCK, SEGMENT, PERCENTILE = 4096, 1 << 20, 95
 MAGIC = 0x31524650  # "PFR1"
 END_ID = 1
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 800_000
 TOKENIZER = "word_bpe_49k.json"
 
 _TAIL = re.compile(rb"(.*[a-z0-9])([!-&(-;=?-`{}~]+)", re.S)
@@ -117,25 +118,42 @@ class WordTokenizer:
 
     The tokenizer folds case and splits at white space and between letters and punctuation, so a text's
     ids are those of its words; ASCII case is folded here, and a word that ends in ASCII punctuation is
-    looked up as word and tail.  Words that hold ``<|`` (special tokens) are encoded as they stand.  The
+    looked up as word and tail.  Texts that hold ``<|`` (special tokens) are encoded as they stand.  The
     store of words is emptied when it holds ``CACHE_WORDS``, which bounds its memory.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = _per_process(f"words:{path}", dict)
-        self.join = "<|startoftext|>"
-        self.joint = self.tokenizer.token_to_id(self.join)
-
-    def _encode(self, words: list[bytes]) -> None:
-        """Encode many words at once, parted by a special token, which ends every run of merges."""
-        for i in range(0, len(words), 512):
-            part = words[i:i + 512]
-            ids = np.array(self.tokenizer.encode(self.join.join(w.decode() for w in part), add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == self.joint) * 4
+        self.words = _per_process(f"words:{path}", dict)
+        self.part = "<|startoftext|>"
+        self.part_id = self.tokenizer.token_to_id(self.part)
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)  # the ids that end a word
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def _encode(self, words: list[bytes], alone: bool) -> None:
+        """Encode many words at once.
+
+        Words of letters only (``alone``) are one run of merges each, whose last id ends a word; others are
+        parted by a special token.
+        """
+        groups = [words[i:i + 128] for i in range(0, len(words), 128)]
+        joined = [(" " if alone else self.part).join(w.decode() for w in g) for g in groups]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
             data = ids.tobytes()
-            self.words.update(zip(part, (data[a:b] for a, b in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(data)]))))
+            if alone:
+                stop = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+                start = [0, *stop[:-1]]
+                if len(stop) != len(group):
+                    self._encode(group, False)
+                    continue
+            else:
+                cuts = np.flatnonzero(ids == self.part_id) * 4
+                start, stop = [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(data)]
+            self.words.update(zip(group, (data[a:b] for a, b in zip(start, stop))))
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         split, odd = [], {}
@@ -145,25 +163,24 @@ class WordTokenizer:
                 split.append([])
             else:
                 split.append(t.lower().replace(b"\n", b" ").split(b" "))
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
         known, both = self.words, {}
+        if len(known) > CACHE_WORDS:
+            known.clear()
         unknown = set()
         for w in split:
             unknown.update(w)
-        unknown = unknown.difference(known)
         new = set()
-        for w in unknown:
+        for w in unknown.difference(known):
             if m := _TAIL.fullmatch(w):
                 both[w] = m.groups()
                 new.update(m.groups())
             else:
                 new.add(w)
-        if new := [w for w in new if w not in known]:
-            self._encode(new)
-        extra = {w: known[a] + known[b] for w, (a, b) in both.items()}
-        if extra:
-            known.update(extra)
+        new.difference_update(known)
+        letters = [w for w in new if w.isalpha() or w.decode().isalpha()]
+        self._encode(letters, True)
+        self._encode(list(new.difference(letters)), False)
+        known.update((w, known[a] + known[b]) for w, (a, b) in both.items())
         out = [np.frombuffer(b"".join(map(known.__getitem__, w)), dtype="<u4") for w in split]
         for i, t in odd.items():
             out[i] = np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, dtype="<u4")
@@ -203,10 +220,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     """Tokenise ``docs (doc_id, text)`` and write the segments as Parquet under ``path``.
 
     ``tokenizer``: path of a tokenizer file, the same on every executor.  ``order``: stream order, by default
-    ascending ``doc_id`` (nulls first), then text.  A null text is an empty one; every document gets the
+    ascending ``doc_id`` (nulls first), then a hash of the text; its columns are sampled, so they are narrow.  A null text is an empty one; every document gets the
     end id.  Repeated ids are written as often as they occur; an empty table writes no segment.
     """
-    order = order or [F.col("doc_id"), F.xxhash64("text"), F.col("text")]
+    order = order or [F.col("doc_id"), F.xxhash64("text")]
     some = docs.withColumns({f"__o{i}": c for i, c in enumerate(order)}).select("doc_id", "text", *[f"__o{i}" for i in range(len(order))])
     keys = [c for c in some.columns if c.startswith("__o")]
     (some.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
