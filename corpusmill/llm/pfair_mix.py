@@ -124,6 +124,14 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block_docs: int = BLO
             .drop("__qs", "__q", "__ps", "__from", "__to", "__i", "__key"))
 
 
+def in_mix_order(docs: DataFrame, weights: DataFrame | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """``docs`` sorted by their place in the mix, columns unchanged whatever their names; written files keep this order."""
+    needed = ("doc_id", "text", "source")
+    own = [c if c in needed else f"__c{i}" for i, c in enumerate(docs.columns)]
+    mixed = mix(docs.toDF(*own), weights, block_docs).orderBy("cycle", "slot", "nr")
+    return mixed.select(*[F.col(x).alias(c) for x, c in zip(own, docs.columns)])
+
+
 def op2_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every document in the mix of all sources, square-root weights, blocks of 64 documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")

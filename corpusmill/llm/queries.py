@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import host_reputation, pfair_mix, simhash_dedup, snapshot_collapse, string_tiling, subspace_join, template_extraction, token_blocks, toxic_neighbours
+from corpusmill.llm import (
+    duplicate_spans,
+    host_reputation,
+    pfair_mix,
+    simhash_dedup,
+    snapshot_collapse,
+    string_tiling,
+    subspace_join,
+    template_extraction,
+    token_blocks,
+    toxic_neighbours,
+)
 
 QUERIES = {
     "op1_host_reputation": host_reputation.op1_host_reputation,
@@ -10,6 +21,7 @@ QUERIES = {
     "op3_token_blocks": token_blocks.op3_token_blocks,
     "op4_string_tiling": string_tiling.op4_string_tiling,
     "op5_snapshot_collapse": snapshot_collapse.op5_snapshot_collapse,
+    "op6_duplicate_spans": duplicate_spans.op6_duplicate_spans,
     "op7_subspace_join": subspace_join.op7_subspace_join,
     "op8_template_extraction": template_extraction.op8_template_extraction,
     "op9_toxic_neighbours": toxic_neighbours.op9_toxic_neighbours,
