@@ -184,15 +184,14 @@ def keep_one_per_group(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: in
 
     Rows that repeat this id with the same fingerprint collapse to one; a group of null ids keeps one row.
     """
-    cols = docs.columns
-    fp = with_fingerprint(docs, words, "__fp")
-    f = written(with_fingerprint(docs.select("doc_id", "text"), words).select("doc_id", "fp"), "simhash")
-    g = fingerprint_groups(f, max_bits).where(F.col("first_doc").eqNullSafe(F.col("component_id")))
-    stay = g.groupBy("group_fp").agg(F.min("component_id").alias("__id"), F.min("fp").alias("__stay"))
-    # A null id is told apart by the flag; ids and fingerprints of those that stay are nearly unique.
-    on = ((fp["__fp"] == stay["__stay"]) & (F.coalesce(fp["doc_id"], F.lit(0)) == F.coalesce(stay["__id"], F.lit(0)))
-          & (fp["doc_id"].isNull() == stay["__id"].isNull()))
-    return fp.join(stay, on, "left_semi").dropDuplicates(["doc_id", "__fp"]).select(*cols)
+    row = F.xxhash64("doc_id", "text").alias("__row")
+    f = written(with_fingerprint(docs.select("doc_id", "text", row), words).select("doc_id", "__row", "fp"), "simhash")
+    g = fingerprint_groups(f.select("doc_id", "fp"), max_bits).select("fp", "group_fp", "component_id")
+    first = f.join(g, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = first.groupBy("group_fp").agg(F.min("__row").alias("__row")).select("__row")
+    # The row's hash stands for its text, so no fingerprint is computed twice; ids and hashes are nearly unique.
+    return (docs.withColumn("__row", row).join(stay, "__row", "left_semi").dropDuplicates(["__row"])
+            .select(*docs.columns))
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
