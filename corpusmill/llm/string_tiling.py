@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import table
 
 MIN_MATCH, MIN_COVER, SLICE_WORDS = 5, 0.5, 500_000
+ROWS = 512  # texts in Python at a time
 
 _WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -161,7 +162,7 @@ def benchmark_leaks(docs: DataFrame, items: DataFrame, k: int = MIN_MATCH, cover
             kind = pa.list_(pa.struct([("doc_pos", pa.int64()), ("item_pos", pa.int64()), ("words", pa.int64())]))
             schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()),
                                 ("n_tiles", pa.int64()), ("longest", pa.int64()), ("tiles", kind)])
-            for b in batches:
+            for b in (b.slice(a, ROWS) for b in batches for a in range(0, b.num_rows, ROWS)):
                 rows = [{"doc_id": d, "item_id": index.items[i], "coverage": c, "n_tiles": len(t), "longest": max(x[2] for x in t),
                          "tiles": [dict(zip(("doc_pos", "item_pos", "words"), x)) for x in sorted(t)]}
                         for d, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist())

@@ -30,7 +30,8 @@ from corpusmill.llm.common import table, written
 
 MAX_EXAMPLES, MAX_TERMS, MIN_TEXTS, MIN_RATIO, MIN_SHARE = 10_000, 4_000, 3, 20.0, 0.8
 NEIGHBOURS, PRIOR_WEIGHT, THRESHOLD, BLOCK = 15, 0.5, 0.7, 64
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
+ROWS = 512  # texts in Python at a time
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -168,7 +169,7 @@ class NearestExamples:
 def _scored(held, schema: pa.Schema, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = NearestExamples(held.value)
-        for b in batches:
+        for b in (b.slice(a, ROWS) for b in batches for a in range(0, b.num_rows, ROWS)):
             out = [index.score(t) for t in b.column("text").to_pylist()]
             cols = [b.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([round(s, 6) for s, _ in out], pa.float64()),
