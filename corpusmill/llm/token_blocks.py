@@ -24,6 +24,8 @@ import sys
 import types
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ from corpusmill.llm.common import scratch_path, table
 BLOCK, SEGMENT, PERCENTILE = 4096, 1 << 20, 95
 MAGIC = 0x31524650  # "PFR1"
 END_ID = 1
-CACHE_WORDS = 800_000
+CACHE_WORDS, SHARED_WORDS = 500_000, 250_000
 TOKENIZER = "word_bpe_49k.json"
 
 _TAIL = re.compile(rb"(.*[a-z0-9])([!-&(-;=?-`{}~]+)", re.S)
@@ -119,14 +121,16 @@ class WordTokenizer:
     The tokenizer folds case and splits at white space and between letters and punctuation, so a text's
     ids are those of its words; ASCII case is folded here, and a word that ends in ASCII punctuation is
     looked up as word and tail.  Texts that hold ``<|`` (special tokens) are encoded as they stand.  The
-    store of words is emptied when it holds ``CACHE_WORDS``, which bounds its memory.
+    store starts from up to ``SHARED_WORDS`` words that earlier tasks of the process have met, and goes back to
+    them when it holds ``CACHE_WORDS``, which bounds its memory.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = _per_process(f"words:{path}", dict)
+        self.shared = _per_process(f"words:{path}", dict)
+        self.words = dict(self.shared)
         self.part = "<|startoftext|>"
         self.part_id = self.tokenizer.token_to_id(self.part)
         vocab = self.tokenizer.get_vocab()
@@ -155,33 +159,41 @@ class WordTokenizer:
                 start, stop = [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(data)]
             self.words.update(zip(group, (data[a:b] for a, b in zip(start, stop))))
 
-    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        split, odd = [], {}
-        for t in texts:
-            if b"<|" in t:
-                odd[len(split)] = t
-                split.append([])
-            else:
-                split.append(t.lower().replace(b"\n", b" ").split(b" "))
-        known, both = self.words, {}
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        unknown = set()
-        for w in split:
-            unknown.update(w)
-        new = set()
-        for w in unknown.difference(known):
+    def _learn(self, unknown: set[bytes]) -> None:
+        """Put the ids of new words into the store."""
+        known, both, new = self.words, {}, set()
+        for w in unknown:
             if m := _TAIL.fullmatch(w):
                 both[w] = m.groups()
                 new.update(m.groups())
             else:
                 new.add(w)
-        new.difference_update(known)
+        new = new.difference(known)
         letters = [w for w in new if w.isalpha() or w.decode().isalpha()]
         self._encode(letters, True)
         self._encode(list(new.difference(letters)), False)
         known.update((w, known[a] + known[b]) for w, (a, b) in both.items())
-        out = [np.frombuffer(b"".join(map(known.__getitem__, w)), dtype="<u4") for w in split]
+        if len(self.shared) < SHARED_WORDS:
+            self.shared.update((w, known[w]) for w in unknown)
+
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        split, odd = [], {}
+        for t in texts:
+            if b"<|" in t:
+                odd[len(split)] = t
+                split.append([])
+            else:
+                split.append(t.lower().replace(b"\n", b" ").split(b" "))
+        if len(self.words) > CACHE_WORDS:
+            self.words = dict(self.shared)
+        known = self.words
+        found = [list(map(known.get, w)) for w in split]
+        gaps = [list(compress(range(len(v)), map(is_, v, repeat(None)))) for v in found]
+        self._learn({w[i] for w, gap in zip(split, gaps) for i in gap})
+        for w, v, gap in zip(split, found, gaps):
+            for i in gap:
+                v[i] = known[w[i]]
+        out = [np.frombuffer(b"".join(v), dtype="<u4") for v in found]
         for i, t in odd.items():
             out[i] = np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, dtype="<u4")
         return out
