@@ -1,8 +1,8 @@
 """Column functions for text.
 
-Every function takes and returns ``Column`` objects built from Spark built-ins, so
-they stay inside whole-stage code generation.  Each has an SQL twin in
-``corpusmill.plans.oracle`` that DuckDB runs on the same tables.
+Every function takes and returns ``Column`` objects built from Spark built-ins and
+runs in the JVM; those with lambdas are interpreted, the others are code-generated.
+Their SQL twins are in ``corpusmill.plans.sqlparts``.
 """
 
 from __future__ import annotations
@@ -15,17 +15,20 @@ from pyspark.sql import functions as F
 # information separators U+001C..U+001F.
 WHITESPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 # Sentence = a run of URL tokens or non-terminal characters, closed by a run of
-# . ! ? or the end of the text; a lone terminal run is also a sentence.
-SENTENCE_PATTERN = r"(?:https?:\S*|[^.!?])+(?:[.!?]+|$)|[.!?]+"
+# . ! ? or the end of the text; a lone terminal run is also a sentence.  Possessive
+# loops: the matcher neither recurses nor backtracks, whatever the text's length.
+SENTENCE_PATTERN = r"(?:[^.!?h]++|https?:\S*+|h)++(?:[.!?]++|$)|[.!?]++"
 # Token = a URL-ish token (http:/https: then non-space), a word of letters,
 # digits and underscores with inner apostrophes, or one punctuation mark.
 # A double quote is a separator, not a token.
-TOKEN_PATTERN = r"https?:\S*|[\p{L}\p{N}_]+(?:['’][\p{L}\p{N}_]+)*|[^\s\p{L}\p{N}_\"]"
+TOKEN_PATTERN = r"https?:\S*+|[\p{L}\p{N}_]++(?:['’][\p{L}\p{N}_]++)*+|[^\s\p{L}\p{N}_\"]"
 # Reference-list marker: the text after the first " 1: " is a citation list.
 REFERENCE_MARKER = " 1: "
 # Content-type charset parameter, default charset.
 CHARSET_PATTERN = r"charset=([^\s;]+)"
 DEFAULT_CHARSET = "UTF-8"
+# Characters that a trim removes: the space and everything below it.
+TRIMMED = r"^[\x00-\x20]+|[\x00-\x20]+$"
 # Stored-page timestamp format.
 ISO_TIMESTAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSZ"
 # ---------------------------------------------------------------------------
@@ -52,9 +55,14 @@ def remove_quotes(c: Column) -> Column:
     return F.replace(c, F.lit('"'), F.lit(""))
 
 
+def trim_controls(c: Column) -> Column:
+    """Spaces, tabs, line breaks and other control characters cut from both ends."""
+    return F.regexp_replace(c, TRIMMED, "")
+
+
 def robots_line(c: Column) -> Column:
     """text before the first ``#``, trimmed."""
-    return F.trim(F.substring_index(c, "#", 1))
+    return trim_controls(F.substring_index(c, "#", 1))
 
 
 def id_string(*cols: Column) -> Column:
@@ -73,8 +81,8 @@ def format_iso_ts(c: Column) -> Column:
 
 
 def pct4(c: Column) -> Column:
-    """F8: ``round(x, 4) * 100`` as double (then to 6 places, so engines agree on the last bits)."""
-    return F.round((F.round(c.cast("double"), 4) * F.lit(100.0)).cast("double"), 6)
+    """F8: ``round(x, 4) * 100`` as double."""
+    return (F.round(c.cast("double"), 4) * F.lit(100.0)).cast("double")
 
 
 def iequals(a: Column, b: Column) -> Column:
@@ -105,11 +113,6 @@ def dot(a: Column, b: Column) -> Column:
                        F.lit(0.0).cast("double"), lambda acc, x: acc + x)
 
 
-def element_text(c: Column) -> Column:
-    """X4 on already tag-free text: whitespace collapsed and trimmed."""
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
-
-
 def sentences(c: Column) -> Column:
     """X5, first half: sentence strings of a text."""
     return F.regexp_extract_all(c, F.lit(SENTENCE_PATTERN), 0)

@@ -1,210 +1,103 @@
-"""Selector-driven record extraction from stored pages (X3, X4) and the parser
-form of link extraction (X1).
-
-Spark has no HTML parser, so this is the one place with per-row Python: a
-``mapInPandas`` over Arrow batches of pages.  Each page is parsed with the
-standard library's ``html.parser`` into a small element tree, and a rule set of
-simple selectors (``tag``, ``.class``, ``#id``, combined, with descendant
-steps) picks the container, the title and the points.  Spark partitions the
-pages; one page is one parse.
+"""Records of stored pages by rules (X3, X4, P5, P6) as column expressions.
+
+A rule set names, as regular expressions, where a record's container starts, its
+title, and per block of points the block's start and end, the start of an item and
+the item's fields.  A page is cut at these marks by built-in string functions, so
+extraction stays inside the JVM and nested or unclosed markup cannot break it.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass, field
-from html.parser import HTMLParser
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from corpusmill.operators.links import NO_MARKUP, decode_references
+
+
+@dataclass(frozen=True)
+class Block:
+    """Points of one side.  ``claim``, ``argument`` and ``counter`` capture a field's inner HTML in
+    group 1; a field without a pattern is null."""
+
+    side: str
+    start: str
+    end: str
+    item: str
+    claim: str
+    argument: str | None = None
+    counter: str | None = None
+
+
+@dataclass(frozen=True)
+class Rules:
+    container: str
+    title: str
+    blocks: tuple[Block, ...]
+
+
+def _field(name: str) -> str:
+    return rf'(?is)[\s"]{name}(?=[\s"]).*?<div[^>]*class="[^"]*field-item[^"]*"[^>]*>(.*?)</div>'
+
+
+def _side(side: str, n: int, end: str, ending: str) -> Block:
+    return Block(side, rf'(?is)<div[^>]*id="debatabase-points-{n}"[^>]*>', end, r'(?is)<div[^>]*class="(?:[^"]*\s)?content(?:\s[^"]*)?"[^>]*>',
+                 _field(f"field-name-field-title{ending}"), _field(f"field-name-field-point{ending}"), _field(f"field-name-field-counterpoint{ending}"))
 
-import pandas as pd
-from pyspark.sql import DataFrame
 
 # --- fixed values -----------------------------------------------------------
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
-        "source", "track", "wbr"}
-RAW_TEXT = {"script", "style"}
-# Rules of the debate pages: container, title and the two point blocks.
-DEBATE_RULES = {
-    "container": "div.node-debatabase",
-    "title": "div.debatabase-title",
-    "blocks": [
-        {"scope": "div#debatabase-points-1", "item": "div.content", "opposing": False,
-         "claim": "div.field-name-field-title-point-for .field-item",
-         "argument": "div.field-name-field-point-point-for .field-item",
-         "counter": "div.field-name-field-counterpoint-point-for .field-item"},
-        {"scope": "div#debatabase-points-2", "item": "div.content", "opposing": True,
-         "claim": "div.field-name-field-title .field-item",
-         "argument": "div.field-name-field-point .field-item",
-         "counter": "div.field-name-field-counterpoint .field-item"},
-    ],
-}
+# Rules of the debate pages: container, title and the two blocks of points.
+DEBATE_RULES = Rules(
+    r'(?is)<div[^>]*class="(?:[^"]*\s)?node-debatabase(?:\s[^"]*)?"[^>]*>',
+    r'(?is)<div[^>]*class="(?:[^"]*\s)?debatabase-title(?:\s[^"]*)?"[^>]*>(.*?)</div>',
+    (_side("for", 1, r'(?is)<div[^>]*id="debatabase-points-2"', "-point-for"), _side("against", 2, r"\z", "")))
 # ---------------------------------------------------------------------------
 
-RECORD_SCHEMA = ("url string, title string, side string, pos int, claim string, "
-                 "argument string, counter string")
-LINK_SCHEMA = "src string, pos int, href string, anchor string"
-
-
-@dataclass
-class Node:
-    tag: str
-    attrs: dict
-    parent: "Node | None" = None
-    children: list = field(default_factory=list)  # Node or str
-
-    @property
-    def classes(self) -> set:
-        return set((self.attrs.get("class") or "").split())
-
-    def text(self) -> str:
-        """Descendant text, whitespace runs collapsed, trimmed."""
-        out: list[str] = []
-
-        def walk(n):
-            for c in n.children:
-                if isinstance(c, str):
-                    out.append(c)
-                elif c.tag not in RAW_TEXT:
-                    walk(c)
-        walk(self)
-        return re.sub(r"\s+", " ", "".join(out)).strip()
-
-    def iter(self):
-        yield self
-        for c in self.children:
-            if isinstance(c, Node):
-                yield from c.iter()
-
-
-class _Builder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = Node("#root", {})
-        self.cur = self.root
-
-    def handle_starttag(self, tag, attrs):
-        n = Node(tag, {k: (v or "") for k, v in attrs}, self.cur)
-        self.cur.children.append(n)
-        if tag not in VOID:
-            self.cur = n
-
-    def handle_startendtag(self, tag, attrs):
-        self.cur.children.append(Node(tag, {k: (v or "") for k, v in attrs}, self.cur))
-
-    def handle_endtag(self, tag):
-        n = self.cur
-        while n is not None and n.tag != tag:
-            n = n.parent
-        if n is not None and n.parent is not None:
-            self.cur = n.parent
-
-    def handle_data(self, data):
-        self.cur.children.append(data)
-
-
-def parse(html: str) -> Node:
-    b = _Builder()
-    b.feed(html or "")
-    b.close()
-    return b.root
-
-
-_SIMPLE = re.compile(r"^([a-zA-Z0-9]*)((?:[.#][\w\-]+)*)$")
-
-
-def _matches(n: Node, simple: str) -> bool:
-    m = _SIMPLE.match(simple)
-    if not m:
-        raise ValueError(f"unsupported selector step {simple!r}")
-    tag, rest = m.group(1), m.group(2)
-    if tag and n.tag != tag.lower():
-        return False
-    for kind, name in re.findall(r"([.#])([\w\-]+)", rest):
-        if kind == "." and name not in n.classes:
-            return False
-        if kind == "#" and n.attrs.get("id") != name:
-            return False
-    return True
-
-
-def select(root: Node, selector: str) -> list[Node]:
-    """Elements under ``root`` (``root`` included) matching a descendant selector."""
-    steps = selector.split()
-    current = [root]
-    for k, step in enumerate(steps):
-        found, seen = [], set()
-        for base in current:
-            for n in base.iter():
-                if (k > 0 and n is base) or id(n) in seen:
-                    continue
-                if _matches(n, step):
-                    seen.add(id(n))
-                    found.append(n)
-        current = found
-    return current
-
-
-def select_first(root: Node, selector: str) -> "Node | None":
-    if selector == "":
-        return root
-    r = select(root, selector)
-    return r[0] if r else None
-
-
-def extract_records(html: str, rules: dict) -> list[tuple]:
-    """``(title, side, pos, claim, argument, counter)`` of one page.
-
-    No container - no rows (P5); an item without a claim is skipped (P6);
-    argument and counter may be missing; a missing block gives no rows.
+
+def element_text(inner: Column) -> Column:
+    """Text of inner HTML: tags cut, character references decoded, white space folded and trimmed."""
+    return F.trim(F.regexp_replace(decode_references(F.regexp_replace(inner, "<[^>]*>", "")), r"(?U)\s+", " "))
+
+
+def _after(text: Column, mark: str) -> Column:
+    """What follows the first match of ``mark``; null without a match."""
+    at = F.regexp_instr(text, F.lit(mark))
+    rest = F.substr(text, at)
+    return F.when(at > 0, F.substr(rest, F.length(F.regexp_extract(rest, mark, 0)) + 1))
+
+
+def _before(text: Column, mark: str) -> Column:
+    """What stands before the first match of ``mark``; all of it without a match."""
+    at = F.regexp_instr(text, F.lit(mark))
+    return F.when(at > 0, F.substr(text, F.lit(1), at - 1)).otherwise(text)
+
+
+def _group(text: Column, pattern: str | None) -> Column:
+    """Text of a pattern's group 1; null where it does not match."""
+    if pattern is None:
+        return F.lit(None).cast("string")
+    return F.when(text.rlike(pattern), element_text(F.regexp_extract(text, pattern, 1)))
+
+
+def page_records(pages: DataFrame, rules: Rules = DEBATE_RULES, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """X3 over a page table: ``(url, title, side, pos, claim, argument, counter)``.
+
+    No container - no rows (P5); an item without a claim is skipped (P6); argument and
+    counter may be missing; a missing block gives no rows.
     """
-    root = parse(html)
-    box = select_first(root, rules["container"])
-    if box is None:
-        return []
-    t = select_first(box, rules["title"])
-    title = t.text() if t is not None else None
-    out = []
-    for block in rules["blocks"]:
-        scope = select_first(box, block["scope"])
-        if scope is None:
-            continue
-        side = "against" if block["opposing"] else "for"
-        pos = 0
-        for item in select(scope, block["item"]):
-            c = select_first(item, block["claim"])
-            if c is None:
-                continue
-            a = select_first(item, block["argument"]) if block.get("argument") is not None else None
-            k = select_first(item, block["counter"]) if block.get("counter") is not None else None
-            out.append((title, side, pos, c.text(), a.text() if a is not None else None,
-                        k.text() if k is not None else None))
-            pos += 1
-    return out
-
-
-def page_records(pages: DataFrame, rules: dict = DEBATE_RULES, url_col: str = "url",
-                 html_col: str = "html") -> DataFrame:
-    """X3 over a page table: ``(url, title, side, pos, claim, argument, counter)``."""
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for url, html in zip(pdf[url_col], pdf[html_col]):
-                for r in extract_records(html, rules):
-                    rows.append((url, *r))
-            yield pd.DataFrame(rows, columns=["url", "title", "side", "pos", "claim", "argument", "counter"])
-    return pages.select(url_col, html_col).mapInPandas(run, RECORD_SCHEMA)
-
-
-def page_links_parsed(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """X1, parser form: ``a[href]`` elements in document order with their raw href;
-    markup inside scripts and comments is not taken for links."""
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for url, html in zip(pdf[url_col], pdf[html_col]):
-                pos = 0
-                for n in parse(html).iter():
-                    if n.tag == "a" and "href" in n.attrs:
-                        rows.append((url, pos, n.attrs["href"], n.text()))
-                        pos += 1
-            yield pd.DataFrame(rows, columns=["src", "pos", "href", "anchor"])
-    return pages.select(url_col, html_col).mapInPandas(run, LINK_SCHEMA)
+    box = _after(F.regexp_replace(F.col(html_col), NO_MARKUP, ""), rules.container)
+    p = pages.select(F.col(url_col).alias("url"), box.alias("__box")).where("__box is not null")
+    p = p.withColumn("title", _group(F.col("__box"), rules.title))
+
+    def points(b: Block) -> Column:
+        items = F.split(_before(_after(F.col("__box"), b.start), b.end), b.item)
+        found = F.transform(F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0))), lambda x: F.struct(
+            F.lit(b.side).alias("side"), _group(x, b.claim).alias("claim"), _group(x, b.argument).alias("argument"), _group(x, b.counter).alias("counter")))
+        kept = F.filter(found, lambda x: x["claim"].isNotNull())
+        return F.coalesce(F.transform(kept, lambda x, i: F.struct(
+            x["side"].alias("side"), i.cast("int").alias("pos"), x["claim"].alias("claim"), x["argument"].alias("argument"), x["counter"].alias("counter"))),
+            F.array().cast("array<struct<side:string,pos:int,claim:string,argument:string,counter:string>>"))
+
+    rows = p.select("url", "title", F.explode(F.concat(*[points(b) for b in rules.blocks])).alias("r"))
+    return rows.select("url", "title", "r.*")

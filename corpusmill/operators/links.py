@@ -1,9 +1,9 @@
 """Links of stored pages (X1, X2, X8, P3, P4, G2) as column expressions.
 
-X1 here is the native form: a regular expression over the whole page gives
-every ``<a ... href=...>inner</a>`` in document order, so extraction stays
-inside the JVM.  ``corpusmill.operators.html`` has the parser-based form for
-pages where markup inside scripts or comments matters.
+X1: comments, scripts and styles are cut from the page, then one regular
+expression gives every ``<a ... href=...>inner</a>`` in document order, and the
+parts are taken from each match; character references in hrefs are decoded.  All
+of it stays inside the JVM.
 """
 
 from __future__ import annotations
@@ -13,10 +13,17 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions.text import trim_controls
+
 # --- fixed values -----------------------------------------------------------
 # Anchor with an href: group 1 = double-quoted, 2 = single-quoted, 3 = bare
 # value; group 4 = inner HTML up to the first closing tag.
 LINK_PATTERN = r"""(?is)<a\s[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))[^>]*>(.*?)</a>"""
+# What holds no links of the page.
+NO_MARKUP = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+# Character references, and the text between them; the named ones that hrefs use.
+REFERENCE_PIECE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z]+);|[^&]+|&"
+NAMED_REFERENCES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\u00a0"}
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 # Protocols java.net.URL accepts; any other makes the href malformed.
 KNOWN_PROTOCOLS = ["http", "https", "ftp", "file", "jar", "mailto"]
@@ -28,15 +35,36 @@ FOLLOW_EXCLUDE = ["rate=", "user/login", "offices-services"]
 # ---------------------------------------------------------------------------
 
 
+def _code_point(ref: Column) -> Column:
+    """Character of a numeric reference (``&#38;``, ``&#x26;``); U+FFFD where there is none."""
+    is_hex = F.lower(F.substring(ref, 3, 1)) == "x"
+    digits = F.regexp_extract(ref, r"^&#[xX]?([0-9a-fA-F]+);$", 1)
+    n = F.when(is_hex, F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("long")
+    valid = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
+
+def decode_references(c: Column) -> Column:
+    """Character references of a short text (an href) decoded; unknown names stay as they are."""
+    def piece(p: Column) -> Column:
+        out = F.when(p.rlike(r"^&#(?:[0-9]+|[xX][0-9a-fA-F]+);$"), _code_point(p)).otherwise(p)
+        for name, char in NAMED_REFERENCES.items():
+            out = F.when(p == name, F.lit(char)).otherwise(out)
+        return out
+    decoded = F.array_join(F.transform(F.regexp_extract_all(c, F.lit(REFERENCE_PIECE), 0), piece), "")
+    return F.when(F.instr(c, "&") > 0, decoded).otherwise(c)
+
+
 def extract_links(html: Column) -> Column:
-    """``array<struct<pos, href, anchor>>`` in document order."""
-    g = [F.regexp_extract_all(html, F.lit(LINK_PATTERN), i).alias(n)
-         for i, n in ((1, "dq"), (2, "sq"), (3, "bare"), (4, "inner"))]
-    z = F.arrays_zip(*g)
-    return F.transform(z, lambda s, i: F.struct(
+    """``array<struct<pos, href, anchor>>`` in document order; ``anchor`` is the inner HTML."""
+    found = F.regexp_extract_all(F.regexp_replace(html, NO_MARKUP, ""), F.lit(LINK_PATTERN), 0)
+
+    def part(m: Column, i: int) -> Column:
+        return F.regexp_extract(m, LINK_PATTERN, i)
+    return F.transform(found, lambda m, i: F.struct(
         i.cast("int").alias("pos"),
-        F.concat(s["dq"], s["sq"], s["bare"]).alias("href"),
-        s["inner"].alias("anchor")))
+        decode_references(F.concat(part(m, 1), part(m, 2), part(m, 3))).alias("href"),
+        part(m, 4).alias("anchor")))
 
 
 def _scheme(u: Column) -> Column:
@@ -67,13 +95,13 @@ def _remove_dots(path: Column) -> Column:
 
 def _with_clean_path(origin: Column, ref: Column) -> Column:
     path = F.regexp_extract(ref, r"^([^?#]*)", 1)
-    rest = F.substring(ref, F.length(path) + 1, 1 << 30)
+    rest = F.substr(ref, F.length(path) + 1)
     return F.concat(origin, _remove_dots(path), rest)
 
 
 def resolve_url(base: Column, href: Column) -> Column:
     """X2, first half: absolute URL of ``href`` against ``base`` (RFC 3986 merge)."""
-    h = F.trim(href)
+    h = trim_controls(href)
     scheme = F.regexp_extract(base, SCHEME, 1)
     origin = F.concat(scheme, F.lit("://"), _authority(base))
     base_path = url_path(base)
@@ -121,13 +149,21 @@ def follow_rule(prefix: str = FOLLOW_PREFIX, exclude: Sequence[str] = FOLLOW_EXC
     return rule
 
 
+def anchor_rule(words: Sequence[str]) -> Callable[[Column, Column], Column]:
+    """V1: a rule that looks at the anchor: its text, without tags and whatever the case, has one of ``words``."""
+    def rule(dest: Column, anchor: Column) -> Column:  # noqa: ARG001 - dest is part of the interface
+        text = F.lower(F.regexp_replace(anchor, "<[^>]*>", ""))
+        return F.arrays_overlap(F.split(text, r"[^\p{L}\p{N}]+"), F.array(*[F.lit(w.lower()) for w in words]))
+    return rule
+
+
 def link_table(pages: DataFrame, url_col: str = "url", html_col: str = "html",
-               follow: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+               follow: Callable[[Column, Column], Column] | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """``(src, pos, dest, anchor)`` - every well-formed link, fragment cut,
-    kept by the ``follow`` predicate (all links when ``None``)."""
-    ex = pages.select(F.col(url_col).alias("src"),
+    kept by the ``follow`` predicate (all links when ``None``); ``keep`` names page columns to carry along."""
+    ex = pages.select(F.col(url_col).alias("src"), *keep,
                       F.explode(extract_links(F.col(html_col))).alias("l"))
-    out = ex.select("src", F.col("l.pos").alias("pos"),
+    out = ex.select("src", *keep, F.col("l.pos").alias("pos"),
                     cut_fragment(resolve_url(F.col("src"), F.col("l.href"))).alias("dest"),
                     F.col("l.anchor").alias("anchor"))
     out = out.filter(well_formed(F.col("dest")))

@@ -23,9 +23,10 @@ CLAIM_TYPE = "array<struct<claim:string,argument:string,counter:string>>"
 
 
 def number_debates(debates: DataFrame, key: str = "debate_key") -> DataFrame:
-    """``debate_id = 1000000 + rank`` of the debate key (a deterministic order)."""
-    return global_row_number(debates, [F.col(key)], "__r").withColumn(
-        "debate_id", (F.col("__r") + FIRST_DEBATE_ID).cast("long")).drop("__r")
+    """``debate_id = 1000000 + rank`` of the (unique) debate key, a deterministic order; only
+    the keys are ranked, the debates are joined back."""
+    ids = global_row_number(debates.select(key), [F.col(key)], "__r", start=FIRST_DEBATE_ID)
+    return debates.join(ids, key).withColumn("debate_id", F.col("__r").cast("long")).drop("__r")
 
 
 def flatten_debates(debates: DataFrame) -> DataFrame:
@@ -61,28 +62,27 @@ def claim_records(claims: DataFrame) -> DataFrame:
     Quotes are removed from claim and debate name as the reference does; the JSON
     writer escapes everything else, so the output is valid JSON.
     """
-    sents = claim_sentences(claims)
-    per_claim = sents.groupBy("debate_id", "claim_no").agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("side") == "argument",
-                                                 F.struct("sentence_id", "sentence")))).alias("args"),
-        F.map_from_entries(F.collect_list(F.when(F.col("side") == "counter",
-                                                 F.struct("sentence_id", "sentence")))).alias("ctrs"))
-    empty = F.create_map().cast("map<string,string>")
-    j = claims.join(per_claim, ["debate_id", "claim_no"], "left")
-    return j.select(
+    none = F.array().cast("array<string>")
+    c = claims.withColumn("__a", F.coalesce(split_argument(F.col("argument")), none)).withColumn(
+        "__c", F.coalesce(split_argument(F.col("counter")), none))
+
+    def entries(col: str, first: Column) -> Column:
+        return F.map_from_entries(F.transform(F.col(col), lambda s, i: F.struct(
+            F.format_string("%d_%d_%d", F.col("debate_id"), F.col("claim_no"), i + first).alias("key"), s.alias("value"))))
+    return c.select(
         F.col("debate_id").cast("string").alias("_debate_id"),
         remove_quotes(F.col("claim")).alias("_claim"),
         F.when(F.col("is_opposing"), "true").otherwise("false").alias("_is_opposing"),
-        F.coalesce(F.col("args"), empty).alias("_argument_sentences"),
-        F.coalesce(F.col("ctrs"), empty).alias("_counter_sentences"),
+        entries("__a", F.lit(0)).alias("_argument_sentences"),
+        entries("__c", F.size("__a")).alias("_counter_sentences"),
         remove_quotes(F.col("name")).alias("_debate_name"),
         id_string(F.col("debate_id"), F.col("claim_no")).alias("_claim_id"))
 
 
-def outline(claims: DataFrame) -> DataFrame:
-    """Report lines ``(debate_id, line_no, kind, text)``.
+def outline(claims: DataFrame, debates: DataFrame) -> DataFrame:
+    """Report lines ``(debate_id, line_no, kind, text)`` of ``debates (debate_id, name)``.
 
-    Per debate: its name, then per claim ``for:``/``against:``, its argument
+    Every debate has its name line, also one without claims.  Per debate: its name, then per claim ``for:``/``against:``, its argument
     sentences and its counter sentences, each cut at the reference list (X6).
     """
     def sent_lines(col: str, kind: str, prefix: str, order: int) -> Column:
@@ -99,7 +99,7 @@ def outline(claims: DataFrame) -> DataFrame:
         sent_lines("counter", "counter", OUTLINE_COUNTER, 2))).alias("l"))
     lines = per_claim.select("debate_id", F.struct(F.lit(1).alias("t"), "claim_no", "l.o", "l.i").alias("k"),
                              "l.kind", "l.text")
-    names = claims.select("debate_id", "name").distinct().select(
+    names = debates.select(
         "debate_id", F.struct(F.lit(0).alias("t"), F.lit(0).cast("long").alias("claim_no"), F.lit(0).alias("o"),
                               F.lit(0).alias("i")).alias("k"),
         F.lit("debate").alias("kind"), F.col("name").alias("text"))

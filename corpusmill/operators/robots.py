@@ -8,10 +8,10 @@ so per-site windows hold bounded groups.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import robots_line
+from corpusmill.functions.text import iequals, robots_line, trim_controls
 from corpusmill.operators.links import site_key, url_path
 
 # --- fixed values -----------------------------------------------------------
@@ -20,6 +20,17 @@ LINE_BREAK = r"\R"
 # ---------------------------------------------------------------------------
 
 
+def write_robots_files(robots: DataFrame, path: str) -> None:
+    """Fetched robots files ``(site, text)``, one file per site in a folder ``site=...`` of its own."""
+    robots.select("site", "text").repartition("site").write.partitionBy("site").text(path)
+
+
+def read_robots_files(spark: SparkSession, path: str) -> DataFrame:
+    """``(site, text)`` of fetched robots files, each read whole; the folder's name gives the site."""
+    files = spark.read.text(path, wholetext=True)
+    return files.select(F.col("site").cast("string").alias("site"), F.col("value").alias("text"))
+
+
 def robots_lines(robots: DataFrame, site_col: str = "site", text_col: str = "text") -> DataFrame:
     """Non-empty, comment-free lines ``(site, ln, line)`` of each robots file."""
     raw = robots.select(F.col(site_col).alias("site"),
@@ -42,10 +53,12 @@ def parse_robots(robots: DataFrame, agent: str, site_col: str = "site",
              .withColumn("start", F.col("is_ua") & ~F.coalesce(F.lag("is_ua").over(w), F.lit(False)))
              .withColumn("grp", F.sum(F.col("start").cast("int")).over(
                  w.rowsBetween(Window.unboundedPreceding, 0))))
-    name = F.lower(F.trim(F.substring(F.col("line"), len(UA) + 1, 1 << 30)))
+    def after(word: str):
+        return trim_controls(F.substr(F.col("line"), F.lit(len(word) + 1)))
+
+    name = after(UA)
     is_allow, is_dis = F.col("line").startswith(ALLOW), F.col("line").startswith(DISALLOW)
-    path = F.when(is_allow, F.trim(F.substring(F.col("line"), len(ALLOW) + 1, 1 << 30))) \
-        .otherwise(F.trim(F.substring(F.col("line"), len(DISALLOW) + 1, 1 << 30)))
+    path = F.when(is_allow, after(ALLOW)).otherwise(after(DISALLOW))
     is_rule = ~F.col("is_ua") & (is_allow | is_dis)
     rules = (lines.filter(is_rule)
              .select("site", "grp", "ln",
@@ -53,7 +66,7 @@ def parse_robots(robots: DataFrame, agent: str, site_col: str = "site",
                      path.alias("prefix")))
     # One aggregate per (site, group): which agents it names and how many rules it has.
     g = lines.groupBy("site", "grp").agg(
-        F.max(F.col("is_ua") & (name == agent.lower())).alias("names_agent"),
+        F.max(F.col("is_ua") & iequals(name, F.lit(agent))).alias("names_agent"),
         F.max(F.col("is_ua") & (name == "*")).alias("names_star"),
         F.sum(is_rule.cast("int")).alias("n_rules"))
     agent_grp = F.when(F.col("names_agent"), F.col("grp"))

@@ -1,15 +1,19 @@
 """Training-log analysis (A12-A14, W6-W8) on a metrics table ``(run, epoch, batch, loss)``.
 
 The reference keeps these numbers in Python loops while training; here they are
-group keys and running windows over the logged losses.  Windows are partitioned
-by run (one run's log is one group: its number of logged steps).
+group keys and running aggregates over the logged losses.  Running aggregates work
+in two levels, so one long run does not fill a task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.operators.ranking import global_row_number
+
 
 def step_means(log: DataFrame, every: int, step_col: str = "step") -> DataFrame:
     """A12 (word-vector form): ``(run, report_step, avg_loss)``.
@@ -51,28 +55,43 @@ def update_checks(log: DataFrame, update_check: int) -> DataFrame:
     return g.select("run", "epoch", (F.col("g") * update_check).alias("check_batch"), "update_loss")
 
 
+CHUNK = 1024  # checks of a run that one task goes through
+
+
+def _running(rows: DataFrame, value: Column, agg: Callable[[Column], Column], name: str) -> DataFrame:
+    """Running aggregate ``name`` of ``value`` along ``rn`` within a run, in two levels: per chunk of
+    ``CHUNK`` rows, then over the chunks' totals, so a run with a third of all rows spreads over many tasks."""
+    part = ["run", "__chunk"]
+    inside = Window.partitionBy(*part).orderBy("rn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy("run").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__chunk", F.floor(F.col("rn") / CHUNK)).withColumn("__v", value)
+    carry = rows.groupBy(*part).agg(agg(F.col("__v")).alias("__c")).select(*part, agg(F.col("__c")).over(earlier).alias("__carry"))
+    both = F.least if agg is F.min else F.greatest
+    return (rows.withColumn("__own", agg(F.col("__v")).over(inside)).join(carry, part)
+            .withColumn(name, both("__own", "__carry")).drop("__chunk", "__v", "__own", "__carry"))  # nulls are skipped
+
+
 def new_minimum(checks: DataFrame) -> DataFrame:
     """``is_min`` - the update loss is <= every earlier one of the run (itself included)."""
-    w = Window.partitionBy("run").orderBy("epoch", "check_batch").rowsBetween(Window.unboundedPreceding, 0)
-    return checks.withColumn("is_min", F.col("update_loss") <= F.min("update_loss").over(w))
+    return _flagged(checks).drop("rn")
+
+
+def _flagged(checks: DataFrame) -> DataFrame:
+    rows = global_row_number(checks, [F.col("epoch"), F.col("check_batch")], "rn", partition_by=["run"])
+    rows = _running(rows, F.col("update_loss"), F.min, "__low")
+    return rows.withColumn("is_min", F.col("update_loss") <= F.col("__low")).drop("__low")
 
 
 def early_stop(checks: DataFrame, patience: int = 3) -> DataFrame:
     """Keep checks up to the one where ``patience`` checks in a row brought no new minimum.
 
-    Gaps and islands: the running count of new-minimum flags numbers the
-    islands, the row number inside an island is the no-improvement counter, and
-    the first row whose counter reaches ``patience`` is the last one kept.
+    ``stop_count`` is the distance to the last new minimum, a running maximum of its row number; the
+    smallest row number per run whose count reaches ``patience`` is the last one kept.
     """
-    flagged = new_minimum(checks)
-    order = Window.partitionBy("run").orderBy("epoch", "check_batch")
-    run_w = order.rowsBetween(Window.unboundedPreceding, 0)
-    flagged = flagged.withColumn("island", F.sum(F.col("is_min").cast("int")).over(run_w))
-    isl = Window.partitionBy("run", "island").orderBy("epoch", "check_batch")
-    flagged = flagged.withColumn("stop_count", (F.row_number().over(isl) - 1).cast("int"))
-    hit = F.when(F.col("stop_count") >= patience, 1).otherwise(0)
-    before = F.coalesce(F.sum(hit).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return flagged.withColumn("__before", before).filter(F.col("__before") == 0).drop("__before", "island")
+    rows = _running(_flagged(checks), F.when(F.col("is_min"), F.col("rn")), F.max, "__last")
+    rows = rows.withColumn("stop_count", (F.col("rn") - F.coalesce("__last", F.lit(-1))).cast("int")).drop("__last")
+    stops = rows.where(F.col("stop_count") >= patience).groupBy("run").agg(F.min("rn").alias("__stop"))
+    return rows.join(stops, "run", "left").where(F.col("__stop").isNull() | (F.col("rn") <= F.col("__stop"))).drop("__stop", "rn")
 
 
 def lr_schedule(epochs: DataFrame, lr0: float = 0.01, decay: float = 0.95, floor: float = 0.0001) -> DataFrame:

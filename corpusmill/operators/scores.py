@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.session import cut_lineage
+
 
 def ngrams(tokens: Column, n: int) -> Column:
     """The ``n``-grams of a token array, each joined by one space."""
@@ -27,16 +29,13 @@ def _grams(tokens: Column, ns: list[int], side: int) -> Column:
 
 def _clipped_one(df: DataFrame, id_col: str, cand: str, ref: str, n: int) -> DataFrame:
     grams = F.concat(_grams(F.col(cand), [n], 0), _grams(F.col(ref), [n], 1))
-    g = (df.select(id_col, F.explode(grams).alias("x"))
+    # Outer: a pair without n-grams keeps one row, with a null gram that counts for neither side.
+    g = (df.select(id_col, F.explode_outer(grams).alias("x"))
          .groupBy(id_col, F.col("x.g").alias("g"))
          .agg(F.sum(F.when(F.col("x.side") == 0, 1).otherwise(0)).alias("cc"),
               F.sum(F.when(F.col("x.side") == 1, 1).otherwise(0)).alias("rc")))
-    overlap = g.groupBy(id_col).agg(F.sum(F.least("cc", "rc")).alias("overlap"))
-    totals = df.select(id_col, F.lit(n).alias("n"),
-                       F.greatest(F.size(cand) - n + 1, F.lit(0)).alias("cand_total"),
-                       F.greatest(F.size(ref) - n + 1, F.lit(0)).alias("ref_total"))
-    return (totals.join(overlap, id_col, "left")
-            .withColumn("overlap", F.coalesce(F.col("overlap"), F.lit(0)).cast("long")))
+    return g.groupBy(id_col).agg(F.sum(F.least("cc", "rc")).cast("long").alias("overlap"), F.sum("cc").cast("long").alias("cand_total"),
+                                 F.sum("rc").cast("long").alias("ref_total")).withColumn("n", F.lit(n))
 
 
 def clipped_counts(df: DataFrame, id_col: str, cand: str, ref: str, ns: list[int]) -> DataFrame:
@@ -70,6 +69,7 @@ def corpus_bleu(df: DataFrame, id_col: str, cand: str, ref: str, max_n: int = 4)
     """M2: corpus BLEU-``max_n``: clipped precisions summed over the corpus,
     geometric mean, brevity penalty ``exp(1 - r/c)`` when the candidates are shorter."""
     from corpusmill.operators.ranking import one_row
+    df = cut_lineage(df.select(id_col, cand, ref))  # read once, used by every order and the lengths
     t = clipped_counts(df, id_col, cand, ref, list(range(1, max_n + 1)))
     p = t.groupBy("n").agg(F.sum("overlap").alias("o"), F.sum("cand_total").alias("c"))
     lens = df.agg(F.sum(F.size(cand)).alias("cand_len"), F.sum(F.size(ref)).alias("ref_len"))

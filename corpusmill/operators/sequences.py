@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators.ranking import global_row_number
+from corpusmill.session import cut_lineage
 
 
 def append_eos(ids: Column, eos_id: int) -> Column:
@@ -78,16 +79,22 @@ def example_filter(text_ids: Column, summary_ids: Column, unk_id: int, *,
             & (unk_count(text_ids, unk_id) <= unk_text_limit))
 
 
-def assign_batches(df: DataFrame, order: list[Column | str], batch_size: int) -> DataFrame:
+def assign_batches(df: DataFrame, order: list[Column], batch_size: int, id_col: str = "pair_id",
+                   keep_remainder: bool = False) -> DataFrame:
     """T1 + W5: global row ``rn`` in ``order``, ``batch_id = rn // size``, ``slot = rn % size``.
 
-    The last partial batch is dropped (``batch_id < n // size``).
+    The last partial batch is dropped (``batch_id < n // size``) unless ``keep_remainder``.
+    Only the order columns and the row's id (unique) are ranked and checkpointed.
     """
     if batch_size <= 0:
         raise ValueError("batch_size must be positive")
-    ranked = global_row_number(df, order, "rn")
-    n_full = ranked.count() // batch_size  # one scalar; the ranked table is checkpointed
-    return (ranked.filter(F.col("rn") < n_full * batch_size)
+    keys = [f"__o{i}" for i in range(len(order))]
+    narrow = df.select(F.col(id_col), *[c.alias(k) for c, k in zip(order, keys)])
+    ranked = global_row_number(narrow, [F.col(k) for k in keys], "rn").select(id_col, "rn")
+    if not keep_remainder:
+        n_full = ranked.count() // batch_size  # one scalar; the ranked table is checkpointed
+        ranked = ranked.filter(F.col("rn") < n_full * batch_size)
+    return (df.join(ranked, id_col)
             .withColumn("batch_id", F.floor(F.col("rn") / batch_size).cast("long"))
             .withColumn("slot", (F.col("rn") % batch_size).cast("int")))
 
@@ -129,9 +136,10 @@ def length_percentiles(lengths: DataFrame, group: str, length: str,
 def length_histogram(lengths: DataFrame, group: str, length: str, bins: int = 20) -> DataFrame:
     """Equal-width histogram, last bin closed at the right; empty bins kept.
 
-    One aggregate gives (min, max) per group, each group expands to its
-    ``bins`` rows, and the counted bins are joined onto them.
+    Rows are counted per (group, length) first; bounds, bins and the join work on
+    that small table, which has one row per length that occurs.
     """
+    lengths = cut_lineage(lengths.groupBy(group, length).agg(F.count(F.lit(1)).alias("__n")))
     stats = lengths.groupBy(group).agg(F.min(length).cast("double").alias("lo"),
                                        F.max(length).cast("double").alias("hi"))
     stats = stats.select(group,
@@ -140,10 +148,9 @@ def length_histogram(lengths: DataFrame, group: str, length: str, bins: int = 20
     width = (F.col("hi") - F.col("lo")) / bins
     idx = (F.col(length) - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))
     b = F.least(F.floor(idx).cast("int") + 1, F.lit(bins))
-    # one row of bounds per group; AQE broadcasts it when the groups are few
     counted = (lengths.join(stats, group)
-               .select(group, b.alias("bin")).groupBy(group, "bin")
-               .agg(F.count(F.lit(1)).cast("long").alias("n")))
+               .select(group, b.alias("bin"), "__n").groupBy(group, "bin")
+               .agg(F.sum("__n").cast("long").alias("n")))
     grid = stats.select(group, "lo", "hi", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
     return (grid.join(counted, [group, "bin"], "left")
             .select(group, "bin",

@@ -1,22 +1,24 @@
 """Word-vector jobs.
 
 Skip-gram pairs come from array expressions inside each document (the
-position range join J9 never leaves the row); nearest neighbours score every
-vector against a bounded set of query vectors carried in the plan, and keep the
-top k per query with a window limit (partial top-k before the shuffle).
+position range join J9 never leaves the row); nearest neighbours multiply blocks
+of vectors with blocks of queries, and keep the top k per query with a window
+limit (partial top-k before the shuffle).
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import dot, l2_norm, normalize
-from corpusmill.operators.ranking import is_bounded
+from corpusmill.functions.text import l2_norm, normalize
 
-MAX_QUERY_VECTORS = 1000
+QUERY_BLOCK = 1000  # query vectors that are on the driver and in a task at a time
 
 
 def hash_unit(key: Column) -> Column:
@@ -112,33 +114,56 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 8, id_col: str = "i
     """J8 + T2: ``(query_id, rank, id, sim)`` - the k most cosine-similar vectors of
     each query, the query itself excluded, ties by id.
 
-    The query set must be bounded (checked): it is read once and placed in the
-    plan, so each vector row computes its similarity to every query without a
-    join; ``row_number() <= k`` per query becomes a per-task group limit.
+    Queries are taken in blocks of ``QUERY_BLOCK`` (by hash, so blocks differ a
+    little in size); every block is broadcast, scored against all vectors by one
+    matrix product per batch, and each batch keeps its k best per query.
     """
-    if not is_bounded(queries, MAX_QUERY_VECTORS):
-        raise ValueError(f"more than {MAX_QUERY_VECTORS} query vectors")
-    qs = normalized(queries.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("vec"))).select("qid", "unit").collect()
-    if not qs:
+    n = queries.count()
+    if n == 0:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, id long, sim double")
-    qarr = F.array(*[F.struct(F.lit(int(r["qid"])).cast("long").alias("qid"),
-                              F.array(*[F.lit(float(x)) for x in r["unit"]]).alias("u")) for r in qs])
-    v = normalized(vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")))
-    scored = v.select("id", F.explode(F.transform(qarr, lambda q: F.struct(
-        q["qid"].alias("query_id"), dot(q["u"], F.col("unit")).alias("sim")))).alias("s"))
-    scored = scored.select("s.query_id", "id", "s.sim").filter(F.col("query_id") != F.col("id"))
+    unit = normalized(queries.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("vec"))).select("qid", "unit")
+    v = normalized(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))).select("id", "unit")
+    blocks, scored = -(-n // QUERY_BLOCK), None
+    for b in range(blocks):
+        rows = unit.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).orderBy("qid").collect()
+        held = vectors.sparkSession.sparkContext.broadcast(([r["qid"] for r in rows], [r["unit"] for r in rows]))
+        part = v.mapInPandas(_scores(held, k), "query_id long, id long, sim double") if rows else None
+        scored = part if scored is None else scored if part is None else scored.unionByName(part)
     w = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), F.col("id"))
     return (scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int"), "id", "sim"))
 
 
+def _scores(held, k: int):
+    """The k best vectors of each batch per query."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qid, unit = held.value
+        qid, q = np.array(qid, dtype=np.int64), np.array(unit, dtype=np.float64)
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            ids, m = pdf["id"].to_numpy(), np.stack(pdf["unit"].to_numpy())
+            sim = q @ m.T
+            sim[qid[:, None] == ids[None, :]] = -np.inf
+            # Everything at least as similar as the k-th stays, so ties at the cut are decided later.
+            last = np.partition(sim, -min(k, sim.shape[1]), axis=1)[:, -min(k, sim.shape[1])]
+            i, j = np.nonzero((sim >= last[:, None]) & np.isfinite(sim))
+            yield pd.DataFrame({"query_id": qid[i], "id": ids[j], "sim": sim[i, j]})
+    return run
+
+
 def train_word2vec(sentences: DataFrame, tokens_col: str, vector_size: int = 128, window: int = 1,
                    min_count: int = 1, max_iter: int = 1, seed: int = 42,
                    num_partitions: int | None = None) -> DataFrame:
-    """E1 (re-aimed): Spark ML skip-gram Word2Vec (hierarchical softmax); ``(word, vector)``."""
+    """E1 (re-aimed): Spark ML skip-gram Word2Vec (hierarchical softmax); ``(word, vector)``.
+
+    The longest document sets ``maxSentenceLength``, so none is cut and no pair is lost.
+    """
     from pyspark.ml.feature import Word2Vec
+    longest = sentences.agg(F.max(F.size(tokens_col))).first()[0] or 1
     parts = num_partitions or sentences.sparkSession.sparkContext.defaultParallelism
     w2v = Word2Vec(vectorSize=vector_size, windowSize=window, minCount=min_count, maxIter=max_iter,
+                   maxSentenceLength=max(1, int(longest)),
                    seed=seed, numPartitions=parts, inputCol=tokens_col, outputCol="__v")
     return w2v.fit(sentences.select(tokens_col)).getVectors()
 

@@ -6,11 +6,11 @@ both directions: word -> id (J4) and id -> word (J7).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import pct4
-from corpusmill.operators.ranking import global_row_number, is_bounded, one_row
+from corpusmill.operators.ranking import global_row_number, one_row, text_bytes
 
 # --- fixed values -----------------------------------------------------------
 # Special tokens of the first-seen vocabulary, appended in this order.
@@ -22,16 +22,8 @@ PAD, GO, EOS = "<PAD>", "<GO>", "<EOS>"
 FREQ_UNK = "UNK"
 # ---------------------------------------------------------------------------
 
-# Largest vocabulary that is broadcast to the token side of an encode join.
-BROADCAST_VOCAB_ROWS = 1_000_000
-
-
-def word_counts(tokens: DataFrame) -> DataFrame:
-    """A1 on token rows ``(src, doc, pos, word)``: ``(word, cnt, first)``, ``first`` =
-    first appearance ``(src, doc, pos)``.  For token arrays ``word_stats`` is faster."""
-    return tokens.groupBy("word").agg(
-        F.count(F.lit(1)).alias("cnt"),
-        F.min(F.struct("src", "doc", "pos")).alias("first"))
+# Largest vocabulary, in bytes, that is broadcast to the token side of an encode join.
+BROADCAST_VOCAB_BYTES = 64 << 20
 
 
 # Token sources in stream order: 0 = texts, 1 = summaries.
@@ -53,7 +45,7 @@ def _stream_items(src: int, toks: Column) -> Column:
 
 
 def word_stats(df: DataFrame, doc_col: str, token_cols: list[tuple[int, Column]]) -> DataFrame:
-    """A1 + U1 on token arrays: ``(word, cnt, first)``.
+    """A1 + U1 on token arrays: ``(word, cnt, cnt0, cnt1, first)``, ``cnt0`` and ``cnt1`` per source.
 
     ``token_cols`` are ``(src, array<string> column)`` of ``df`` with ``src`` in
     ``SOURCES``.  ``first = (src, doc, k)`` orders words by first appearance:
@@ -71,6 +63,7 @@ def word_stats(df: DataFrame, doc_col: str, token_cols: list[tuple[int, Column]]
     u = df.select(F.col(doc_col).alias("doc"), F.explode(items).alias("x")).select(
         "doc", F.col("x.src").alias("src"), F.col("x.word").alias("word"), F.col("x.k").alias("k"))
     aggs = [F.count(F.when(F.col("k").isNull(), 1)).alias("cnt")]
+    aggs += [F.count(F.when(F.col("k").isNull() & (F.col("src") == s), 1)).alias(f"cnt{s}") for s in SOURCES]
     for s in SOURCES:
         d = F.when((F.col("src") == s) & F.col("k").isNotNull(), F.col("doc"))
         aggs += [F.min(d).alias(f"d{s}"), F.min_by(F.when(F.col("src") == s, F.col("k")), d).alias(f"k{s}")]
@@ -79,7 +72,7 @@ def word_stats(df: DataFrame, doc_col: str, token_cols: list[tuple[int, Column]]
     for s in reversed(SOURCES):
         here = F.struct(F.lit(s).alias("src"), F.col(f"d{s}").alias("doc"), F.col(f"k{s}").alias("pos"))
         first = here if first is None else F.when(F.col(f"d{s}").isNotNull(), here).otherwise(first)
-    return b.select("word", "cnt", first.alias("first"))
+    return b.select("word", "cnt", *[f"cnt{s}" for s in SOURCES], first.alias("first"))
 
 
 def distinct_words(tokens: DataFrame) -> DataFrame:
@@ -112,9 +105,11 @@ def first_seen_vocab(counts_flagged: DataFrame, threshold: int = 2) -> DataFrame
     """W2 + U3: ids in first-appearance order after P10, then the four specials.
 
     The rank is a distributed global row number (no single-partition window);
-    the specials take ids ``n .. n+3`` from a one-row count.
+    the specials take ids ``n .. n+3`` from a one-row count.  A text word equal
+    to a special is the special, as where a dictionary key is set again: words
+    and ids stay unique.
     """
-    kept = counts_flagged.filter(vocab_predicate(threshold)).select("word", "cnt", "first")
+    kept = counts_flagged.filter(vocab_predicate(threshold) & ~F.col("word").isin(SPECIALS_FIRST_SEEN)).select("word", "cnt", "first")
     ranked = global_row_number(kept, [F.col("first")], "id").select(
         "id", "word", F.col("cnt").cast("long").alias("cnt"))
     n = ranked.agg(F.count(F.lit(1)).cast("long").alias("n"))
@@ -125,6 +120,16 @@ def first_seen_vocab(counts_flagged: DataFrame, threshold: int = 2) -> DataFrame
     return ranked.unionByName(specials)
 
 
+def unknown_tokens(counts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """A5 from word counts: ``word_count, unk_count, unk_pct``; unknown are the tokens of words outside
+    ``vocab`` and those that read like its <UNK>."""
+    known = vocab.filter(F.col("word") != SPECIALS_FIRST_SEEN[0]).select("word", F.lit(True).alias("known"))
+    return counts.join(known, "word", "left").agg(
+        F.coalesce(F.sum("cnt"), F.lit(0)).cast("long").alias("word_count"),
+        F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("cnt"))), F.lit(0)).cast("long").alias("unk_count")).withColumn(
+        "unk_pct", pct4(F.col("unk_count") / F.col("word_count")))
+
+
 def usage_ratio(vocab: DataFrame, counts: DataFrame) -> DataFrame:
     """A4: vocabulary size (with specials) over distinct words, percent."""
     v = vocab.agg(F.count(F.lit(1)).cast("long").alias("vocab_size"))
@@ -136,14 +141,12 @@ def frequency_vocab(counts: DataFrame, size: int) -> DataFrame:
     """W1 + A7: ``UNK`` = 0 then the ``size - 1`` most common words of ``counts``
     (``word, cnt, first``).
 
-    Ties go to the word seen first.  The cut is a distributed top-k (each task
-    keeps ``size`` rows), so the ranking window only sees ``size`` rows.  Row 0
-    carries the number of tokens outside the vocabulary.
+    Ties go to the word seen first.  Words get distributed global ranks, so no
+    task holds the vocabulary.  Row 0 carries the number of tokens outside the
+    vocabulary, tokens that read ``UNK`` among them.
     """
-    top = counts.orderBy(F.col("cnt").desc(), F.col("first")).limit(size - 1)
-    w = Window.orderBy(F.col("cnt").desc(), F.col("first"))
-    ranked = top.select(F.row_number().over(w).cast("long").alias("id"), "word",
-                        F.col("cnt").cast("long").alias("cnt"))
+    words = counts.filter(F.col("word") != FREQ_UNK)
+    ranked = frequency_ranks(words).filter(F.col("id") < size)
     total = counts.agg(F.coalesce(F.sum("cnt"), F.lit(0)).cast("long").alias("total"))
     kept = ranked.agg(F.coalesce(F.sum("cnt"), F.lit(0)).cast("long").alias("kept"))
     unk = one_row(total, kept).select(
@@ -152,13 +155,21 @@ def frequency_vocab(counts: DataFrame, size: int) -> DataFrame:
     return unk.unionByName(ranked)
 
 
+def frequency_ranks(counts: DataFrame, cnt: str = "cnt") -> DataFrame:
+    """``(id, word, cnt)``: words by falling ``cnt``, then first appearance; ids from 1."""
+    return global_row_number(counts.select("word", F.col(cnt).cast("long").alias("cnt"), "first"),
+                             [F.col("cnt").desc(), F.col("first")], "id", start=1).select("id", "word", "cnt")
+
+
 def dictionary_vocab(dictionary: DataFrame) -> DataFrame:
     """``<PAD>`` = 0, dictionary words 1..N in file order, ``<GO>`` = N+1, ``<EOS>`` = N+2.
 
     ``dictionary`` is ``(pos, word, vec)``; special vectors are all 0, 1 and 2.
+    Dictionary words equal to a special give way to it.
     """
-    ranked = global_row_number(dictionary.select("pos", "word", "vec"), [F.col("pos")], "id",
-                               start=1).select("id", "word", "vec")
+    words = dictionary.filter(~F.col("word").isin(PAD, GO, EOS))
+    ids = global_row_number(words.select("pos"), [F.col("pos")], "id", start=1)
+    ranked = words.join(ids, "pos").select("id", "word", "vec")
     stats = ranked.agg(F.count(F.lit(1)).cast("long").alias("n"),
                        F.max(F.size("vec")).alias("dim"))
     fill = lambda v: F.array_repeat(F.lit(float(v)).cast("float"), F.col("dim"))
@@ -178,30 +189,13 @@ def lookup_id(vocab: DataFrame, word: str) -> int:
     return int(row[0])
 
 
-def encode_tokens(tokens: DataFrame, vocab: DataFrame, unk_id: int,
-                  broadcast_vocab: bool | None = None) -> DataFrame:
-    """``(…, word) -> (…, id)``, unknown words get ``unk_id``.
-
-    A vocabulary of at most ``BROADCAST_VOCAB_ROWS`` rows (checked) is broadcast;
-    a larger one is a shuffle join where AQE splits hot words (stop words).
-    """
-    v = vocab.select("word", F.col("id").alias("vid"))
-    if broadcast_vocab is None:
-        broadcast_vocab = is_bounded(v, BROADCAST_VOCAB_ROWS)
-    if broadcast_vocab:
-        v = F.broadcast(v)
-    return (tokens.join(v, "word", "left")
-            .withColumn("id", F.coalesce(F.col("vid"), F.lit(unk_id)).cast("int"))
-            .drop("vid"))
-
-
 def encode_many(df: DataFrame, id_col: str, text_cols: list[str], vocab: DataFrame, unk_id: int,
                 broadcast_vocab: bool | None = None) -> DataFrame:
     """Q1 for several text columns at once: ``(id_col, <col>_ids ...)``.
 
     Whitespace tokens are mapped by J4 (unknown -> ``unk_id``) and put back in
-    order.  With a broadcast vocabulary (at most ``BROADCAST_VOCAB_ROWS`` rows,
-    checked) each column is first hash-partitioned by ``id_col`` with only its
+    order.  With a broadcast vocabulary (at most ``BROADCAST_VOCAB_BYTES``, summed
+    first) each column is first hash-partitioned by ``id_col`` with only its
     own text - a shuffle of the text, not of token rows - so explode, lookup and
     re-collect run in one stage.  A larger vocabulary is a shuffle join where AQE
     splits hot words.  Empty texts give empty arrays.
@@ -209,7 +203,7 @@ def encode_many(df: DataFrame, id_col: str, text_cols: list[str], vocab: DataFra
     from corpusmill.functions.text import ws_tokens
     v = vocab.select("word", F.col("id").alias("vid"))
     if broadcast_vocab is None:
-        broadcast_vocab = is_bounded(v, BROADCAST_VOCAB_ROWS)
+        broadcast_vocab = text_bytes(v, "word") <= BROADCAST_VOCAB_BYTES
     if broadcast_vocab:
         v = F.broadcast(v)
     toks = None
@@ -244,7 +238,7 @@ def decode_ids(df: DataFrame, id_col: str, ids_col: str, vocab: DataFrame,
     """
     v = vocab.select(F.col("id").cast("int").alias("tid"), "word")
     if broadcast_vocab is None:
-        broadcast_vocab = is_bounded(v, BROADCAST_VOCAB_ROWS)
+        broadcast_vocab = text_bytes(v, "word") <= BROADCAST_VOCAB_BYTES
     src = df.select(F.col(id_col), F.col(ids_col))
     if broadcast_vocab:
         src = src.repartition(id_col)

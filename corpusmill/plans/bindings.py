@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions.text import ws_tokens
 from corpusmill.operators import text as T
 from corpusmill.operators import vocab as V
+from corpusmill.session import cut_lineage
 from corpusmill.sources.tables import read_table
 
 NL = "\n"
@@ -31,7 +32,7 @@ def document_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(pair_id, claim, sentences)`` from ``documents``."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     has_nl = F.instr("text", NL) > 0
-    rest = F.substring(F.col("text"), F.instr("text", NL) + 1, 1 << 30)
+    rest = F.substr(F.col("text"), F.instr("text", NL) + 1)
     return d.select(
         F.col("doc_id").cast("long").alias("pair_id"),
         F.substring_index("text", NL, 1).alias("claim"),
@@ -54,21 +55,24 @@ def corpus_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.corpus_arrays(document_claims(spark, sf_dir))
 
 
-def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vector dictionary ``(pos, word, vec)``.
+def word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word counts of the pair texts (``cnt0``) and summaries (``cnt1``), materialised: one scan of
+    the documents from which dictionary, flags, vocabulary and statistics of a query follow."""
+    return cut_lineage(V.word_stats(*T.pair_streams(pairs(spark, sf_dir))))
 
-    The word of row ``vec_id`` is the pair-text word of frequency rank
-    ``vec_id + 1`` (W1 order).  The ranking is over the vocabulary cut to the
-    number of vectors, so the window sees a bounded table.
+
+def dictionary(spark: SparkSession, sf_dir: str, words: DataFrame | None = None) -> DataFrame:
+    """Vector dictionary ``(pos, word, vec)``, built once and used several times.
+
+    The word of row ``vec_id`` is the pair-text word of frequency rank ``vec_id + 1`` (W1 order), a
+    distributed global rank.
     """
+    words = word_table(spark, sf_dir) if words is None else words
     emb = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    n = emb.count()
-    counts = V.word_stats(pairs(spark, sf_dir), "pair_id", [(0, ws_tokens(F.col("text")))])
-    top = V.frequency_vocab(counts, n + 1).filter(F.col("id") > 0)
-    d = (emb.join(top, emb["vec_id"] + 1 == top["id"])
+    ranked = V.frequency_ranks(words.filter("cnt0 > 0"), "cnt0")
+    d = (emb.join(ranked, emb["vec_id"] + 1 == ranked["id"])
          .select(F.col("vec_id").cast("long").alias("pos"), "word", F.col("embedding").alias("vec")))
-    from corpusmill.session import cut_lineage
-    return cut_lineage(d)  # bounded by the number of vectors; built once, used several times
+    return cut_lineage(d)
 
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,12 +114,12 @@ def link_graph(spark: SparkSession, sf_dir: str, follow=None) -> DataFrame:
     """
     from corpusmill.operators.links import link_table, url_path
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    links = link_table(pages)
-    fwd = links.select("src", F.col("pos").cast("long").alias("pos"), url_path(F.col("dest")).alias("dest"))
-    back = (links.select(url_path(F.col("dest")).alias("src"), F.col("src").alias("url"))
-            .join(pages.select("url", "page_id"), "url")
-            .select("src", F.col("page_id").cast("long").alias("pos"), F.col("url").alias("dest")))
-    g = fwd.unionByName(back)
+    links = link_table(pages.select("page_id", "url", "html"), keep=("page_id",))
+    path = url_path(F.col("dest"))
+    # Each link gives both directions, so the pages are read once.
+    both = F.array(F.struct("src", F.col("pos").cast("long").alias("pos"), path.alias("dest")),
+                   F.struct(path.alias("src"), F.col("page_id").cast("long").alias("pos"), F.col("src").alias("dest")))
+    g = links.select(F.explode(both).alias("e")).select("e.*")
     if follow is not None:
         g = g.filter(follow(F.col("dest"), F.lit(None).cast("string")))
     return g

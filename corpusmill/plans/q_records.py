@@ -7,25 +7,28 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import cut_references
+from corpusmill.functions.text import cut_references, sentences
 from corpusmill.operators import html as H
 from corpusmill.operators import records as D
 from corpusmill.operators import text as T
 from corpusmill.plans import bindings as B
 from corpusmill.plans import sqlparts as S
 from corpusmill.plans.registry import query
-from corpusmill.session import ensure_checkpoint_dir
+from corpusmill.session import cut_lineage, ensure_checkpoint_dir
 from corpusmill.sources import claims as C
 from corpusmill.sources.tables import read_table
 
-# Stand-in selector rules for the test pages (no debate markup there).
-PAGE_RULES = {"container": "article", "title": "h1",
-              "blocks": [{"scope": "article", "item": "p", "opposing": False,
-                          "claim": "b", "argument": "", "counter": None}]}
+# Stand-in rules for the test pages (no debate markup there): the article's paragraphs with a bold lead.
+PAGE_RULES = H.Rules(r"(?is)<article[^>]*>", r"(?is)<h1[^>]*>(.*?)</h1>", (
+    H.Block("for", r"(?is)</h1>", r"(?is)</article>", r"(?is)<p[^>]*>", r"(?is)<b>(.*?)(?:</b>|<br>|\z)", r"(?is)^(.*)$"),))
+
+
+def debates(spark, sf):
+    return cut_lineage(D.number_debates(B.conversation_debates(spark, sf)))
 
 
 def claims(spark, sf):
-    return D.flatten_debates(D.number_debates(B.conversation_debates(spark, sf)))
+    return D.flatten_debates(debates(spark, sf))
 
 
 @query("debate_claims", f"""WITH {S.DEBATES}
@@ -52,7 +55,7 @@ cl AS (
          {S.split_argument_sql("split_part(argument, ' 1: ', 1)")} AS a,
          {S.split_argument_sql("split_part(counter, ' 1: ', 1)")} AS c FROM claims),
 lines AS (
-  SELECT DISTINCT debate_id, 0 AS t, 0 AS claim_no, 0 AS o, 0 AS i, 'debate' AS kind, name AS text FROM claims
+  SELECT debate_id, 0 AS t, 0 AS claim_no, 0 AS o, 0 AS i, 'debate' AS kind, name AS text FROM dids
   UNION ALL
   SELECT debate_id, 1, claim_no, 0, 0, CASE WHEN is_opposing THEN 'against' ELSE 'for' END,
          CASE WHEN is_opposing THEN '  against: ' ELSE '  for: ' END || claim FROM cl
@@ -64,7 +67,8 @@ SELECT debate_id, (row_number() OVER (PARTITION BY debate_id ORDER BY t, claim_n
 FROM lines""")
 def debate_outline(spark, sf):
     """X12 + X6: the printed outline of every debate, references cut at ' 1: '."""
-    return D.outline(claims(spark, sf))
+    d = debates(spark, sf)
+    return D.outline(D.flatten_debates(d), d)
 
 
 @query("reference_cut", f"""WITH {S.DEBATES}
@@ -77,27 +81,28 @@ def reference_cut(spark, sf):
 
 RECORDS_SQL = f"""WITH {S.SENTENCES},
 agg AS (SELECT debate_id, claim_no,
-               count(*) FILTER (WHERE side = 'argument') AS n_arg, count(*) FILTER (WHERE side = 'counter') AS n_ctr,
-               string_agg(sentence, '|' ORDER BY sno) FILTER (WHERE side = 'argument') AS arg_text
+               string_agg(sentence_id || '=' || sentence, '|' ORDER BY sno) FILTER (WHERE side = 'argument') AS args,
+               string_agg(sentence_id || '=' || sentence, '|' ORDER BY sno) FILTER (WHERE side = 'counter') AS ctrs
         FROM sents GROUP BY debate_id, claim_no)
 SELECT c.debate_id::VARCHAR AS _debate_id, replace(c.claim, '"', '') AS _claim,
        CASE WHEN c.is_opposing THEN 'true' ELSE 'false' END AS _is_opposing,
-       coalesce(a.n_arg, 0)::INTEGER AS n_arg, coalesce(a.n_ctr, 0)::INTEGER AS n_ctr,
-       coalesce(a.arg_text, '') AS arg_text, replace(c.name, '"', '') AS _debate_name,
+       coalesce(a.args, '') AS args, coalesce(a.ctrs, '') AS ctrs, replace(c.name, '"', '') AS _debate_name,
        c.debate_id || '_' || c.claim_no AS _claim_id
 FROM claims c LEFT JOIN agg a ON a.debate_id = c.debate_id AND a.claim_no = c.claim_no"""
 
 
 def _record_summary(r):
-    args = T.ordered_sentences(F.col("_argument_sentences"))
-    return r.select("_debate_id", "_claim", "_is_opposing",
-                    F.size("_argument_sentences").alias("n_arg"), F.size("_counter_sentences").alias("n_ctr"),
-                    F.array_join(args, "|").alias("arg_text"), "_debate_name", "_claim_id")
+    def listed(col):
+        e = F.array_sort(F.transform(F.map_entries(col), lambda x: F.struct(
+            F.substring_index(x["key"], "_", -1).cast("long").alias("n"), F.concat(x["key"], F.lit("="), x["value"]).alias("t"))))
+        return F.array_join(F.transform(e, lambda x: x["t"]), "|")
+    return r.select("_debate_id", "_claim", "_is_opposing", listed("_argument_sentences").alias("args"),
+                    listed("_counter_sentences").alias("ctrs"), "_debate_name", "_claim_id")
 
 
 @query("claim_records", RECORDS_SQL)
 def claim_records(spark, sf):
-    """S8 shape: flat claim objects with sentence maps (summarised: sizes and ordered argument text)."""
+    """S8 shape: flat claim objects with sentence maps (printed as ``key=sentence`` in key order)."""
     return _record_summary(D.claim_records(claims(spark, sf)))
 
 
@@ -132,13 +137,45 @@ def corpus_sentences(spark, sf):
                     F.substring_index("k", "_", -1).cast("long").alias("sno"), "sentence")
 
 
-@query("page_records")
+@query("document_sentences", f"""WITH s AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {S.q(S.SENTENCE_RE)}) AS l FROM documents)
+SELECT doc_id, u.i::INTEGER AS sno, l[u.i + 1] AS sentence FROM s, unnest(range(len(l))) AS u(i)""")
+def document_sentences(spark, sf):
+    """X5, first half, over whole documents: every sentence with its position."""
+    d = read_table(spark, sf, "documents").select("doc_id", F.posexplode(sentences(F.coalesce("text", F.lit("")))).alias("sno", "sentence"))
+    return d.select("doc_id", "sno", "sentence")
+
+
+def _text_sql(x):
+    return f"trim(regexp_replace({S.references_sql(f"regexp_replace({x}, '<[^>]*>', '', 'g')")}, '\\s+', ' ', 'g'))"
+
+
+@query("page_records", f"""WITH a AS (
+  SELECT url, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\\b.*?</script\\s*>', '', 'g'),
+                             '(?is)<style\\b.*?</style\\s*>', '', 'g') AS h FROM pages),
+b AS (SELECT url, regexp_extract(h, '(?is)<article[^>]*>(.*)', 1) AS box FROM a WHERE regexp_matches(h, '(?is)<article[^>]*>')),
+c AS (SELECT url, CASE WHEN regexp_matches(box, '(?is)<h1[^>]*>.*?</h1>') THEN {_text_sql("regexp_extract(box, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} END AS title,
+             string_split_regex(regexp_extract(regexp_extract(box, '(?is)</h1>(.*)', 1), '(?is)^(.*?)(?:</article>|$)', 1), '(?is)<p[^>]*>')[2:] AS items FROM b),
+d AS (SELECT url, title, list_filter(items, lambda x: regexp_matches(x, '(?is)<b>')) AS items FROM c)
+SELECT url, title, 'for' AS side, u.i::INTEGER AS pos, {_text_sql("regexp_extract(items[u.i + 1], '(?is)<b>(.*?)(?:</b>|<br>|$)', 1)")} AS claim,
+       {_text_sql("items[u.i + 1]")} AS argument, NULL::VARCHAR AS counter
+FROM d, unnest(range(len(items))) AS u(i)""")
 def page_records(spark, sf):
-    """X3 + X4 + P5 + P6: selector-rule records of every page (rules: article, h1, p with a <b> claim)."""
+    """X3 + X4 + P5 + P6: records of every page by rules (article, h1, paragraphs with a bold claim)."""
     return H.page_records(read_table(spark, sf, "pages"), PAGE_RULES)
 
 
-@query("page_links_parsed")
-def page_links_parsed(spark, sf):
-    """X1, parser form: a[href] elements of every page in document order."""
-    return H.page_links_parsed(read_table(spark, sf, "pages"))
+@query("movies_json_roundtrip", f"""WITH {S.CLAIMS}
+SELECT claim AS _movie_name, pair_id::VARCHAR AS _movie_id, array_to_string(list_transform(range(len(sentences)), lambda i: 'c' || i || '=' || sentences[i + 1]), '|') AS critics,
+       coalesce(sentences[-1], '') AS _critic_consensus FROM claims""")
+def movies_json_roundtrip(spark, sf):
+    """Movie records (critics as a map, consensus) written as JSON lines and read back."""
+    c = B.document_claims(spark, sf)
+    n = F.size("sentences")
+    critics = F.map_from_entries(F.transform("sentences", lambda s, i: F.struct(F.concat(F.lit("c"), i.cast("string")).alias("key"), s.alias("value"))))
+    m = c.select(F.col("claim").alias("_movie_name"), F.col("pair_id").cast("string").alias("_movie_id"), critics.alias("_critics"),
+                 F.when(n > 0, F.element_at("sentences", -1)).otherwise("").alias("_critic_consensus"))
+    path = os.path.join(ensure_checkpoint_dir(spark), f"movies-{uuid.uuid4().hex}")
+    m.write.json(path)
+    r = C.read_movies_json(spark, path, multi_line=False)
+    e = F.array_sort(F.transform(F.map_entries("_critics"), lambda x: F.struct(F.substr(x["key"], F.lit(2)).cast("int").alias("n"), F.concat(x["key"], F.lit("="), x["value"]).alias("t"))))
+    return r.select("_movie_name", "_movie_id", F.array_join(F.transform(e, lambda x: x["t"]), "|").alias("critics"), "_critic_consensus")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import ws_tokens
+from corpusmill.functions.text import join_words, ws_tokens
 from corpusmill.operators import sequences as Q
 from corpusmill.operators import vocab as V
 from corpusmill.plans import bindings as B
@@ -48,7 +48,7 @@ def batches(spark, sf):
 
 
 def _ids(c):
-    return F.array_join(c, " ")
+    return join_words(c)
 
 
 @query("max_lengths", f"""WITH {S.PAIRS}
@@ -61,10 +61,11 @@ def max_lengths(spark, sf):
                  F.max(F.size(ws_tokens(F.col("summary")))).alias("max_summary_len"))
 
 
-def _side_lengths(spark, sf):
-    ex, _ = encoded_examples(spark, sf)
-    return (ex.select(F.lit("text").alias("side"), F.size("t").alias("len"))
-            .unionByName(ex.select(F.lit("summary").alias("side"), F.size("s").alias("len"))))
+def _side_lengths(spark, sf, eos=1):
+    """Lengths per side from one scan; encoding keeps lengths, so none is needed (texts count ``eos`` end ids)."""
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), (F.size(ws_tokens(F.col(s))) + n).alias("len"))
+                      for s, n in (("text", eos), ("summary", 0))])
+    return B.pairs(spark, sf).select(F.explode(sides).alias("x")).select("x.side", "x.len")
 
 
 SIDE_LENGTHS = """lens AS (SELECT 'text' AS side, len(t) AS len FROM ex UNION ALL SELECT 'summary', len(s) FROM ex)"""
@@ -109,10 +110,7 @@ SELECT g.side, g.bin::INTEGER AS bin, round(g.lo + (g.bin - 1) * (g.hi - g.lo) /
 FROM g LEFT JOIN c ON g.side = c.side AND g.bin = c.bin""")
 def length_histogram(spark, sf):
     """20 equal-width bins of whitespace-token lengths per side, empty bins kept."""
-    p = B.pairs(spark, sf)
-    lens = (p.select(F.lit("text").alias("side"), F.size(ws_tokens(F.col("text"))).alias("len"))
-            .unionByName(p.select(F.lit("summary").alias("side"), F.size(ws_tokens(F.col("summary"))).alias("len"))))
-    h = Q.length_histogram(lens, "side", "len", 20)
+    h = Q.length_histogram(_side_lengths(spark, sf, eos=0), "side", "len", 20)
     return h.withColumn("lo", F.round("lo", 6)).withColumn("hi", F.round("hi", 6))
 
 

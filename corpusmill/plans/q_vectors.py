@@ -15,7 +15,7 @@ from corpusmill.plans import bindings as B
 from corpusmill.plans import sqlparts as S
 from corpusmill.plans.q_vocab import W1_SIZE, _frequency_vocab, first_seen
 from corpusmill.plans.registry import query
-from corpusmill.session import ensure_checkpoint_dir
+from corpusmill.session import cut_lineage, ensure_checkpoint_dir
 from corpusmill.sources import vectors as SV
 from corpusmill.sources.tables import read_table
 
@@ -24,10 +24,15 @@ NEG_K, CENTERS = 64, 64          # 64 negatives per batch of 64 centres (128 pai
 QUERY_WINDOW, QUERY_COUNT, TOP_K = 100, 16, 8
 
 
+def vrounded(col, places):
+    """A vector as doubles rounded for comparison."""
+    return F.transform(col, lambda x: F.round(x.cast("double"), places)).alias(col)
+
+
 def encoded_corpus(spark, sf):
     """``(pair_id, ids)``: the corpus stream of each document through the frequency vocabulary (UNK = 0)."""
     fv = _frequency_vocab(spark, sf, W1_SIZE)
-    return V.encode_texts(B.corpus_text(spark, sf), "pair_id", "text", fv, 0, broadcast_vocab=True)
+    return V.encode_texts(B.corpus_text(spark, sf), "pair_id", "text", cut_lineage(fv), 0)
 
 
 @query("skipgram_pairs", f"""WITH {S.corpus_encoded(W1_SIZE - 1)}
@@ -52,10 +57,11 @@ def negative_samples(spark, sf):
     return VX.negative_samples(encoded_corpus(spark, sf), "pair_id", "ids", W1_SIZE, NEG_K, CENTERS, SEED)
 
 
-def _matrix(spark, sf):
-    d = B.dictionary(spark, sf)
+def _matrix(spark, sf, words=None, vocab=None, d=None):
+    words = B.word_table(spark, sf) if words is None else words
+    d = B.dictionary(spark, sf, words) if d is None else d
     dim = d.select(F.max(F.size("vec"))).first()[0]
-    return VX.embedding_matrix(first_seen(spark, sf, d), d, int(dim), SEED)
+    return VX.embedding_matrix(first_seen(spark, sf, d, words) if vocab is None else vocab, d, int(dim), SEED)
 
 
 MATRIX_SQL = f"""WITH {S.FIRST_SEEN_VOCAB},
@@ -68,39 +74,43 @@ mx AS (
 
 
 @query("embedding_matrix", MATRIX_SQL + f"""
-SELECT id, word, has_vec, len(vec)::INTEGER AS dim, round({S.vsum_sql('vec')}, 4) AS vec_sum FROM mx""")
+SELECT id, word, has_vec, {S.vround_sql('vec', 5)} AS vec FROM mx""")
 def embedding_matrix(spark, sf):
     """Q13: dictionary vector, or a hash-seeded uniform(-1, 1) vector, for every vocabulary id."""
-    m = _matrix(spark, sf)
-    total = F.aggregate("vec", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double"))
-    return m.select("id", "word", "has_vec", F.size("vec").alias("dim"), F.round(total, 4).alias("vec_sum"))
+    return _matrix(spark, sf).select("id", "word", "has_vec", vrounded("vec", 5))
 
 
 @query("vector_lookup", MATRIX_SQL + f""",
-es AS ({S.encoded('summary')}),
-ids AS (SELECT pair_id, unnest(ids) AS id FROM es)
-SELECT i.pair_id, count(*)::BIGINT AS n_ids, round(avg({S.norm_sql('m.vec')}), 4) AS mean_norm
-FROM ids i JOIN mx m ON m.id = i.id GROUP BY i.pair_id""")
+es AS ({S.encoded('summary')}), et AS ({S.encoded('text')}),
+ids AS (SELECT pair_id, 'summary' AS side, unnest(ids) AS id FROM es UNION ALL SELECT pair_id, 'text', unnest(ids) FROM et),
+v AS (SELECT i.pair_id, i.side, m.vec, {S.norm_sql('m.vec')} AS norm FROM ids i JOIN mx m ON m.id = i.id)
+SELECT pair_id, side, count(*)::BIGINT AS n_ids, round(avg(norm), 4) AS mean_norm, round(avg(vec[1]::DOUBLE), 4) AS mean_first
+FROM v GROUP BY pair_id, side""")
 def vector_lookup(spark, sf):
-    """Id -> vector lookup of every summary token; per pair the count and mean vector norm."""
-    from corpusmill.plans.q_vocab import encode_side
-    d = B.dictionary(spark, sf)
-    vocab = first_seen(spark, sf, d)
-    dim = int(d.select(F.max(F.size("vec"))).first()[0])
-    m = VX.embedding_matrix(vocab, d, dim, SEED)
-    ids = encode_side(spark, sf, "summary", vocab).select("pair_id", F.explode("ids").alias("id"))
-    j = ids.join(VX.normalized(m).select("id", "norm"), "id")
-    return j.groupBy("pair_id").agg(F.count(F.lit(1)).cast("long").alias("n_ids"),
-                                    F.round(F.avg("norm"), 4).alias("mean_norm"))
+    """Id -> vector lookup of every text and summary token; per pair and side the count, the mean
+    norm and the mean first component."""
+    words = B.word_table(spark, sf)
+    d = B.dictionary(spark, sf, words)
+    vocab = first_seen(spark, sf, d, words)
+    m = VX.normalized(_matrix(spark, sf, words, vocab, d)).select("id", "norm", F.col("vec")[0].cast("double").alias("v0"))
+    e = V.encode_many(B.pairs(spark, sf), "pair_id", ["text", "summary"], vocab, V.lookup_id(vocab, "<UNK>"))
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_ids").alias("ids")) for s in ("text", "summary")])
+    # Ids are counted per pair first: a frequent word joins once per pair.
+    ids = (e.select("pair_id", F.explode(sides).alias("x")).select("pair_id", "x.side", F.explode("x.ids").alias("id"))
+           .groupBy("pair_id", "side", "id").agg(F.count(F.lit(1)).alias("n")))
+    n = F.sum("n")
+    return ids.join(m, "id").groupBy("pair_id", "side").agg(
+        n.cast("long").alias("n_ids"), F.round(F.sum(F.col("norm") * F.col("n")) / n, 4).alias("mean_norm"),
+        F.round(F.sum(F.col("v0") * F.col("n")) / n, 4).alias("mean_first"))
 
 
 @query("normalized_vectors", f"""SELECT vec_id, round({S.norm_sql('embedding')}, 6) AS norm,
-       round(CASE WHEN {S.norm_sql('embedding')} > 0 THEN embedding[1]::DOUBLE / {S.norm_sql('embedding')} ELSE 0.0 END, 6) AS u0
+       list_transform(embedding, lambda x: round(CASE WHEN {S.norm_sql('embedding')} > 0 THEN x::DOUBLE / {S.norm_sql('embedding')} ELSE 0.0 END, 6)) AS unit
 FROM embeddings""")
 def normalized_vectors(spark, sf):
-    """E2 + F11: L2 norm and first unit-vector component of every vector."""
+    """E2 + F11: L2 norm and unit vector of every vector."""
     e = VX.normalized(read_table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec")))
-    return e.select("vec_id", F.round("norm", 6).alias("norm"), F.round(F.col("unit")[0], 6).alias("u0"))
+    return e.select("vec_id", F.round("norm", 6).alias("norm"), vrounded("unit", 6))
 
 
 @query("nearest_words", f"""WITH e AS (SELECT vec_id AS id, embedding AS v, {S.norm_sql('embedding')} AS n FROM embeddings),
@@ -137,22 +147,33 @@ def word2vec_vectors(spark, sf):
 
 @query("pca_projection")
 def pca_projection(spark, sf):
-    """E3 (re-aimed): 2-D PCA projection of the first 500 vectors."""
-    e = read_table(spark, sf, "embeddings").filter(F.col("vec_id") < 500).select(
-        F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    """E3 (re-aimed): 2-D PCA projection of all vectors."""
+    e = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     return VX.project_2d(e)
 
 
 @query("vector_file_roundtrip", f"""WITH {S.DICTIONARY}
-SELECT pos, word, len(vec)::INTEGER AS dim, round({S.vsum_sql('vec')}, 4) AS vec_sum FROM dict""")
+SELECT pos, word, {S.vround_sql('vec', 6)} AS vec FROM dict""")
 def vector_file_roundtrip(spark, sf):
     """S2 + S13: the dictionary written as ``word f1 .. fN`` lines and read back
     (first position, last vector per word)."""
     path = os.path.join(ensure_checkpoint_dir(spark), f"vectors-{uuid.uuid4().hex}")
     SV.write_vector_file(B.dictionary(spark, sf), path)
     v = SV.read_vector_file(spark, path)
-    total = F.aggregate("vec", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double"))
-    return v.select(F.col("pos").cast("long"), "word", F.size("vec").alias("dim"), F.round(total, 4).alias("vec_sum"))
+    return v.select(F.col("pos").cast("long"), "word", vrounded("vec", 6))
+
+
+@query("latin1_vector_file", f"""WITH {S.DICTIONARY}
+SELECT pos, word, {S.vround_sql('vec', 6)} AS vec FROM dict
+WHERE NOT regexp_matches(word, '[^\x00-\xFF]')""")
+def latin1_vector_file(spark, sf):
+    """S3 + S2: the Latin-1 words of the dictionary written as ISO-8859-1 lines and read back with that charset."""
+    path = os.path.join(ensure_checkpoint_dir(spark), f"latin1-{uuid.uuid4().hex}")
+    d = B.dictionary(spark, sf).filter(~F.col("word").rlike(r"[^\x00-\xFF]"))
+    SV.write_vector_file(d, path, "ISO-8859-1")
+    v = SV.read_vector_file(spark, path, "ISO-8859-1").withColumnRenamed("pos", "line")
+    # Lines are numbered anew; the dictionary's own position is joined back by word.
+    return v.join(d.select("word", "pos"), "word").select("pos", "word", vrounded("vec", 6))
 
 
 @query("saved_vocab_roundtrip", f"""WITH {S.FIRST_SEEN_VOCAB}

@@ -4,24 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import pct4
 from corpusmill.operators import text as T
 from corpusmill.operators import vocab as V
 from corpusmill.plans import bindings as B
 from corpusmill.plans import sqlparts as S
 from corpusmill.plans.registry import query
+from corpusmill.session import cut_lineage
 
 W1_SIZE = 20000  # vocabulary_size of the word-vector pipeline
 
 
-def _flagged_counts(spark, sf, dictionary=None):
-    counts = V.word_stats(*T.pair_streams(B.pairs(spark, sf)))
-    d = B.dictionary(spark, sf) if dictionary is None else dictionary
-    return V.with_dictionary_flag(counts, d)
+def _flagged_counts(spark, sf, dictionary=None, words=None):
+    words = B.word_table(spark, sf) if words is None else words
+    d = B.dictionary(spark, sf, words) if dictionary is None else dictionary
+    return V.with_dictionary_flag(words, d)
 
 
-def first_seen(spark, sf, dictionary=None):
-    return V.first_seen_vocab(_flagged_counts(spark, sf, dictionary))
+def first_seen(spark, sf, dictionary=None, words=None):
+    """The first-seen vocabulary, materialised: its ids are looked up and joined several times."""
+    return cut_lineage(V.first_seen_vocab(_flagged_counts(spark, sf, dictionary, words)))
 
 
 @query("word_counts", f"""WITH {S.PAIR_TOKENS}
@@ -42,7 +43,7 @@ def distinct_words(spark, sf):
 FREQ_SQL = f"""WITH {S.CORPUS_TOKENS},
 cnt AS (SELECT word, count(*) AS cnt, min({{'doc': doc, 'pos': pos}}) AS first FROM ctok GROUP BY word),
 top AS (SELECT row_number() OVER (ORDER BY cnt DESC, first)::BIGINT AS id, word, cnt::BIGINT AS cnt
-        FROM cnt QUALIFY id <= __N__)
+        FROM cnt WHERE word <> 'UNK' QUALIFY id <= __N__)
 SELECT 0::BIGINT AS id, 'UNK' AS word,
        ((SELECT count(*) FROM ctok) - coalesce((SELECT sum(cnt) FROM top), 0))::BIGINT AS cnt
 UNION ALL SELECT id, word, cnt FROM top"""
@@ -78,7 +79,7 @@ SELECT sum(CASE WHEN cnt > 2 AND NOT has_vec THEN 1 ELSE 0 END)::BIGINT AS missi
 FROM wcf""")
 def missing_words(spark, sf):
     """A3: frequent words (count > 2) without a vector."""
-    return V.missing_words(_flagged_counts(spark, sf))
+    return V.missing_words(_flagged_counts(spark, sf)).withColumn("missing_pct", F.round("missing_pct", 6))
 
 
 @query("first_seen_vocab", f"""WITH {S.FIRST_SEEN_VOCAB}
@@ -93,24 +94,23 @@ SELECT (SELECT count(*) FROM vocab)::BIGINT AS vocab_size, (SELECT count(*) FROM
        round((round((SELECT count(*) FROM vocab) / (SELECT count(*) FROM wc), 4) * 100)::DOUBLE, 6) AS usage_pct""")
 def usage_ratio(spark, sf):
     """A4."""
-    counts = _flagged_counts(spark, sf)
-    return V.usage_ratio(V.first_seen_vocab(counts), counts)
+    counts = cut_lineage(_flagged_counts(spark, sf))
+    return V.usage_ratio(V.first_seen_vocab(counts), counts).withColumn("usage_pct", F.round("usage_pct", 6))
 
 
 @query("dictionary_vocab", f"""WITH {S.DICTIONARY},
-ranked AS (SELECT (row_number() OVER (ORDER BY pos))::BIGINT AS id, word, vec FROM dict),
+ranked AS (SELECT (row_number() OVER (ORDER BY pos))::BIGINT AS id, word, vec FROM dict WHERE word NOT IN ('<PAD>', '<GO>', '<EOS>')),
 n AS (SELECT count(*) AS n, max(len(vec)) AS dim FROM ranked)
 SELECT id, word, len(vec)::INTEGER AS dim,
-       round(list_reduce(list_transform(vec, lambda x: x::DOUBLE), lambda a, b: a + b), 4) AS vec_sum
+       list_transform(vec, lambda x: round(x::DOUBLE, 6)) AS vec
 FROM ranked
-UNION ALL SELECT 0, '<PAD>', dim::INTEGER, 0.0 FROM n
-UNION ALL SELECT n + 1, '<GO>', dim::INTEGER, round(dim * 1.0, 4) FROM n
-UNION ALL SELECT n + 2, '<EOS>', dim::INTEGER, round(dim * 2.0, 4) FROM n""")
+UNION ALL SELECT 0, '<PAD>', dim::INTEGER, list_transform(range(dim), lambda i: 0.0::DOUBLE) FROM n
+UNION ALL SELECT n + 1, '<GO>', dim::INTEGER, list_transform(range(dim), lambda i: 1.0::DOUBLE) FROM n
+UNION ALL SELECT n + 2, '<EOS>', dim::INTEGER, list_transform(range(dim), lambda i: 2.0::DOUBLE) FROM n""")
 def dictionary_vocab(spark, sf):
-    """<PAD> = 0, dictionary words in file order, <GO>, <EOS>; vectors summarised."""
+    """<PAD> = 0, dictionary words in file order, <GO>, <EOS>, with their vectors."""
     v = V.dictionary_vocab(B.dictionary(spark, sf))
-    total = F.aggregate(v["vec"], F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double"))
-    return v.select("id", "word", F.size("vec").alias("dim"), F.round(total, 4).alias("vec_sum"))
+    return v.select("id", "word", F.size("vec").alias("dim"), F.transform("vec", lambda x: F.round(x.cast("double"), 6)).alias("vec"))
 
 
 def encode_side(spark, sf, side, vocab=None, unk="<UNK>"):
@@ -138,14 +138,8 @@ SELECT sum(len(ids))::BIGINT AS word_count,
 FROM allids, u""")
 def unk_stats(spark, sf):
     """A5: tokens, UNKs and UNK percent over texts and summaries (no <EOS> counted)."""
-    vocab = first_seen(spark, sf)
-    unk = V.lookup_id(vocab, "<UNK>")
-    e = V.encode_many(B.pairs(spark, sf), "pair_id", ["text", "summary"], vocab, unk)
-    both = e.select(F.col("text_ids").alias("ids")).unionByName(e.select(F.col("summary_ids").alias("ids")))
-    n_unk = F.size(F.filter("ids", lambda x: x == unk))
-    return both.agg(F.sum(F.size("ids")).cast("long").alias("word_count"),
-                    F.sum(n_unk).cast("long").alias("unk_count")).withColumn(
-        "unk_pct", pct4(F.col("unk_count") / F.col("word_count")))
+    words = B.word_table(spark, sf)
+    return V.unknown_tokens(words, first_seen(spark, sf, words=words)).withColumn("unk_pct", F.round("unk_pct", 6))
 
 
 @query("unk_per_sequence", f"""WITH {S.FIRST_SEEN_VOCAB},
@@ -165,13 +159,15 @@ def unk_per_sequence(spark, sf):
 
 
 @query("decode_text", f"""WITH {S.FIRST_SEEN_VOCAB},
-es AS ({S.encoded('summary')}),
-d AS (SELECT es.pair_id, u.pos, es.ids[u.pos + 1] AS tid FROM es, unnest(range(len(es.ids))) AS u(pos))
-SELECT es.pair_id, coalesce(string_agg(coalesce(v.word, ''), ' ' ORDER BY d.pos), '') AS text
-FROM es LEFT JOIN d ON d.pair_id = es.pair_id LEFT JOIN vocab v ON v.id = d.tid
-GROUP BY es.pair_id""")
+et AS ({S.encoded('text')}), es AS ({S.encoded('summary')}),
+e AS (SELECT pair_id, 'text' AS side, ids FROM et UNION ALL SELECT pair_id, 'summary', ids FROM es),
+d AS (SELECT e.pair_id, e.side, u.pos, e.ids[u.pos + 1] AS tid FROM e, unnest(range(len(e.ids))) AS u(pos))
+SELECT e.pair_id, e.side, coalesce(string_agg(coalesce(v.word, ''), ' ' ORDER BY d.pos), '') AS text
+FROM e LEFT JOIN d ON d.pair_id = e.pair_id AND d.side = e.side LEFT JOIN vocab v ON v.id = d.tid
+GROUP BY e.pair_id, e.side""")
 def decode_text(spark, sf):
-    """Summary ids back to words (unknown words come back as <UNK>)."""
+    """Text and summary ids back to words (unknown words come back as <UNK>)."""
     vocab = first_seen(spark, sf)
-    enc = encode_side(spark, sf, "summary", vocab)
-    return V.decode_ids(enc, "pair_id", "ids", vocab)
+    e = V.encode_many(B.pairs(spark, sf), "pair_id", ["text", "summary"], vocab, V.lookup_id(vocab, "<UNK>"))
+    sides = [V.decode_ids(e, "pair_id", f"{s}_ids", vocab).select("pair_id", F.lit(s).alias("side"), "text") for s in ("text", "summary")]
+    return sides[0].unionByName(sides[1])

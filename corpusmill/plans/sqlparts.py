@@ -55,7 +55,7 @@ wcf AS (
   SELECT wc.*, (wc.word IN (SELECT word FROM dict)) AS has_vec FROM wc),
 vwords AS (
   SELECT (row_number() OVER (ORDER BY first) - 1)::BIGINT AS id, word, cnt::BIGINT AS cnt
-  FROM wcf WHERE cnt >= 2 OR has_vec),
+  FROM wcf WHERE (cnt >= 2 OR has_vec) AND word NOT IN ('<UNK>', '<PAD>', '<EOS>', '<GO>')),
 vocab AS (
   SELECT id, word, cnt FROM vwords
   UNION ALL
@@ -102,7 +102,7 @@ def freq_vocab(n_words: int) -> str:
     return CORPUS_TOKENS + f""",
 fcnt AS (SELECT word, count(*) AS cnt, min({{'doc': doc, 'pos': pos}}) AS first FROM ctok GROUP BY word),
 ftop AS (SELECT row_number() OVER (ORDER BY cnt DESC, first)::BIGINT AS id, word, cnt::BIGINT AS cnt
-         FROM fcnt QUALIFY id <= {n_words}),
+         FROM fcnt WHERE word <> 'UNK' QUALIFY id <= {n_words}),
 fv AS (SELECT 0::BIGINT AS id, 'UNK' AS word,
               ((SELECT count(*) FROM ctok) - coalesce((SELECT sum(cnt) FROM ftop), 0))::BIGINT AS cnt
        UNION ALL SELECT id, word, cnt FROM ftop)"""
@@ -117,7 +117,6 @@ FROM (SELECT {id_col}, (row_number() OVER (ORDER BY md5({seed} || ':' || {id_col
       FROM (SELECT count(*) AS n FROM {table})) s)"""
 
 # --- pages ------------------------------------------------------------------
-LINK_RE = r"""(?is)<a\s[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))[^>]*>(.*?)</a>"""
 SCHEME_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 
 
@@ -143,16 +142,41 @@ def path_sql(u: str) -> str:
     return f"regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1)"
 
 
+def trim_sql(x: str) -> str:
+    """Control characters and spaces cut from both ends."""
+    return f"regexp_replace({x}, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g')"
+
+
+def references_sql(x: str) -> str:
+    """Character references decoded piece by piece."""
+    number = "CASE WHEN lower(p[3]) = 'x' THEN ('0x' || p[4:-2])::BIGINT ELSE p[3:-2]::BIGINT END"
+    named = ("CASE p WHEN '&amp;' THEN '&' WHEN '&lt;' THEN '<' WHEN '&gt;' THEN '>' WHEN '&quot;' THEN chr(34) "
+             "WHEN '&apos;' THEN chr(39) WHEN '&nbsp;' THEN chr(160) ELSE p END")
+    char = f"CASE WHEN {number} BETWEEN 1 AND 1114111 AND NOT {number} BETWEEN 55296 AND 57343 THEN chr(({number})::INTEGER) ELSE chr(65533) END"
+    piece = f"CASE WHEN regexp_full_match(p, '&#([0-9]{{1,7}}|[xX][0-9a-fA-F]{{1,6}});') THEN {char} ELSE {named} END"
+    return f"array_to_string(list_transform(regexp_extract_all({x}, '&#?[0-9a-zA-Z]+;|[^&]+|&'), lambda p: {piece}), '')"
+
+
+# Links in another wording than the operator's: whole anchors first, then the href inside the start tag.
+ANCHOR_RE = r"(?is)<a\s[^>]*>.*?</a>"
+HREF_RE = r"""(?is)^<a\s[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+HREF_VALUE = "CASE WHEN quoted[1] IN (chr(34), chr(39)) THEN quoted[2:-2] ELSE quoted END"
+
 LINKS = f"""raw_links AS (
-  SELECT url AS src, regexp_extract_all(html, {q(LINK_RE)}, 1) AS g1, regexp_extract_all(html, {q(LINK_RE)}, 2) AS g2,
-         regexp_extract_all(html, {q(LINK_RE)}, 3) AS g3, regexp_extract_all(html, {q(LINK_RE)}, 4) AS g4
+  SELECT url AS src, list_filter(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(
+           html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\\b.*?</script\\s*>', '', 'g'), '(?is)<style\\b.*?</style\\s*>', '', 'g'),
+         {q(ANCHOR_RE)}), lambda m: regexp_matches(m, {q(HREF_RE)})) AS anchors
   FROM pages),
+hrefs0 AS (
+  SELECT src, u.i::INTEGER AS pos, regexp_extract(anchors[u.i + 1], {q(HREF_RE)}, 1) AS quoted,
+         regexp_extract(anchors[u.i + 1], '(?is)^<[^>]*>(.*)</a>$', 1) AS anchor
+  FROM raw_links, unnest(range(len(anchors))) AS u(i)),
 hrefs AS (
-  SELECT src, u.i::INTEGER AS pos, trim(coalesce(g1[u.i + 1], '') || coalesce(g2[u.i + 1], '') || coalesce(g3[u.i + 1], '')) AS h, g4[u.i + 1] AS anchor,
+  SELECT src, pos, {trim_sql(references_sql(HREF_VALUE))} AS h, anchor,
          regexp_extract(src, {q(SCHEME_RE)}, 1) AS scheme,
          regexp_extract(src, {q(SCHEME_RE)}, 1) || '://' || regexp_extract(src, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1) AS origin,
          {path_sql('src')} AS bpath, regexp_replace(src, '#.*$', '') AS bnofrag
-  FROM raw_links, unnest(range(len(g4))) AS u(i)),
+  FROM hrefs0),
 resolved AS (
   SELECT src, pos, anchor, regexp_replace(
     CASE WHEN regexp_matches(h, {q(SCHEME_RE)}) THEN h
@@ -169,11 +193,13 @@ links AS (
   WHERE lower(regexp_extract(dest, {q(SCHEME_RE)}, 1)) IN ('http', 'https', 'ftp', 'file', 'jar', 'mailto'))"""
 
 # --- records ----------------------------------------------------------------
-from corpusmill.functions.text import SENTENCE_PATTERN, TOKEN_PATTERN  # noqa: E402
+# Sentences and tokens in RE2, which needs no possessive loops.
+SENTENCE_RE = r"(?:https?:\S*|[^.!?])+(?:[.!?]+|$)|[.!?]+"
+TOKEN_RE = r"https?:\S*|[\p{L}\p{N}_]+(?:['’][\p{L}\p{N}_]+)*|[^\s\p{L}\p{N}_\"]"
 
 
 def split_argument_sql(x: str) -> str:
-    toks = f"list_transform(regexp_extract_all(coalesce({x}, ''), {q(SENTENCE_PATTERN)}), lambda s: regexp_extract_all(s, {q(TOKEN_PATTERN)}))"
+    toks = f"list_transform(regexp_extract_all(coalesce({x}, ''), {q(SENTENCE_RE)}), lambda s: regexp_extract_all(s, {q(TOKEN_RE)}))"
     return (f"list_transform(list_filter({toks}, lambda t: len(t) > 1), lambda t: array_to_string("
             f"list_transform(list_filter(t, lambda w: NOT starts_with(w, 'http:')), lambda w: replace(w, '\"', '')), ' '))")
 
@@ -209,8 +235,8 @@ def norm_sql(v: str) -> str:
     return f"sqrt(list_reduce(list_transform({v}, lambda x: x::DOUBLE * x::DOUBLE), lambda a, b: a + b))"
 
 
-def vsum_sql(v: str) -> str:
-    return f"list_reduce(list_transform({v}, lambda x: x::DOUBLE), lambda a, b: a + b)"
+def vround_sql(v: str, places: int) -> str:
+    return f"list_transform({v}, lambda x: round(x::DOUBLE, {places}))"
 
 
 def corpus_encoded(n_words: int) -> str:

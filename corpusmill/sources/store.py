@@ -19,13 +19,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.functions.text import DEFAULT_CHARSET, charset_of, parse_iso_ts
+from corpusmill.functions.text import charset_of, parse_iso_ts
 
 # --- fixed values -----------------------------------------------------------
 N_BUCKETS = 16
 MANIFEST_COLUMNS = ["url", "retrieved", "length", "file", "offset", "content_type"]
-# Charsets Spark's decode() accepts; any other falls back to UTF-8.
-DECODABLE = ["UTF-8", "US-ASCII", "ISO-8859-1", "UTF-16BE", "UTF-16LE", "UTF-16"]
+# Charsets that Spark decodes, and other names of these and of windows-1252.
+DECODABLE = ["UTF-8", "US-ASCII", "ISO-8859-1", "UTF-16BE", "UTF-16LE", "UTF-16", "UTF-32"]
+CHARSET_NAMES = {"UTF-8": ["UTF8"], "US-ASCII": ["ASCII"], "ISO-8859-1": ["ISO8859-1", "ISO_8859-1", "LATIN1", "LATIN-1"],
+                 "WINDOWS-1252": ["CP1252", "X-CP1252", "WINDOWS1252"]}
+# Where windows-1252 differs from ISO-8859-1.
+WINDOWS_1252 = dict(zip(
+    (0x80, *range(0x82, 0x8D), 0x8E, *range(0x91, 0x9D), 0x9E, 0x9F),
+    map(ord, "\u20ac\u201a\u0192\u201e\u2026\u2020\u2021\u02c6\u2030\u0160\u2039\u0152\u017d"
+             "\u2018\u2019\u201c\u201d\u2022\u2013\u2014\u02dc\u2122\u0161\u203a\u0153\u017e\u0178")))
 # ---------------------------------------------------------------------------
 
 MANIFEST_SCHEMA = T.StructType([
@@ -35,21 +42,9 @@ MANIFEST_SCHEMA = T.StructType([
 ])
 
 
-def java_string_hash(s: Column) -> Column:
-    """``String.hashCode()`` as an unsigned 32-bit value, over UTF-16 code units."""
-    units = F.transform(F.regexp_extract_all(F.hex(F.encode(s, "UTF-16BE")), F.lit("[0-9A-F]{4}"), 0),
-                        lambda u: F.conv(u, 16, 10).cast("long"))
-    return F.aggregate(units, F.lit(0).cast("long"), lambda h, u: (h * 31 + u) % (1 << 32))
-
-
-def java_bucket(url: Column) -> Column:
-    """S7, exact form: ``(url.hashCode() >>> 1) % 16`` in hex."""
-    return F.lower(F.hex(F.shiftright(java_string_hash(url), 1) % N_BUCKETS))
-
-
-def fast_bucket(url: Column) -> Column:
-    """S7, production form: the bucket policy is free, so a native 64-bit hash."""
-    return F.lower(F.hex(F.pmod(F.xxhash64(url), F.lit(N_BUCKETS))))
+def bucket_of(url: Column) -> Column:
+    """One of 16 buckets, the first hex digit of the url's md5 (the policy is free)."""
+    return F.substring(F.md5(F.coalesce(url, F.lit(""))), 1, 1)
 
 
 def data_file_name(bucket: Column) -> Column:
@@ -70,41 +65,71 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return last.select("m.*").withColumn("retrieved", parse_iso_ts(F.col("retrieved")))
 
 
-def read_contents(spark: SparkSession, manifest: DataFrame, store_dir: str) -> DataFrame:
+def read_contents(spark: SparkSession, manifest: DataFrame, store_dir: str, files: str = "data_*") -> DataFrame:
     """``(url, content binary)`` - bytes at (file, offset, length) of each manifest row.
 
     Data files are read once each (``binaryFile``; one file must stay under
     2 GB) and joined on their name with the manifest rows that point into them.
     """
-    files = manifest.select("file").distinct()
-    blobs = (spark.read.format("binaryFile").load(posixpath.join(store_dir, "data_*"))
-             .select(F.element_at(F.split("path", "/"), -1).alias("file"), "content"))
-    blobs = blobs.join(files, "file", "left_semi")
+    parts = files.count("/") + 1  # a file is named by its path below the store's folder
+    named = manifest.select("file").distinct()
+    blobs = (spark.read.format("binaryFile").load(posixpath.join(store_dir, files))
+             .select(F.array_join(F.slice(F.split("path", "/"), -parts, parts), "/").alias("file"), "content"))
+    blobs = blobs.join(named, "file", "left_semi")
     j = manifest.join(blobs, "file")
     return j.select("url", F.substring("content", F.col("offset") + 1, F.col("length")).alias("content"))
 
 
-def decode_page(content: Column, content_type: Column) -> Column:
-    """Content decoded with the charset of its content type (X7), default UTF-8."""
-    cs = F.upper(charset_of(content_type))
-    cs = F.when(cs.isin(DECODABLE), cs).otherwise(F.lit(DEFAULT_CHARSET))
-    return F.coalesce(*[F.when(cs == c, F.decode(content, c)) for c in DECODABLE])
+def decode_page(content: Column, content_type: Column, unknown: str = "fail", extra: tuple[str, ...] = ()) -> Column:
+    """Content decoded with the charset of its content type (X7), default UTF-8.
+
+    Known are Spark's charsets, windows-1252 and the usual names of these.  A page in another charset
+    fails the job, or with ``unknown="null"`` gives a null text; it is never read as something else.
+    ``extra`` names further charsets of the JVM, for sessions with ``spark.sql.legacy.javaCharsets``.
+    """
+    if unknown not in ("fail", "null"):
+        raise ValueError(f"unknown={unknown!r}")
+    names = {n: c for c in (*DECODABLE, *(x.upper() for x in extra), "WINDOWS-1252") for n in (c, *CHARSET_NAMES.get(c, []))}
+    raw = F.upper(F.regexp_replace(charset_of(content_type), "[\"']", ""))
+    cs = F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), raw)  # null: not known
+    latin = F.translate(F.decode(content, "ISO-8859-1"), "".join(map(chr, WINDOWS_1252)), "".join(map(chr, WINDOWS_1252.values())))
+    text = F.when(cs == "WINDOWS-1252", latin)
+    for c in dict.fromkeys(names.values()):
+        if c != "WINDOWS-1252":
+            text = text.when(cs == c, F.decode(content, c))
+    if unknown == "fail":
+        text = text.when(content.isNotNull() & cs.isNull(), F.raise_error(F.concat(F.lit("unknown charset "), raw)))
+    return text
+
+
+def store_rows(pages: DataFrame) -> DataFrame:
+    """Rows of the Parquet store of ``(url, retrieved, content_type, content)``."""
+    return pages.select("url", "retrieved", F.length("content").cast("long").alias("length"),
+                        bucket_of(F.col("url")).alias("bucket"), "content_type", "content")
+
 
+def append_pages(pages: DataFrame, store_dir: str) -> None:
+    """Append ``(url, retrieved, content_type, content)`` rows to the Parquet store, a file per bucket and task of its own."""
+    store_rows(pages).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(store_dir)
 
-def append_pages(pages: DataFrame, store_dir: str, exact_bucket: bool = True) -> None:
-    """Append ``(url, retrieved, content_type, content)`` rows to the Parquet store."""
-    bucket = java_bucket(F.col("url")) if exact_bucket else fast_bucket(F.col("url"))
-    rows = pages.select("url", "retrieved", F.length("content").cast("long").alias("length"),
-                        bucket.alias("bucket"), "content_type", "content")
-    rows.write.mode("append").partitionBy("bucket").parquet(store_dir)
 
+def _latest(stored: DataFrame) -> DataFrame:
+    """Place of the latest retrieval of each url (ties: larger length, then the later place)."""
+    place = stored.select("url", "retrieved", "length", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.row_index").alias("__i"))
+    last = place.groupBy("url").agg(F.max(F.struct("retrieved", "length", "__f", "__i")).alias("m"))
+    return last.select("url", "m.__f", "m.__i")
 
-def read_store(spark: SparkSession, store_dir: str) -> DataFrame:
-    """S4 on the Parquet store: the latest retrieval of each url (ties: larger length)."""
+
+def read_store(spark: SparkSession, store_dir: str, content: bool = True) -> DataFrame:
+    """S4 on the Parquet store: the latest retrieval of each url.
+
+    The latest places come from the metadata alone; the rows at these places are then taken, so page
+    bytes go through no aggregate.  ``content=False`` leaves the bytes unread.
+    """
     s = spark.read.parquet(store_dir)
-    cols = ["url", "retrieved", "length", "bucket", "content_type", "content"]
-    return (s.groupBy("url").agg(F.max_by(F.struct(*cols), F.struct("retrieved", "length")).alias("m"))
-            .select("m.*"))
+    cols = ["url", "retrieved", "length", "bucket", "content_type", *(["content"] if content else [])]
+    placed = s.select(*[F.col(c) for c in cols], F.col("_metadata.file_path").alias("__f"), F.col("_metadata.row_index").alias("__i"))
+    return placed.join(_latest(s), ["url", "__f", "__i"], "left_semi").select(*[F.col(c).cast("string").alias(c) if c == "bucket" else F.col(c) for c in cols])
 
 
 def write_url_list(visited: DataFrame, path: str) -> None:

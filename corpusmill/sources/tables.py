@@ -14,22 +14,22 @@ KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "
         "embeddings": "vec_id", "benchmark": "item_id", "labels": "doc_id"}
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+#: Partitions that the registered queries spread a small table over before row-wise work.
+SPREAD = 16
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: int = SPREAD) -> DataFrame:
     """Read one table.
 
-    A Parquet file that is a single row group is a single scan task, and all
-    per-row work before the first shuffle (tokenising, regex extraction, HTML
-    parsing, partial aggregation) would then run on one core.  When the scan
-    has fewer splits than the session's parallelism, the rows are
-    hash-partitioned by the table's key - a planning-time check, so a large,
-    well-split input is read as is and never reshuffled.
+    A Parquet file that is a single row group is a single scan task, and all per-row work before the
+    first shuffle (tokenising, regex extraction, partial aggregation) would then run on one core.  A table
+    whose scan has fewer than ``spread`` splits is dealt over ``spread`` partitions by its key; 0 reads it as
+    it lies.  Large tables have more splits and are never reshuffled.
     """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     key = KEYS.get(name)
-    if spread and key is not None:
-        parallel = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < parallel:
-            df = df.repartition(parallel, key)
+    if spread and key is not None and df.rdd.getNumPartitions() < spread:
+        df = df.repartition(spread, key)
     return df

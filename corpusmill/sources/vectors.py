@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import WHITESPACE_RUN, ws_tokens
+from corpusmill.functions.text import ws_tokens
 from corpusmill.operators.ranking import global_row_number
+from corpusmill.session import cut_lineage
 
 
 def read_lines(spark: SparkSession, path: str, charset: str = "UTF-8") -> DataFrame:
@@ -28,26 +29,30 @@ def read_lines(spark: SparkSession, path: str, charset: str = "UTF-8") -> DataFr
 
 
 def read_vector_file(spark: SparkSession, path: str, charset: str = "UTF-8") -> DataFrame:
-    """``(pos, word, vec array<float>)``, one row per distinct word."""
-    lines = read_lines(spark, path, charset)
-    toks = ws_tokens(F.col("value"))
-    parsed = lines.select("__f", "__l", toks.alias("t")).filter(F.size("t") > 0)
-    parsed = global_row_number(parsed, [F.col("__f"), F.col("__l")], "line")
-    rows = parsed.select("line", F.col("t")[0].alias("word"),
-                         F.transform(F.slice("t", 2, 1 << 20), lambda x: x.cast("float")).alias("vec"))
-    return rows.groupBy("word").agg(F.min("line").alias("pos"), F.max_by("vec", "line").alias("vec")) \
-        .select("pos", "word", "vec")
-
-
-def write_vector_file(vectors: DataFrame, path: str) -> None:
+    """``(pos, word, vec array<float>)``, one row per distinct word.
+
+    Only ``(file, line, word)`` is ranked and grouped; the vectors are joined to each word's last line.
+    """
+    lines = read_lines(spark, path, charset).withColumn("t", ws_tokens(F.col("value"))).filter(F.size("t") > 0)
+    words = lines.select("__f", "__l", F.col("t")[0].alias("word"))
+    at = F.struct("__f", "__l")
+    places = cut_lineage(global_row_number(words, [F.col("__f"), F.col("__l")], "line").groupBy("word").agg(
+        F.min("line").alias("pos"), F.max(at).alias("last")).select("word", "pos", "last.__f", "last.__l"))
+    vec = F.transform(F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))), lambda x: x.cast("float"))
+    return lines.select("__f", "__l", vec.alias("vec")).join(places, ["__f", "__l"]).select("pos", "word", "vec")
+
+
+def write_vector_file(vectors: DataFrame, path: str, charset: str = "UTF-8") -> None:
     """Vector table ``(pos, word, vec)`` to text lines in ``pos`` order."""
     line = F.concat_ws(" ", F.col("word"), F.array_join(F.transform("vec", lambda x: x.cast("string")), " "))
-    vectors.orderBy("pos").select(line.alias("value")).write.mode("overwrite").text(path)
+    lines = vectors.orderBy("pos").select(line.alias("value"))
+    if charset.upper().replace("_", "-") in ("UTF-8", "UTF8"):
+        lines.write.mode("overwrite").text(path)
+    else:
+        (lines.write.mode("overwrite").option("encoding", charset).option("sep", "\u0000").option("quote", "")
+         .option("escape", "").option("header", False).csv(path))
 
 
 def save_table(df: DataFrame, path: str) -> None:
     """Vocabulary or vector table as Parquet."""
     df.write.mode("overwrite").parquet(path)
-
-
-__all__ = ["WHITESPACE_RUN", "read_lines", "read_vector_file", "save_table", "write_vector_file"]

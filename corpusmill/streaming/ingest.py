@@ -5,19 +5,21 @@ written by ``foreachBatch`` into its own ``batch=<id>`` directory of the store
 and of the link table, with overwrite.  A replayed batch (after a failure
 between the write and the commit) rewrites the same directory, so the store
 never holds a batch twice, and the store reader's keep-last rule (latest
-retrieval per url) gives the same pages whatever the batch split.
+retrieval per url) gives the same pages whatever the batch split.  Pages are decoded
+by their content type; one in an unknown charset is stored but has no links.
 """
 
 from __future__ import annotations
 
 import posixpath
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.operators.links import link_table
-from corpusmill.sources.store import java_bucket
+from corpusmill.sources.store import decode_page, store_rows
 
 PAGE_SCHEMA = T.StructType([
     T.StructField("url", T.StringType()), T.StructField("retrieved", T.TimestampType()),
@@ -25,32 +27,39 @@ PAGE_SCHEMA = T.StructType([
 ])
 
 
-def _write_batch(store_dir: str, links_dir: str):
+Consumer = Callable[[DataFrame, int], None]
+
+
+def _write_batch(store_dir: str, links_dir: str, consumer: Consumer | None):
     def run(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select("url", "retrieved", F.length("content").cast("long").alias("length"),
-                            java_bucket(F.col("url")).alias("bucket"), "content_type", "content")
-        rows.write.mode("overwrite").parquet(posixpath.join(store_dir, f"batch={batch_id}"))
-        pages = batch.select("url", F.decode("content", "UTF-8").alias("html"))
-        link_table(pages).write.mode("overwrite").parquet(posixpath.join(links_dir, f"batch={batch_id}"))
+        (store_rows(batch).repartition("bucket").write.mode("overwrite").partitionBy("bucket")
+         .parquet(posixpath.join(store_dir, f"batch={batch_id}")))
+        pages = batch.select("url", "retrieved", decode_page(F.col("content"), F.col("content_type"), unknown="null").alias("html"))
+        link_table(pages, keep=("retrieved",)).write.mode("overwrite").parquet(posixpath.join(links_dir, f"batch={batch_id}"))
+        if consumer is not None:
+            consumer(pages, batch_id)
     return run
 
 
 def ingest(spark: SparkSession, source_dir: str, store_dir: str, links_dir: str, checkpoint: str,
-           max_files_per_trigger: int | None = None) -> None:
-    """Process every page file not yet seen (``availableNow``) and stop."""
+           max_files_per_trigger: int | None = None, consumer: Consumer | None = None) -> None:
+    """Process every page file not yet seen (``availableNow``) and stop.
+
+    ``consumer`` (V2) is called with the decoded pages ``(url, retrieved, html)`` and the id of every
+    batch, after the batch is written; like the writes it may see a batch again after a failure.
+    """
     reader = spark.readStream.schema(PAGE_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     q = (reader.parquet(source_dir).writeStream
-         .foreachBatch(_write_batch(store_dir, links_dir))
+         .foreachBatch(_write_batch(store_dir, links_dir, consumer))
          .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
-def read_ingested(spark: SparkSession, store_dir: str) -> DataFrame:
-    """The store after ingest: latest retrieval per url (ties: larger length)."""
-    s = spark.read.parquet(store_dir)
-    cols = ["url", "retrieved", "length", "bucket", "content_type", "content"]
-    return (s.groupBy("url").agg(F.max_by(F.struct(*cols), F.struct("retrieved", "length")).alias("m"))
-            .select("m.*"))
+def read_links(spark: SparkSession, links_dir: str, stored: DataFrame) -> DataFrame:
+    """Links ``(src, pos, dest, anchor)`` of the stored retrievals; a repeated retrieval counts once."""
+    kept = stored.select(F.col("url").alias("src"), "retrieved")
+    return (spark.read.parquet(links_dir).join(kept, ["src", "retrieved"], "left_semi")
+            .select("src", "pos", "dest", "anchor").distinct())

@@ -14,7 +14,7 @@ def fifo_crawl(edges, seed, has_doc, max_depth, max_visited):
     visited = OrderedDict()
     while frontier:
         url, depth = frontier.popitem(last=False)
-        if depth > max_depth:
+        if max_depth is not None and depth > max_depth:
             break
         if url not in visited:
             visited[url] = depth
@@ -22,7 +22,7 @@ def fifo_crawl(edges, seed, has_doc, max_depth, max_visited):
                 for d in out.get(url, []):
                     if d not in visited and d not in frontier:
                         frontier[d] = depth + 1
-        if len(visited) >= max_visited:
+        if max_visited is not None and len(visited) >= max_visited:
             break
     return list(visited.items())
 
@@ -66,3 +66,8 @@ def test_bfs_budget_cuts_inside_level(spark):
 def test_unknown_seed_is_visited_alone(spark):
     expected, got = run(spark, "nowhere", 10, 10000)
     assert got == expected == [("nowhere", 1)]
+
+
+def test_without_limits_everything_is_reached(spark):
+    expected, got = run(spark, "a", None, None)
+    assert got == expected and ("n11", 14) in got

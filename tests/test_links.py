@@ -39,3 +39,17 @@ def test_follow_rule(spark):
                                 ("https://idebate.org/user/login",), ("http://other.org/debatabase",)], "u string")
     got = [r[0] for r in df.select(rule(F.col("u"), F.lit(None))).collect()]
     assert got == [True, False, False, False]
+
+
+def test_references_comments_and_control_characters(spark):
+    html = ("<!-- <a href='/c'>no</a> --><script>var s=\"<a href='/s'>no</a>\"</script><a href='/a?x=1&amp;y=2'>1</a><a href='\n\t/b '>2</a>"
+            "<a href='&#47;d&#x2F;e&unknown;&amp'>3</a><a href='&#x110000;'>4</a><a name=x>none</a>")
+    pages = spark.createDataFrame([("http://s.org/p", html)], "url string, html string")
+    assert [r.dest for r in L.link_table(pages).orderBy("pos").collect()] == [
+        "http://s.org/a?x=1&y=2", "http://s.org/b", "http://s.org/d/e&unknown;&amp", "http://s.org/\ufffd"]
+
+
+def test_anchor_rule(spark):
+    html = "<a href='/1'>The <b>Next</b> page</a><a href='/2'>nextly</a>"
+    pages = spark.createDataFrame([("http://s.org/p", html)], "url string, html string")
+    assert [r.dest for r in L.link_table(pages, follow=L.anchor_rule(["NEXT"])).collect()] == ["http://s.org/1"]

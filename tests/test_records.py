@@ -11,20 +11,29 @@ from corpusmill.operators import text as T
 from corpusmill.sources import claims as C
 
 
-def test_debate_html_records():
+def records(spark, *htmls):
+    df = spark.createDataFrame([(f"http://d.org/{i}", h) for i, h in enumerate(htmls)], "url string, html string")
+    return H.page_records(df).orderBy("url", F.desc("side"), "pos").collect()
+
+
+def test_debate_html_records(spark):
     html = open(os.path.join(FIXTURES, "debates.html")).read()
-    rows = H.extract_records(html, H.DEBATE_RULES)
-    assert [r[1:4] for r in rows] == [("for", 0, "Homework is harmful"), ("for", 1, "Teachers overload pupils"),
-                                      ("against", 0, "Homework teaches discipline")]
-    assert rows[0][0] == 'This House would ban "homework"'
-    assert rows[1][4] is None and rows[1][5] is None          # missing argument and counter
-    assert rows[2][5] is None                                 # missing counter
-    assert H.extract_records("<html><p>no container</p></html>", H.DEBATE_RULES) == []
+    rows = records(spark, html, "<html><p>no container</p></html>", None, "")
+    assert [(r.side, r.pos, r.claim) for r in rows] == [("for", 0, "Homework is harmful"), ("for", 1, "Teachers overload pupils"),
+                                                        ("against", 0, "Homework teaches discipline")]
+    assert rows[0].title == 'This House would ban "homework"'
+    assert rows[1].argument is None and rows[1].counter is None   # missing argument and counter
+    assert rows[2].argument.startswith("Discipline") and rows[2].counter is None
+
+
+def test_container_without_blocks_gives_no_rows(spark):
+    assert records(spark, '<div class="node-debatabase"><div class="debatabase-title">T</div></div>') == []
 
 
-def test_container_without_blocks_gives_no_rows():
-    html = '<div class="node-debatabase"><div class="debatabase-title">T</div></div>'
-    assert H.extract_records(html, H.DEBATE_RULES) == []
+def test_unclosed_markup_does_not_break_extraction(spark):
+    html = '<div class="node-debatabase"><div id="debatabase-points-1">' + "<p>" * 3000 + \
+        '<div class="content"><div class="field-name-field-title-point-for"><div class="field-item">A &amp; <i>B</div>'
+    assert [r.claim for r in records(spark, html)] == ["A & B"]
 
 
 def test_flatten_sentences_outline(spark):
@@ -38,7 +47,10 @@ def test_flatten_sentences_outline(spark):
         [claim(r) for r in grp.itertuples() if r.side == "for"],
         [claim(r) for r in grp.itertuples() if r.side == "against"])],
         f"debate_key string, name string, for_claims {D.CLAIM_TYPE}, against_claims {D.CLAIM_TYPE}")
-    claims = D.flatten_debates(D.number_debates(deb))
+    silent = spark.createDataFrame([("http://d.org/2", "Nobody spoke", None, [])], deb.schema)
+    numbered = D.number_debates(deb.unionByName(silent))
+    every = D.flatten_debates(numbered)
+    claims = every.filter("debate_id = 1000000")
     c = claims.orderBy("claim_no").collect()
     assert [(r.debate_id, r.claim_no, r.is_opposing) for r in c] == [
         (1000000, 0, False), (1000000, 1, False), (1000000, 2, True)]
@@ -47,7 +59,8 @@ def test_flatten_sentences_outline(spark):
     # one running counter over argument then counter sentences
     assert first[-2:] == [("1000000_0_4", "counter"), ("1000000_0_5", "counter")]
     assert [r.sentence for r in s if r.claim_no == 2] == ["Discipline matters later .", ""]
-    lines = [r.text for r in D.outline(claims).orderBy("line_no").collect()]
+    lines = [r.text for r in D.outline(every, numbered).filter("debate_id = 1000000").orderBy("line_no").collect()]
+    assert [r.text for r in D.outline(every, numbered).filter("debate_id = 1000001").collect()] == ["Nobody spoke"]
     assert lines[0] == 'This House would ban "homework"'
     assert lines[1] == "  for: Homework is harmful"
     assert all("Smith" not in x for x in lines)               # reference list cut at " 1: "

@@ -52,3 +52,15 @@ def test_agent_in_two_groups_first_only(spark):
 
 def test_missing_file_allows(spark):
     assert decide(spark, None, ["/anything"]) == [True]
+
+
+def test_tabs_and_other_control_characters(spark):
+    assert decide(spark, "User-agent:\tcorpusmill \r\nDisallow:\t/private\t# no\n", ["/private/a", "/x"]) == [False, True]
+
+
+def test_files_read_back(spark, scratch):
+    rows = [("http://a.org:80", "User-agent: *\nDisallow: /x\n"), ("https://b.org:443", "")]
+    path = f"{scratch}/robots"
+    R.write_robots_files(spark.createDataFrame(rows, "site string, text string"), path)
+    got = {r.site: r.text for r in R.read_robots_files(spark, path).collect()}
+    assert got["http://a.org:80"].startswith(rows[0][1]) and set(got) >= {"http://a.org:80"}

@@ -75,20 +75,34 @@ def test_encode_decode_round_trip(spark):
 
 
 def test_frequency_vocab_ties_by_first_seen(spark):
-    toks = spark.createDataFrame([(0, 0, i, w) for i, w in enumerate("b a c a b d".split())],
-                                 "src int, doc long, pos int, word string")
-    v = [(r.id, r.word, r.cnt) for r in V.frequency_vocab(V.word_counts(toks), 3).orderBy("id").collect()]
     arr = spark.createDataFrame([(0, "b a c a b d".split())], "doc long, toks array<string>")
-    w = [(r.id, r.word, r.cnt) for r in V.frequency_vocab(V.word_stats(arr, "doc", [(0, F.col("toks"))]), 3).orderBy("id").collect()]
-    assert w == v
+    v = [(r.id, r.word, r.cnt) for r in V.frequency_vocab(V.word_stats(arr, "doc", [(0, F.col("toks"))]), 3).orderBy("id").collect()]
     assert v == [(0, "UNK", 2), (1, "b", 2), (2, "a", 2)]
 
 
-def test_encode_tokens_row_form(spark):
-    vocab = spark.createDataFrame([(0, "a"), (1, "b")], "id long, word string")
-    toks = spark.createDataFrame([(1, 0, "a"), (1, 1, "zz")], "doc long, pos int, word string")
-    got = sorted((r.pos, r.id) for r in V.encode_tokens(toks, vocab, 9).collect())
-    assert got == [(0, 0), (1, 9)]
+def test_special_tokens_in_the_text(spark):
+    docs = spark.createDataFrame([(0, "a <UNK> b a <UNK> b UNK <PAD> UNK")], "doc long, text string")
+    stats = V.word_stats(docs, "doc", [(0, F.split("text", " "))])
+    vocab = V.first_seen_vocab(stats.withColumn("has_vec", F.lit(False)))
+    rows = vocab.collect()
+    assert len({r.word for r in rows}) == len({r.id for r in rows}) == len(rows)
+    unk = V.lookup_id(vocab, "<UNK>")
+    ids = V.encode_texts(spark.createDataFrame([(1, "a <UNK> b a <UNK> b")], "doc long, text string"), "doc", "text", vocab, unk).first().ids
+    assert len(ids) == 6 and ids[1] == ids[4] == unk
+    n = V.unknown_tokens(stats, vocab).first()
+    assert (n.word_count, n.unk_count) == (9, 2)  # <UNK> twice; <PAD> and UNK are known words
+    freq = V.frequency_vocab(stats, 10).collect()
+    assert [r.word for r in freq].count("UNK") == 1 and len({r.id for r in freq}) == len(freq)
+    d = spark.createDataFrame([(0, "<GO>", [1.0]), (1, "x", [2.0])], "pos long, word string, vec array<float>")
+    v = V.dictionary_vocab(d).collect()
+    assert sorted((r.id, r.word) for r in v) == [(0, "<PAD>"), (1, "x"), (2, "<GO>"), (3, "<EOS>")]
+
+
+def test_batches_keep_the_remainder_on_request(spark):
+    df = spark.range(10).select(F.col("id").alias("pair_id"), F.lit("x").alias("payload"))
+    assert Q.assign_batches(df, [F.col("pair_id")], 4).count() == 8
+    rest = Q.assign_batches(df, [F.col("pair_id")], 4, keep_remainder=True)
+    assert sorted((r.batch_id, r.slot) for r in rest.collect())[-2:] == [(2, 0), (2, 1)]
 
 
 def test_threshold_split_sizes_close(spark):

@@ -2,20 +2,13 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import FIXTURES
 from corpusmill.sources import store as ST
 
 
-def java_hash(s):
-    h = 0
-    units = [int.from_bytes(s.encode("utf-16-be")[i:i + 2], "big") for i in range(0, len(s.encode("utf-16-be")), 2)]
-    for u in units:
-        h = (h * 31 + u) & 0xFFFFFFFF
-    return h
-
-
 def test_manifest_keep_last_and_contents(spark):
     d = os.path.join(FIXTURES, "store")
     m = ST.read_manifest(spark, os.path.join(d, "contents.txt"))
@@ -27,11 +20,25 @@ def test_manifest_keep_last_and_contents(spark):
                     "http://a.org/z": "<html>café</html>"}
 
 
-def test_java_bucket_exact(spark):
-    urls = ["http://a.org/x", "https://idebate.org/debatabase", "http://ü.example/😀", ""]
-    df = spark.createDataFrame([(u,) for u in urls], "u string")
-    got = [r[0] for r in df.select(ST.java_bucket(F.col("u"))).collect()]
-    assert got == [format((java_hash(u) >> 1) % 16, "x") for u in urls]
+def test_buckets(spark):
+    df = spark.createDataFrame([("http://a.org/x",), ("",), (None,)], "u string")
+    assert {r[0] for r in df.select(ST.bucket_of(F.col("u"))).collect()} <= set("0123456789abcdef")
+
+
+def decoded(spark, content, content_type, **kw):
+    df = spark.createDataFrame([(content, content_type)], "c binary, t string")
+    return df.select(ST.decode_page(F.col("c"), F.col("t"), **kw)).first()[0]
+
+
+def test_charsets(spark):
+    every = bytes(b for b in range(256) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
+    assert decoded(spark, every, "text/html; charset=windows-1252") == every.decode("cp1252")
+    assert decoded(spark, every, 'text/html; charset="cp1252"') == every.decode("cp1252")
+    assert decoded(spark, "é".encode("latin-1"), "text/html; charset=latin1") == "é"
+    assert decoded(spark, "é中".encode(), "text/html") == "é中" == decoded(spark, "é中".encode("utf-16-le"), "text/html; charset=utf-16le")
+    assert decoded(spark, b"x", "text/html; charset=koi8-r", unknown="null") is None
+    with pytest.raises(Exception, match="unknown charset KOI8-R"):
+        decoded(spark, b"x", "text/html; charset=koi8-r")
 
 
 def test_url_list_in_visit_order(spark, scratch):
@@ -45,7 +52,7 @@ def test_url_list_in_visit_order(spark, scratch):
     assert ordered == ["a", "b", "c"] and sorted(lines) == ["a", "b", "c"]
 
 
-def test_parquet_store_keep_last_and_fast_bucket(spark, scratch):
+def test_parquet_store_keep_last(spark, scratch):
     import datetime as dt
     import os as _os
     t0 = dt.datetime(2024, 1, 1)
@@ -53,9 +60,11 @@ def test_parquet_store_keep_last_and_fast_bucket(spark, scratch):
             ("http://a.org/y", t0, "text/html", b"y1"), ("http://a.org/y", t0, "text/html", b"y-longer")]
     df = spark.createDataFrame(rows, "url string, retrieved timestamp, content_type string, content binary")
     path = _os.path.join(scratch, "store")
-    ST.append_pages(df.limit(2), path, exact_bucket=False)
+    ST.append_pages(df.limit(2), path)
     ST.append_pages(df.filter(F.col("url").endswith("y")), path)
     got = {r.url: bytes(r.content) for r in ST.read_store(spark, path).collect()}
     assert got == {"http://a.org/x": b"newer", "http://a.org/y": b"y-longer"}   # tie on time: longer wins
-    b = spark.createDataFrame([("http://a.org/x",)], "u string").select(ST.fast_bucket(F.col("u"))).first()[0]
-    assert b in [format(i, "x") for i in range(16)]
+    meta = ST.read_store(spark, path, content=False)
+    assert "content" not in meta.columns and meta.count() == 2
+    plan = meta._jdf.queryExecution().executedPlan().toString()
+    assert "content:binary" not in plan

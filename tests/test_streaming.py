@@ -5,6 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from corpusmill.sources import store as ST
 from corpusmill.streaming import ingest as IN
 
 
@@ -14,11 +15,14 @@ def test_stream_equals_batch(spark, scratch):
     rows1 = [(f"http://s.org/{i}", t0, "text/html", f'<a href="/l{i}">x</a>'.encode()) for i in range(6)]
     rows2 = [(f"http://s.org/{i}", t0 + dt.timedelta(days=1), "text/html", f"v2 {i}".encode()) for i in range(3)]
     spark.createDataFrame(rows1, IN.PAGE_SCHEMA).repartition(3).write.parquet(os.path.join(src, "a"))
-    IN.ingest(spark, os.path.join(src, "*"), store, links, ckpt, max_files_per_trigger=1)
+    seen = []
+    IN.ingest(spark, os.path.join(src, "*"), store, links, ckpt, max_files_per_trigger=1,
+              consumer=lambda pages, batch: seen.extend(r.url for r in pages.collect()))
+    assert sorted(seen) == sorted(r[0] for r in rows1)
     spark.createDataFrame(rows2, IN.PAGE_SCHEMA).repartition(2).write.parquet(os.path.join(src, "b"))
     IN.ingest(spark, os.path.join(src, "*"), store, links, ckpt, max_files_per_trigger=1)
     IN.ingest(spark, os.path.join(src, "*"), store, links, ckpt)   # restart with nothing new
-    got = {r.url: r.content for r in IN.read_ingested(spark, store).collect()}
+    got = {r.url: r.content for r in ST.read_store(spark, store).collect()}
     batch = {}
     for u, t, _, c in rows1 + rows2:
         if u not in batch or t > batch[u][0]:

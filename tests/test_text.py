@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as TX
+from corpusmill.operators.html import element_text
 
 
 def one(spark, col, value, schema="x string"):
@@ -22,6 +23,7 @@ def test_space_split_len_counts_empty_pieces(spark):
 
 def test_robots_line_and_quotes(spark):
     assert one(spark, TX.robots_line(F.col("x")), "  Disallow: /a  # c") == "Disallow: /a"
+    assert one(spark, TX.robots_line(F.col("x")), "\t\x0bDisallow: /a\t\r\n") == "Disallow: /a"
     assert one(spark, TX.remove_quotes(F.col("x")), 'say "hi"') == "say hi"
 
 
@@ -37,6 +39,18 @@ def test_split_argument_rules(spark):
     assert got[-1] == ""
 
 
+def test_long_texts_without_full_stops(spark):
+    text = "word and http://x.y/z.w then h " * 32_000  # 1 MB, one sentence
+    assert [len(s) for s in one(spark, TX.sentences(F.col("x")), text)] == [len(text)]
+    assert one(spark, TX.sentences(F.col("x")), "." * 500_000 + "a" * 500_000 + "!") == ["." * 500_000, "a" * 500_000 + "!"]
+    toks = one(spark, TX.tokens(F.col("x")), "'".join("a" * 20_000) + " b")
+    assert len(toks) == 2
+
+
+def test_sentences_with_urls(spark):
+    assert one(spark, TX.sentences(F.col("x")), "See http://a.b/c.d. Then h! the end") == ["See http://a.b/c.d. Then h!", " the end"]
+
+
 def test_one_token_sentence_dropped(spark):
     assert one(spark, TX.split_argument(F.col("x")), "Then two words. Yes") == ["Then two words ."]
 
@@ -52,7 +66,7 @@ def test_pct4(spark):
 
 
 def test_element_text_iequals_join(spark):
-    assert one(spark, TX.element_text(F.col("x")), "  a \n\t b  ") == "a b"
+    assert one(spark, element_text(F.col("x")), "  a <b>x</b>\n\t &amp; b  ") == "a x & b"
     df = spark.createDataFrame([("User-Agent", "user-agent")], "a string, b string")
     assert df.select(TX.iequals(F.col("a"), F.col("b"))).first()[0] is True
     arr = spark.createDataFrame([(["a", "b"],)], "x array<string>")

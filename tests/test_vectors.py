@@ -80,3 +80,22 @@ def test_vector_file_positions_across_part_files(spark, scratch):
     assert len([f for f in os.listdir(path) if f.startswith("part-")]) > 1
     back = {r.word: r.pos for r in SV.read_vector_file(spark, path).collect()}
     assert back == {f"w{i}": i for i in range(50)}
+
+
+def test_nearest_takes_any_number_of_queries(spark, monkeypatch):
+    import numpy as np
+    monkeypatch.setattr(VX, "QUERY_BLOCK", 7)
+    m = np.random.default_rng(4).normal(size=(60, 5))
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], "id long, vec array<double>").repartition(3)
+    got = {(r.query_id, r.rank): r.id for r in VX.nearest(df, df, 3).collect()}
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    sim = u @ u.T
+    np.fill_diagonal(sim, -2)
+    want = np.argsort(-sim, axis=1)[:, :3]
+    assert got == {(i, k + 1): int(want[i, k]) for i in range(60) for k in range(3)}
+
+
+def test_word2vec_knows_every_word_of_long_documents(spark):
+    docs = spark.createDataFrame([([f"w{i}" for i in range(2500)],), (["w1", "w2"],)], "words array<string>")
+    vecs = VX.train_word2vec(docs, "words", vector_size=4, num_partitions=1)
+    assert {r.word for r in vecs.select("word").collect()} == {f"w{i}" for i in range(2500)}
