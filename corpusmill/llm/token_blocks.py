@@ -19,7 +19,6 @@ u8 width, exceptions' u16 places and u32 differences, packed bits.
 from __future__ import annotations
 
 import os
-import re
 import sys
 import types
 import zlib
@@ -38,10 +37,11 @@ from corpusmill.llm.common import scratch_path, table
 BLOCK, SEGMENT, PERCENTILE = 4096, 1 << 20, 95
 MAGIC = 0x31524650  # "PFR1"
 END_ID = 1
-CACHE_WORDS, SHARED_WORDS = 500_000, 250_000
+CACHE_WORDS, SHARED_WORDS = 600_000, 350_000
 TOKENIZER = "word_bpe_49k.json"
 
-_TAIL = re.compile(rb"(.*[a-z0-9])([!-&(-;=?-`{}~]+)", re.S)
+#: ASCII punctuation that always parts from a letter or digit before it (no apostrophe: contractions; no < | >: special tokens).
+_TAIL = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 
 
 # --- block format ---------------------------------------------------------------------------------
@@ -55,7 +55,8 @@ def pack_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     out = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.empty(0, dtype=np.int64)
     patch = rest[out]
     rest[out] = 0
-    bits = np.unpackbits(rest.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
+    rows = rest.astype("<u2") if width <= 16 else rest  # fewer bits to unpack
+    bits = np.unpackbits(rows.view(np.uint8), bitorder="little").reshape(len(rows), -1)[:, :width]
     return b"".join((np.array([low, len(out)], dtype="<u4").tobytes(), bytes([width]), out.astype("<u2").tobytes(),
                      patch.tobytes(), np.packbits(bits, bitorder="little").tobytes()))
 
@@ -66,9 +67,9 @@ def unpack_block(data: bytes, at: int, n: int) -> np.ndarray:
     width, at = data[at + 8], at + 9
     where, patch = np.frombuffer(data, "<u2", odd, at), np.frombuffer(data, "<u4", odd, at + 2 * odd)
     bits = np.unpackbits(np.frombuffer(data, np.uint8, (n * width + 7) // 8, at + 6 * odd), count=n * width, bitorder="little")
-    full = np.zeros((n, 32), dtype=np.uint8)
+    full = np.zeros((n, 16 if width <= 16 else 32), dtype=np.uint8)
     full[:, :width] = bits.reshape(n, width)
-    rest = np.packbits(full, axis=1, bitorder="little").view("<u4").ravel()
+    rest = np.packbits(full.ravel(), bitorder="little").view("<u2" if width <= 16 else "<u4").astype("<u4")
     rest[where] = patch
     return rest + np.uint32(low)
 
@@ -161,18 +162,21 @@ class WordTokenizer:
 
     def _learn(self, unknown: set[bytes]) -> None:
         """Put the ids of new words into the store."""
-        known, both, new = self.words, {}, set()
+        known, both, new = self.words, [], set()
         for w in unknown:
-            if m := _TAIL.fullmatch(w):
-                both[w] = m.groups()
-                new.update(m.groups())
+            core = w.rstrip(_TAIL)
+            if len(core) < len(w) and core[-1:].isalnum():
+                both.append((w, core, w[len(core):]))
             else:
                 new.add(w)
+        for _, core, tail in both:
+            new.add(core)
+            new.add(tail)
         new = new.difference(known)
         letters = [w for w in new if w.isalpha() or w.decode().isalpha()]
         self._encode(letters, True)
         self._encode(list(new.difference(letters)), False)
-        known.update((w, known[a] + known[b]) for w, (a, b) in both.items())
+        known.update([(w, known[a] + known[b]) for w, a, b in both])
         if len(self.shared) < SHARED_WORDS:
             self.shared.update((w, known[w]) for w in unknown)
 
