@@ -42,7 +42,9 @@ def hash_units(key: Column, n: int) -> Column:
     closed form - one hash per key, one multiply and modulo per draw."""
     x0 = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % (MINSTD_M - 1) + 1
     powers = F.array(*[F.lit(p).cast("long") for p in minstd_powers(n)])
-    return F.transform(powers, lambda p: ((x0 * p) % MINSTD_M).cast("double") / float(MINSTD_M))
+    # Bound by an outer one-element transform: inside the inner one the hash would run once per draw.
+    return F.transform(F.array(x0), lambda x: F.transform(
+        powers, lambda p: ((x * p) % MINSTD_M).cast("double") / float(MINSTD_M)))[0]
 
 
 def skipgram_pairs(seqs: DataFrame, id_col: str, ids_col: str, window: int = 1, num_skips: int = 2,

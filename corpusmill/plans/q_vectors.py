@@ -24,9 +24,9 @@ NEG_K, CENTERS = 64, 64          # 64 negatives per batch of 64 centres (128 pai
 QUERY_WINDOW, QUERY_COUNT, TOP_K = 100, 16, 8
 
 
-def vrounded(col, places):
-    """A vector as doubles rounded for comparison."""
-    return F.transform(col, lambda x: F.round(x.cast("double"), places)).alias(col)
+def vprinted(col, places):
+    """A vector for comparison: its components as whole numbers of ``10 ** -places``, joined by spaces."""
+    return F.array_join(F.transform(col, lambda x: F.round(x.cast("double") * 10 ** places).cast("long")), " ").alias(col)
 
 
 def encoded_corpus(spark, sf):
@@ -74,10 +74,13 @@ mx AS (
 
 
 @query("embedding_matrix", MATRIX_SQL + f"""
-SELECT id, word, has_vec, {S.vround_sql('vec', 5)} AS vec FROM mx""")
+SELECT id, word, has_vec, len(vec)::INTEGER AS dim,
+       list_sum(list_transform(vec, lambda x, i: i * round(x::DOUBLE * 100000)::BIGINT))::BIGINT AS checksum FROM mx""")
 def embedding_matrix(spark, sf):
     """Q13: dictionary vector, or a hash-seeded uniform(-1, 1) vector, for every vocabulary id."""
-    return _matrix(spark, sf).select("id", "word", "has_vec", vrounded("vec", 5))
+    # Every component counts with its place: sum of i * round(x_i * 10 ** 5), exact in 64 bits.
+    total = F.aggregate(F.transform("vec", lambda x, i: (i + 1) * F.round(x.cast("double") * 100000).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return _matrix(spark, sf).select("id", "word", "has_vec", F.size("vec").alias("dim"), total.alias("checksum"))
 
 
 @query("vector_lookup", MATRIX_SQL + f""",
@@ -105,12 +108,12 @@ def vector_lookup(spark, sf):
 
 
 @query("normalized_vectors", f"""SELECT vec_id, round({S.norm_sql('embedding')}, 6) AS norm,
-       list_transform(embedding, lambda x: round(CASE WHEN {S.norm_sql('embedding')} > 0 THEN x::DOUBLE / {S.norm_sql('embedding')} ELSE 0.0 END, 6)) AS unit
+       {S.vprint_sql(f"list_transform(embedding, lambda x: CASE WHEN {S.norm_sql('embedding')} > 0 THEN x::DOUBLE / {S.norm_sql('embedding')} ELSE 0.0 END)", 6)} AS unit
 FROM embeddings""")
 def normalized_vectors(spark, sf):
     """E2 + F11: L2 norm and unit vector of every vector."""
     e = VX.normalized(read_table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec")))
-    return e.select("vec_id", F.round("norm", 6).alias("norm"), vrounded("unit", 6))
+    return e.select("vec_id", F.round("norm", 6).alias("norm"), vprinted("unit", 6))
 
 
 @query("nearest_words", f"""WITH e AS (SELECT vec_id AS id, embedding AS v, {S.norm_sql('embedding')} AS n FROM embeddings),
@@ -153,18 +156,18 @@ def pca_projection(spark, sf):
 
 
 @query("vector_file_roundtrip", f"""WITH {S.DICTIONARY}
-SELECT pos, word, {S.vround_sql('vec', 6)} AS vec FROM dict""")
+SELECT pos, word, {S.vprint_sql('vec', 6)} AS vec FROM dict""")
 def vector_file_roundtrip(spark, sf):
     """S2 + S13: the dictionary written as ``word f1 .. fN`` lines and read back
     (first position, last vector per word)."""
     path = os.path.join(ensure_checkpoint_dir(spark), f"vectors-{uuid.uuid4().hex}")
     SV.write_vector_file(B.dictionary(spark, sf), path)
     v = SV.read_vector_file(spark, path)
-    return v.select(F.col("pos").cast("long"), "word", vrounded("vec", 6))
+    return v.select(F.col("pos").cast("long"), "word", vprinted("vec", 6))
 
 
 @query("latin1_vector_file", f"""WITH {S.DICTIONARY}
-SELECT pos, word, {S.vround_sql('vec', 6)} AS vec FROM dict
+SELECT pos, word, {S.vprint_sql('vec', 6)} AS vec FROM dict
 WHERE NOT regexp_matches(word, '[^\x00-\xFF]')""")
 def latin1_vector_file(spark, sf):
     """S3 + S2: the Latin-1 words of the dictionary written as ISO-8859-1 lines and read back with that charset."""
@@ -173,7 +176,7 @@ def latin1_vector_file(spark, sf):
     SV.write_vector_file(d, path, "ISO-8859-1")
     v = SV.read_vector_file(spark, path, "ISO-8859-1").withColumnRenamed("pos", "line")
     # Lines are numbered anew; the dictionary's own position is joined back by word.
-    return v.join(d.select("word", "pos"), "word").select("pos", "word", vrounded("vec", 6))
+    return v.join(d.select("word", "pos"), "word").select("pos", "word", vprinted("vec", 6))
 
 
 @query("saved_vocab_roundtrip", f"""WITH {S.FIRST_SEEN_VOCAB}

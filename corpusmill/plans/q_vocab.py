@@ -102,15 +102,15 @@ def usage_ratio(spark, sf):
 ranked AS (SELECT (row_number() OVER (ORDER BY pos))::BIGINT AS id, word, vec FROM dict WHERE word NOT IN ('<PAD>', '<GO>', '<EOS>')),
 n AS (SELECT count(*) AS n, max(len(vec)) AS dim FROM ranked)
 SELECT id, word, len(vec)::INTEGER AS dim,
-       list_transform(vec, lambda x: round(x::DOUBLE, 6)) AS vec
+       {S.vprint_sql('vec', 6)} AS vec
 FROM ranked
-UNION ALL SELECT 0, '<PAD>', dim::INTEGER, list_transform(range(dim), lambda i: 0.0::DOUBLE) FROM n
-UNION ALL SELECT n + 1, '<GO>', dim::INTEGER, list_transform(range(dim), lambda i: 1.0::DOUBLE) FROM n
-UNION ALL SELECT n + 2, '<EOS>', dim::INTEGER, list_transform(range(dim), lambda i: 2.0::DOUBLE) FROM n""")
+UNION ALL SELECT 0, '<PAD>', dim::INTEGER, {S.vprint_sql('list_transform(range(dim), lambda i: 0)', 6)} FROM n
+UNION ALL SELECT n + 1, '<GO>', dim::INTEGER, {S.vprint_sql('list_transform(range(dim), lambda i: 1)', 6)} FROM n
+UNION ALL SELECT n + 2, '<EOS>', dim::INTEGER, {S.vprint_sql('list_transform(range(dim), lambda i: 2)', 6)} FROM n""")
 def dictionary_vocab(spark, sf):
     """<PAD> = 0, dictionary words in file order, <GO>, <EOS>, with their vectors."""
     v = V.dictionary_vocab(B.dictionary(spark, sf))
-    return v.select("id", "word", F.size("vec").alias("dim"), F.transform("vec", lambda x: F.round(x.cast("double"), 6)).alias("vec"))
+    return v.select("id", "word", F.size("vec").alias("dim"), F.array_join(F.transform("vec", lambda x: F.round(x.cast("double") * 10 ** 6).cast("long")), " ").alias("vec"))
 
 
 def encode_side(spark, sf, side, vocab=None, unk="<UNK>"):

@@ -235,8 +235,8 @@ def norm_sql(v: str) -> str:
     return f"sqrt(list_reduce(list_transform({v}, lambda x: x::DOUBLE * x::DOUBLE), lambda a, b: a + b))"
 
 
-def vround_sql(v: str, places: int) -> str:
-    return f"list_transform({v}, lambda x: round(x::DOUBLE, {places}))"
+def vprint_sql(v: str, places: int) -> str:
+    return f"array_to_string(list_transform({v}, lambda y: round(y::DOUBLE * {10 ** places})::BIGINT), ' ')"
 
 
 def corpus_encoded(n_words: int) -> str:
