@@ -54,22 +54,29 @@ class Subspaces:
         return out
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digest and raw doubles of each usable vector."""
-    for b in batches:
-        keys, data, dims = [], [], []
-        for v in b.column("embedding").to_pylist():
-            x = np.array([np.nan], dtype="<f8") if v is None or None in v else np.array(v, dtype="<f8") + 0.0
-            good = len(x) > 0 and np.isfinite(x).all() and x.any()
-            keys.append(hashlib.md5(x.tobytes()).digest() if good else None)
-            data.append(np.ldexp(x, -np.frexp(np.abs(x).max())[1]).tobytes() if good else None)  # exact; no overflow
-            dims.append(len(x) if good else None)
-        yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(keys, pa.binary()), pa.array(dims, pa.int32()), pa.array(data, pa.binary())],
-                                         ["vec_id", "key", "dim", "x"])
+def _keys(kind: str):
+    """Digest and raw components, stored as ``kind`` (as wide as the column's), of each usable vector."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, data, dims = [], [], []
+            for v in b.column("embedding").to_pylist():
+                x = np.array([np.nan], dtype="<f8") if v is None or None in v else np.array(v, dtype="<f8") + 0.0
+                good = len(x) > 0 and np.isfinite(x).all() and x.any()
+                keys.append(hashlib.md5(x.tobytes()).digest() if good else None)
+                # Scaled by a power of two, so that squares neither overflow nor vanish; of floats only parts
+                # below 2 ** -149 of the largest are lost, far below the rounding of the cosine.
+                data.append(np.ldexp(x, -np.frexp(np.abs(x).max())[1]).astype(kind).tobytes() if good else None)
+                dims.append(len(x) if good else None)
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(keys, pa.binary()), pa.array(dims, pa.int32()), pa.array(data, pa.binary())],
+                                             ["vec_id", "key", "dim", "x"])
+    return run
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, dim)
+    """Stored vectors in double precision."""
+    data = column.to_pylist()
+    kind = "<f4" if data and len(data[0]) == 4 * dim else "<f8"
+    return np.frombuffer(b"".join(data), kind).astype("<f8", copy=False).reshape(-1, dim)
 
 
 def _cells(min_cosine: float, block_dims: int):
@@ -188,8 +195,10 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = MIN_COSINE, block_di
     vectors of different lengths never link.  Equal vectors (ids repeated or not) link with each other.  A null id
     takes part; its component is the smallest id reached.  An empty table gives an empty result.
     """
-    kind = dict(vectors.dtypes)["vec_id"]
-    prep = written(vectors.select("vec_id", "embedding").mapInArrow(_keys, f"vec_id {kind}, key binary, dim int, x binary"), "vectors")
+    kinds = dict(vectors.dtypes)
+    stored = "<f4" if kinds["embedding"] == "array<float>" else "<f8"
+    prep = written(vectors.select("vec_id", "embedding").mapInArrow(
+        _keys(stored), f"vec_id {kinds['vec_id']}, key binary, dim int, x binary"), "vectors")
     classes = written(prep.where("key is not null").groupBy("key", "dim").agg(
         F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first"), F.max("x").alias("x")), "vector-classes")
     cells = classes.mapInArrow(_cells(min_cosine, block_dims), "dim int, block int, cx int, cy int, visits boolean, key binary, n long, x binary")
