@@ -101,11 +101,13 @@ def _anchors(length: int, gram: int):
     names = ["key", "lo", "hi", "at", "h"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller = Roller()
+        roller, seen = Roller(), set()
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
-                texts = _bytes(batch.column("text").slice(a, 1024))
-                keys = pa.array([hashlib.md5(t).digest() for t in texts], pa.binary())
+                digests = {hashlib.md5(t).digest(): t for t in _bytes(batch.column("text").slice(a, 1024))}
+                fresh = [d for d in digests if d not in seen]  # a task reads each text once, however many copies it has
+                seen.update(fresh)
+                texts, keys = [digests[d] for d in fresh], pa.array(fresh, pa.binary())
                 for x, whole, where in _pieces(texts, length):
                     lo, hi, at, h = roller.anchors(x, whole, length, gram)
                     which, place, offset = (np.array(c) for c in zip(*where))
