@@ -1,21 +1,21 @@
 """Operator 9, toxicity from the nearest labelled examples.
 
-Labelled texts are examples: TF-IDF vectors over the terms (words, and beginnings of 4 and 5 letters)
-whose texts are mostly toxic, beyond chance (share and log-likelihood ratio).  A text's score is the vote of its
-``NEIGHBOURS`` nearest examples by exact cosine, weighted by squared similarity and shrunk towards the
-share of toxic labels, with the nearest examples as evidence.
+Labelled texts are examples, clean ones too: TF-IDF vectors over all their terms (words, and beginnings of 4 and
+5 letters).  A term's weight grows with the root of the log-likelihood ratio between it and the label; no term is
+left out.  A text's score is the vote of its ``NEIGHBOURS`` nearest examples by exact cosine, weighted by
+squared similarity and shrunk towards the share of toxic labels, with the nearest examples as evidence.
 
 Neighbours come from a block-max inverted index: examples stand in blocks, a term's largest weight in
-each block bounds what the block can score, and blocks are opened from the largest bound down until no
-bound reaches the neighbour found last.
+each block bounds what the block can score, and a text opens its best block first, then all whose bound
+reaches the neighbour found last.  Opened blocks are scored in single precision, for many texts at once (terms common
+in a block by a matrix product, others by postings); all that come near the last place are scored again in double precision.
 
-The classifier is fitted on at most about ``MAX_EXAMPLES`` labelled rows, drawn by a hash of their ids, and
-keeps at most ``MAX_TERMS`` terms; these bounds are what its size as a broadcast rests on.
+The classifier is fitted on at most about ``MAX_EXAMPLES`` labelled rows, drawn by a hash of their ids;
+this bound is what its size as a broadcast rests on.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -23,15 +23,18 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import table, written
 
-MAX_EXAMPLES, MAX_TERMS, MIN_TEXTS, MIN_RATIO, MIN_SHARE = 10_000, 4_000, 3, 20.0, 0.8
-NEIGHBOURS, PRIOR_WEIGHT, THRESHOLD, BLOCK = 15, 0.5, 0.7, 64
+MAX_EXAMPLES = 10_000
+NEIGHBOURS, PRIOR_WEIGHT, THRESHOLD, BLOCK = 15, 0.5, 0.7, 512
 CACHE_WORDS = 200_000
 ROWS = 512  # texts in Python at a time
+DENSE = 8  # terms in one of so many examples of a block are scored by matrix product
+ROUNDING = 1e-4  # above any error of a cosine in single precision
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -41,17 +44,17 @@ def terms_of(word: str) -> list[str]:
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``(doc_id, row, toxic, term, tf)`` of labelled texts."""
-    names = ["doc_id", "toxic", "row", "term", "tf"]
+    """Labelled texts ``(doc_id, toxic, row)`` with their terms and how often each occurs."""
     for b in batches:
-        for d, t, row, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "toxic", "row", "text"))):
+        tfs = []
+        for text in b.column("text").to_pylist():
             tf = Counter()
             for w, n in Counter(_WORD.findall((text or "").lower())).items():
                 for x in terms_of(w):
                     tf[x] += n
-            n = len(tf)
-            yield pa.RecordBatch.from_arrays([pa.array([d] * n, pa.int64()), pa.array([t] * n, pa.int32()), pa.array([row] * n, pa.int64()),
-                                              pa.array(list(tf), pa.string()), pa.array(list(tf.values()), pa.int64())], names)
+            tfs.append(tf)
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "toxic", "row")), pa.array([list(x) for x in tfs], pa.list_(pa.string())),
+                                          pa.array([list(x.values()) for x in tfs], pa.list_(pa.int32()))], ["doc_id", "toxic", "row", "terms", "tf"])
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -59,23 +62,21 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _ratio(a: Column, n: Column, toxic: int, total: int) -> Column:
-    """Log-likelihood ratio of a term in ``n`` texts, ``a`` of them toxic."""
-    def part(k: Column, size: Column, p: Column) -> Column:
-        return F.when(k > 0, k * F.log(k / (size * p))).otherwise(0.0)
+def _ratio(a: np.ndarray, n: np.ndarray, toxic: int, total: int) -> np.ndarray:
+    """Log-likelihood ratio of terms in ``n`` of ``total`` texts, ``a`` of them toxic."""
+    def part(k: np.ndarray, size: int, p: np.ndarray) -> np.ndarray:
+        return np.where(k > 0, k * np.log(np.where(k > 0, k, 1) / np.where(k > 0, size * p, 1)), 0.0)
 
-    p, rest = n / F.lit(total), F.lit(total) - n
-    t, c = F.lit(toxic), F.lit(total - toxic)
-    return 2 * (part(a, t, p) + part(n - a, c, p) + part(t - a, t, rest / total) + part(c - (n - a), c, rest / total))
+    p, rest, clean = n / total, (total - n) / total, total - toxic
+    return np.maximum(0.0, 2 * (part(a, toxic, p) + part(n - a, clean, p) + part(toxic - a, toxic, rest) + part(clean - (n - a), clean, rest)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS,
-        min_ratio: float = MIN_RATIO, min_share: float = MIN_SHARE, block: int = BLOCK) -> dict:
-    """The index of the labelled texts, as plain arrays of bounded size.
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, block: int = BLOCK) -> dict:
+    """The index of the labelled texts, as plain arrays without what ``NearestExamples`` works out again.
 
     ``docs``: ``doc_id, text``; ``labels``: ``doc_id, toxic``.  Held-out ids, null ids and null labels are left
-    out; an id with several labels takes the largest.  Without labelled rows, or without terms that go with the
-    label, the index is empty and every text scores the share of toxic labels (0.5 without labels).
+    out; an id with several labels takes the largest.  Without labelled texts that have words
+    the index is empty and every text scores the share of toxic labels (0.5 without labels).
     """
     marks = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~is_held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
@@ -83,41 +84,93 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     if n > max_examples:
         marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int((1 << 40) * max_examples / n))
     rows = (docs.select("doc_id", "text").join(marks, "doc_id")
-            .withColumn("row", F.xxhash64("doc_id", "text")).select("doc_id", "toxic", "row", "text"))
-    found = written(rows.mapInArrow(_terms, "doc_id long, toxic int, row long, term string, tf long").distinct(), "toxic-terms")
+            .withColumn("row", F.xxhash64("doc_id", "text")).select("doc_id", "toxic", "row", "text").dropDuplicates(["doc_id", "row"]))
+    found = written(rows.mapInArrow(_terms, "doc_id long, toxic int, row long, terms array<string>, tf array<int>"), "toxic-terms")
     total, toxic = marks.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     base = toxic / total if total else 0.5
-    # Ties at the last place go to the term that comes first.
-    vocab = (found.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("a")).where(F.col("n") >= MIN_TEXTS)
-             .withColumn("ratio", _ratio(F.col("a").cast("double"), F.col("n").cast("double"), toxic, max(total, 1)))
-             .where((F.col("ratio") >= min_ratio) & (F.col("a") >= min_share * F.col("n"))).orderBy(F.desc("ratio"), "term").limit(max_terms))
-    kept = vocab.select("term", "n").collect()  # at most max_terms rows
-    terms = {r.term: i for i, r in enumerate(kept)}
-    idf = np.array([math.log((1 + total) / (1 + r.n)) + 1 for r in kept])
-    # At most max_examples rows with at most max_terms entries each.
-    held = found.join(F.broadcast(vocab.select("term")), "term").groupBy("doc_id", "row", "toxic").agg(
-        F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("x")).orderBy("doc_id", "row").collect()
-    vectors = [(np.array([terms[x.term] for x in r.x]), np.array([1 + math.log(x.tf) for x in r.x])) for r in held]
-    vectors = [(t, (w := tf * idf[t]) / np.linalg.norm(w)) for t, tf in vectors]
-    order = sorted(range(len(held)), key=lambda i: (sorted(zip(-vectors[i][1], vectors[i][0]))[:3], held[i].doc_id, held[i].row))
-    size = [len(vectors[i][0]) for i in order]
-    e = np.repeat(np.arange(len(order)), size)
-    t = np.concatenate([vectors[i][0] for i in order]) if order else np.empty(0, dtype=np.int64)
-    w = np.concatenate([vectors[i][1] for i in order]) if order else np.empty(0)
+    held = found.where(F.size("terms") > 0).toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("row", "ascending")])  # about max_examples rows
+    size, mark, doc_id = pc.list_value_length(held["terms"]).to_numpy(), held["toxic"].to_numpy(), held["doc_id"].to_numpy()
+    tf = _small(pc.list_flatten(held["tf"].combine_chunks()).to_numpy())
+    coded = pc.list_flatten(held["terms"].combine_chunks()).dictionary_encode()
+    del held
+    by_name = pc.sort_indices(coded.dictionary).to_numpy()
+    place = np.empty(len(by_name), dtype=np.int32)
+    place[by_name] = np.arange(len(by_name), dtype=np.int32)
+    t, names = place[coded.indices.to_numpy()], coded.dictionary.take(by_name)
+    del coded
+    texts = np.bincount(t, minlength=len(names))
+    idf = np.log((1 + len(size)) / (1 + texts)) + 1
+    order = np.arange(len(size))
+    if len(size):
+        idf *= 1 + np.sqrt(_ratio(np.bincount(t, np.repeat(mark, size), len(names)), texts, int(mark.sum()), len(size)))
+        # Examples whose most frequent term is the same stand together: mostly those of a language.
+        key = tf.astype(np.int64) * (len(size) + 1) + texts[t]
+        starts = np.cumsum(size) - size
+        most = np.flatnonzero(key == np.repeat(np.maximum.reduceat(key, starts), size))
+        order = np.argsort(t[most[np.searchsorted(most, starts)]], kind="stable")
+    e = np.repeat(_small(np.argsort(order)), size)
     by = np.lexsort((e, t))
-    top = np.zeros((len(terms), -(-len(order) // block)))
-    np.maximum.at(top, (t, e // block), w)
-    return {"terms": terms, "idf": idf, "base": base, "block": block, "example": e[by], "weight": w[by], "top": top,
-            "start": np.searchsorted(t[by], np.arange(len(terms) + 1)), "toxic": np.array([held[i].toxic for i in order], dtype=float),
-            "doc_id": np.array([held[i].doc_id for i in order], dtype=np.int64)}
+    return {"terms": "\n".join(names.to_pylist()), "idf": idf, "base": base, "block": block, "example": e[by], "tf": tf[by],
+            "texts": _small(texts), "toxic": mark[order].astype(float), "doc_id": doc_id[order]}
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 in the narrowest type that holds them."""
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+
+
+def _unpacked(index: dict) -> dict:
+    """A fitted index with its weights and their bounds, which are not shipped."""
+    size, count, block = len(index["idf"]), len(index["toxic"]), index["block"]
+    t, e = np.repeat(np.arange(size, dtype=np.int32), index["texts"]), index["example"].astype(np.int32)
+    w = (1 + np.log(index["tf"].astype(float))) * index["idf"][t]
+    w /= np.sqrt(np.bincount(e, w * w, count))[e]
+    top = np.zeros((size, -(-count // block)), dtype=np.float32)
+    np.maximum.at(top, (t, e // block), w.astype(np.float32))
+    names = index["terms"].split("\n") if size else []
+    return index | {"terms": {x: i for i, x in enumerate(names)}, "example": e, "weight": w, "top": top,
+                    "start": np.r_[0, np.cumsum(index["texts"], dtype=np.int64)]}
+
+
+def _spans(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places ``lo[i], lo[i] + 1, ...``, ``n[i]`` of each, one after another."""
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 class NearestExamples:
     """Exact nearest examples of a text under the fitted index."""
 
     def __init__(self, index: dict):
-        self.__dict__.update(index)
+        self.__dict__.update(index if "top" in index else _unpacked(index))
         self.known: dict[str, tuple[int, ...]] = {}
+        size, count = len(self.idf), len(self.toxic)
+        t, e = np.repeat(np.arange(size, dtype=np.int32), np.diff(self.start)), self.example
+        # by example, for exact cosines
+        by = np.argsort(e, kind="stable")
+        self.own_term, self.own_weight, self.own_start = t[by], np.asarray(self.weight)[by], np.searchsorted(e[by], np.arange(count + 1))
+        self.query = np.zeros(size)
+        # by block, in single precision
+        self.common, self.matrix, self.ptr, self.rare, self.rare_weight = [], [], [], [], []
+        for b in range(self.top.shape[1]):
+            at = np.arange(self.own_start[b * self.block], self.own_start[min(count, (b + 1) * self.block)])
+            bt, be = self.own_term[at], np.repeat(np.arange(min(self.block, count - b * self.block)), np.diff(self.own_start[b * self.block:(b + 1) * self.block + 1]))
+            bw, n = self.own_weight[at].astype(np.float32), np.bincount(bt, minlength=size)
+            common = np.flatnonzero(n * DENSE > self.block)
+            slot = np.full(size, -1, dtype=np.int32)
+            slot[common] = np.arange(len(common))
+            dense, m = slot[bt] >= 0, np.zeros((len(common), self.block), dtype=np.float32)
+            m[slot[bt[dense]], be[dense]] = bw[dense]
+            by = np.flatnonzero(~dense)[np.argsort(bt[~dense], kind="stable")]
+            n[common] = 0
+            self.common.append(common)
+            self.matrix.append(m)
+            self.ptr.append(np.r_[0, np.cumsum(n)].astype(np.int32))
+            self.rare.append(be[by].astype(np.int32))
+            self.rare_weight.append(bw[by])
+        every = np.unique(np.concatenate([*self.common, np.empty(0, dtype=np.int64)])).astype(np.int64)
+        self.column = np.full(size, -1, dtype=np.int32)
+        self.column[every] = np.arange(len(every))
+        self.columns = len(every)
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights, of length one; both empty for a text without known terms."""
@@ -127,50 +180,80 @@ class NearestExamples:
             known.clear()
         for w in set(words).difference(known):
             known[w] = tuple(i for x in terms_of(w) if (i := self.terms.get(x)) is not None)
-        tf = Counter(chain.from_iterable(filter(None, map(known.__getitem__, words))))
-        t = np.array(sorted(tf), dtype=np.int64)
+        t, n = np.unique(np.fromiter(chain.from_iterable(map(known.__getitem__, words)), dtype=np.int64), return_counts=True)
         if not len(t):
             return t, np.empty(0)
-        w = np.array([1 + math.log(tf[i]) for i in t.tolist()]) * self.idf[t]
+        w = (1 + np.log(n)) * self.idf[t]
         return t, w / np.linalg.norm(w)
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the ``k`` nearest examples with a common term; ties go to the first place."""
-        bound = w @ self.top[t]
-        blocks = np.argsort(-bound, kind="stable")
-        blocks = blocks[bound[blocks] > 0]
-        place, cos, at, step = np.empty(0, dtype=np.int64), np.empty(0), 0, 4
-        while at < len(blocks) and (len(place) < k or bound[blocks[at]] * (1 + 1e-12) >= cos[k - 1]):
-            some = np.sort(blocks[at:at + step])
-            score = np.zeros((len(some), self.block))
-            for i, x in zip(t.tolist(), w.tolist()):
-                e = self.example[self.start[i]:self.start[i + 1]]
-                lo, hi = np.searchsorted(e, some * self.block), np.searchsorted(e, (some + 1) * self.block)
-                for row, (a, b) in enumerate(zip(lo.tolist(), hi.tolist())):
-                    if a < b:
-                        score[row, e[a:b] - some[row] * self.block] += x * self.weight[self.start[i] + a:self.start[i] + b]
-            r, c = np.nonzero(score)
-            place, cos = np.r_[place, some[r] * self.block + c], np.r_[cos, score[r, c]]
-            best = np.lexsort((place, -cos))[:k]
-            place, cos, at, step = place[best], cos[best], at + step, step * 2
-        return place, cos
+        return self.nearest_of([(t, w)], k)[0]
+
+    def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of many texts."""
+        count, blocks, block = len(self.toxic), self.top.shape[1], self.block
+        if not (blocks and sum(len(t) for t, _ in vectors)):
+            return [(np.empty(0, dtype=np.int64), np.empty(0))] * len(vectors)
+        size = np.array([len(t) for t, _ in vectors])
+        row, term, weight = np.repeat(np.arange(len(vectors)), size), np.concatenate([t for t, _ in vectors]), np.concatenate([w for _, w in vectors])
+        dense, column = np.zeros((len(vectors), self.columns), dtype=np.float32), self.column[term]
+        dense[row[column >= 0], column[column >= 0]] = weight[column >= 0]
+        bound = np.array([w @ self.top[t] for t, w in vectors])
+        cos, last = np.zeros((len(vectors), blocks * block), dtype=np.float32), np.zeros(len(vectors))
+        best = bound.argmax(axis=1)
+        for again in (False, True):
+            for b in range(blocks):
+                open_ = np.flatnonzero((best != b) & (bound[:, b] > 0) & (bound[:, b] >= last - ROUNDING) if again else (best == b) & (bound[:, b] > 0))
+                if not len(open_):
+                    continue
+                got = dense[np.ix_(open_, self.column[self.common[b]])] @ self.matrix[b]
+                local = np.full(len(vectors), -1)
+                local[open_] = np.arange(len(open_))
+                lo = self.ptr[b][term]
+                n = self.ptr[b][term + 1] - lo
+                at = np.flatnonzero((n > 0) & (local[row] >= 0))
+                n, place = n[at], _spans(lo[at], n[at])
+                got += np.bincount(np.repeat(local[row[at]] * block, n) + self.rare[b][place], np.repeat(weight[at], n) * self.rare_weight[b][place],
+                                   got.size).reshape(got.shape)
+                cos[open_, b * block:(b + 1) * block] = got
+            if not again and count > k:
+                last = np.array([np.partition(cos[i, b * block:(b + 1) * block], -k)[-k] if k <= block else 0.0 for i, b in enumerate(best)])
+        out = []
+        for c, (t, w) in zip(cos, vectors):
+            least = np.partition(c, -k)[-k] - ROUNDING if k <= len(c) else 0.0
+            place = np.flatnonzero((c > 0) & (c >= least))
+            if not len(place):
+                out.append((place, np.empty(0)))
+                continue
+            self.query[t] = w
+            n = self.own_start[place + 1] - self.own_start[place]
+            at = _spans(self.own_start[place], n)
+            exact = np.add.reduceat(self.query[self.own_term[at]] * self.own_weight[at], np.cumsum(n) - n)
+            self.query[t] = 0
+            first = np.lexsort((place, -exact))[:k]
+            out.append((place[first], exact[first]))
+        return out
 
     def score(self, text: str | None, k: int = NEIGHBOURS) -> tuple[float, list[dict]]:
-        t, w = self.vector(text)
-        if not len(t):
-            return self.base, []
-        place, cos = self.nearest(t, w, k)
-        votes = cos * cos
-        s = (votes @ self.toxic[place] + PRIOR_WEIGHT * self.base) / (votes.sum() + PRIOR_WEIGHT)
-        return float(s), [{"doc_id": int(self.doc_id[p]), "similarity": round(float(c), 6), "toxic": int(self.toxic[p])}
-                          for p, c in zip(place[:3].tolist(), cos[:3].tolist())]
+        return self.scores([text], k)[0]
+
+    def scores(self, texts: list[str | None], k: int = NEIGHBOURS) -> list[tuple[float, list[dict]]]:
+        """Score and evidence of each text."""
+        out = []
+        for place, cos in self.nearest_of([self.vector(t) for t in texts], k):
+            votes = cos * cos
+            s = (votes @ self.toxic[place] + PRIOR_WEIGHT * self.base) / (votes.sum() + PRIOR_WEIGHT) if len(place) else self.base
+            out.append((float(s), [{"doc_id": int(self.doc_id[p]), "similarity": round(float(c), 6), "toxic": int(self.toxic[p])}
+                                   for p, c in zip(place[:3].tolist(), cos[:3].tolist())]))
+        return out
 
 
 def _scored(held, schema: pa.Schema, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = NearestExamples(held.value)
+        index = held.value.get("search") or held.value.setdefault("search", NearestExamples(held.value))  # one per Python process
         for b in (b.slice(a, ROWS) for b in batches for a in range(0, b.num_rows, ROWS)):
-            out = [index.score(t) for t in b.column("text").to_pylist()]
+            out = index.scores(b.column("text").to_pylist())
             cols = [b.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([round(s, 6) for s, _ in out], pa.float64()),
                                               pa.array([e for _, e in out], schema.field("evidence").type)], [*keep, "score", "evidence"])

@@ -83,3 +83,29 @@ def test_no_labels_and_empty(spark):
     assert N.toxicity(docs.limit(0), labels).count() == 0
     rows, labels = corpus(spark, 40)
     assert len(N.fit(documents(spark, rows), labels, max_examples=10)["doc_id"]) <= 20
+
+
+def test_every_labelled_text_is_an_example_and_ordinary_words_count(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{a}{b}" for a in "abcdefgh" for b in "klmnopqr"]
+    pair = ("wak", "wbl")  # toxic only together; each alone is as common among clean texts
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 5 == 0
+        has = pair if toxic else rng.permutation(pair)[:1] if i % 5 < 4 else ()
+        rows.append((i, " ".join([*rng.choice(words[20:], 3), *has])))
+        labels.append((i, int(toxic)))
+    ix = N.fit(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"), block=64)
+    trained = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert set(ix["doc_id"].tolist()) == trained and set(np.unique(ix["toxic"])) == {0.0, 1.0}
+    assert {w for i, t in rows if i in trained for w in t.split()} <= set(ix["terms"].split("\n"))
+    search = N.NearestExamples(ix)
+    score, evidence = search.score("wak wbl")
+    assert score > search.score("wak")[0] and score > search.score("wbl")[0] and all(e["toxic"] for e in evidence)
+    score, evidence = search.score("wgk whl")
+    assert len(evidence) == 3 and evidence[0]["toxic"] == 0 and score != ix["base"] and score < N.THRESHOLD
+    texts = [t for _, t in rows[:40]] + ["", None, "zzz"]
+    assert search.scores(texts) == [search.score(t) for t in texts]
+    clean = spark.createDataFrame([(1, "ka lo"), (2, "lo mi")], "doc_id long, text string")
+    got = N.toxicity(clean, spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int")).collect()
+    assert {r.score for r in got} == {0.0}
