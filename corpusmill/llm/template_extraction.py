@@ -6,9 +6,9 @@ one place: a sum over pages of ``hash(page, count)`` stands for a vector, so cla
 when a host has a third of all pages.  A class is valid when it has several tokens, stands on enough of
 the host's pages and each of its tokens once a page; paths nest the valid classes into the host's template.
 
-The template's slot for the main text is its innermost element that holds most of the text, elements that say
-so (``article``, ``main``) first.  The text of that slot is extracted from each page without menus, forms and
-the like; a page without the slot falls back to its own ``article`` or ``main`` elements, then to the whole body.
+The template's slot for the main text is its innermost container that holds nearly all text of the host that is not the same on most
+pages; ``article`` and ``main`` that do come first, the outermost one.  The text of that slot is extracted from each page without menus, forms and
+the like; a page whose slot is missing or empty falls back to its own ``article`` or ``main`` elements, then to the whole body.
 Only elements are taken for template, never words, so repeated article text is not lost.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import table, written
 from corpusmill.llm.host_reputation import with_host_and_path
 
-MIN_SUPPORT, BROADCAST_HOSTS, SALTS = 0.5, 500_000, 16
+MIN_SUPPORT, NEARLY, CLOSE, BROADCAST_HOSTS, SALTS = 0.5, 0.99, 0.95, 500_000, 16
 
 # HTML's elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,22 +38,25 @@ BOILERPLATE_WORDS = frozenset("ad ads advert adverts advertisement advertising b
                               "cookies footer masthead menu modal nav navbar navigation newsletter notice notices popup promo related "
                               "respond share sharing sidebar signup social sponsor sponsored subscribe widget".split())
 MAIN = frozenset("article main".split())
+WHOLE = frozenset("html body".split())
+NEVER_SLOT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre figcaption caption summary legend title".split())
 CONTAINERS = frozenset("html body article main section div td th li ul ol table blockquote nav header footer aside form figure dd".split())
 
 _EVENT = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|noscript|template|svg|iframe|title)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>|<(?P<lend>/?)(?P<ltag>[a-z][^\s/>]*+)[^>]*+>"
     r"|<[!?][^>]*+>|(?P<text>[^<]++|<)", re.S | re.I)
-_MARK = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_MARK = re.compile(r"""(?<![\w:.-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
 class _Node:
-    __slots__ = ("chars", "depth", "main", "name", "path", "skip", "tag")
+    __slots__ = ("chars", "depth", "holds", "main", "name", "path", "skip", "tag", "up", "worded")
 
     def __init__(self, tag: str, attrs: str, up: _Node | None):
         marks = _MARK.findall(attrs) if "=" in attrs else ()
-        words = {w for m in marks for w in _WORD.findall("".join(m[1:]).lower())}
+        # A class counts when all its words are boilerplate's: "cookie-notice", not "no-sidebar".
+        worded = any((w := _WORD.findall(x)) and BOILERPLATE_WORDS.issuperset(w) for m in marks for x in "".join(m[1:]).lower().split())
         first = next(("".join(m[1:]).split() for m in marks if m[0].lower() == "class"), None)
         self.tag, self.name = tag, f"{tag}.{first[0]}" if first else tag
         self.depth = up.depth + 1 if up else 0
@@ -62,8 +65,9 @@ class _Node:
         if self.path >= 1 << 63:
             self.path -= 1 << 64
         self.main = tag in MAIN or "main" in {"".join(m[1:]).lower() for m in marks if m[0].lower() == "role"}
-        self.skip = bool(up and up.skip) or tag in BOILERPLATE or bool(words & BOILERPLATE_WORDS)
-        self.chars = 0
+        self.worded = worded and tag not in WHOLE and not self.main
+        self.skip = bool(up and up.skip) or tag in BOILERPLATE
+        self.up, self.chars, self.holds = up, 0, False
 
 
 def walk(page: str) -> Iterator[tuple[str, object, list[_Node]]]:
@@ -109,19 +113,54 @@ def walk(page: str) -> Iterator[tuple[str, object, list[_Node]]]:
         yield "close", node, []
 
 
+def events(page: str | None, slot: int | None = None) -> list[tuple[str, object, _Node | None]]:
+    """Events of ``walk`` with the innermost open element, boilerplate marked.
+
+    An element whose class, id or role says boilerplate is taken for it unless it holds the slot, a ``main``, or
+    most of the page's text.
+    """
+    out, nodes, total = [], [], 0
+    for kind, x, stack in walk(page or ""):
+        up = stack[-1] if stack else None
+        out.append((kind, x, up))
+        if kind == "text":
+            if not (up and up.skip) and not x.isspace():
+                total += len(x)
+                if up:
+                    up.chars += len(x)
+        elif kind == "open":
+            nodes.append(x)
+            x.holds = not x.skip and (x.path == slot and x.tag not in INLINE or x.main and x.tag != "article")
+        elif kind == "close" and x.up:
+            x.up.chars += x.chars
+            x.up.holds |= x.holds
+    for x in nodes:
+        x.skip |= bool(x.up and x.up.skip) or x.worded and not x.holds and x.chars * 2 <= total
+        x.chars = 0
+    return out
+
+
 def page_tokens(page: str | None) -> dict[int, list]:
-    """``path -> [name, depth, says main, count, characters of text]`` of a page's elements outside boilerplate."""
+    """``path -> [name, depth, says main, count, characters of text, own characters, own text's hash, can be the slot]`` of a page's
+    elements outside boilerplate; own is what stands in the element but in no other block within it."""
     out: dict[int, list] = {}
-    for kind, x, stack in walk(page or ""):
-        if kind == "text" and stack:
-            stack[-1].chars += len(x) if not stack[-1].skip and not x.isspace() else 0
+    own: dict[int, list[str]] = {}
+    for kind, x, up in events(page):
+        if kind == "text" and up:
+            if not up.skip and not x.isspace():
+                up.chars += len(x)
+                own.setdefault(up.path, []).append(x)
         elif kind == "close":
-            if stack:
-                stack[-1].chars += x.chars
+            if up:
+                up.chars += x.chars
             if x.tag not in INLINE and not x.skip:
-                t = out.setdefault(x.path, [x.name, x.depth, x.main, 0, 0])
+                t = out.setdefault(x.path, [x.name, x.depth, x.main, 0, 0, 0, 0, x.tag not in NEVER_SLOT])
                 t[3] += 1
                 t[4] += x.chars
+    for path, texts in own.items():
+        if path in out:
+            text = "\n".join(texts)
+            out[path][5:7] = sum(map(len, texts)), xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) >> 1
     return out
 
 
@@ -130,7 +169,6 @@ def main_text(page: str | None, slot: int | None) -> str:
     slots: dict[str, list[str]] = {"slot": [], "main": [], "body": []}
     parts: dict[str, list[str]] = {k: [] for k in slots}
     depth = {"slot": None, "main": None}
-    seen = {"slot": False, "main": False}
 
     def end_block() -> None:
         for k, p in parts.items():
@@ -139,9 +177,9 @@ def main_text(page: str | None, slot: int | None) -> str:
                     slots[k].append(block)
                 p.clear()
 
-    for kind, x, stack in walk(page or ""):
+    for kind, x, up in events(page, slot):
         if kind == "text":
-            if not (stack and stack[-1].skip):
+            if not (up and up.skip):
                 for k, p in parts.items():
                     if k == "body" or depth[k] is not None:
                         p.append(x)
@@ -156,22 +194,22 @@ def main_text(page: str | None, slot: int | None) -> str:
         if kind == "open" and not x.skip:
             for k, fits in (("slot", x.path == slot), ("main", x.main)):
                 if depth[k] is None and fits:
-                    depth[k], seen[k] = x.depth, True
+                    depth[k] = x.depth
         elif kind == "close":
             for k in depth:
                 if depth[k] == x.depth:
                     depth[k] = None
     end_block()
-    return "\n".join(slots[next((k for k in seen if seen[k]), "body")])
+    return "\n".join(next((t for t in slots.values() if t), []))
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["host", "page", "path", "depth", "main", "n", "chars"]
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
+    names = ["host", "page", "path", "depth", "main", "n", "chars", "own", "words", "fit"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
     for b in batches:
-        rows = [(h, p, path, depth, main, n, chars) for h, p, page in zip(*(b.column(c).to_pylist() for c in ("host", "page", "html")))
-                for path, (_, depth, main, n, chars) in page_tokens(page).items()]
-        cols = list(zip(*rows)) if rows else [[]] * 7
+        rows = [(h, p, path, *x) for h, p, page in zip(*(b.column(c).to_pylist() for c in ("host", "page", "html")))
+                for path, (_, *x) in page_tokens(page).items()]
+        cols = list(zip(*rows)) if rows else [[]] * 10
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
 
@@ -187,19 +225,27 @@ def host_templates(pages: DataFrame, min_support: float = MIN_SUPPORT) -> DataFr
 
     ``pages``: ``host, page`` (a hash that tells pages apart)``, html``.
     """
-    t = pages.mapInArrow(_tokens, "host string, page long, path long, depth int, main boolean, n long, chars long")
+    t = pages.mapInArrow(_tokens, "host string, page long, path long, depth int, main boolean, n long, chars long, own long, words long, fit boolean")
     vectors = t.groupBy("host", "path").agg(
         F.count(F.lit(1)).alias("support"), F.sum(F.xxhash64("page", "n").cast("decimal(20,0)")).alias("vector"), F.max("n").alias("most"),
-        F.sum("chars").alias("chars"), F.max("depth").alias("depth"), F.max("main").alias("main"))
+        F.sum("chars").alias("chars"), F.max("depth").alias("depth"), F.max("main").alias("main"), F.max("fit").alias("fit"),
+        F.sum("own").alias("own"), (F.min("words") != F.max("words")).alias("varies"))
     vectors = written(vectors, "template-vectors")
     classes = vectors.groupBy("host", "support", "vector").agg(F.count(F.lit(1)).alias("size"), F.max("most").alias("most"))
-    hosts = vectors.groupBy("host").agg(F.max("support").alias("pages"), F.max("chars").alias("all_chars"))
+    hosts = vectors.groupBy("host").agg(F.max("support").alias("pages"), F.max("chars").alias("most_chars"))
+    # Text that is the same on most pages is template, unless the host has nothing else.
+    varies = F.col("varies") | (F.col("support") * 2 <= F.col("pages")) | (F.col("pages") == 1)
+    texts = vectors.join(hosts, "host").groupBy("host").agg(F.sum(F.when(varies, F.col("own")).otherwise(0)).alias("varying"))
+    hosts = hosts.join(texts, "host").withColumn("all_chars", F.when(F.col("varying") > 0, F.col("varying")).otherwise(F.col("most_chars")))
     valid = classes.join(hosts, "host").where((F.col("most") == 1) & (F.col("support") >= min_support * F.col("pages"))
                                               & ((F.col("size") > 1) | (F.col("support") == F.col("pages"))))
-    nodes = vectors.join(valid, ["host", "support", "vector"]).select("host", "path", "depth", vectors["main"], "chars", "all_chars", "support", "vector")
-    holds = F.col("chars") * 2 >= F.col("all_chars")
+    nodes = vectors.join(valid, ["host", "support", "vector"]).select("host", "path", "depth", vectors["main"], "fit", "chars", "all_chars", "support", "vector")
+    # The outermost main element that holds NEARLY all, or else the innermost other one that does; without any (pages of
+    # several roots) the fullest that comes close.
+    holds, close = (F.col("chars") >= share * F.col("all_chars") for share in (NEARLY, CLOSE))
+    order = F.struct(holds.alias("holds"), "main", F.when(~holds, F.col("chars")).when(F.col("main"), -F.col("depth")).otherwise(F.col("depth")).alias("rank"), "chars", "path")
     return nodes.groupBy("host").agg(
-        F.max_by(F.when(F.col("main") | holds, F.col("path")), F.struct("main", holds, "depth", "chars", "path")).alias("slot"),
+        F.max_by("path", F.when(F.col("fit") & close, order)).alias("slot"),
         F.countDistinct("support", "vector").alias("classes"), F.count(F.lit(1)).alias("tokens"))
 
 

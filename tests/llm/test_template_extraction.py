@@ -55,3 +55,36 @@ def test_classes_share_occurrence_vectors(spark):
 def test_empty(spark):
     df = spark.createDataFrame([(1, "u", "h")], "page_id long, url string, html string")
     assert X.extract_main_text(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("around", [
+    "<body class='no-sidebar'>{}</body>", "<div id='content-with-sidebar'>{}</div>", "<article class='post comments-open'>{}</article>",
+    "<main class='has-footer'>{}</main>", "<div class='social-science'>{}</div>", "<body class='sidebar'>{}</body>", "<article class='related'>{}</article>",
+    "<div class='widget'>{}</div>", "<div data-id='ad' data-class='menu'>{}</div>", "<div class='promo'><main>{}</main></div>"])
+def test_marks_of_boilerplate_do_not_take_the_article(spark, around):
+    rows = [(i, f"http://a.org/{i}", around.format(f"<h1>T{i}</h1><p>{f'words of {i} ' * 20}</p><div class='ad'>buy</div>")) for i in range(4)]
+    got = X.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"T{i}\n{(f'words of {i} ' * 20).strip()}" for i in range(4)}
+
+
+LAYOUTS = {
+    "lead": ("<body><div class=content><div class=lead>{}</div><div class=body>{}</div></div></body>", 4, 6),
+    "paragraph": ("<div><h1>{}</h1><p>{}</p></div>", 1, 20),
+    "rest of main": ("<body><main><div>{}</div><article>{}</article></main></body>", 4, 6),
+    "beside article": ("<body><div class=lead>{}</div><article>{}</article></body>", 4, 6),
+}
+
+
+@pytest.mark.parametrize("pages", [1, 6])
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_the_slot_holds_all_of_the_article(spark, layout, pages):
+    page, a, b = LAYOUTS[layout]
+    rows = [(i, f"http://b.org/{i}", page.format(f"one {i} " * a, f"two {i} " * b)) for i in range(pages)]
+    got = X.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"{(f'one {i} ' * a).strip()}\n{(f'two {i} ' * b).strip()}" for i in range(pages)}
+
+
+def test_an_empty_slot_falls_back():
+    slot = next(p for p, t in X.page_tokens("<body><div class=story>x</div></body>").items() if t[0] == "div.story")
+    assert X.main_text("<body><div class=story></div><p>text</p></body>", slot) == "text"
+    assert X.main_text("<body><div class=story> </div><main>m</main><p>text</p></body>", slot) == "m"
