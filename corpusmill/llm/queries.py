@@ -6,13 +6,16 @@ from corpusmill.llm import (
     duplicate_spans,
     host_reputation,
     pfair_mix,
+    piece_merging,
     simhash_dedup,
     snapshot_collapse,
+    spelling_variants,
     string_tiling,
     subspace_join,
     template_extraction,
     token_blocks,
     toxic_neighbours,
+    vector_whitening,
 )
 
 QUERIES = {
@@ -26,6 +29,9 @@ QUERIES = {
     "op8_template_extraction": template_extraction.op8_template_extraction,
     "op9_toxic_neighbours": toxic_neighbours.op9_toxic_neighbours,
     "op10_simhash_dedup": simhash_dedup.op10_simhash_dedup,
+    "op11_vector_whitening": vector_whitening.op11_vector_whitening,
+    "op12_piece_merging": piece_merging.op12_piece_merging,
+    "op13_spelling_variants": spelling_variants.op13_spelling_variants,
 }
 
 ORACLE = {
