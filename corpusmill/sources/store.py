@@ -4,8 +4,8 @@ Two layouts:
 
 * the reference layout - a tab-separated manifest (``url, retrieved, length,
   file, offset, content_type``; later lines replace earlier ones) and data files
-  holding many pages at byte offsets; read with ``read_manifest`` and
-  ``read_contents``;
+  holding many pages at byte offsets; written with ``append_page_files`` (data source
+  ``pagefiles``), read with ``read_manifest`` or ``read_page_files`` and ``read_contents``;
 * the Spark layout this library writes - Parquet rows ``(url, retrieved,
   length, bucket, content_type, content)`` partitioned by bucket, appended,
   never rewritten; ``read_store`` applies the same keep-last rule.
@@ -14,15 +14,20 @@ Two layouts:
 from __future__ import annotations
 
 import posixpath
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.functions.text import charset_of, parse_iso_ts
+from corpusmill.session import cut_lineage
+from corpusmill.sources.files import TASK_BYTES, read_ranges, read_rows, tasks_for
+from corpusmill.sources.pagefiles import MANIFEST, ROLL_BYTES, manifest_files, write_page_files
 
 # --- fixed values -----------------------------------------------------------
 N_BUCKETS = 16
+BLOCK_BYTES = 16 << 20  # of a Parquet row group: what a task holds of a file that it takes rows from
 MANIFEST_COLUMNS = ["url", "retrieved", "length", "file", "offset", "content_type"]
 # Charsets that Spark decodes, and other names of these and of windows-1252.
 DECODABLE = ["UTF-8", "US-ASCII", "ISO-8859-1", "UTF-16BE", "UTF-16LE", "UTF-16", "UTF-32"]
@@ -51,7 +56,7 @@ def data_file_name(bucket: Column) -> Column:
     return F.concat(F.lit("data_"), bucket, F.lit(".txt"))
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+def read_manifest(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Manifest lines; for each url the last line wins.
 
     Line order within a manifest file is kept by ``monotonically_increasing_id``
@@ -65,19 +70,19 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return last.select("m.*").withColumn("retrieved", parse_iso_ts(F.col("retrieved")))
 
 
-def read_contents(spark: SparkSession, manifest: DataFrame, store_dir: str, files: str = "data_*") -> DataFrame:
-    """``(url, content binary)`` - bytes at (file, offset, length) of each manifest row.
+def read_contents(manifest: DataFrame, store_dir: str) -> DataFrame:
+    """``(url, content binary)`` - bytes at (file, offset, length) of each manifest row, files named below ``store_dir``.
 
-    Data files are read once each (``binaryFile``; one file must stay under
-    2 GB) and joined on their name with the manifest rows that point into them.
+    Only the places are dealt over the tasks; a task seeks to its places, so no file is read whole and no byte of one
+    goes through an exchange.
     """
-    parts = files.count("/") + 1  # a file is named by its path below the store's folder
-    named = manifest.select("file").distinct()
-    blobs = (spark.read.format("binaryFile").load(posixpath.join(store_dir, files))
-             .select(F.array_join(F.slice(F.split("path", "/"), -parts, parts), "/").alias("file"), "content"))
-    blobs = blobs.join(named, "file", "left_semi")
-    j = manifest.join(blobs, "file")
-    return j.select("url", F.substring("content", F.col("offset") + 1, F.col("length")).alias("content"))
+    return read_ranges(manifest, store_dir)
+
+
+def read_page_files(spark: SparkSession, store_dir: str) -> DataFrame:
+    """S4 on a folder of ``pagefiles``: the manifest's last line of each url over all complete writes."""
+    parts = [posixpath.join(store_dir, MANIFEST, n) for n in manifest_files(store_dir)]
+    return read_manifest(spark, parts) if parts else spark.createDataFrame([], MANIFEST_SCHEMA).withColumn("retrieved", F.col("retrieved").cast("timestamp"))
 
 
 def decode_page(content: Column, content_type: Column, unknown: str = "fail", extra: tuple[str, ...] = ()) -> Column:
@@ -108,28 +113,43 @@ def store_rows(pages: DataFrame) -> DataFrame:
                         bucket_of(F.col("url")).alias("bucket"), "content_type", "content")
 
 
+def dealt_by_bucket(rows: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """Store rows dealt over as many tasks per bucket as their bytes ask for, a url's retrievals too."""
+    parts = -(-tasks_for(rows, "length", task_bytes) // N_BUCKETS)
+    part = F.pmod(F.xxhash64("url", "retrieved"), F.lit(parts))
+    return rows.repartition(N_BUCKETS * parts, "bucket", part).sortWithinPartitions("bucket", "url", "retrieved")
+
+
 def append_pages(pages: DataFrame, store_dir: str) -> None:
-    """Append ``(url, retrieved, content_type, content)`` rows to the Parquet store, a file per bucket and task of its own."""
-    store_rows(pages).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(store_dir)
+    """Append ``(url, retrieved, content_type, content)`` rows to the Parquet store."""
+    dealt_by_bucket(store_rows(pages)).write.mode("append").option("parquet.block.size", BLOCK_BYTES).partitionBy("bucket").parquet(store_dir)
 
 
-def _latest(stored: DataFrame) -> DataFrame:
-    """Place of the latest retrieval of each url (ties: larger length, then the later place)."""
-    place = stored.select("url", "retrieved", "length", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.row_index").alias("__i"))
-    last = place.groupBy("url").agg(F.max(F.struct("retrieved", "length", "__f", "__i")).alias("m"))
-    return last.select("url", "m.__f", "m.__i")
+def append_page_files(pages: DataFrame, store_dir: str, roll: int = ROLL_BYTES) -> None:
+    """S6 in the reference layout: append rows to rolling data files and their manifest."""
+    write_page_files(dealt_by_bucket(store_rows(pages), roll), store_dir, roll)
+
+
+def latest_of(*stored: DataFrame) -> DataFrame:
+    """The latest retrieval of each url (ties: larger length, then the later place) with its place ``__f, __i``, from metadata.
+
+    Rows without a url count as one url.
+    """
+    order = F.struct("retrieved", "length", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.row_index").alias("__i"),
+                     F.col("bucket").cast("string").alias("bucket"), "content_type")
+    places = reduce(DataFrame.unionByName, (s.select("url", order.alias("m")) for s in stored))
+    last = places.groupBy("url").agg(F.max("m").alias("m"))
+    return last.select("url", *[F.col(f"m.{c}").alias(c) for c in ("retrieved", "length", "bucket", "content_type", "__f", "__i")])
 
 
 def read_store(spark: SparkSession, store_dir: str, content: bool = True) -> DataFrame:
     """S4 on the Parquet store: the latest retrieval of each url.
 
-    The latest places come from the metadata alone; the rows at these places are then taken, so page
-    bytes go through no aggregate.  ``content=False`` leaves the bytes unread.
+    The latest places come from the metadata alone; the bytes are then read at these places, file by file, and
+    go through no exchange.  ``content=False`` leaves the bytes unread.
     """
-    s = spark.read.parquet(store_dir)
-    cols = ["url", "retrieved", "length", "bucket", "content_type", *(["content"] if content else [])]
-    placed = s.select(*[F.col(c) for c in cols], F.col("_metadata.file_path").alias("__f"), F.col("_metadata.row_index").alias("__i"))
-    return placed.join(_latest(s), ["url", "__f", "__i"], "left_semi").select(*[F.col(c).cast("string").alias(c) if c == "bucket" else F.col(c) for c in cols])
+    last = latest_of(spark.read.parquet(store_dir))
+    return read_rows(cut_lineage(last)) if content else last.drop("__f", "__i")
 
 
 def write_url_list(visited: DataFrame, path: str) -> None:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.operators.links import link_table
-from corpusmill.sources.store import decode_page, store_rows
+from corpusmill.sources.store import BLOCK_BYTES, dealt_by_bucket, decode_page, store_rows
 
 PAGE_SCHEMA = T.StructType([
     T.StructField("url", T.StringType()), T.StructField("retrieved", T.TimestampType()),
@@ -32,12 +32,16 @@ Consumer = Callable[[DataFrame, int], None]
 
 def _write_batch(store_dir: str, links_dir: str, consumer: Consumer | None):
     def run(batch: DataFrame, batch_id: int) -> None:
-        (store_rows(batch).repartition("bucket").write.mode("overwrite").partitionBy("bucket")
-         .parquet(posixpath.join(store_dir, f"batch={batch_id}")))
-        pages = batch.select("url", "retrieved", decode_page(F.col("content"), F.col("content_type"), unknown="null").alias("html"))
-        link_table(pages, keep=("retrieved",)).write.mode("overwrite").parquet(posixpath.join(links_dir, f"batch={batch_id}"))
-        if consumer is not None:
-            consumer(pages, batch_id)
+        batch = batch.persist()  # read once for the store, the links and the consumer
+        try:
+            (dealt_by_bucket(store_rows(batch)).write.mode("overwrite").option("parquet.block.size", BLOCK_BYTES).partitionBy("bucket")
+             .parquet(posixpath.join(store_dir, f"batch={batch_id}")))
+            pages = batch.select("url", "retrieved", decode_page(F.col("content"), F.col("content_type"), unknown="null").alias("html"))
+            link_table(pages, keep=("retrieved",)).write.mode("overwrite").parquet(posixpath.join(links_dir, f"batch={batch_id}"))
+            if consumer is not None:
+                consumer(pages, batch_id)
+        finally:
+            batch.unpersist()
     return run
 
 
