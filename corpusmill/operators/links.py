@@ -1,14 +1,16 @@
 """Links of stored pages (X1, X2, X8, P3, P4, G2) as column expressions.
 
-X1: comments, scripts and styles are cut from the page, then one regular
-expression gives every ``<a ... href=...>inner</a>`` in document order, and the
-parts are taken from each match; character references in hrefs are decoded.  All
+X1: one linear scan cuts the page into comments, raw elements, links and other tags;
+the parts are taken from each link, and character references in hrefs are decoded.  All
 of it stays inside the JVM.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
+from functools import cache
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,13 +18,24 @@ from pyspark.sql import functions as F
 from corpusmill.functions.text import trim_controls
 
 # --- fixed values -----------------------------------------------------------
-# Anchor with an href: group 1 = double-quoted, 2 = single-quoted, 3 = bare
-# value; group 4 = inner HTML up to the first closing tag.
-LINK_PATTERN = r"""(?is)<a\s[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))[^>]*>(.*?)</a>"""
-# What holds no links of the page.
-NO_MARKUP = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-# Character references, and the text between them; the named ones that hrefs use.
-REFERENCE_PIECE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z]+);|[^&]+|&"
+# An attribute as the HTML syntax has it: a name, and a double-quoted, single-quoted or bare value.  Loops are
+# possessive, so a page of any length is scanned once and without recursion.
+ATTRIBUTE = r"""[\s/]*+[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)))?+"""
+# What a start tag's name is followed by, to the tag's end.
+TAG_REST = rf"(?=[\s/>])(?:{ATTRIBUTE})*+[\s/]*+>"
+# Elements whose content is text, whatever it looks like.
+RAW_ELEMENTS = ["script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"]
+COMMENT = r"<!--.*?(?:-->|\z)"
+RAW = "|".join(rf"<{x}{TAG_REST}.*?(?:</{x}(?=[\s/>])[^>]*+>|\z)" for x in RAW_ELEMENTS)
+TAG = rf"</?[a-z][^\s/>]*+{TAG_REST}"
+# Comments, raw elements, links with all that they hold (to their end tag or the next link), other tags.
+LINK_OR_OTHER = rf"(?is){COMMENT}|{RAW}|<a{TAG_REST}(?:{COMMENT}|{RAW}|(?!</?a[\s/>])(?:{TAG}|[^<]++|<))*+(?:</a(?=[\s/>])[^>]*+>)?+|{TAG}"
+# The href of a link: its first attribute of just this name (group 1: the value, with its quotes).
+HREF = rf"""(?is)^<a(?=[\s/>])(?:(?![\s/]*+href(?=[\s/>=])){ATTRIBUTE})*+[\s/]*+href(?=[\s/>=])(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)))?+"""
+# The inner HTML of a link (group 1).
+INNER = rf"(?is)^<a{TAG_REST}(.*?)(?:</a(?=[\s/>])[^>]*+>)?\z"
+# Character references, and the text between them; the named ones that most hrefs use.
+REFERENCE_PIECE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);|[^&]+|&"
 NAMED_REFERENCES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\u00a0"}
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 # Protocols java.net.URL accepts; any other makes the href malformed.
@@ -44,27 +57,39 @@ def _code_point(ref: Column) -> Column:
     return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("\ufffd")
 
 
+@cache
+def _all_names() -> str:
+    """Every named reference of HTML, as JSON text; the standard library's table."""
+    return json.dumps({f"&{name}": char for name, char in html5.items() if name.endswith(";")})
+
+
 def decode_references(c: Column) -> Column:
     """Character references of a short text (an href) decoded; unknown names stay as they are."""
+    names = F.from_json(F.lit(_all_names()), "map<string,string>")  # a constant: parsed once
+
     def piece(p: Column) -> Column:
-        out = F.when(p.rlike(r"^&#(?:[0-9]+|[xX][0-9a-fA-F]+);$"), _code_point(p)).otherwise(p)
+        out = F.when(p.rlike(r"^&#(?:[0-9]+|[xX][0-9a-fA-F]+);$"), _code_point(p))
         for name, char in NAMED_REFERENCES.items():
-            out = F.when(p == name, F.lit(char)).otherwise(out)
-        return out
+            out = out.when(p == name, F.lit(char))
+        return out.when(p.rlike("^&[a-zA-Z]"), F.coalesce(F.try_element_at(names, p), p)).otherwise(p)
     decoded = F.array_join(F.transform(F.regexp_extract_all(c, F.lit(REFERENCE_PIECE), 0), piece), "")
     return F.when(F.instr(c, "&") > 0, decoded).otherwise(c)
 
 
 def extract_links(html: Column) -> Column:
-    """``array<struct<pos, href, anchor>>`` in document order; ``anchor`` is the inner HTML."""
-    found = F.regexp_extract_all(F.regexp_replace(html, NO_MARKUP, ""), F.lit(LINK_PATTERN), 0)
-
-    def part(m: Column, i: int) -> Column:
-        return F.regexp_extract(m, LINK_PATTERN, i)
-    return F.transform(found, lambda m, i: F.struct(
-        i.cast("int").alias("pos"),
-        decode_references(F.concat(part(m, 1), part(m, 2), part(m, 3))).alias("href"),
-        part(m, 4).alias("anchor")))
+    """``array<struct<pos, href, anchor>>`` in document order; ``anchor`` is the inner HTML.
+
+    One scan cuts the page into comments, raw elements, links and other tags, so what looks like a link inside a comment,
+    a script, a text area or a quoted attribute is none, and ``>`` inside quotes ends no tag.  A link that is
+    not closed ends before the next one.
+    """
+    found = F.filter(F.regexp_extract_all(html, F.lit(LINK_OR_OTHER), 0), lambda m: m.rlike(HREF))
+
+    def link(m: Column, i: Column) -> Column:
+        value = F.regexp_extract(m, HREF, 1)
+        bare = F.when(F.substring(value, 1, 1).isin("'", '"'), F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+        return F.struct(i.cast("int").alias("pos"), decode_references(bare).alias("href"), F.regexp_extract(m, INNER, 1).alias("anchor"))
+    return F.transform(found, link)
 
 
 def _scheme(u: Column) -> Column:

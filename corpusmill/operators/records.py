@@ -1,8 +1,9 @@
 """Debate records: flatten (X10), sentence rows (X11), outline (X12), ids (W4),
 and the flat claim-record shape of the JSON sink (S8).
 
-A debate is ``(debate_key, name, for_claims, against_claims)`` where each claim
-list is ``array<struct<claim, argument, counter>>`` in page order.
+A debate is ``(debate_key, name)`` with claim rows ``(debate_key, is_opposing, pos, claim, argument,
+counter)`` (``flatten_claims``), or, where it is small, ``(debate_key, name, for_claims, against_claims)`` with
+lists ``array<struct<claim, argument, counter>>`` in page order (``flatten_debates``).
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import cut_references, id_string, remove_quotes, split_argument
+from corpusmill.operators.joins import spread_join
 from corpusmill.operators.ranking import global_row_number
 
 # --- fixed values -----------------------------------------------------------
@@ -43,6 +45,19 @@ def flatten_debates(debates: DataFrame) -> DataFrame:
         "debate_id", "name", F.col("claim_no").cast("long").alias("claim_no"), "c.*")
 
 
+def flatten_claims(claims: DataFrame, debates: DataFrame) -> DataFrame:
+    """X10 over claim rows, for debates of any length.
+
+    ``claims (debate_key, is_opposing, pos, claim, argument, counter)``, ``pos`` = place on its side from 0;
+    ``debates (debate_key, debate_id, name)``.  Opposing claims count on from the supporting ones.
+    """
+    n_for = claims.where(~F.col("is_opposing")).groupBy("debate_key").agg(F.count(F.lit(1)).alias("__for"))
+    heads = debates.select("debate_key", "debate_id", "name").join(n_for, "debate_key", "left")
+    rows = spread_join(claims, heads, ["debate_key"], F.col("pos"))
+    number = F.col("pos") + F.when(F.col("is_opposing"), F.coalesce("__for", F.lit(0))).otherwise(0)
+    return rows.select("debate_id", "name", number.cast("long").alias("claim_no"), "is_opposing", "claim", "argument", "counter")
+
+
 def claim_sentences(claims: DataFrame) -> DataFrame:
     """X11 + X5 + P7 + P8: sentence rows of each claim, argument first then counter,
     numbered by one running counter (it does not restart for the counter)."""

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import iequals, robots_line, trim_controls
+from corpusmill.operators.joins import spread_join
 from corpusmill.operators.links import site_key, url_path
 
 # --- fixed values -----------------------------------------------------------
@@ -81,23 +82,22 @@ def parse_robots(robots: DataFrame, agent: str, site_col: str = "site",
                          "allow", "prefix")
 
 
-def rules_by_site(rules: DataFrame) -> DataFrame:
-    """One row per site with its ordered rule list (bounded by the robots file)."""
-    return rules.groupBy("site").agg(
-        F.array_sort(F.collect_list(F.struct("rule_no", "allow", "prefix"))).alias("rules"))
-
-
 def allowed(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
     """Add ``allowed`` - the first rule whose prefix starts the URL path decides;
     no match or no robots file allows.  The query string is not looked at.
 
-    An equi-join on the site key against one rule list per site, then an array
-    scan, so no per-URL aggregation shuffle is needed.
+    A path is cut to the lengths that its site's rules have and these prefixes are looked up by equality, so a url
+    costs as many lookups as there are lengths, however many rules there are; the least rule number
+    of its hits decides.  Sites with many urls are spread over tasks.
     """
-    per_site = rules_by_site(rules)
-    path = url_path(F.col(url_col))
-    u = urls.withColumn("__site", site_key(F.col(url_col))).withColumn("__path", path)
-    j = u.join(per_site.withColumnRenamed("site", "__site"), "__site", "left")
-    hit = F.filter(F.col("rules"), lambda r: F.col("__path").startswith(r["prefix"]))
-    return (j.withColumn("allowed", F.coalesce(F.try_element_at(hit, F.lit(1))["allow"], F.lit(True)))
-            .drop("__site", "__path", "rules"))
+    first = rules.groupBy("site", "prefix").agg(F.min(F.struct("rule_no", "allow")).alias("__rule"))
+    lengths = first.groupBy("site").agg(F.collect_set(F.length("prefix")).alias("__lengths"))  # of one robots file
+    u = urls.withColumn("__site", site_key(F.col(url_col))).withColumn("__path", url_path(F.col(url_col)))
+    paths = u.select(F.col("__site").alias("site"), F.col("__path").alias("path"))
+    cut = spread_join(paths, lengths, ["site"], F.col("path"))
+    cut = cut.select("site", "path", F.explode(F.filter("__lengths", lambda n: n <= F.length("path"))).alias("n"))
+    cut = cut.select("site", "path", F.substr("path", F.lit(1), F.col("n")).alias("prefix"))
+    hits = spread_join(cut, first, ["site", "prefix"], F.col("path")).groupBy("site", "path").agg(F.min("__rule").alias("__rule"))
+    hits = hits.select(F.col("site").alias("__site"), F.col("path").alias("__path"), F.col("__rule.allow").alias("allowed"))
+    return (u.join(hits, ["__site", "__path"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))
+            .select(*urls.columns, "allowed"))

@@ -58,26 +58,29 @@ def update_checks(log: DataFrame, update_check: int) -> DataFrame:
 CHUNK = 1024  # checks of a run that one task goes through
 
 
+_PART = ["run", "__chunk"]
+
+
 def _running(rows: DataFrame, value: Column, agg: Callable[[Column], Column], name: str) -> DataFrame:
-    """Running aggregate ``name`` of ``value`` along ``rn`` within a run, in two levels: per chunk of
-    ``CHUNK`` rows, then over the chunks' totals, so a run with a third of all rows spreads over many tasks."""
-    part = ["run", "__chunk"]
-    inside = Window.partitionBy(*part).orderBy("rn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """Running aggregate ``name`` of ``value`` along ``rn`` within a run, in two levels: per chunk of ``CHUNK`` rows, then over
+    the chunks' totals, so a run with a third of all rows spreads over many tasks.  ``rows`` are dealt by chunk already; only the totals move."""
+    inside = Window.partitionBy(*_PART).orderBy("rn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = Window.partitionBy("run").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__chunk", F.floor(F.col("rn") / CHUNK)).withColumn("__v", value)
-    carry = rows.groupBy(*part).agg(agg(F.col("__v")).alias("__c")).select(*part, agg(F.col("__c")).over(earlier).alias("__carry"))
+    rows = rows.withColumn("__v", value)
+    carry = rows.groupBy(*_PART).agg(agg(F.col("__v")).alias("__c")).select(*_PART, agg(F.col("__c")).over(earlier).alias("__carry"))
     both = F.least if agg is F.min else F.greatest
-    return (rows.withColumn("__own", agg(F.col("__v")).over(inside)).join(carry, part)
-            .withColumn(name, both("__own", "__carry")).drop("__chunk", "__v", "__own", "__carry"))  # nulls are skipped
+    return (rows.withColumn("__own", agg(F.col("__v")).over(inside)).join(carry, _PART)
+            .withColumn(name, both("__own", "__carry")).drop("__v", "__own", "__carry"))  # nulls are skipped
 
 
 def new_minimum(checks: DataFrame) -> DataFrame:
     """``is_min`` - the update loss is <= every earlier one of the run (itself included)."""
-    return _flagged(checks).drop("rn")
+    return _flagged(checks).drop("rn", "__chunk")
 
 
 def _flagged(checks: DataFrame) -> DataFrame:
     rows = global_row_number(checks, [F.col("epoch"), F.col("check_batch")], "rn", partition_by=["run"])
+    rows = rows.withColumn("__chunk", F.floor(F.col("rn") / CHUNK)).repartition(*_PART)
     rows = _running(rows, F.col("update_loss"), F.min, "__low")
     return rows.withColumn("is_min", F.col("update_loss") <= F.col("__low")).drop("__low")
 
@@ -91,7 +94,8 @@ def early_stop(checks: DataFrame, patience: int = 3) -> DataFrame:
     rows = _running(_flagged(checks), F.when(F.col("is_min"), F.col("rn")), F.max, "__last")
     rows = rows.withColumn("stop_count", (F.col("rn") - F.coalesce("__last", F.lit(-1))).cast("int")).drop("__last")
     stops = rows.where(F.col("stop_count") >= patience).groupBy("run").agg(F.min("rn").alias("__stop"))
-    return rows.join(stops, "run", "left").where(F.col("__stop").isNull() | (F.col("rn") <= F.col("__stop"))).drop("__stop", "rn")
+    return (rows.join(stops, "run", "left").where(F.col("__stop").isNull() | (F.col("rn") <= F.col("__stop")))
+            .drop("__stop", "rn", "__chunk"))
 
 
 def lr_schedule(epochs: DataFrame, lr0: float = 0.01, decay: float = 0.95, floor: float = 0.0001) -> DataFrame:

@@ -9,16 +9,21 @@ limit (partial top-k before the shuffle).
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import l2_norm, normalize
 
-QUERY_BLOCK = 1000  # query vectors that are on the driver and in a task at a time
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
+
+QUERY_BLOCK, VECTOR_BLOCK = 1000, 8192  # query vectors in a task at a time; vectors that they meet there
+SHARDS = 16  # of the text that word vectors are trained on
 
 
 def hash_unit(key: Column) -> Column:
@@ -41,7 +46,7 @@ def hash_units(key: Column, n: int) -> Column:
     """``n`` uniforms in (0, 1): one ``md5(key)`` seeds a MINSTD stream, expanded in
     closed form - one hash per key, one multiply and modulo per draw."""
     x0 = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % (MINSTD_M - 1) + 1
-    powers = F.array(*[F.lit(p).cast("long") for p in minstd_powers(n)])
+    powers = F.lit(np.array(minstd_powers(n), dtype=np.int64))
     # Bound by an outer one-element transform: inside the inner one the hash would run once per draw.
     return F.transform(F.array(x0), lambda x: F.transform(
         powers, lambda p: ((x * p) % MINSTD_M).cast("double") / float(MINSTD_M)))[0]
@@ -83,16 +88,32 @@ def log_uniform(u: Column, vocab_size: int) -> Column:
     return (F.floor(F.exp(u * math.log(vocab_size + 1))) - 1).cast("long")
 
 
+DRAWS = (4, 64)  # draws per sample that is wanted, first and in the second round
+
+
 def negative_samples(seqs: DataFrame, id_col: str, ids_col: str, vocab_size: int, k: int = 64,
                      centers_per_batch: int = 64, seed: int = 0) -> DataFrame:
-    """Q12: ``k`` log-uniform class ids per batch of ``centers_per_batch`` centres of a document
-    (uniforms from ``hash_units`` of (seed, doc, batch))."""
+    """Q12: ``k`` different log-uniform class ids per batch of ``centers_per_batch`` centres of a document.
+
+    The stream of a batch (``hash_units`` of (seed, doc, batch)) is drawn from without repeats: a class that has come
+    already is passed over, until there are ``k``.  A stream of 4 draws a sample has them nearly always; if
+    not, it goes on to 64, and what is then still missing are the smallest ids that have not come.
+    """
+    if k > vocab_size:
+        raise ValueError("no more than vocab_size different classes can be drawn")
     n_batches = F.ceil(F.size(ids_col) / centers_per_batch).cast("int")
     batches = F.when(n_batches > 0, F.sequence(F.lit(0), n_batches - 1))
     b = seqs.select(F.col(id_col).alias("doc"), F.explode(batches).alias("batch"))
     key = F.concat_ws(":", F.lit(str(seed)), F.col("doc").cast("string"), F.col("batch").cast("string"))
-    s = b.select("doc", "batch", F.posexplode(hash_units(key, k)).alias("k", "u"))
-    return s.select("doc", "batch", "k", log_uniform(F.col("u"), vocab_size).alias("class_id"))
+
+    def drawn(n: int) -> Column:
+        return F.array_distinct(F.transform(hash_units(key, n), lambda u: log_uniform(u, vocab_size)))  # in the order they came
+
+    b = b.withColumn("__c", drawn(DRAWS[0] * k))
+    more = drawn(DRAWS[1] * k)
+    b = b.withColumn("__c", F.when(F.size("__c") >= k, F.col("__c")).otherwise(
+        F.array_union(more, F.sequence(F.lit(0).cast("long"), F.lit(vocab_size - 1).cast("long")))))
+    return b.select("doc", "batch", F.posexplode(F.slice("__c", 1, k)).alias("k", "class_id"))
 
 
 def embedding_matrix(vocab: DataFrame, dictionary: DataFrame, dim: int, seed: int = 0) -> DataFrame:
@@ -116,58 +137,79 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 8, id_col: str = "i
     """J8 + T2: ``(query_id, rank, id, sim)`` - the k most cosine-similar vectors of
     each query, the query itself excluded, ties by id.
 
-    Queries are taken in blocks of ``QUERY_BLOCK`` (by hash, so blocks differ a
-    little in size); every block is broadcast, scored against all vectors by one
-    matrix product per batch, and each batch keeps its k best per query.
+    Vectors and queries are dealt into blocks by hash and every block of queries meets every block of vectors in one
+    task, where they are multiplied batch by batch and the k best of a batch go on; the plan is the same for
+    any number of queries and nothing passes through the driver but the two row counts.  Null vectors are left out.
     """
-    n = queries.count()
-    if n == 0:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, id long, sim double")
-    unit = normalized(queries.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("vec"))).select("qid", "unit")
-    v = normalized(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))).select("id", "unit")
-    blocks, scored = -(-n // QUERY_BLOCK), None
-    for b in range(blocks):
-        rows = unit.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).orderBy("qid").collect()
-        held = vectors.sparkSession.sparkContext.broadcast(([r["qid"] for r in rows], [r["unit"] for r in rows]))
-        part = v.mapInPandas(_scores(held, k), "query_id long, id long, sim double") if rows else None
-        scored = part if scored is None else scored if part is None else scored.unionByName(part)
+    def rows(df: DataFrame, kind: int) -> DataFrame:
+        return df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.lit(kind).alias("kind")).where("vec is not null")
+
+    q, v = rows(queries, 0), rows(vectors, 1)
+    counts = {r["kind"]: r["n"] for r in q.unionByName(v).groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    q_blocks, v_blocks = -(-counts.get(0, 1) // QUERY_BLOCK), -(-counts.get(1, 1) // VECTOR_BLOCK)
+
+    def own(n: int) -> Column:
+        return F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+
+    def each(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    met = q.withColumn("qb", own(q_blocks)).withColumn("vb", each(v_blocks)).unionByName(v.withColumn("qb", each(q_blocks)).withColumn("vb", own(v_blocks)))
+    dealt = met.repartition("qb", "vb").sortWithinPartitions("qb", "vb", "kind")
+    scored = dealt.mapInArrow(_scores(k), "query_id long, id long, sim double")
     w = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), F.col("id"))
     return (scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int"), "id", "sim"))
 
 
-def _scores(held, k: int):
-    """The k best vectors of each batch per query."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qid, unit = held.value
-        qid, q = np.array(qid, dtype=np.int64), np.array(unit, dtype=np.float64)
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            ids, m = pdf["id"].to_numpy(), np.stack(pdf["unit"].to_numpy())
-            sim = q @ m.T
-            sim[qid[:, None] == ids[None, :]] = -np.inf
-            # Everything at least as similar as the k-th stays, so ties at the cut are decided later.
-            last = np.partition(sim, -min(k, sim.shape[1]), axis=1)[:, -min(k, sim.shape[1])]
-            i, j = np.nonzero((sim >= last[:, None]) & np.isfinite(sim))
-            yield pd.DataFrame({"query_id": qid[i], "id": ids[j], "sim": sim[i, j]})
+def _units(vectors: pa.ListArray) -> np.ndarray:
+    """Rows of unit vectors; a zero vector stays zero."""
+    m = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(n > 0, n, 1)
+
+
+def _scores(k: int):
+    """The k best vectors of each batch per query; a block's queries come before its vectors."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, qid, q = None, [], []
+        for b in batches:
+            at = np.stack([b.column(c).to_numpy() for c in ("qb", "vb", "kind")], axis=1)
+            cuts = np.flatnonzero(np.any(np.diff(at, axis=0), axis=1)) + 1
+            for lo, hi in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(at)].tolist()):
+                if hi == lo:
+                    continue
+                ids, m = b.column("id").slice(lo, hi - lo).to_numpy(), _units(b.column("vec").slice(lo, hi - lo))
+                if tuple(at[lo][:2]) != block:
+                    block, qid, q = tuple(at[lo][:2]), [], []
+                if at[lo][2] == 0:
+                    qid, q = [*qid, ids], [*q, m]
+                elif q:
+                    qid, q = [np.concatenate(qid)], [np.concatenate(q)]
+                    sim = q[0] @ m.T
+                    sim[qid[0][:, None] == ids[None, :]] = -np.inf
+                    # Everything at least as similar as the k-th stays, so ties at the cut are decided later.
+                    last = np.partition(sim, -min(k, sim.shape[1]), axis=1)[:, -min(k, sim.shape[1])]
+                    i, j = np.nonzero((sim >= last[:, None]) & np.isfinite(sim))
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[0][i]), pa.array(ids[j]), pa.array(sim[i, j])], ["query_id", "id", "sim"])
     return run
 
 
 def train_word2vec(sentences: DataFrame, tokens_col: str, vector_size: int = 128, window: int = 1,
                    min_count: int = 1, max_iter: int = 1, seed: int = 42,
-                   num_partitions: int | None = None) -> DataFrame:
+                   num_partitions: int = SHARDS) -> DataFrame:
     """E1 (re-aimed): Spark ML skip-gram Word2Vec (hierarchical softmax); ``(word, vector)``.
 
-    The longest document sets ``maxSentenceLength``, so none is cut and no pair is lost.
+    The longest document sets ``maxSentenceLength``, so none is cut and no pair is lost.  Documents are dealt by their hash into a
+    fixed number of shards and sorted in them, so the vectors depend neither on the cluster's size nor on the input's partitions.
     """
     from pyspark.ml.feature import Word2Vec
     longest = sentences.agg(F.max(F.size(tokens_col))).first()[0] or 1
-    parts = num_partitions or sentences.sparkSession.sparkContext.defaultParallelism
+    dealt = sentences.select(tokens_col).repartition(num_partitions, tokens_col).sortWithinPartitions(tokens_col)
     w2v = Word2Vec(vectorSize=vector_size, windowSize=window, minCount=min_count, maxIter=max_iter,
                    maxSentenceLength=max(1, int(longest)),
-                   seed=seed, numPartitions=parts, inputCol=tokens_col, outputCol="__v")
-    return w2v.fit(sentences.select(tokens_col)).getVectors()
+                   seed=seed, numPartitions=num_partitions, inputCol=tokens_col, outputCol="__v")
+    return w2v.fit(dealt).getVectors()
 
 
 def project_2d(vectors: DataFrame, id_col: str = "id", vec_col: str = "vec") -> DataFrame:

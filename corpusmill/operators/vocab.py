@@ -6,11 +6,12 @@ both directions: word -> id (J4) and id -> word (J7).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import pct4
 from corpusmill.operators.ranking import global_row_number, one_row, text_bytes
+from corpusmill.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------
 # Special tokens of the first-seen vocabulary, appended in this order.
@@ -141,12 +142,16 @@ def frequency_vocab(counts: DataFrame, size: int) -> DataFrame:
     """W1 + A7: ``UNK`` = 0 then the ``size - 1`` most common words of ``counts``
     (``word, cnt, first``).
 
-    Ties go to the word seen first.  Words get distributed global ranks, so no
-    task holds the vocabulary.  Row 0 carries the number of tokens outside the
+    Ties go to the word seen first.  Words that are too rare are cut by the counts alone (how many words
+    have each count), and only the others are ranked, over all tasks.  Row 0 carries the number of tokens outside the
     vocabulary, tokens that read ``UNK`` among them.
     """
+    counts = cut_lineage(counts.select("word", "cnt", "first"))
     words = counts.filter(F.col("word") != FREQ_UNK)
-    ranked = frequency_ranks(words).filter(F.col("id") < size)
+    with_count = words.groupBy("cnt").agg(F.count(F.lit(1)).alias("n"))  # one row per count: its number grows as the root of the tokens
+    ahead = F.sum("n").over(Window.orderBy(F.col("cnt").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    least = with_count.select("cnt", F.coalesce(ahead, F.lit(0)).alias("ahead")).where(F.col("ahead") < size - 1).agg(F.min("cnt")).first()[0]
+    ranked = frequency_ranks(words.where(F.col("cnt") >= (least or 0))).filter(F.col("id") < size)
     total = counts.agg(F.coalesce(F.sum("cnt"), F.lit(0)).cast("long").alias("total"))
     kept = ranked.agg(F.coalesce(F.sum("cnt"), F.lit(0)).cast("long").alias("kept"))
     unk = one_row(total, kept).select(

@@ -125,33 +125,52 @@ def link_graph(spark: SparkSession, sf_dir: str, follow=None) -> DataFrame:
     return g
 
 
-def conversation_debates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Debates ``(debate_key, name, for_claims, against_claims)`` from ``conversations``.
-
-    A conversation is a debate named by the first line of its first turn.  Each
-    ``user`` turn is a claim: its argument is the next turn when that turn is not
-    a user turn, its counter is the turn three ahead under the same condition
-    (the reply to the following claim).  Claims alternate for / against in turn
-    order.  A conversation's turns are one bounded window group.
+HALO = 3  # turns that a claim looks ahead
+TURNS = 1024  # turns of a conversation in one window
+
+
+def conversation_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Debates ``(debate_key, name)``: a conversation is a debate named by the first line of its first turn."""
+    c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return c.groupBy(F.col("conv_id").cast("long").alias("debate_key")).agg(F.substring_index(F.min_by("text", "turn"), NL, 1).alias("name"))
+
+
+def conversation_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims ``(debate_key, is_opposing, pos, claim, argument, counter)`` from ``conversations``."""
+    return turn_claims(read_table(spark, sf_dir, "conversations"))
+
+
+def turn_claims(conversations: DataFrame, size: int = TURNS) -> DataFrame:
+    """Claims of ``(conv_id, turn, role, text)`` rows.
+
+    Each ``user`` turn is a claim: its argument is the next turn when that turn is not a user turn, its counter is the
+    turn three ahead under the same condition (the reply to the following claim).  Claims alternate for / against in
+    turn order.  Turns are numbered over all tasks and looked at in ranges of ``size``, each with a halo of the three turns
+    behind it, so a conversation of any length spreads over many tasks.
     """
-    c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    w = Window.partitionBy("conv_id").orderBy("turn")
+    from corpusmill.operators.ranking import global_row_number
+    c = conversations.select("conv_id", "turn", "role", "text")
+    turns = global_row_number(c, [F.col("turn"), F.col("role"), F.col("text")], "nr", partition_by=["conv_id"])
+    own = F.floor(F.col("nr") / size)
+    parts = F.when((F.col("nr") % size < HALO) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    turns = turns.select("conv_id", "nr", "role", "text", F.explode(parts).alias("part"))
+    w = Window.partitionBy("conv_id", "part").orderBy("nr")
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     def reply(k):
         return F.when(F.lead("role", k).over(w) != "user", F.lead("text", k).over(w))
 
-    turns = c.select("conv_id", "turn", "role", "text", reply(1).alias("argument"), reply(3).alias("counter"))
-    users = turns.filter(F.col("role") == "user").withColumn(
-        "k", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1)
-    item = F.struct("turn", F.col("text").alias("claim"), "argument", "counter")
-    strip = lambda a: F.transform(F.array_sort(a), lambda s: F.struct(
-        s["claim"].alias("claim"), s["argument"].alias("argument"), s["counter"].alias("counter")))
-    claims = users.groupBy("conv_id").agg(
-        strip(F.collect_list(F.when(F.col("k") % 2 == 0, item))).alias("for_claims"),
-        strip(F.collect_list(F.when(F.col("k") % 2 == 1, item))).alias("against_claims"))
-    names = c.groupBy("conv_id").agg(F.substring_index(F.min_by("text", "turn"), NL, 1).alias("name"))
-    return names.join(claims, "conv_id", "left").select(
-        F.col("conv_id").cast("long").alias("debate_key"), "name", "for_claims", "against_claims")
+    is_user = F.col("role") == "user"
+    seen = turns.select("conv_id", "nr", "part", is_user.alias("is_user"), F.col("text").alias("claim"), reply(1).alias("argument"),
+                        reply(HALO).alias("counter"), F.sum(is_user.cast("long")).over(so_far).alias("k"))
+    users = seen.where(F.col("is_user") & (F.col("part") == own))
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    earlier = users.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n")).select(
+        "conv_id", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    k = F.col("k") + F.col("earlier") - 1
+    return users.join(earlier, ["conv_id", "part"]).select(
+        F.col("conv_id").cast("long").alias("debate_key"), (k % 2 == 1).alias("is_opposing"), F.floor(k / 2).cast("long").alias("pos"),
+        "claim", "argument", "counter")
 
 
 STEPS_PER_EPOCH = 20  # stand-in epoch length of the run log

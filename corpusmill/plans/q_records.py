@@ -19,16 +19,15 @@ from corpusmill.sources import claims as C
 from corpusmill.sources.tables import read_table
 
 # Stand-in rules for the test pages (no debate markup there): the article's paragraphs with a bold lead.
-PAGE_RULES = H.Rules(r"(?is)<article[^>]*>", r"(?is)<h1[^>]*>(.*?)</h1>", (
-    H.Block("for", r"(?is)</h1>", r"(?is)</article>", r"(?is)<p[^>]*>", r"(?is)<b>(.*?)(?:</b>|<br>|\z)", r"(?is)^(.*)$"),))
+PAGE_RULES = H.Rules("article", "h1", (H.Block("for", None, "p", "b", "&"),))
 
 
 def debates(spark, sf):
-    return cut_lineage(D.number_debates(B.conversation_debates(spark, sf)))
+    return cut_lineage(D.number_debates(B.conversation_names(spark, sf)))
 
 
-def claims(spark, sf):
-    return D.flatten_debates(debates(spark, sf))
+def claims(spark, sf, numbered=None):
+    return D.flatten_claims(B.conversation_claims(spark, sf), debates(spark, sf) if numbered is None else numbered)
 
 
 @query("debate_claims", f"""WITH {S.DEBATES}
@@ -68,7 +67,7 @@ FROM lines""")
 def debate_outline(spark, sf):
     """X12 + X6: the printed outline of every debate, references cut at ' 1: '."""
     d = debates(spark, sf)
-    return D.outline(D.flatten_debates(d), d)
+    return D.outline(claims(spark, sf, d), d)
 
 
 @query("reference_cut", f"""WITH {S.DEBATES}
@@ -146,7 +145,8 @@ def document_sentences(spark, sf):
 
 
 def _text_sql(x):
-    return f"trim(regexp_replace({S.references_sql(f"regexp_replace({x}, '<[^>]*>', '', 'g')")}, '\\s+', ' ', 'g'))"
+    spaced = f"regexp_replace({x}, '(?i)<(br|/?p)[^>]*>', ' ', 'g')"
+    return f"trim(regexp_replace({S.references_sql(f"regexp_replace({spaced}, '<[^>]*>', '', 'g')")}, '\\s+', ' ', 'g'))"
 
 
 @query("page_records", f"""WITH a AS (

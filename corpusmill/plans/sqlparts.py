@@ -157,20 +157,30 @@ def references_sql(x: str) -> str:
     return f"array_to_string(list_transform(regexp_extract_all({x}, '&#?[0-9a-zA-Z]+;|[^&]+|&'), lambda p: {piece}), '')"
 
 
-# Links in another wording than the operator's: whole anchors first, then the href inside the start tag.
-ANCHOR_RE = r"(?is)<a\s[^>]*>.*?</a>"
-HREF_RE = r"""(?is)^<a\s[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+# Links in another wording than the operator's: the page as a list of tokens; a link's parts are the tokens up to the next
+# start or end of a link, its attributes are listed and the first href is taken.
+_REST = r"""(?:[\s/](?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|[="'])*?)?>"""
+PAGE_TOKEN_RE = ("(?is)<!--.*?(?:-->|$)|" + "|".join(rf"<{x}{_REST}.*?(?:</{x}(?:[\s/][^>]*)?>|$)" for x in
+                 ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")) + rf"|</?[a-z][^\s/>]*{_REST}|[^<]+|<")
+ATTRIBUTES_RE = r"""[^\s/>=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+))?"""
 HREF_VALUE = "CASE WHEN quoted[1] IN (chr(34), chr(39)) THEN quoted[2:-2] ELSE quoted END"
 
-LINKS = f"""raw_links AS (
-  SELECT url AS src, list_filter(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(
-           html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\\b.*?</script\\s*>', '', 'g'), '(?is)<style\\b.*?</style\\s*>', '', 'g'),
-         {q(ANCHOR_RE)}), lambda m: regexp_matches(m, {q(HREF_RE)})) AS anchors
-  FROM pages),
+LINKS = f"""page_tokens AS (
+  SELECT url AS src, u.i AS i, l[u.i] AS tok
+  FROM (SELECT url, regexp_extract_all(html, {q(PAGE_TOKEN_RE)}) AS l FROM pages), unnest(range(1, len(l) + 1)) AS u(i)),
+link_parts AS (
+  SELECT src, i, tok, regexp_matches(tok, '(?i)^</?a[\\s/>]') AS edge,
+         sum(CASE WHEN regexp_matches(tok, '(?i)^</?a[\\s/>]') THEN 1 ELSE 0 END) OVER (PARTITION BY src ORDER BY i) AS part FROM page_tokens),
+link_whole AS (
+  SELECT src, min(i) FILTER (WHERE edge) AS i, any_value(tok) FILTER (WHERE edge) AS start_tag,
+         coalesce(string_agg(tok, '' ORDER BY i) FILTER (WHERE NOT edge), '') AS anchor
+  FROM link_parts WHERE part > 0 GROUP BY src, part),
+link_attributes AS (
+  SELECT src, i, anchor, list_filter(regexp_extract_all(start_tag[3:], {q(ATTRIBUTES_RE)}), lambda x: regexp_matches(x, '(?i)^href(\\s*=|$)')) AS h
+  FROM link_whole WHERE start_tag[2] <> '/'),
 hrefs0 AS (
-  SELECT src, u.i::INTEGER AS pos, regexp_extract(anchors[u.i + 1], {q(HREF_RE)}, 1) AS quoted,
-         regexp_extract(anchors[u.i + 1], '(?is)^<[^>]*>(.*)</a>$', 1) AS anchor
-  FROM raw_links, unnest(range(len(anchors))) AS u(i)),
+  SELECT src, (row_number() OVER (PARTITION BY src ORDER BY i) - 1)::INTEGER AS pos, regexp_extract(h[1], '(?s)=\\s*(.*)$', 1) AS quoted, anchor
+  FROM link_attributes WHERE len(h) > 0),
 hrefs AS (
   SELECT src, pos, {trim_sql(references_sql(HREF_VALUE))} AS h, anchor,
          regexp_extract(src, {q(SCHEME_RE)}, 1) AS scheme,

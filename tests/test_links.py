@@ -53,3 +53,32 @@ def test_anchor_rule(spark):
     html = "<a href='/1'>The <b>Next</b> page</a><a href='/2'>nextly</a>"
     pages = spark.createDataFrame([("http://s.org/p", html)], "url string, html string")
     assert [r.dest for r in L.link_table(pages, follow=L.anchor_rule(["NEXT"])).collect()] == ["http://s.org/1"]
+
+
+def links(spark, html):
+    pages = spark.createDataFrame([("http://s.org/p", html)], "url string, html string")
+    return [(r.pos, r.dest, r.anchor) for r in L.link_table(pages).orderBy("pos").collect()]
+
+
+def test_attributes_are_scanned_by_name_and_quotes(spark):
+    assert links(spark, """<a data-href='/no' href='/yes'>1</a><a title="a>b" href=/b>2</a><a title="x href='/no'" HREF = "/c">3</a>"""
+                        """<a xhref=/no>4</a><a href=/d href=/no>5</a><a/href=/e>6</a><a href>7</a><a href=>8</a><abbr href=/no>9</abbr>"""
+                        """<a title='it"s' href=/it's>10</a><a\nhref\n=\n"/f g"\n>11</a><a b="c"href=/h>12</a>""") == [
+        (0, "http://s.org/yes", "1"), (1, "http://s.org/b", "2"), (2, "http://s.org/c", "3"), (3, "http://s.org/d", "5"),
+        (4, "http://s.org/e", "6"), (5, "http://s.org/p", "7"), (6, "http://s.org/p", "8"), (7, "http://s.org/it's", "10"),
+        (8, "http://s.org/f g", "11"), (9, "http://s.org/h", "12")]
+
+
+def test_what_only_looks_like_a_link(spark):
+    assert links(spark, "<textarea><a href='/t'>t</a></textarea><title><a href=/i>i</a></title><p title=\"<a href='/q'>q</a>\">"
+                        "<!-- <a href=/c>c</a> --><script>'<a href=/s>s</a>'</script><a href=/ok>x<!-- </a> -->y<b title='</a>'>z</b></a>") == [
+        (0, "http://s.org/ok", "x<!-- </a> -->y<b title='</a>'>z</b>")]
+    assert links(spark, "<a href=/1>one<a href=/2>two</a><a href=/3>three") == [
+        (0, "http://s.org/1", "one"), (1, "http://s.org/2", "two"), (2, "http://s.org/3", "three")]
+    assert links(spark, "<!-- <a href=/c>never ends") == [] and links(spark, "<script><a href=/c>x</a>") == []
+
+
+def test_all_named_references_and_long_pages(spark):
+    assert links(spark, "<a href='/&eacute;&rarr;&nosuch;&ne;'>x</a>") == [(0, "http://s.org/é→&nosuch;≠", "x")]
+    many = " ".join(f"a{i}='{i}>'" for i in range(50_000))
+    assert links(spark, f"<a {many} href=/far>{'<b>y</b>' * 50_000}</a>" + "<" * 50_000 + "<a href=/last>z</a>")[-1][1:] == ("http://s.org/last", "z")

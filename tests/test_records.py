@@ -36,6 +36,44 @@ def test_unclosed_markup_does_not_break_extraction(spark):
     assert [r.claim for r in records(spark, html)] == ["A & B"]
 
 
+def point(title, point="", quote='"'):
+    def item(name, inner):
+        return f"<div class={quote}field {name}{quote}><div class={quote}field-items{quote}><div class={quote}field-item even{quote}>{inner}</div></div></div>"
+    return (f"<div class={quote}content clearfix{quote}>" + item("field-name-field-title-point-for", title)
+            + (item("field-name-field-point-point-for", point) if point else "") + "</div>")
+
+
+def debate(points, quote='"', extra=""):
+    return (f"<body><div class={quote}node node-debatabase{quote}><div class={quote}debatabase-title{quote}>T &eacute; <b>x</b></div>"
+            f"<div id={quote}debatabase-points-1{quote}>{points}</div>{extra}</div><div class={quote}content{quote}>outside</div></body>")
+
+
+def test_nested_elements_belong_to_their_field(spark):
+    rows = records(spark, debate(point("c <div>in <div>deep</div></div> rest", "<p>one</p><p>two<br>three</p><ul><li>four<li>five</ul> six") + point("next")))
+    assert [(r.pos, r.claim, r.argument) for r in rows] == [(0, "c in deep rest", "one two three four five six"), (1, "next", None)]
+    assert rows[0].title == "T é x"
+
+
+def test_single_quotes_bare_values_and_case(spark):
+    rows = records(spark, debate(point("a", "b", "'"), "'"), debate(point("a", "b")).replace("div", "DIV").replace("field-item even", "Field-Item"),
+                   "<div class=node-debatabase><div id=debatabase-points-1><div class=content><div class=field-name-field-title-point-for><p class=field-item>a<p>no</div></div></div></div>")
+    assert [(r.url[-1], r.claim, r.argument) for r in rows] == [("0", "a", "b"), ("1", "a", "b"), ("2", "a", None)]
+
+
+def test_tags_in_attributes_comments_and_scripts_match_nothing(spark):
+    inner = "x <!-- </div> --> <i title='</div>'>y</i> <script>'</div>'</script> z <div/> w <img src=a> </span> v"
+    assert [r.claim for r in records(spark, debate(point(inner)))] == ["x y z w v"]
+
+
+def test_items_in_items_and_fields_outside(spark):
+    nested = '<div class="content">' + point("inner") + "</div>"
+    rows = records(spark, debate(nested, extra=point("not in the block")))
+    assert [(r.pos, r.claim) for r in rows] == [(0, "inner"), (1, "inner")]   # both contents select it
+    deep = "<div>" * 3000 + "a" + "</div>" * 3000
+    assert [r.claim for r in records(spark, debate(point(deep)))] == ["a"]
+    assert records(spark, debate("")) == []
+
+
 def test_flatten_sentences_outline(spark):
     html = open(os.path.join(FIXTURES, "debates.html")).read()
     pages = spark.createDataFrame([("http://d.org/1", html)], "url string, html string")

@@ -64,3 +64,21 @@ def test_files_read_back(spark, scratch):
     R.write_robots_files(spark.createDataFrame(rows, "site string, text string"), path)
     got = {r.site: r.text for r in R.read_robots_files(spark, path).collect()}
     assert got["http://a.org:80"].startswith(rows[0][1]) and set(got) >= {"http://a.org:80"}
+
+
+def test_ten_thousand_rules_on_one_site(spark):
+    import random
+    rng = random.Random(6)
+    rules = [("http://a.org:80", i, rng.random() < 0.5, "/" + "".join(rng.choice("ab/") for _ in range(rng.randint(0, 13)))) for i in range(10_000)]
+    rules += [("http://b.org:80", 0, False, ""), ("http://b.org:80", 1, True, "/x")]
+    paths = ["/" + "".join(rng.choice("ab/") for _ in range(rng.randint(0, 20))) for _ in range(300)]
+    urls = [(f"http://a.org{p}?q=1", i) for i, p in enumerate(paths)] + [("http://b.org/x", 1), ("http://c.org/", 2), (None, 3), ("http://a.org/aa", 4), ("http://a.org/aa", 4)]
+    got = R.allowed(spark.createDataFrame(urls, "url string, n int"), spark.createDataFrame(rules, "site string, rule_no int, allow boolean, prefix string"))
+    assert got.columns == ["url", "n", "allowed"]
+
+    def want(url):
+        if url is None:
+            return True
+        site, path = url[:12] + ":80", url[12:].split("?")[0]
+        return next((a for s, _, a, p in rules if s == site and path.startswith(p)), True)
+    assert sorted(map(str, got.collect())) == sorted(str(got.first().__class__(url=u, n=n, allowed=want(u))) for u, n in urls)

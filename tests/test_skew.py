@@ -38,3 +38,42 @@ def test_word_stats_with_a_hot_word(spark):
          V.word_stats(df, "doc", [(0, F.col("toks"))]).collect()}
     assert s["the"] == (40 * 301, 0, 0)
     assert s["w7"] == (1, 7, 1)
+
+
+def test_claims_of_a_long_conversation(spark):
+    import random
+
+    from corpusmill.operators import records as D
+    from corpusmill.plans import bindings as B
+    rng = random.Random(2)
+    talk = {c: [(t * 3, rng.choice(["user", "assistant", "system"]), f"{c}.{t}") for t in range(n)] for c, n in ((1, 700), (2, 9), (3, 1), (4, 40))}
+    rows = [(c, *t) for c, turns in talk.items() for t in turns]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    claims = B.turn_claims(df, size=16)
+    names = df.groupBy(F.col("conv_id").alias("debate_key")).agg(F.min("text").alias("name"))
+    got = D.flatten_claims(claims, D.number_debates(names)).orderBy("debate_id", "claim_no").collect()
+    want = []
+    for d, turns in enumerate(talk.values()):
+        users = [i for i, t in enumerate(turns) if t[1] == "user"]
+
+        def reply(i, k):
+            return turns[i + k][2] if i + k < len(turns) and turns[i + k][1] != "user" else None
+        order = users[::2] + users[1::2]
+        want += [(1000000 + d, n, n >= len(users[::2]), turns[i][2], reply(i, 1), reply(i, 3)) for n, i in enumerate(order)]
+    assert [(r.debate_id, r.claim_no, r.is_opposing, r.claim, r.argument, r.counter) for r in got] == want
+    parts = claims.where("debate_key = 1").withColumn("t", F.spark_partition_id()).groupBy("t").count().count()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = max(parts, B.turn_claims(df, size=16).where("debate_key = 1").withColumn("t", F.spark_partition_id()).groupBy("t").count().count())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert parts > 1   # one conversation, several tasks
+
+
+def test_spread_join_is_a_join(spark):
+    from corpusmill.operators.joins import spread_join
+    rows = spark.createDataFrame([("hot", i) for i in range(200)] + [("x", 1), ("none", 2), (None, 3)], "key string, v long")
+    heads = spark.createDataFrame([("hot", "h"), ("x", "y")], "key string, w string")
+    for how in ("inner", "left"):
+        a = spread_join(rows, heads, ["key"], F.col("v"), how)
+        assert sorted(map(str, a.collect())) == sorted(map(str, rows.join(heads, "key", how).collect())) and a.columns == ["key", "v", "w"]

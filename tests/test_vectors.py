@@ -85,6 +85,7 @@ def test_vector_file_positions_across_part_files(spark, scratch):
 def test_nearest_takes_any_number_of_queries(spark, monkeypatch):
     import numpy as np
     monkeypatch.setattr(VX, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(VX, "VECTOR_BLOCK", 11)
     m = np.random.default_rng(4).normal(size=(60, 5))
     df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], "id long, vec array<double>").repartition(3)
     got = {(r.query_id, r.rank): r.id for r in VX.nearest(df, df, 3).collect()}
@@ -99,3 +100,29 @@ def test_word2vec_knows_every_word_of_long_documents(spark):
     docs = spark.createDataFrame([([f"w{i}" for i in range(2500)],), (["w1", "w2"],)], "words array<string>")
     vecs = VX.train_word2vec(docs, "words", vector_size=4, num_partitions=1)
     assert {r.word for r in vecs.select("word").collect()} == {f"w{i}" for i in range(2500)}
+
+
+def test_plan_of_nearest_does_not_grow_with_the_queries(spark):
+    def plan(n):
+        df = spark.range(n).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vec"))
+        return VX.nearest(df, df, 2)._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    assert plan(5) == plan(5000)
+    none = spark.createDataFrame([], "id long, vec array<double>")
+    one = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], none.schema)
+    assert VX.nearest(one, none).collect() == [] and VX.nearest(none, one).collect() == [] and VX.nearest(one, one).collect() == []
+
+
+def test_negative_draws_do_not_repeat(spark):
+    seqs = spark.createDataFrame([(i, list(range(100))) for i in range(30)], "doc long, ids array<int>")
+    for vocab, k in ((1000, 16), (20, 16), (16, 16), (5, 5)):   # few classes: later rounds, then the ids left
+        got = {}
+        for r in VX.negative_samples(seqs, "doc", "ids", vocab, k).collect():
+            got.setdefault((r.doc, r.batch), []).append((r.k, r.class_id))
+        assert len(got) == 60
+        for rows in got.values():
+            assert sorted(p for p, _ in rows) == list(range(k)) and len({c for _, c in rows}) == k and all(0 <= c < vocab for _, c in rows)
+    try:
+        VX.negative_samples(seqs, "doc", "ids", 4, 5)
+        raise AssertionError("more classes than there are must be refused")
+    except ValueError:
+        pass
