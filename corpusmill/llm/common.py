@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import io
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.session import cut_lineage, ensure_checkpoint_dir
+from corpusmill.sources.files import filesystem
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +30,29 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def share(spark: SparkSession, arrays: dict[str, np.ndarray], label: str) -> str:
+    """Write arrays as files into a new folder below the shared one; returns its path."""
+    path = scratch_path(spark, label)
+    fs, root = filesystem(path)
+    fs.create_dir(root)
+    for name, a in arrays.items():
+        with fs.open_output_stream(f"{root}/{name}.npy") as f:
+            np.save(f, a)
+    return path
+
+
+def shared(path: str, names: list[str]) -> dict[str, np.ndarray]:
+    """Arrays of ``share``: mapped where the folder is a mounted one, so that processes of a machine hold them once; else read."""
+    fs, root = filesystem(path)
+    if fs.type_name == "local":
+        return {n: np.load(f"{root}/{n}.npy", mmap_mode="r") for n in names}
+    out = {}
+    for n in names:
+        with fs.open_input_file(f"{root}/{n}.npy") as f:
+            out[n] = np.load(io.BytesIO(f.read()))
+    return out
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of the links ``(a, b)``: rows ``(node, component)``, the smallest node id.
 

@@ -2,16 +2,18 @@
 
 Labelled texts are examples, clean ones too: TF-IDF vectors over all their terms (words, and beginnings of 4 and
 5 letters).  A term's weight grows with the root of the log-likelihood ratio between it and the label; no term is
-left out.  A text's score is the vote of its ``NEIGHBOURS`` nearest examples by exact cosine, weighted by
-squared similarity and shrunk towards the share of toxic labels, with the nearest examples as evidence.
+left out.  A text's vote is that of its ``NEIGHBOURS`` nearest examples by exact cosine, weighted by
+squared similarity and shrunk towards the share of toxic labels, with the nearest examples as evidence.  Its score is the vote on
+a logistic scale, fitted to the votes that examples get from the other examples.
 
 Neighbours come from a block-max inverted index: examples stand in blocks, a term's largest weight in
 each block bounds what the block can score, and a text opens its best block first, then all whose bound
-reaches the neighbour found last.  Opened blocks are scored in single precision, for many texts at once (terms common
-in a block by a matrix product, others by postings); all that come near the last place are scored again in double precision.
+reaches the neighbour found last.  Weights are single-precision numbers.  Opened blocks are scored in single precision, for many texts at once (the ``COMMON`` most frequent
+terms by a matrix product, others by postings); the cosines of all that come near the last place are then added up in double precision.
 
-The classifier is fitted on at most about ``MAX_EXAMPLES`` labelled rows, drawn by a hash of their ids;
-this bound is what its size as a broadcast rests on.
+The classifier is fitted on at most about ``MAX_EXAMPLES`` labelled rows, drawn by a hash of their ids, and its scale on
+about ``SCALE_EXAMPLES`` of them; these bounds are what the index's size rests on.  The index lies in the shared folder as files that
+the tasks map into memory.
 """
 
 from __future__ import annotations
@@ -26,16 +28,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from corpusmill.llm.common import table, written
+from corpusmill.llm.common import share, shared, table, written
 
-MAX_EXAMPLES = 10_000
+MAX_EXAMPLES, SCALE_EXAMPLES = 10_000, 2_000
 NEIGHBOURS, PRIOR_WEIGHT, THRESHOLD, BLOCK = 15, 0.5, 0.7, 512
-CACHE_WORDS = 200_000
-ROWS = 512  # texts in Python at a time
-DENSE = 8  # terms in one of so many examples of a block are scored by matrix product
+ROWS, PART_CHARS = 512, 1 << 21  # texts and characters in Python at a time
+COMMON = 2000  # terms scored by matrix product
 ROUNDING = 1e-4  # above any error of a cosine in single precision
+_ARRAYS = ["names", "name_ends", "idf", "top", "common", "matrix", "rare", "rare_count", "hashes", "by_hash", "own_term", "own_weight", "own_start", "unit", "toxic", "doc_id"]
 
+_POSTING = [("example", "<u4"), ("weight", "<f4")]
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -72,7 +76,7 @@ def _ratio(a: np.ndarray, n: np.ndarray, toxic: int, total: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, block: int = BLOCK) -> dict:
-    """The index of the labelled texts, as plain arrays without what ``NearestExamples`` works out again.
+    """The index of the labelled texts: its arrays, where they lie in the shared folder, and the scale of scores.
 
     ``docs``: ``doc_id, text``; ``labels``: ``doc_id, toxic``.  Held-out ids, null ids and null labels are left
     out; an id with several labels takes the largest.  Without labelled texts that have words
@@ -87,8 +91,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, bl
             .withColumn("row", F.xxhash64("doc_id", "text")).select("doc_id", "toxic", "row", "text").dropDuplicates(["doc_id", "row"]))
     found = written(rows.mapInArrow(_terms, "doc_id long, toxic int, row long, terms array<string>, tf array<int>"), "toxic-terms")
     total, toxic = marks.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    base = toxic / total if total else 0.5
-    held = found.where(F.size("terms") > 0).toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("row", "ascending")])  # about max_examples rows
+    found = found.where(F.size("terms") > 0)
+    index = _arrays(found.toArrow().combine_chunks(), block) | {"base": toxic / total if total else 0.5, "block": block, "slope": 1.0, "shift": 0.0}
+    spark = docs.sparkSession
+    path = share(spark, {k: index[k] for k in _ARRAYS}, "toxic-index")
+    index |= {"path": path, **shared(path, _ARRAYS)}
+    if 0 < toxic < total:
+        index["slope"], index["shift"] = _scale(found, index, min(1.0, SCALE_EXAMPLES / total))
+    return index
+
+
+def _arrays(held: pa.Table, block: int) -> dict[str, np.ndarray]:
+    """The arrays of an index of examples (about ``max_examples`` rows) with their terms."""
+    held = held.sort_by([("doc_id", "ascending"), ("row", "ascending")])
     size, mark, doc_id = pc.list_value_length(held["terms"]).to_numpy(), held["toxic"].to_numpy(), held["doc_id"].to_numpy()
     tf = _small(pc.list_flatten(held["tf"].combine_chunks()).to_numpy())
     coded = pc.list_flatten(held["terms"].combine_chunks()).dictionary_encode()
@@ -96,8 +111,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, bl
     by_name = pc.sort_indices(coded.dictionary).to_numpy()
     place = np.empty(len(by_name), dtype=np.int32)
     place[by_name] = np.arange(len(by_name), dtype=np.int32)
-    t, names = place[coded.indices.to_numpy()], coded.dictionary.take(by_name)
-    del coded
+    t, names = place[coded.indices.to_numpy()], coded.dictionary.take(by_name).to_pylist()
+    del coded, by_name, place
     texts = np.bincount(t, minlength=len(names))
     idf = np.log((1 + len(size)) / (1 + texts)) + 1
     order = np.arange(len(size))
@@ -108,10 +123,49 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, bl
         starts = np.cumsum(size) - size
         most = np.flatnonzero(key == np.repeat(np.maximum.reduceat(key, starts), size))
         order = np.argsort(t[most[np.searchsorted(most, starts)]], kind="stable")
-    e = np.repeat(_small(np.argsort(order)), size)
+        del key, most
+    e = np.repeat(np.argsort(order).astype(np.int32), size)
     by = np.lexsort((e, t))
-    return {"terms": "\n".join(names.to_pylist()), "idf": idf, "base": base, "block": block, "example": e[by], "tf": tf[by],
-            "texts": _small(texts), "toxic": mark[order].astype(float), "doc_id": doc_id[order]}
+    return layout(names, idf, t[by], e[by], tf[by], mark[order].astype(float), doc_id[order], block)
+
+
+def layout(names: list[str], idf: np.ndarray, t: np.ndarray, e: np.ndarray, tf: np.ndarray, toxic: np.ndarray, doc_id: np.ndarray, block: int,
+           common: int = COMMON) -> dict[str, np.ndarray]:
+    """Arrays of an index of postings ``(term, example, tf)`` in order of term and example.
+
+    ``top``: a term's largest weight in each block in 255ths of the largest of all, rounded up.  ``common``, ``matrix``: the most
+    frequent terms and their weights by example.  ``rare``, ``rare_count``: postings of the other terms, and their number
+    by term and block.  ``own_*``: terms by example.  ``hashes``, ``by_hash``: terms by their hash.
+    """
+    size, count, blocks = len(names), len(toxic), -(-len(toxic) // block)
+    w = (1 + np.log(tf.astype(float))) * idf[t]
+    norm = np.sqrt(np.bincount(e, w * w, count))
+    w = (w / norm[e]).astype(np.float32)
+    part = t.astype(np.int64) * blocks + e // block
+    first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(t) else np.empty(0, dtype=np.int64)
+    top, unit = np.zeros(size * blocks, dtype=np.uint8), np.float32(w.max() / 255) if len(w) else np.float32(1)
+    top[part[first]] = np.minimum(255, np.ceil((np.maximum.reduceat(w, first) if len(first) else w) / unit))
+    texts = np.bincount(t, minlength=size)
+    often = np.sort(np.argsort(-texts, kind="stable")[:common])
+    column = np.full(size, -1, dtype=np.int32)
+    column[often] = np.arange(len(often))
+    dense = column[t] >= 0
+    matrix = np.zeros((len(often), blocks * block), dtype=np.float32)
+    matrix[column[t[dense]], e[dense]] = w[dense]
+    counts = np.zeros(size * blocks, dtype=np.uint16)
+    counts[part[first]] = np.diff(np.r_[first, len(t)])
+    counts = counts.reshape(size, blocks)
+    counts[often] = 0
+    rare = np.empty(int((~dense).sum()), dtype=_POSTING)
+    rare["example"], rare["weight"] = e[~dense], w[~dense]
+    hashes = _hashes(pa.array(names, pa.string())) if size else np.empty(0, dtype=np.uint64)
+    by_hash = np.argsort(hashes, kind="stable").astype(np.int32)
+    own = np.argsort(e, kind="stable")
+    ends = np.cumsum([0, *(len(x.encode()) for x in names)])
+    return {"names": np.frombuffer("".join(names).encode(), dtype=np.uint8), "name_ends": ends.astype(np.int32), "idf": idf,
+            "top": np.r_[top.reshape(size, blocks), np.zeros((1, blocks), dtype=np.uint8)], "common": column, "matrix": matrix, "rare": rare.view(np.uint64),
+            "hashes": hashes[by_hash], "by_hash": by_hash, "rare_count": counts, "own_term": t[own].astype(np.int32), "own_weight": w[own],
+            "own_start": np.searchsorted(e[own], np.arange(count + 1)), "unit": np.array([unit]), "toxic": toxic, "doc_id": doc_id}
 
 
 def _small(x: np.ndarray) -> np.ndarray:
@@ -119,110 +173,123 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
 
 
-def _unpacked(index: dict) -> dict:
-    """A fitted index with its weights and their bounds, which are not shipped."""
-    size, count, block = len(index["idf"]), len(index["toxic"]), index["block"]
-    t, e = np.repeat(np.arange(size, dtype=np.int32), index["texts"]), index["example"].astype(np.int32)
-    w = (1 + np.log(index["tf"].astype(float))) * index["idf"][t]
-    w /= np.sqrt(np.bincount(e, w * w, count))[e]
-    top = np.zeros((size, -(-count // block)), dtype=np.float32)
-    np.maximum.at(top, (t, e // block), w.astype(np.float32))
-    names = index["terms"].split("\n") if size else []
-    return index | {"terms": {x: i for i, x in enumerate(names)}, "example": e, "weight": w, "top": top,
-                    "start": np.r_[0, np.cumsum(index["texts"], dtype=np.int64)]}
-
-
 def _spans(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The places ``lo[i], lo[i] + 1, ...``, ``n[i]`` of each, one after another."""
     return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
+class Vectors:
+    """Vectors of several texts, each of length one: ``row, term, weight`` in order of text and term."""
+
+    def __init__(self, rows: int, row: np.ndarray, term: np.ndarray, weight: np.ndarray):
+        self.rows, self.row, self.term = rows, row, term
+        self.start = np.searchsorted(row, np.arange(rows + 1))
+        length = np.sqrt(np.bincount(row, weight * weight, rows))
+        self.weight = weight / length[row]
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    return np.fromiter(map(xxh64_intdigest, words.to_pylist()), dtype=np.uint64, count=len(words))
+
+
 class NearestExamples:
-    """Exact nearest examples of a text under the fitted index."""
+    """Exact nearest examples of texts under the fitted index."""
 
     def __init__(self, index: dict):
-        self.__dict__.update(index if "top" in index else _unpacked(index))
-        self.known: dict[str, tuple[int, ...]] = {}
-        size, count = len(self.idf), len(self.toxic)
-        t, e = np.repeat(np.arange(size, dtype=np.int32), np.diff(self.start)), self.example
-        # by example, for exact cosines
-        by = np.argsort(e, kind="stable")
-        self.own_term, self.own_weight, self.own_start = t[by], np.asarray(self.weight)[by], np.searchsorted(e[by], np.arange(count + 1))
-        self.query = np.zeros(size)
-        # by block, in single precision
-        self.common, self.matrix, self.ptr, self.rare, self.rare_weight = [], [], [], [], []
-        for b in range(self.top.shape[1]):
-            at = np.arange(self.own_start[b * self.block], self.own_start[min(count, (b + 1) * self.block)])
-            bt, be = self.own_term[at], np.repeat(np.arange(min(self.block, count - b * self.block)), np.diff(self.own_start[b * self.block:(b + 1) * self.block + 1]))
-            bw, n = self.own_weight[at].astype(np.float32), np.bincount(bt, minlength=size)
-            common = np.flatnonzero(n * DENSE > self.block)
-            slot = np.full(size, -1, dtype=np.int32)
-            slot[common] = np.arange(len(common))
-            dense, m = slot[bt] >= 0, np.zeros((len(common), self.block), dtype=np.float32)
-            m[slot[bt[dense]], be[dense]] = bw[dense]
-            by = np.flatnonzero(~dense)[np.argsort(bt[~dense], kind="stable")]
-            n[common] = 0
-            self.common.append(common)
-            self.matrix.append(m)
-            self.ptr.append(np.r_[0, np.cumsum(n)].astype(np.int32))
-            self.rare.append(be[by].astype(np.int32))
-            self.rare_weight.append(bw[by])
-        every = np.unique(np.concatenate([*self.common, np.empty(0, dtype=np.int64)])).astype(np.int64)
-        self.column = np.full(size, -1, dtype=np.int32)
-        self.column[every] = np.arange(len(every))
-        self.columns = len(every)
-
-    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and weights, of length one; both empty for a text without known terms."""
-        words = _WORD.findall((text or "").lower())
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = tuple(i for x in terms_of(w) if (i := self.terms.get(x)) is not None)
-        t, n = np.unique(np.fromiter(chain.from_iterable(map(known.__getitem__, words)), dtype=np.int64), return_counts=True)
-        if not len(t):
-            return t, np.empty(0)
-        w = (1 + np.log(n)) * self.idf[t]
-        return t, w / np.linalg.norm(w)
-
-    def nearest(self, t: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the ``k`` nearest examples with a common term; ties go to the first place."""
-        return self.nearest_of([(t, w)], k)[0]
-
-    def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """``nearest`` of many texts."""
-        count, blocks, block = len(self.toxic), self.top.shape[1], self.block
-        if not (blocks and sum(len(t) for t, _ in vectors)):
-            return [(np.empty(0, dtype=np.int64), np.empty(0))] * len(vectors)
-        size = np.array([len(t) for t, _ in vectors])
-        row, term, weight = np.repeat(np.arange(len(vectors)), size), np.concatenate([t for t, _ in vectors]), np.concatenate([w for _, w in vectors])
-        dense, column = np.zeros((len(vectors), self.columns), dtype=np.float32), self.column[term]
-        dense[row[column >= 0], column[column >= 0]] = weight[column >= 0]
-        bound = np.array([w @ self.top[t] for t, w in vectors])
-        cos, last = np.zeros((len(vectors), blocks * block), dtype=np.float32), np.zeros(len(vectors))
-        best = bound.argmax(axis=1)
-        for again in (False, True):
-            for b in range(blocks):
-                open_ = np.flatnonzero((best != b) & (bound[:, b] > 0) & (bound[:, b] >= last - ROUNDING) if again else (best == b) & (bound[:, b] > 0))
-                if not len(open_):
-                    continue
-                got = dense[np.ix_(open_, self.column[self.common[b]])] @ self.matrix[b]
-                local = np.full(len(vectors), -1)
-                local[open_] = np.arange(len(open_))
-                lo = self.ptr[b][term]
-                n = self.ptr[b][term + 1] - lo
-                at = np.flatnonzero((n > 0) & (local[row] >= 0))
-                n, place = n[at], _spans(lo[at], n[at])
-                got += np.bincount(np.repeat(local[row[at]] * block, n) + self.rare[b][place], np.repeat(weight[at], n) * self.rare_weight[b][place],
-                                   got.size).reshape(got.shape)
-                cos[open_, b * block:(b + 1) * block] = got
-            if not again and count > k:
-                last = np.array([np.partition(cos[i, b * block:(b + 1) * block], -k)[-k] if k <= block else 0.0 for i, b in enumerate(best)])
-        out = []
-        for c, (t, w) in zip(cos, vectors):
-            least = np.partition(c, -k)[-k] - ROUNDING if k <= len(c) else 0.0
-            place = np.flatnonzero((c > 0) & (c >= least))
+        self.__dict__.update({k: np.asarray(v) if isinstance(v, np.ndarray) else v for k, v in index.items()})
+        self.size, self.count, self.unit = len(self.idf), len(self.toxic), float(index["unit"][0])
+        self.blocks = self.top.shape[1]
+        self.terms = pa.StringArray.from_buffers(self.size, pa.py_buffer(self.name_ends), pa.py_buffer(self.names))
+        self.rare_start = np.r_[0, np.cumsum(self.rare_count.sum(axis=1, dtype=np.int64))]
+        self.query = np.zeros(self.size)
+
+    def _counted(self, rows: int, row: np.ndarray, term: np.ndarray, n: np.ndarray) -> Vectors:
+        """Vectors of ``n`` occurrences of terms (-1: unknown) in texts."""
+        known = term >= 0
+        key = row[known] * np.int64(max(1, self.size)) + term[known]
+        by = np.argsort(key, kind="stable")
+        key, n = key[by], n[known][by]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, dtype=np.int64)
+        row, term = key[first] // max(1, self.size), key[first] % max(1, self.size)
+        tf = np.add.reduceat(n, first) if len(first) else n
+        return Vectors(rows, row, term, (1 + np.log(tf.astype(float))) * self.idf[term])
+
+    def _ids(self, names: pa.Array) -> np.ndarray:
+        """Numbers of terms, -1 where unknown: looked up by hash, then compared."""
+        if not (self.size and len(names)):
+            return np.full(len(names), -1)
+        h = _hashes(names)
+        at = np.minimum(np.searchsorted(self.hashes, h), self.size - 1)
+        ids = np.where(self.hashes[at] == h, self.by_hash[at], -1)
+        known = np.flatnonzero(ids >= 0)
+        same = pc.equal(names.take(pa.array(known)), self.terms.take(pa.array(ids[known]))).to_numpy(zero_copy_only=False)
+        ids[known[~same]] = -1
+        return ids
+
+    def vectors(self, texts: list[str | None]) -> Vectors:
+        """Vectors of texts; empty for a text without known terms."""
+        found = [_WORD.findall((t or "").lower()) for t in texts]
+        coded = pa.array(chain.from_iterable(found), pa.string()).dictionary_encode()
+        words = coded.dictionary
+        key = np.repeat(np.arange(len(texts)), [len(f) for f in found]) * max(1, len(words)) + coded.indices.to_numpy()
+        key, n = np.unique(key, return_counts=True)
+        row, word = key // max(1, len(words)), key % max(1, len(words))
+        long = pc.utf8_length(words)
+        ids = [self._ids(words)]
+        for k in (4, 5):
+            starts = pc.utf8_slice_codeunits(words, 0, k).dictionary_encode()  # far fewer than words
+            x = self._ids(pc.binary_join_element_wise(starts.dictionary, "*", ""))[starts.indices.to_numpy()] if len(words) else ids[0]
+            ids.append(np.where(pc.less(long, k).to_numpy(zero_copy_only=False), -1, x))
+        ids = np.stack(ids)
+        return self._counted(len(texts), np.tile(row, 3), ids[:, word].ravel(), np.tile(n, 3))
+
+    def vectors_of_terms(self, terms: pa.ListArray, tf: pa.ListArray) -> Vectors:
+        """Vectors of counted terms, as ``_terms`` gives them."""
+        row = np.repeat(np.arange(len(terms)), pc.list_value_length(terms).to_numpy())
+        return self._counted(len(terms), row, self._ids(terms.flatten()), tf.flatten().to_numpy().astype(np.int64))
+
+    def _add_rare(self, c: np.ndarray, weight: np.ndarray, at: np.ndarray, ends: np.ndarray, opens: np.ndarray) -> None:
+        """Add to ``c``, a text's cosines, what its rare terms bring in the blocks ``opens``; ``ends``: each term's postings up to each block."""
+        edges = np.flatnonzero(np.diff(np.r_[False, opens, False])).tolist()
+        for lo, hi in zip(edges[::2], edges[1::2]):  # neighbouring blocks at once
+            n = ends[:, hi] - ends[:, lo]
+            some = np.flatnonzero(n)
+            if len(some):
+                start, n = at[some] + ends[some, lo], n[some]
+                found = np.concatenate([self.rare[x:y] for x, y in zip(start.tolist(), (start + n).tolist())]).view(_POSTING)
+                first, size = lo * self.block, (hi - lo) * self.block
+                c[first:first + size] += np.bincount(found["example"] - np.int64(first), found["weight"] * np.repeat(weight[some], n), size)
+
+    def nearest(self, v: Vectors, k: int, skip: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Places and cosines of each text's ``k`` nearest examples with a common term, without the example ``skip``; ties go to the first place."""
+        if not (self.blocks and len(v.row)):
+            return [(np.empty(0, dtype=np.int64), np.empty(0))] * v.rows
+        column = self.common[v.term]
+        dense = np.zeros((v.rows, len(self.matrix)), dtype=np.float32)
+        dense[v.row[column >= 0], column[column >= 0]] = v.weight[column >= 0]
+        cosines, out = dense @ self.matrix, []
+        for c, lo, hi, own in zip(cosines, v.start[:-1].tolist(), v.start[1:].tolist(), [-1] * v.rows if skip is None else skip.tolist()):
+            t, w, rare = v.term[lo:hi], v.weight[lo:hi], column[lo:hi] < 0
+            # The bound holds for the whole cosine; a block that is not opened may keep a part of it, which is no larger.
+            bound = self.unit * (w.astype(np.float32) @ self.top[t].astype(np.float32))
+            first, last = int(bound.argmax()), 0.0
+            at, weight = self.rare_start[t[rare]], w[rare].astype(np.float32)
+            ends = np.zeros((len(at), self.blocks + 1), dtype=np.int64)
+            np.cumsum(self.rare_count[t[rare]], axis=1, out=ends[:, 1:])
+            opens = np.zeros(self.blocks, dtype=bool)
+            opens[first] = bound[first] > 0
+            self._add_rare(c, weight, at, ends, opens)
+            best = c[first * self.block:(first + 1) * self.block].copy()
+            if own // self.block == first:
+                best[own % self.block] = 0
+            if k <= len(best):
+                last = float(np.partition(best, -k)[-k])
+            opens = (bound > 0) & (bound >= last - ROUNDING) & ~opens
+            self._add_rare(c, weight, at, ends, opens)
+            place = np.flatnonzero((c > 0) & (c >= last - ROUNDING))
+            place = place[place != own]
+            if len(place) > k:
+                place = place[c[place] >= np.partition(c[place], -k)[-k] - ROUNDING]
             if not len(place):
                 out.append((place, np.empty(0)))
                 continue
@@ -231,45 +298,114 @@ class NearestExamples:
             at = _spans(self.own_start[place], n)
             exact = np.add.reduceat(self.query[self.own_term[at]] * self.own_weight[at], np.cumsum(n) - n)
             self.query[t] = 0
-            first = np.lexsort((place, -exact))[:k]
-            out.append((place[first], exact[first]))
+            order = np.lexsort((place, -exact))[:k]
+            out.append((place[order], exact[order]))
         return out
 
+    def vote(self, place: np.ndarray, cos: np.ndarray) -> float:
+        """Share of toxic among the neighbours by squared similarity, shrunk towards that of all labels."""
+        votes = cos * cos
+        return float((votes @ self.toxic[place] + PRIOR_WEIGHT * self.base) / (votes.sum() + PRIOR_WEIGHT)) if len(place) else self.base
+
     def score(self, text: str | None, k: int = NEIGHBOURS) -> tuple[float, list[dict]]:
         return self.scores([text], k)[0]
 
     def scores(self, texts: list[str | None], k: int = NEIGHBOURS) -> list[tuple[float, list[dict]]]:
         """Score and evidence of each text."""
-        out = []
-        for place, cos in self.nearest_of([self.vector(t) for t in texts], k):
-            votes = cos * cos
-            s = (votes @ self.toxic[place] + PRIOR_WEIGHT * self.base) / (votes.sum() + PRIOR_WEIGHT) if len(place) else self.base
-            out.append((float(s), [{"doc_id": int(self.doc_id[p]), "similarity": round(float(c), 6), "toxic": int(self.toxic[p])}
-                                   for p, c in zip(place[:3].tolist(), cos[:3].tolist())]))
-        return out
+        return [(scaled(self.vote(place, cos), self.slope, self.shift),
+                 [{"doc_id": int(self.doc_id[p]), "similarity": round(float(c), 6), "toxic": int(self.toxic[p])} for p, c in zip(place[:3].tolist(), cos[:3].tolist())])
+                for place, cos in self.nearest(self.vectors(texts), k)]
 
 
-def _scored(held, schema: pa.Schema, keep: list[str]):
+def _log_odds(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-4, 1 - 1e-4)
+    return np.log(p / (1 - p))
+
+
+def scaled(vote: float, slope: float, shift: float) -> float:
+    """A vote on the logistic scale; the scale ``1, 0`` leaves it as it is."""
+    return vote if (slope, shift) == (1.0, 0.0) else float(1 / (1 + np.exp(-(slope * _log_odds(np.array(vote)) + shift))))
+
+
+def logistic(votes: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the scale by maximum likelihood, with targets just inside 0 and 1; ``1, 0`` if that does not rise with the vote."""
+    x, high = _log_odds(votes), toxic > 0
+    y = np.where(high, (high.sum() + 1) / (high.sum() + 2), 1 / ((~high).sum() + 2))
+    a = np.array([1.0, 0.0])
+    design = np.stack([x, np.ones(len(x))], axis=1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(design @ a, -30, 30)))
+        step = np.linalg.solve((design * (p * (1 - p) + 1e-9)[:, None]).T @ design + 1e-6 * np.eye(2), design.T @ (y - p))
+        a = a + np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-9:
+            break
+    return (float(a[0]), float(a[1])) if a[0] > 0 else (1.0, 0.0)
+
+
+def _votes(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = held.value.get("search") or held.value.setdefault("search", NearestExamples(held.value))  # one per Python process
+        search = _search(held)
         for b in (b.slice(a, ROWS) for b in batches for a in range(0, b.num_rows, ROWS)):
-            out = index.scores(b.column("text").to_pylist())
-            cols = [b.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([round(s, 6) for s, _ in out], pa.float64()),
-                                              pa.array([e for _, e in out], schema.field("evidence").type)], [*keep, "score", "evidence"])
+            places = {(i, s): p for p, (i, s) in enumerate(zip(search.doc_id.tolist(), np.diff(search.own_start).tolist()))}
+            own = np.array([places.get((i, len(t)), -1) for i, t in zip(b.column("doc_id").to_pylist(), b.column("terms"))])
+            got = search.nearest(search.vectors_of_terms(b.column("terms"), b.column("tf")), NEIGHBOURS, own)
+            yield pa.RecordBatch.from_arrays([pa.array([search.vote(*x) for x in got], pa.float64()), b.column("toxic")], ["vote", "toxic"])
+    return run
+
+
+def _scale(found: DataFrame, index: dict, share_of: float) -> tuple[float, float]:
+    """The scale of scores, from the votes of some examples among all others."""
+    held = _held(found.sparkSession, index)
+    some = found.where(F.pmod(F.xxhash64("row", F.lit(1)), F.lit(1 << 40)) < int((1 << 40) * share_of))
+    rows = some.select("doc_id", "toxic", "terms", "tf").mapInArrow(_votes(held), "vote double, toxic int").toArrow()  # about SCALE_EXAMPLES rows
+    votes, toxic = rows["vote"].to_numpy(), rows["toxic"].to_numpy()
+    return logistic(votes, toxic) if 0 < (toxic > 0).sum() < len(toxic) else (1.0, 0.0)
+
+
+def _held(spark: SparkSession, index: dict):
+    return spark.sparkContext.broadcast({k: index[k] for k in ("path", "base", "block", "slope", "shift")})
+
+
+def _search(held) -> NearestExamples:
+    """One per Python process."""
+    return held.value.get("search") or held.value.setdefault("search", NearestExamples(held.value | shared(held.value["path"], _ARRAYS)))
+
+
+def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Slices of at most ``ROWS`` texts and about ``PART_CHARS`` characters, at least one text each."""
+    a = size = 0
+    for i, t in enumerate(texts):
+        if i > a and (size + len(t or "") > PART_CHARS or i - a == ROWS):
+            yield a, i
+            a, size = i, 0
+        size += len(t or "")
+    if texts:
+        yield a, len(texts)
+
+
+def _scored(held, schema: pa.Schema, keep: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = _search(held)
+        for whole in batches:
+            texts = whole.column("text").to_pylist()
+            for lo, hi in _parts(texts):
+                b, out = whole.slice(lo, hi - lo), search.scores(texts[lo:hi])
+                cols = [b.column(c) for c in keep]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([round(s, 6) for s, _ in out], pa.float64()),
+                                                  pa.array([e for _, e in out], schema.field("evidence").type)], [*keep, "score", "evidence"])
     return run
 
 
 def score_texts(docs: DataFrame, index: dict, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs`` with ``score`` and ``evidence`` (the three nearest examples).
 
-    Null and empty texts, and texts without known terms, score the share of toxic labels.
+    Null and empty texts, and texts without known terms, score as the share of toxic labels does.
     """
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
     types = dict(docs.dtypes)
     schema = pa.schema([("score", pa.float64()), ("evidence", kind)])
     spec = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "score double", "evidence array<struct<doc_id: long, similarity: double, toxic: int>>"])
-    held = docs.sparkSession.sparkContext.broadcast(index)
+    held = _held(docs.sparkSession, index)
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(_scored(held, schema, keep), spec)
 
 

@@ -20,31 +20,51 @@ def corpus(spark, n=400):
     return rows, spark.createDataFrame([(a, b, "x") for a, b in labels], "doc_id long, toxic int, score string")
 
 
-def index(n=60, terms=8, block=4, seed=0):
+def index(n=60, terms=8, block=4, seed=0, common=3):
     rng = np.random.default_rng(seed)
-    m = rng.random((n, terms)) * (rng.random((n, terms)) < 0.4)
-    m = np.round(m, 1)
-    m[m.sum(axis=1) == 0, 0] = 1
+    tf = rng.integers(0, 6, (n, terms)) * (rng.random((n, terms)) < 0.4)
+    tf[tf.sum(axis=1) == 0, 0] = 1
+    idf = np.round(rng.random(terms) + 0.5, 1)
+    m = np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0) * idf
     m /= np.linalg.norm(m, axis=1, keepdims=True)
-    t, e = np.nonzero(m.T)
-    top = np.array([[m[b:b + block, j].max() for b in range(0, n, block)] for j in range(terms)])
-    return m, {"terms": {f"t{i}": i for i in range(terms)}, "idf": np.ones(terms), "base": 0.3, "block": block, "example": e, "weight": m.T[t, e], "top": top,
-               "start": np.searchsorted(t, np.arange(terms + 1)), "toxic": np.zeros(n), "doc_id": np.arange(n)}
+    t, e = np.nonzero(tf.T)
+    arrays = N.layout([f"t{i}" for i in range(terms)], idf, t, e, tf.T[t, e], np.zeros(n), np.arange(n), block, common)
+    return m, arrays | {"base": 0.3, "block": block, "slope": 1.0, "shift": 0.0}
 
 
-@given(st.integers(0, 10 ** 6), st.integers(1, 20))
+@given(st.integers(0, 10 ** 6), st.integers(1, 20), st.integers(0, 8))
 @settings(max_examples=150, deadline=None)
-def test_block_max_search_is_exact(seed, k):
-    m, ix = index(seed=seed)
+def test_block_max_search_is_exact(seed, k, common):
+    m, ix = index(seed=seed, common=common)
     rng = np.random.default_rng(seed + 1)
-    t = np.sort(rng.choice(8, rng.integers(1, 6), replace=False))
-    w = rng.random(len(t)) + 0.01
-    w /= np.linalg.norm(w)
-    place, cos = N.NearestExamples(ix).nearest(t, w, k)
-    exact = m[:, t] @ w
-    want = np.lexsort((np.arange(len(m)), -np.round(exact, 12)))[:k]
-    want = want[exact[want] > 0]
-    assert np.allclose(cos, exact[want]) and np.allclose(exact[place], cos)
+    texts = [(np.sort(rng.choice(8, rng.integers(1, 6), replace=False)), int(rng.integers(-1, 60))) for _ in range(4)]
+    row = np.repeat(np.arange(4), [len(t) for t, _ in texts])
+    v = N.Vectors(4, row, np.concatenate([t for t, _ in texts]), rng.random(len(row)) + 0.01)
+    got = N.NearestExamples(ix).nearest(v, k, np.array([own for _, own in texts]))
+    for (t, own), (a, b), (place, cos) in zip(texts, zip(v.start, v.start[1:]), got):
+        exact = m[:, t] @ v.weight[a:b]
+        exact[own if own >= 0 else len(m):][:1] = 0
+        want = np.lexsort((np.arange(len(m)), -np.round(exact, 12)))[:k]
+        want = want[exact[want] > 0]
+        assert np.allclose(cos, exact[want]) and np.allclose(exact[place], cos)
+
+
+def test_bounds_are_never_below_a_weight():
+    for seed in range(20):
+        m, ix = index(seed=seed)
+        top = ix["top"][:8].astype(float) * ix["unit"][0]
+        assert (top + 1e-6 >= np.array([[m[b:b + 4, j].max() for b in range(0, 60, 4)] for j in range(8)])).all()
+
+
+def test_scale_is_fitted_and_rises():
+    rng = np.random.default_rng(1)
+    p = rng.random(5000)
+    toxic = (rng.random(5000) < 1 / (1 + np.exp(-(3 * np.log(p / (1 - p)) - 1)))).astype(int)
+    slope, shift = N.logistic(p, toxic)
+    assert abs(slope - 3) < 0.3 and abs(shift + 1) < 0.3
+    at = [N.scaled(x, slope, shift) for x in np.linspace(0, 1, 50)]
+    assert at == sorted(at) and 0 <= at[0] and at[-1] <= 1
+    assert N.logistic(p, 1 - toxic) == (1.0, 0.0) and N.scaled(0.3, 1.0, 0.0) == 0.3
 
 
 def test_held_out_accuracy_and_folds(spark):
@@ -98,12 +118,12 @@ def test_every_labelled_text_is_an_example_and_ordinary_words_count(spark):
     ix = N.fit(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"), block=64)
     trained = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1}
     assert set(ix["doc_id"].tolist()) == trained and set(np.unique(ix["toxic"])) == {0.0, 1.0}
-    assert {w for i, t in rows if i in trained for w in t.split()} <= set(ix["terms"].split("\n"))
     search = N.NearestExamples(ix)
+    assert {w for i, t in rows if i in trained for w in t.split()} <= set(search.terms.to_pylist())
     score, evidence = search.score("wak wbl")
     assert score > search.score("wak")[0] and score > search.score("wbl")[0] and all(e["toxic"] for e in evidence)
     score, evidence = search.score("wgk whl")
-    assert len(evidence) == 3 and evidence[0]["toxic"] == 0 and score != ix["base"] and score < N.THRESHOLD
+    assert len(evidence) == 3 and evidence[0]["toxic"] == 0 and score != search.score("")[0] and score < N.THRESHOLD
     texts = [t for _, t in rows[:40]] + ["", None, "zzz"]
     assert search.scores(texts) == [search.score(t) for t in texts]
     clean = spark.createDataFrame([(1, "ka lo"), (2, "lo mi")], "doc_id long, text string")
