@@ -68,6 +68,8 @@ def test_files_read_back(spark, scratch):
 
 def test_ten_thousand_rules_on_one_site(spark):
     import random
+
+    from pyspark.sql import Row
     rng = random.Random(6)
     rules = [("http://a.org:80", i, rng.random() < 0.5, "/" + "".join(rng.choice("ab/") for _ in range(rng.randint(0, 13)))) for i in range(10_000)]
     rules += [("http://b.org:80", 0, False, ""), ("http://b.org:80", 1, True, "/x")]
@@ -81,4 +83,4 @@ def test_ten_thousand_rules_on_one_site(spark):
             return True
         site, path = url[:12] + ":80", url[12:].split("?")[0]
         return next((a for s, _, a, p in rules if s == site and path.startswith(p)), True)
-    assert sorted(map(str, got.collect())) == sorted(str(got.first().__class__(url=u, n=n, allowed=want(u))) for u, n in urls)
+    assert sorted(map(str, got.collect())) == sorted(str(Row(url=u, n=n, allowed=want(u))) for u, n in urls)
