@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import ws_tokens
+from corpusmill.functions.text import l2_norm, ws_tokens
 from corpusmill.operators import sampling as M
+from corpusmill.operators import skipgram as SG
 from corpusmill.operators import vectors as VX
 from corpusmill.operators import vocab as V
 from corpusmill.operators.ranking import one_row
@@ -136,22 +138,18 @@ def nearest_words(spark, sf):
 
 
 def _word2vec(spark, sf):
-    from pyspark.ml.functions import vector_to_array
-    fv = _frequency_vocab(spark, sf, W1_SIZE).select("word", F.lit(True).alias("known"))
-    toks = B.corpus(spark, sf)
-    mapped = (toks.join(fv, "word", "left")
-              .select("doc", "pos", F.when(F.col("known"), F.col("word")).otherwise(F.lit(V.FREQ_UNK)).alias("w")))
-    sents = mapped.groupBy("doc").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda s: s["w"]).alias("words"))
-    vecs = VX.train_word2vec(cut_lineage(sents), "words", vector_size=128, window=1, seed=SEED)
-    return vecs.select("word", vector_to_array("vector").alias("vec"))
+    fv = cut_lineage(_frequency_vocab(spark, sf, W1_SIZE))
+    encoded = cut_lineage(V.encode_texts(B.corpus_text(spark, sf), "pair_id", "text", fv, 0))
+    vectors = SG.train_skipgram(encoded, SG.Training(vocab_size=W1_SIZE, seed=SEED), "pair_id")
+    rows = spark.createDataFrame(pa.table({"id": pa.array(range(len(vectors)), pa.int64()), "vec": pa.array(list(vectors), pa.list_(pa.float32()))}))
+    return fv.where("cnt > 0").join(rows, "id").select("word", "vec")
 
 
 @query("word2vec_vectors")
 def word2vec_vectors(spark, sf):
-    """E1 (re-aimed): Spark ML Word2Vec, dim 128, window 1, over the corpus with words
+    """Skip-gram vectors by noise-contrastive estimation, dim 128, window 1, 64 negatives, over the corpus with words
     outside the 20,000-word frequency vocabulary replaced by UNK; ``(word, norm)``."""
-    return _word2vec(spark, sf).select("word", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)).alias("norm"))
+    return _word2vec(spark, sf).select("word", l2_norm(F.col("vec")).alias("norm"))
 
 
 @query("word2vec_words", f"""WITH {S.freq_vocab(W1_SIZE - 1)}

@@ -126,3 +126,63 @@ def test_negative_draws_do_not_repeat(spark):
         raise AssertionError("more classes than there are must be refused")
     except ValueError:
         pass
+
+
+def topics(spark, n=400):
+    """Documents of two topics whose words never meet."""
+    import random
+    rng = random.Random(1)
+    return spark.createDataFrame([(i, [rng.randrange(0, 10) * 2 + i % 2 for _ in range(30)]) for i in range(n)], "id long, ids array<int>")
+
+
+def test_skipgram_vectors_are_the_same_for_any_partitions(spark):
+    import numpy as np
+
+    from corpusmill.operators import skipgram as SG
+    t = SG.Training(vocab_size=20, dim=8, negatives=4, batch=16, shards=3, rounds=2)
+    docs = topics(spark)
+    a, b = (SG.train_skipgram(docs.repartition(n), t) for n in (1, 7))
+    assert np.array_equal(a, b) and not np.array_equal(a, SG.first_vectors(t)[0])
+    assert np.array_equal(SG.train_skipgram(docs.limit(0), t), SG.first_vectors(t)[0])
+
+
+def test_skipgram_vectors_know_what_stands_together(spark):
+    import numpy as np
+
+    from corpusmill.operators import skipgram as SG
+    t = SG.Training(vocab_size=20, dim=16, negatives=6, batch=32, shards=2, rounds=6, rate=2.0)
+    v = SG.train_skipgram(topics(spark), t)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sim, same = u @ u.T, np.add.outer(np.arange(20), np.arange(20)) % 2 == 0
+    np.fill_diagonal(same, False)
+    off = ~same & ~np.eye(20, dtype=bool)
+    assert sim[same].mean() > sim[off].mean() + 0.3
+
+
+def test_skipgram_pairs_and_gradient():
+    import numpy as np
+
+    from corpusmill.operators import skipgram as SG
+    c, x = SG.pairs_of([np.array([1, 2, 3]), np.array([7]), np.array([4, 5])], 1)
+    assert list(zip(c.tolist(), x.tolist())) == [(1, 2), (2, 1), (2, 3), (3, 2), (4, 5), (5, 4)]
+    t = SG.Training(vocab_size=9, dim=5, negatives=3, batch=4, rate=1e-3)
+    rng = np.random.default_rng(2)
+    negatives = SG.distinct_negatives(rng, t)
+    assert len(set(negatives.tolist())) == 3 and sorted(SG.distinct_negatives(rng, SG.Training(vocab_size=9, negatives=20)).tolist()) == list(range(9))
+    centres, contexts = (a.astype(float) for a in SG.first_vectors(t))
+    c, x = np.array([1, 2, 2, 8]), np.array([3, 3, 4, 0])
+
+    def loss(e, w):
+        true = (e[c] * w[x, :-1]).sum(axis=1) + w[x, -1] - SG.log_expected(x, t)
+        noise = e[c] @ w[negatives, :-1].T + w[negatives, -1] - SG.log_expected(negatives, t)
+        return (np.log1p(np.exp(-true)).sum() + np.log1p(np.exp(noise)).sum()) / len(c)
+
+    new = centres.copy(), contexts.copy()
+    SG.learn(*new, c, x, negatives, t)
+    for table, was, now in ((0, centres, new[0]), (1, contexts, new[1])):
+        for i, j in ((1, 0), (2, 3), (3, 1), (0, 2), (int(negatives[0]), was.shape[1] - 1)):
+            step = np.zeros_like(was)
+            step[i, j] = 1e-5
+            both = [(centres + step * s, contexts) if table == 0 else (centres, contexts + step * s) for s in (1, -1)]
+            slope = (loss(*both[0]) - loss(*both[1])) / 2e-5
+            assert abs((was[i, j] - now[i, j]) / t.rate - slope) < 1e-4
