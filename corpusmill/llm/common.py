@@ -30,15 +30,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def share(spark: SparkSession, arrays: dict[str, np.ndarray], label: str) -> str:
-    """Write arrays as files into a new folder below the shared one; returns its path."""
-    path = scratch_path(spark, label)
+def share(arrays: dict[str, np.ndarray], path: str) -> None:
+    """Write arrays as files of a new folder."""
     fs, root = filesystem(path)
     fs.create_dir(root)
     for name, a in arrays.items():
         with fs.open_output_stream(f"{root}/{name}.npy") as f:
             np.save(f, a)
-    return path
 
 
 def shared(path: str, names: list[str]) -> dict[str, np.ndarray]:

@@ -26,15 +26,16 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from corpusmill.llm.common import share, shared, table, written
+from corpusmill.llm.common import scratch_path, share, shared, table, written
 
 MAX_EXAMPLES, SCALE_EXAMPLES = 10_000, 2_000
 NEIGHBOURS, PRIOR_WEIGHT, THRESHOLD, BLOCK = 15, 0.5, 0.7, 512
-ROWS, PART_CHARS = 512, 1 << 21  # texts and characters in Python at a time
+ROWS, PART_CHARS = 1024, 1 << 22  # texts and characters in Python at a time
 COMMON = 2000  # terms scored by matrix product
 ROUNDING = 1e-4  # above any error of a cosine in single precision
 _ARRAYS = ["names", "name_ends", "idf", "top", "common", "matrix", "rare", "rare_count", "hashes", "by_hash", "own_term", "own_weight", "own_start", "unit", "toxic", "doc_id"]
@@ -76,7 +77,7 @@ def _ratio(a: np.ndarray, n: np.ndarray, toxic: int, total: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, block: int = BLOCK) -> dict:
-    """The index of the labelled texts: its arrays, where they lie in the shared folder, and the scale of scores.
+    """The index of the labelled texts: the folder that its arrays lie in, the share of toxic labels and the scale of scores.
 
     ``docs``: ``doc_id, text``; ``labels``: ``doc_id, toxic``.  Held-out ids, null ids and null labels are left
     out; an id with several labels takes the largest.  Without labelled texts that have words
@@ -92,15 +93,30 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, bl
     found = written(rows.mapInArrow(_terms, "doc_id long, toxic int, row long, terms array<string>, tf array<int>"), "toxic-terms")
     total, toxic = marks.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     found = found.where(F.size("terms") > 0)
-    index = _arrays(found.toArrow().combine_chunks(), block) | {"base": toxic / total if total else 0.5, "block": block, "slope": 1.0, "shift": 0.0}
     spark = docs.sparkSession
-    path = share(spark, {k: index[k] for k in _ARRAYS}, "toxic-index")
-    index |= {"path": path, **shared(path, _ARRAYS)}
+    # One task builds the index of the bounded sample and leaves it in the shared folder; a second attempt writes a folder of its own.
+    built = found.repartition(1).mapInArrow(_build(scratch_path(spark, "toxic-index"), block), "path string").first()
+    index = {"path": built["path"], "base": toxic / total if total else 0.5, "block": block, "slope": 1.0, "shift": 0.0}
     if 0 < toxic < total:
         index["slope"], index["shift"] = _scale(found, index, min(1.0, SCALE_EXAMPLES / total))
     return index
 
 
+def _build(path: str, block: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("row", pa.int64()), ("terms", pa.list_(pa.string())), ("tf", pa.list_(pa.int32()))])
+        held = pa.Table.from_batches([pa.RecordBatch.from_arrays([b.column(f.name).cast(f.type) for f in schema], schema=schema) for b in batches], schema)
+        folder = f"{path}-{TaskContext.get().taskAttemptId()}"
+        share(_arrays(held.combine_chunks(), block), folder)
+        yield pa.RecordBatch.from_arrays([pa.array([folder])], ["path"])
+    return run
+
+
+def opened(index: dict) -> dict:
+    """A fitted index with its arrays."""
+    return index | shared(index["path"], _ARRAYS)
+
+
 def _arrays(held: pa.Table, block: int) -> dict[str, np.ndarray]:
     """The arrays of an index of examples (about ``max_examples`` rows) with their terms."""
     held = held.sort_by([("doc_id", "ascending"), ("row", "ascending")])
@@ -173,11 +189,6 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
 
 
-def _spans(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The places ``lo[i], lo[i] + 1, ...``, ``n[i]`` of each, one after another."""
-    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-
-
 class Vectors:
     """Vectors of several texts, each of length one: ``row, term, weight`` in order of text and term."""
 
@@ -294,9 +305,10 @@ class NearestExamples:
                 out.append((place, np.empty(0)))
                 continue
             self.query[t] = w
-            n = self.own_start[place + 1] - self.own_start[place]
-            at = _spans(self.own_start[place], n)
-            exact = np.add.reduceat(self.query[self.own_term[at]] * self.own_weight[at], np.cumsum(n) - n)
+            ranges = list(zip(self.own_start[place].tolist(), self.own_start[place + 1].tolist()))
+            terms, weights = (np.concatenate([x[a:b] for a, b in ranges]) for x in (self.own_term, self.own_weight))
+            n = np.array([b - a for a, b in ranges])
+            exact = np.add.reduceat(self.query.take(terms) * weights, np.cumsum(n) - n)
             self.query[t] = 0
             order = np.lexsort((place, -exact))[:k]
             out.append((place[order], exact[order]))
@@ -353,22 +365,22 @@ def _votes(held):
     return run
 
 
-def _scale(found: DataFrame, index: dict, share_of: float) -> tuple[float, float]:
+def _scale(found: DataFrame, index: dict, part: float) -> tuple[float, float]:
     """The scale of scores, from the votes of some examples among all others."""
     held = _held(found.sparkSession, index)
-    some = found.where(F.pmod(F.xxhash64("row", F.lit(1)), F.lit(1 << 40)) < int((1 << 40) * share_of))
+    some = found.where(F.pmod(F.xxhash64("row", F.lit(1)), F.lit(1 << 40)) < int((1 << 40) * part))
     rows = some.select("doc_id", "toxic", "terms", "tf").mapInArrow(_votes(held), "vote double, toxic int").toArrow()  # about SCALE_EXAMPLES rows
     votes, toxic = rows["vote"].to_numpy(), rows["toxic"].to_numpy()
     return logistic(votes, toxic) if 0 < (toxic > 0).sum() < len(toxic) else (1.0, 0.0)
 
 
 def _held(spark: SparkSession, index: dict):
-    return spark.sparkContext.broadcast({k: index[k] for k in ("path", "base", "block", "slope", "shift")})
+    return spark.sparkContext.broadcast(dict(index))
 
 
 def _search(held) -> NearestExamples:
     """One per Python process."""
-    return held.value.get("search") or held.value.setdefault("search", NearestExamples(held.value | shared(held.value["path"], _ARRAYS)))
+    return held.value.get("search") or held.value.setdefault("search", NearestExamples(opened(held.value)))
 
 
 def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:

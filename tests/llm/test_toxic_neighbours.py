@@ -102,7 +102,7 @@ def test_no_labels_and_empty(spark):
     assert {r.score for r in N.toxicity(docs, labels).collect()} == {0.5}
     assert N.toxicity(docs.limit(0), labels).count() == 0
     rows, labels = corpus(spark, 40)
-    assert len(N.fit(documents(spark, rows), labels, max_examples=10)["doc_id"]) <= 20
+    assert len(N.opened(N.fit(documents(spark, rows), labels, max_examples=10))["doc_id"]) <= 20
 
 
 def test_every_labelled_text_is_an_example_and_ordinary_words_count(spark):
@@ -116,6 +116,7 @@ def test_every_labelled_text_is_an_example_and_ordinary_words_count(spark):
         rows.append((i, " ".join([*rng.choice(words[20:], 3), *has])))
         labels.append((i, int(toxic)))
     ix = N.fit(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"), block=64)
+    ix = N.opened(ix)
     trained = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1}
     assert set(ix["doc_id"].tolist()) == trained and set(np.unique(ix["toxic"])) == {0.0, 1.0}
     search = N.NearestExamples(ix)
