@@ -23,6 +23,9 @@ WEIGHT_UNITS = 200
 ALPHA = 0.5
 
 
+NEEDED, PLACE = ("doc_id", "text", "source"), ("nr", "block", "cycle", "slot")
+
+
 def order_key() -> Column:
     """Order of documents within a source: a digest of id and text, the same on every run."""
     return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))).cast("binary"))
@@ -106,9 +109,11 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block_docs: int = BLO
 
     Sorting by ``cycle, slot, nr`` gives the mix.  ``weights``: ``source, q``; without it, weights in
     proportion to the square root of the sources' sizes.  A null source is a source of its own; rows with
-    equal id and text are numbered one after another; a null or empty text is an ordinary document.  An
-    empty table gives an empty result.
+    equal id and text are numbered one after another; a null or empty text is an ordinary document.  Columns of
+    these names that ``docs`` has already are replaced.  An empty table gives an empty result.
     """
+    kept = [c for c in docs.columns if c not in PLACE]
+    docs = docs.select(*[F.col(f"`{c}`").alias(c if c in NEEDED else f"__c{i}") for i, c in enumerate(kept)])
     counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     plan = mix_schedule(counts, tempered_weights(counts) if weights is None else weights, block_docs)
     q = plan.select(F.col("source").alias("__qs"), F.col("q").alias("__q")).distinct()
@@ -121,13 +126,12 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block_docs: int = BLO
           & (F.col("cycle") >= F.col("__from")) & (F.col("cycle") < F.col("__to")))
     # The plan's size is set by the weights (about WEIGHT_UNITS rows a phase), not by the documents.
     return (n.join(F.broadcast(plan), on)
-            .drop("__qs", "__q", "__ps", "__from", "__to", "__i", "__key"))
+            .select(*[F.col(c if c in NEEDED else f"__c{i}").alias(c) for i, c in enumerate(kept)], *PLACE))
 
 
 def in_mix_order(docs: DataFrame, weights: DataFrame | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """``docs`` sorted by their place in the mix, columns unchanged whatever their names; written files keep this order."""
-    needed = ("doc_id", "text", "source")
-    own = [c if c in needed else f"__c{i}" for i, c in enumerate(docs.columns)]
+    own = [c if c in NEEDED else f"__c{i}" for i, c in enumerate(docs.columns)]
     mixed = mix(docs.toDF(*own), weights, block_docs).orderBy("cycle", "slot", "nr")
     return mixed.select(*[F.col(x).alias(c) for x, c in zip(own, docs.columns)])
 

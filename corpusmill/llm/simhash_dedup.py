@@ -184,6 +184,8 @@ def keep_one_per_group(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: in
 
     Rows that repeat this id with the same fingerprint collapse to one; a group of null ids keeps one row.
     """
+    names = docs.columns
+    docs = docs.toDF(*[c if c in ("doc_id", "text") else f"__c{i}" for i, c in enumerate(names)])  # no name of theirs meets one of ours
     row = F.xxhash64("doc_id", "text").alias("__row")
     f = written(with_fingerprint(docs.select("doc_id", "text", row), words).select("doc_id", "__row", "fp"), "simhash")
     g = fingerprint_groups(f.select("doc_id", "fp"), max_bits).select("fp", "group_fp", "component_id")
@@ -191,7 +193,7 @@ def keep_one_per_group(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: in
     stay = first.groupBy("group_fp").agg(F.min("__row").alias("__row")).select("__row")
     # The row's hash stands for its text, so no fingerprint is computed twice; ids and hashes are nearly unique.
     return (docs.withColumn("__row", row).join(stay, "__row", "left_semi").dropDuplicates(["__row"])
-            .select(*docs.columns))
+            .select(*docs.columns).toDF(*names))
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

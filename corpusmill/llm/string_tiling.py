@@ -1,14 +1,14 @@
 """Operator 4, benchmark decontamination by greedy string tiling.
 
-Texts are lower-cased runs of letters and digits.  Seeds are word runs of ``MIN_MATCH`` words that a
+Texts are lower-cased runs of letters and digits; in scripts written without spaces every character is a word.  Seeds are word runs of ``MIN_MATCH`` words that a
 document shares with a benchmark item, found by Karp-Rabin hashes and checked word by word.  Per
 document and item the seeds grow into maximal matches; the longest match that overlaps no earlier one is
 marked as a tile, again and again, until no match of ``MIN_MATCH`` unmarked words is left.  Tiles may lie in any
 order, so rearranged passages are found.  A document leaks an item when its tiles cover at least
-``MIN_COVER`` of the item's words.
+``MIN_COVER`` of the item's words.  Items shorter than a seed are matched as one run; an item of a single word leaks only where it is the whole text.
 
-The benchmark is read in slices of at most about ``SLICE_WORDS`` words, each a broadcast of bounded size;
-a benchmark of any size takes as many passes over the documents as it has slices.
+The benchmark is read in slices of at most about ``SLICE_WORDS`` words, each a broadcast of bounded size, one
+at a time; a benchmark of any size takes as many passes over the documents as it has slices.
 """
 
 from __future__ import annotations
@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import table
+from corpusmill.llm.common import table, written
 
 MIN_MATCH, MIN_COVER, SLICE_WORDS = 5, 0.5, 500_000
 ROWS = 512  # texts in Python at a time
 
-_WORD = re.compile(r"[^\W_]+")
+# Thai and Lao, Myanmar, Khmer, kana, Han.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[{UNSPACED}]|[^\W_{UNSPACED}]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,6 +64,24 @@ class ItemIndex:
         h = join(hashes, np.uint64)
         order = np.argsort(h, kind="stable")
         self.hash, self.which, self.place = h[order], join(which, np.int64)[order], join(places, np.int64)[order]
+        self.short: dict[int, list[int]] = {}  # items shorter than a seed by their length
+        for n, ids in enumerate(self.ids):
+            if 0 < len(ids) < k:
+                self.short.setdefault(len(ids), []).append(n)
+        self.short_hash = {n: np.array([_rolling(self.ids[i], n)[0] for i in items]) for n, items in self.short.items()}
+
+    def short_runs(self, ids: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
+        """Items shorter than a seed that stand in the document as one run, the first of their runs as tile."""
+        for n, items in self.short.items():
+            if len(ids) < n or n == 1 and len(ids) > 1:
+                continue
+            h = _rolling(ids, n)
+            for at in np.flatnonzero(np.isin(self.short_hash[n], h)).tolist():
+                item = items[at]
+                for p in np.flatnonzero(h == self.short_hash[n][at]).tolist():
+                    if (ids[p:p + n] == self.ids[item]).all():
+                        yield item, [(p, 0, n)]
+                        break
 
     def seeds(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(place in the document, item, place in the item)`` of all seeds, checked word by word."""
@@ -94,6 +114,7 @@ class ItemIndex:
         for i in np.unique(item).tolist():
             m = item == i
             yield i, greedy_tiles(p[m], q[m], len(ids), len(self.ids[i]), self.k)
+        yield from self.short_runs(ids)
 
     def leaks(self, text: str | None, cover: float) -> Iterator[tuple[int, float, list[tuple[int, int, int]]]]:
         for i, tiles in self.tiles(text):
@@ -131,18 +152,17 @@ def greedy_tiles(p: np.ndarray, q: np.ndarray, n: int, m: int, k: int) -> list[t
     return tiles
 
 
-def item_slices(items: DataFrame, slice_words: int = SLICE_WORDS) -> Iterator[list[tuple]]:
-    """All items as lists of ``(item_id, text)``, in slices of bounded size.
+def item_slices(items: DataFrame, slice_words: int = SLICE_WORDS) -> Iterator[tuple[bool, list[tuple]]]:
+    """All items as lists of ``(item_id, text)``, in slices of bounded size, each with whether there are others.
 
-    Sizes are summed first; only one slice at a time is on the driver.  Null texts
-    are left out; items shorter than a seed match nothing.
+    Sizes are summed first; only one slice at a time is on the driver.  Null texts are left out.
     """
     sized = items.select("item_id", "text").where("text is not null").withColumn("n", F.length("text"))
     total = sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     slices = max(1, -(-total // (4 * slice_words)))
     for s in range(slices):
         part = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == s)
-        yield [(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()]
+        yield slices > 1, [(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()]
 
 
 def benchmark_leaks(docs: DataFrame, items: DataFrame, k: int = MIN_MATCH, cover: float = MIN_COVER,
@@ -154,7 +174,7 @@ def benchmark_leaks(docs: DataFrame, items: DataFrame, k: int = MIN_MATCH, cover
     give an empty result.
     """
     sc, found = docs.sparkSession.sparkContext, None
-    for part in item_slices(items, slice_words):
+    for several, part in item_slices(items, slice_words):
         held = sc.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -172,6 +192,9 @@ def benchmark_leaks(docs: DataFrame, items: DataFrame, k: int = MIN_MATCH, cover
         part = docs.select("doc_id", "text").mapInArrow(
             run, "doc_id long, item_id long, coverage double, n_tiles long, longest long, "
                  "tiles array<struct<doc_pos: long, item_pos: long, words: long>>")
+        if several:  # done with this slice before the next one is broadcast
+            part = written(part, "tiling-leaks")
+            held.unpersist()
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -179,8 +202,12 @@ def benchmark_leaks(docs: DataFrame, items: DataFrame, k: int = MIN_MATCH, cover
 def without_leaks(docs: DataFrame, items: DataFrame, k: int = MIN_MATCH, cover: float = MIN_COVER,
                   slice_words: int = SLICE_WORDS) -> DataFrame:
     """The rows of ``docs`` that leak no item, all columns unchanged."""
-    for part in item_slices(items, slice_words):
-        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(part), k, cover)(F.col("text")))
+    for several, part in item_slices(items, slice_words):
+        held = docs.sparkSession.sparkContext.broadcast(part)
+        docs = docs.where(_clean(held, k, cover)(F.col("text")))
+        if several:
+            docs = written(docs, "tiling-clean")
+            held.unpersist()
     return docs
 
 

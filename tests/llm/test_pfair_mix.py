@@ -57,3 +57,13 @@ def test_hot_source_is_numbered_in_buckets(spark):
     docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("same").alias("text"), F.lit("hot").alias("source"))
     nr = sorted(r.nr for r in M.numbered_by_source(docs, digits=2).select("nr").collect())
     assert nr == list(range(5000))
+
+
+def test_clashing_columns_are_replaced_or_stay(spark):
+    docs = spark.createDataFrame([(i, f"t{i}", "s", -1, f"k{i}", f"b{i}") for i in range(5)], "doc_id long, text string, source string, slot int, `__key` string, `__row` string")
+    got = M.mix(docs)
+    assert sorted(got.columns) == sorted([*docs.columns, "nr", "block", "cycle"])
+    rows = got.orderBy("nr").collect()
+    assert [r.nr for r in rows] == list(range(5)) and all(r["__key"] == f"k{r.doc_id}" and r["__row"] == f"b{r.doc_id}" and r.slot >= 0 for r in rows)
+    ordered = M.in_mix_order(docs)
+    assert ordered.columns == docs.columns and {r.slot for r in ordered.collect()} == {-1}

@@ -92,3 +92,9 @@ def test_components(spark):
     more = spark.createDataFrame([(100, 101), (101, 100), (103, 101), (7, 7), (None, 5)], "a long, b long")
     got = {r.node: r.component for r in components(chain.unionByName(more)).collect()}
     assert {got[i] for i in range(61)} == {0} and {got[i] for i in (100, 101, 103)} == {100}
+
+
+def test_clashing_columns_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "x", "y"), (2, "a b c d e f", "z", "w"), (3, "q r s t u v w", "k", "l")], "doc_id long, text string, `__row` string, `__c0` string")
+    kept = H.keep_one_per_group(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [(1, "a b c d e f", "x", "y"), (3, "q r s t u v w", "k", "l")]

@@ -85,6 +85,54 @@ def test_the_slot_holds_all_of_the_article(spark, layout, pages):
 
 
 def test_an_empty_slot_falls_back():
-    slot = next(p for p, t in X.page_tokens("<body><div class=story>x</div></body>").items() if t[0] == "div.story")
+    slot = next(p for p, t in X.page_tokens(X.events("<body><div class=story>x</div></body>")).items() if t[0] == "div.story")
     assert X.main_text("<body><div class=story></div><p>text</p></body>", slot) == "text"
     assert X.main_text("<body><div class=story> </div><main>m</main><p>text</p></body>", slot) == "m"
+
+
+@pytest.mark.parametrize("html, text", [
+    ('<article><h1>T</h1><svg class="i"/><p>article</p></article>', "T\narticle"), ("<header><svg/></header><p>a</p>", "a"),
+    ("<article><p>a<noscript>b</p><p>c</p></article>", "ab\nc"), ("<p>a<svg><path d=M0 /><text>no</text></svg>b</p>", "ab"),
+    ("<iframe src=x /><p>a</p>", "a"), ("<p>a<template><p>no</p></template>b", "ab"), ("<p>a<button>no</button> b<select><option>no</select></p>", "a b"),
+    ("<div class='comment-list'>x</div><div class='user-comments'>x</div><div class=adsense>x</div><div class='banner-top'>x</div><p>the long text that stays</p>", "the long text that stays"),
+    ("<article><div class='content-list'>stays</div></article>", "stays")])
+def test_closed_elements_and_marks(html, text):
+    assert X.main_text(html, None) == text
+
+
+def test_blocks_of_the_template_go_copies_stay(spark):
+    def page(body):
+        return f"<html><body><article><h1>{body}</h1><p>Sign up for our letter today.</p><p>{f'story of {body} ' * 9}</p></article></body></html>"
+    rows = [(i, f"http://c.org/{i}", page(f"n{i}")) for i in range(8)]                       # one sentence on all pages
+    rows += [(100 + i, f"http://d.org/{i}", page("same")) for i in range(30)]                # thirty copies and three others
+    rows += [(200 + i, f"http://d.org/x{i}", page(f"x{i}")) for i in range(3)]
+    rows += [(300 + i, f"http://e.org/{i}", page(f"y{i}")) for i in range(3)]                # too few pages to tell
+    rows += [(400 + i, f"http://f.org/{i}", "<article><p>only this</p></article>" + f"<p>{'z' * i}</p>") for i in range(5)]
+    got = {r.page_id: r.text for r in X.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    story = lambda b: f"{b}\n{(f'story of {b} ' * 9).strip()}"
+    assert all(got[i] == story(f"n{i}") for i in range(8))
+    assert all(got[100 + i] == story("same") for i in range(30)) and got[201] == story("x1")
+    assert got[301] == "y1\nSign up for our letter today.\n" + ("story of y1 " * 9).strip()
+    assert all("only this" in got[400 + i] for i in range(1))
+
+
+def test_template_against_brute_force_deduction(spark):
+    """Occurrence vectors and classes by their definition, over all pages of a host at once."""
+    import random
+    rng = random.Random(4)
+    hosts = {}
+    for h in range(6):
+        extra = [rng.randrange(3) for _ in range(9)]
+        hosts[f"h{h}"] = [f"<body><div class=top><span>m</span></div><main><div class=a>{'w ' * rng.randrange(20, 60)}{i}</div><div class=b>"
+                          + f"<p>{i} t</p>" * rng.randrange(1, 4) + "</div></main>" + "<div class=opt>o</div>" * extra[i] + "</body>" for i in range(rng.randrange(2, 9))]
+    df = spark.createDataFrame([(h, 1000 * n + i, p) for n, (h, pages) in enumerate(hosts.items()) for i, p in enumerate(pages)], "host string, page long, html string")
+    got = {r.host: (r.classes, r.tokens) for r in X.host_templates(df.repartition(3)).collect()}
+    for h, pages in hosts.items():
+        counts = [{path: t[3] for path, t in X.page_tokens(X.events(p)).items()} for p in pages]
+        vectors = {path: tuple(c.get(path, 0) for c in counts) for path in {x for c in counts for x in c}}
+        classes = {}
+        for path, v in vectors.items():
+            classes.setdefault(v, []).append(path)
+        most = max(sum(map(bool, v)) for v in classes)
+        valid = {v: p for v, p in classes.items() if max(v) == 1 and sum(v) >= 0.5 * most and (len(p) > 1 or sum(v) == most)}
+        assert got[h] == (len(valid), sum(map(len, valid.values())))
