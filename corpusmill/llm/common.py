@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -30,11 +31,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def share(arrays: dict[str, np.ndarray], path: str) -> None:
-    """Write arrays as files of a new folder."""
+def share(arrays: Iterable[tuple[str, np.ndarray]], path: str) -> None:
+    """Write named arrays as files of a new folder."""
     fs, root = filesystem(path)
     fs.create_dir(root)
-    for name, a in arrays.items():
+    for name, a in arrays:
         with fs.open_output_stream(f"{root}/{name}.npy") as f:
             np.save(f, a)
 

@@ -269,7 +269,7 @@ def host_templates(pages: DataFrame, min_support: float = MIN_SUPPORT) -> DataFr
     found = written(found, "template-vectors")
     vectors, blocks = found.where("version is null").drop("version"), found.where("version is not null").select("host", "path", "version")
     versions = blocks.groupBy("host").agg(F.countDistinct("version").alias("versions"))
-    constant = (blocks.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")).join(versions, "host")
+    constant = (blocks.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= CONSTANT * LEAST_PAGES).join(versions, "host")
                 .where((F.col("versions") >= LEAST_PAGES) & (F.col("n") >= CONSTANT * F.col("versions")))
                 .groupBy("host").agg(F.collect_set("path").alias("constant")))  # no more than about a page's blocks
     classes = vectors.groupBy("host", "support", "vector").agg(F.count(F.lit(1)).alias("size"), F.max("most").alias("most"))

@@ -35,7 +35,8 @@ from corpusmill.llm.common import scratch_path, share, shared, table, written
 
 MAX_EXAMPLES, SCALE_EXAMPLES = 10_000, 2_000
 NEIGHBOURS, PRIOR_WEIGHT, THRESHOLD, BLOCK = 15, 0.5, 0.7, 512
-ROWS, PART_CHARS = 1024, 1 << 22  # texts and characters in Python at a time
+ROWS, PART_CHARS = 512, 1 << 21  # texts and characters in Python at a time
+PART = 1 << 20  # postings at a time when the index is built
 COMMON = 2000  # terms scored by matrix product
 ROUNDING = 1e-4  # above any error of a cosine in single precision
 _ARRAYS = ["names", "name_ends", "idf", "top", "common", "matrix", "rare", "rare_count", "hashes", "by_hash", "own_term", "own_weight", "own_start", "unit", "toxic", "doc_id"]
@@ -95,8 +96,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, bl
     found = found.where(F.size("terms") > 0)
     spark = docs.sparkSession
     # One task builds the index of the bounded sample and leaves it in the shared folder; a second attempt writes a folder of its own.
-    built = found.repartition(1).mapInArrow(_build(scratch_path(spark, "toxic-index"), block), "path string").first()
-    index = {"path": built["path"], "base": toxic / total if total else 0.5, "block": block, "slope": 1.0, "shift": 0.0}
+    ordered = found.select("doc_id", "toxic", "row", "terms", "tf").repartition(1).sortWithinPartitions("doc_id", "row")
+    path = scratch_path(spark, "toxic-index")
+    built = ordered.mapInArrow(_build(path, block), "path string").first()
+    if built is None:  # no examples, no task
+        share(_arrays(iter(()), block), path)
+    index = {"path": built["path"] if built else path, "base": toxic / total if total else 0.5, "block": block, "slope": 1.0, "shift": 0.0}
     if 0 < toxic < total:
         index["slope"], index["shift"] = _scale(found, index, min(1.0, SCALE_EXAMPLES / total))
     return index
@@ -104,10 +109,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, bl
 
 def _build(path: str, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("row", pa.int64()), ("terms", pa.list_(pa.string())), ("tf", pa.list_(pa.int32()))])
-        held = pa.Table.from_batches([pa.RecordBatch.from_arrays([b.column(f.name).cast(f.type) for f in schema], schema=schema) for b in batches], schema)
         folder = f"{path}-{TaskContext.get().taskAttemptId()}"
-        share(_arrays(held.combine_chunks(), block), folder)
+        share(_arrays((b.slice(a, 256) for b in batches for a in range(0, b.num_rows, 256)), block), folder)
         yield pa.RecordBatch.from_arrays([pa.array([folder])], ["path"])
     return run
 
@@ -117,71 +120,113 @@ def opened(index: dict) -> dict:
     return index | shared(index["path"], _ARRAYS)
 
 
-def _arrays(held: pa.Table, block: int) -> dict[str, np.ndarray]:
-    """The arrays of an index of examples (about ``max_examples`` rows) with their terms."""
-    held = held.sort_by([("doc_id", "ascending"), ("row", "ascending")])
-    size, mark, doc_id = pc.list_value_length(held["terms"]).to_numpy(), held["toxic"].to_numpy(), held["doc_id"].to_numpy()
-    tf = _small(pc.list_flatten(held["tf"].combine_chunks()).to_numpy())
-    coded = pc.list_flatten(held["terms"].combine_chunks()).dictionary_encode()
-    del held
-    by_name = pc.sort_indices(coded.dictionary).to_numpy()
-    place = np.empty(len(by_name), dtype=np.int32)
-    place[by_name] = np.arange(len(by_name), dtype=np.int32)
-    t, names = place[coded.indices.to_numpy()], coded.dictionary.take(by_name).to_pylist()
-    del coded, by_name, place
+def _arrays(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[tuple[str, np.ndarray]]:
+    """The arrays of an index of examples (about ``max_examples`` rows, by ``doc_id`` and ``row``) with their terms.
+
+    Terms are numbered batch by batch, so that their texts are held once.
+    """
+    sizes, marks, ids, tfs, codes = [], [], [], [], []
+    number: dict[str, int] = {}
+    for b in batches:
+        sizes.append(pc.list_value_length(b.column("terms")).to_numpy())
+        marks.append(b.column("toxic").to_numpy())
+        ids.append(b.column("doc_id").to_numpy())
+        tfs.append(_small(b.column("tf").flatten().to_numpy()))
+        coded = b.column("terms").flatten().dictionary_encode()
+        own = np.fromiter((number.setdefault(x, len(number)) for x in coded.dictionary.to_pylist()), dtype=np.int32, count=len(coded.dictionary))
+        codes.append(own[coded.indices.to_numpy()])
+    size, mark, doc_id, tf, code = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (sizes, marks, ids, tfs, codes))
+    del tfs, codes
+    names = sorted(number)
+    place = np.empty(len(names), dtype=np.int32)
+    place[[number[x] for x in names]] = np.arange(len(names), dtype=np.int32)
+    del number
+    t = place[code]
+    del code, place
     texts = np.bincount(t, minlength=len(names))
     idf = np.log((1 + len(size)) / (1 + texts)) + 1
     order = np.arange(len(size))
     if len(size):
         idf *= 1 + np.sqrt(_ratio(np.bincount(t, np.repeat(mark, size), len(names)), texts, int(mark.sum()), len(size)))
         # Examples whose most frequent term is the same stand together: mostly those of a language.
-        key = tf.astype(np.int64) * (len(size) + 1) + texts[t]
+        key = tf.astype(np.int32) * np.int32(len(size) + 1) + texts.astype(np.int32)[t] if int(tf.max()) < (1 << 31) // (len(size) + 2) else tf.astype(np.int64) * (len(size) + 1) + texts[t]
         starts = np.cumsum(size) - size
         most = np.flatnonzero(key == np.repeat(np.maximum.reduceat(key, starts), size))
         order = np.argsort(t[most[np.searchsorted(most, starts)]], kind="stable")
         del key, most
     e = np.repeat(np.argsort(order).astype(np.int32), size)
-    by = np.lexsort((e, t))
-    return layout(names, idf, t[by], e[by], tf[by], mark[order].astype(float), doc_id[order], block)
+    by = np.lexsort((e, t)).astype(np.int32)
+    t = t[by]
+    e = e[by]
+    tf = tf[by]
+    del by
+    return layout(names, idf, t, e, tf, mark[order].astype(float), doc_id[order], block)
 
 
 def layout(names: list[str], idf: np.ndarray, t: np.ndarray, e: np.ndarray, tf: np.ndarray, toxic: np.ndarray, doc_id: np.ndarray, block: int,
-           common: int = COMMON) -> dict[str, np.ndarray]:
-    """Arrays of an index of postings ``(term, example, tf)`` in order of term and example.
+           common: int = COMMON) -> Iterator[tuple[str, np.ndarray]]:
+    """Arrays of an index of postings ``(term, example, tf)`` in order of term and example, one after another.
 
-    ``top``: a term's largest weight in each block in 255ths of the largest of all, rounded up.  ``common``, ``matrix``: the most
+    ``top``: a term's largest weight in each block in 255ths of the largest of all (``unit``), rounded up.  ``common``, ``matrix``: the most
     frequent terms and their weights by example.  ``rare``, ``rare_count``: postings of the other terms, and their number
     by term and block.  ``own_*``: terms by example.  ``hashes``, ``by_hash``: terms by their hash.
     """
     size, count, blocks = len(names), len(toxic), -(-len(toxic) // block)
-    w = (1 + np.log(tf.astype(float))) * idf[t]
-    norm = np.sqrt(np.bincount(e, w * w, count))
-    w = (w / norm[e]).astype(np.float32)
-    part = t.astype(np.int64) * blocks + e // block
-    first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(t) else np.empty(0, dtype=np.int64)
-    top, unit = np.zeros(size * blocks, dtype=np.uint8), np.float32(w.max() / 255) if len(w) else np.float32(1)
-    top[part[first]] = np.minimum(255, np.ceil((np.maximum.reduceat(w, first) if len(first) else w) / unit))
-    texts = np.bincount(t, minlength=size)
+    yield "name_ends", np.cumsum([0, *(len(x.encode()) for x in names)]).astype(np.int32)
+    yield "names", np.frombuffer("".join(names).encode(), dtype=np.uint8)
+    hashes = _hashes(pa.array(names, pa.string()))
+    by_hash = np.argsort(hashes, kind="stable").astype(np.int32)
+    yield "hashes", hashes[by_hash]
+    yield "by_hash", by_hash
+    del hashes, by_hash, names
+    yield from (("idf", idf), ("toxic", toxic), ("doc_id", doc_id))
+
+    tf = _small(tf)
+    w = (1 + np.log(np.maximum(1, np.arange(int(tf.max()) + 1 if len(tf) else 1)))).astype(np.float32)[tf]
+    w *= idf.astype(np.float32)[t]
+    norm, own_size, texts = np.zeros(count), np.zeros(count, dtype=np.int64), np.zeros(size, dtype=np.int64)
+    for a in range(0, len(w), PART):  # in parts: the postings are held once
+        p = slice(a, a + PART)
+        norm += np.bincount(e[p], w[p].astype(float) ** 2, count)
+        own_size += np.bincount(e[p], minlength=count)
+        texts += np.bincount(t[p], minlength=size)
+    w /= np.sqrt(norm).astype(np.float32)[e]
+    own = np.argsort(e, kind="stable").astype(np.int32)
+    yield "own_start", np.r_[0, np.cumsum(own_size)]
+    yield "own_term", t[own].astype(np.int32, copy=False)
+    yield "own_weight", w[own]
+    del own
+
+    inside = e // block
+    first = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (inside[1:] != inside[:-1])]) if len(t) else np.empty(0, dtype=np.int64)
+    part = t[first].astype(np.int64) * blocks + inside[first]
+    del inside
     often = np.sort(np.argsort(-texts, kind="stable")[:common])
     column = np.full(size, -1, dtype=np.int32)
     column[often] = np.arange(len(often))
-    dense = column[t] >= 0
-    matrix = np.zeros((len(often), blocks * block), dtype=np.float32)
-    matrix[column[t[dense]], e[dense]] = w[dense]
+    yield "common", column
+    top, unit = np.zeros(size * blocks, dtype=np.uint8), np.float32(w.max() / 255) if len(w) else np.float32(1)
+    top[part] = np.minimum(255, np.ceil((np.maximum.reduceat(w, first) if len(first) else w) / unit))
+    yield "unit", np.array([unit])
+    yield "top", top.reshape(size, blocks)
+    del top
     counts = np.zeros(size * blocks, dtype=np.uint16)
-    counts[part[first]] = np.diff(np.r_[first, len(t)])
+    counts[part] = np.diff(np.r_[first, len(t)])
     counts = counts.reshape(size, blocks)
     counts[often] = 0
-    rare = np.empty(int((~dense).sum()), dtype=_POSTING)
-    rare["example"], rare["weight"] = e[~dense], w[~dense]
-    hashes = _hashes(pa.array(names, pa.string())) if size else np.empty(0, dtype=np.uint64)
-    by_hash = np.argsort(hashes, kind="stable").astype(np.int32)
-    own = np.argsort(e, kind="stable")
-    ends = np.cumsum([0, *(len(x.encode()) for x in names)])
-    return {"names": np.frombuffer("".join(names).encode(), dtype=np.uint8), "name_ends": ends.astype(np.int32), "idf": idf,
-            "top": np.r_[top.reshape(size, blocks), np.zeros((1, blocks), dtype=np.uint8)], "common": column, "matrix": matrix, "rare": rare.view(np.uint64),
-            "hashes": hashes[by_hash], "by_hash": by_hash, "rare_count": counts, "own_term": t[own].astype(np.int32), "own_weight": w[own],
-            "own_start": np.searchsorted(e[own], np.arange(count + 1)), "unit": np.array([unit]), "toxic": toxic, "doc_id": doc_id}
+    yield "rare_count", counts
+    del counts, first, part
+    matrix = np.zeros((len(often), blocks * block), dtype=np.float32)
+    for a in range(0, len(w), PART):
+        p = slice(a, a + PART)
+        dense = np.flatnonzero(column[t[p]] >= 0)
+        matrix[column[t[p][dense]], e[p][dense]] = w[p][dense]
+    yield "matrix", matrix
+    del matrix
+    other = np.flatnonzero(column[t] < 0)
+    rare = np.empty(len(other), dtype=_POSTING)
+    rare["example"], rare["weight"] = e[other], w[other]
+    yield "rare", rare.view(np.uint64)
 
 
 def _small(x: np.ndarray) -> np.ndarray:
