@@ -127,7 +127,7 @@ def append_pages(pages: DataFrame, store_dir: str) -> None:
 
 def append_page_files(pages: DataFrame, store_dir: str, roll: int = ROLL_BYTES) -> None:
     """S6 in the reference layout: append rows to rolling data files and their manifest."""
-    write_page_files(dealt_by_bucket(store_rows(pages), roll), store_dir, roll)
+    write_page_files(dealt_by_bucket(store_rows(pages)), store_dir, roll)
 
 
 def latest_of(*stored: DataFrame) -> DataFrame:
