@@ -63,7 +63,7 @@ _PART = ["run", "__chunk"]
 
 def _running(rows: DataFrame, value: Column, agg: Callable[[Column], Column], name: str) -> DataFrame:
     """Running aggregate ``name`` of ``value`` along ``rn`` within a run, in two levels: per chunk of ``CHUNK`` rows, then over
-    the chunks' totals, so a run with a third of all rows spreads over many tasks.  ``rows`` are dealt by chunk already; only the totals move."""
+    the chunks' totals, so a run with a third of all rows spreads over many tasks.  Rows move once, to their chunk; after that only the totals do."""
     inside = Window.partitionBy(*_PART).orderBy("rn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = Window.partitionBy("run").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__v", value)
@@ -80,7 +80,7 @@ def new_minimum(checks: DataFrame) -> DataFrame:
 
 def _flagged(checks: DataFrame) -> DataFrame:
     rows = global_row_number(checks, [F.col("epoch"), F.col("check_batch")], "rn", partition_by=["run"])
-    rows = rows.withColumn("__chunk", F.floor(F.col("rn") / CHUNK)).repartition(*_PART)
+    rows = rows.withColumn("__chunk", F.floor(F.col("rn") / CHUNK))
     rows = _running(rows, F.col("update_loss"), F.min, "__low")
     return rows.withColumn("is_min", F.col("update_loss") <= F.col("__low")).drop("__low")
 
