@@ -3,8 +3,8 @@
 Labelled page outcomes (good or bad) are counted per host and shrunk through beta-binomial priors:
 host -> registered domain -> suffix -> all pages.  The strength of each level's prior comes from the
 data (moments of the spread of the rates around their parents' means).  A page is blocked when the
-upper credible bound of its host's share of good pages lies below ``min_good``.  Fixed URL rules
-overrule the reputation.
+upper credible bound of its host's share of good pages lies below ``min_good``, or its share of bad pages is credibly
+over ``times`` that of all pages.  Fixed URL rules overrule the reputation.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import table
 from corpusmill.session import cut_lineage
 
+NUMERIC = "^[0-9.]+$"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Public suffixes of two labels under which names are registered.
@@ -52,15 +53,15 @@ def with_host_and_path(df: DataFrame, url: str = "url") -> DataFrame:
 
 
 def registered_domain(host: Column) -> Column:
-    """The name under the public suffix, without port; hosts of fewer labels are their own domain."""
+    """The name under the public suffix, without port; hosts of fewer labels and numeric addresses are their own domain."""
     bare = F.regexp_replace(host, r":[0-9]*$", "")
-    return F.when(F.substring_index(bare, ".", -2).isin(*TWO_LABEL_SUFFIXES),
+    return F.when(bare.rlike(NUMERIC), bare).when(F.substring_index(bare, ".", -2).isin(*TWO_LABEL_SUFFIXES),
                   F.substring_index(bare, ".", -3)).otherwise(F.substring_index(bare, ".", -2))
 
 
 def suffix_of(domain: Column) -> Column:
-    """What follows the first label of a registered domain; the domain itself when it is one label."""
-    return F.when(F.instr(domain, ".") > 0, F.expr("substring(domain, instr(domain, '.') + 1)")).otherwise(domain)
+    """What follows the first label of a registered domain; the domain itself when it is one label or a numeric address."""
+    return F.when(domain.rlike(NUMERIC), domain).otherwise(F.regexp_replace(domain, r"^[^.]*\.", ""))
 
 
 def first_rule(rules, host: Column, path: Column, value) -> Column:
@@ -87,7 +88,7 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
 
     ``outcomes``: rows ``(host, good)``, good 1 or 0, null where a page has no label.  Hosts without
     labelled pages get their domain's (or suffix's, or overall) prior.  Returns ``host, n, k, mean,
-    upper`` (credible bound of the share of good pages).  No labelled row at all: mean 0.5.
+    upper, overall`` (credible bound of the share of good pages; that share among all labelled pages).  No labelled row at all: both means 0.5.
     """
     hosts = (outcomes.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum(F.col("good").cast("long")), F.lit(0)).alias("k"))
              .withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix_of(F.col("domain"))))
@@ -100,14 +101,15 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
         m = _strength(level)
         return level.withColumn("mean", (F.col("k") + m * F.col("prior")) / (F.col("n") + m)), m
 
-    suffixes, _ = shrink(suffixes.withColumn("prior", F.lit((total[1] + 1) / (total[0] + 2))))
+    overall = F.lit((total[1] + 1) / (total[0] + 2))
+    suffixes, _ = shrink(suffixes.withColumn("prior", overall))
     domains, _ = shrink(domains.join(suffixes.select("suffix", F.col("mean").alias("prior")), "suffix"))
     hosts, m = shrink(hosts.join(domains.select("domain", F.col("mean").alias("prior")), "domain"))
     sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + m + 1))
-    return hosts.select("host", "n", "k", "mean", (F.col("mean") + z * sd).alias("upper"))
+    return hosts.select("host", "n", "k", "mean", (F.col("mean") + z * sd).alias("upper"), overall.alias("overall"))
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, min_good: float = 0.5, z: float = 1.645,
+def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, min_good: float = 0.5, times: float = 2.0, z: float = 1.645,
                salts: int = 16) -> DataFrame:
     """Verdict for every page.
 
@@ -125,7 +127,8 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, min_good: float
     rep = host_reputation(p.join(marks, "page_id", "left").select("host", "good"), z)
     rep = rep.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     host, path = F.col("host"), F.col("path")
-    by_method = F.when(F.col("upper") < min_good, "block").otherwise("allow")
+    least = F.greatest(F.lit(min_good), 1 - times * (1 - F.col("overall")))
+    by_method = F.when(F.col("upper") < least, "block").otherwise("allow")
     return (p.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(salts)).cast("int"))
             .join(rep, ["host", "salt"])
             .select("page_id", "host", "path", first_rule(rules, host, path, lambda r: r.text).alias("rule"),
@@ -162,27 +165,27 @@ marks AS (SELECT doc_id AS page_id, min(quality) AS good FROM labels
           WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
 h0 AS (SELECT host, count(good)::DOUBLE AS n, coalesce(sum(good), 0)::DOUBLE AS k
        FROM p LEFT JOIN marks USING (page_id) GROUP BY 1),
-h1 AS (SELECT *, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS parts FROM h0),
-h2 AS (SELECT host, n, k, CASE WHEN array_to_string(parts[-2:], '.') IN ({_TWO})
+h1 AS (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS bare, string_split(bare, '.') AS parts FROM h0),
+h2 AS (SELECT host, n, k, CASE WHEN regexp_matches(bare, '{NUMERIC}') THEN bare WHEN array_to_string(parts[-2:], '.') IN ({_TWO})
                           THEN array_to_string(parts[-3:], '.') ELSE array_to_string(parts[-2:], '.') END AS domain FROM h1),
-hosts AS (SELECT *, CASE WHEN strpos(domain, '.') > 0 THEN substr(domain, strpos(domain, '.') + 1) ELSE domain END AS suffix FROM h2),
+hosts AS (SELECT *, CASE WHEN strpos(domain, '.') > 0 AND NOT regexp_matches(domain, '{NUMERIC}') THEN substr(domain, strpos(domain, '.') + 1) ELSE domain END AS suffix FROM h2),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY 1, 2),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY 1),
 total AS (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) AS mean FROM suffixes),
 {_sql_level("s", "suffixes", "suffix", "mean", ", total")},
 {_sql_level("d", "domains", "domain, domains.suffix", "pm", "JOIN (SELECT suffix AS ps, mean AS pm FROM s_e) ON suffix = ps")},
 {_sql_level("h", "hosts", "host", "pm", "JOIN (SELECT domain AS pd, mean AS pm FROM d_e) ON domain = pd")},
-ruled AS (SELECT p.*, n, mean, mean + 1.645 * sqrt(mean * (1 - mean) / (n + m + 1)) AS upper,
+ruled AS (SELECT p.*, n, h_e.mean, greatest(0.5, 1 - 2 * (1 - total.mean)) AS least, h_e.mean + 1.645 * sqrt(h_e.mean * (1 - h_e.mean) / (n + m + 1)) AS upper,
     CASE WHEN regexp_matches(host, '(^|[.])www[.]example[.]com$') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
          WHEN regexp_matches(host, '(^|[.])example[.]com$') AND starts_with(path, '/en/') THEN 'example.com/en/'
          WHEN regexp_matches(host, '(^|[.])net$') AND starts_with(path, '/es/') THEN 'net/es/'
          WHEN regexp_matches(host, '(^|[.])net$') AND starts_with(path, '/fr/') THEN 'net/fr/'
          WHEN regexp_matches(host, '(^|[.])com$') AND starts_with(path, '/') THEN 'com/' END AS rule
-    FROM p JOIN h_e USING (host))
+    FROM p JOIN h_e USING (host), total)
 SELECT page_id, host, path, rule,
        CASE rule WHEN 'com/' THEN 'allow' WHEN 'www.example.com/en/' THEN 'allow' WHEN 'example.com/en/' THEN 'block'
                  WHEN 'net/es/' THEN 'block' WHEN 'net/fr/' THEN 'block'
-                 ELSE CASE WHEN upper < 0.5 THEN 'block' ELSE 'allow' END END AS verdict,
+                 ELSE CASE WHEN upper < least THEN 'block' ELSE 'allow' END END AS verdict,
        n::BIGINT AS n_labelled, round(mean, 4) AS mean_good, round(upper, 4) AS upper_good
 FROM ruled
 """

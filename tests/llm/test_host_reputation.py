@@ -37,10 +37,21 @@ def test_shrinks_towards_parents(spark):
     assert r["new.other.org"].n == 0
 
 
+def test_hosts_much_worse_than_all_are_blocked(spark):
+    urls = [(f"h{j}.org", int(i % 10 != 0)) for j in range(40) for i in range(20)] + [("farm.org", int(i % 10 < 6)) for i in range(200)] + [("10.0.0.1", 1)] * 3
+    pages = spark.createDataFrame([(i, f"http://{h}/{i}") for i, (h, _) in enumerate(urls)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, g) for i, (_, g) in enumerate(urls)], "page_id long, good int")
+    got = R.judge_urls(pages, labels)
+    same_as_sql(got, {"pages": pages.toPandas(), "labels": labels.toDF("doc_id", "quality").toPandas()}, R.SQL)
+    assert {r.host for r in got.where("verdict = 'block'").collect()} == {"farm.org"}  # 40 % bad; its bound is over 0.5
+    assert got.where("host = 'farm.org'").first().upper_good > 0.5
+
+
 def test_domains(spark):
-    d = spark.createDataFrame([("a.b.co.uk",), ("b.co.uk:80",), ("x.y.org",), ("host",), ("",)], "h string")
+    d = spark.createDataFrame([("a.b.co.uk",), ("b.co.uk:80",), ("x.y.org",), ("host",), ("",), ("10.0.0.1:80",)], "h string")
     domain = R.registered_domain(F.col("h"))
-    assert [r[0] for r in d.select(domain).collect()] == ["b.co.uk", "b.co.uk", "y.org", "host", ""]
+    assert [r[0] for r in d.select(domain).collect()] == ["b.co.uk", "b.co.uk", "y.org", "host", "", "10.0.0.1"]
+    assert d.select(R.suffix_of(domain)).collect()[-1][0] == "10.0.0.1"
 
 
 def test_empty(spark):
