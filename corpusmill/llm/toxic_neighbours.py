@@ -7,9 +7,10 @@ squared similarity and shrunk towards the share of toxic labels, with the neares
 a logistic scale, fitted to the votes that examples get from the other examples.
 
 Neighbours come from a block-max inverted index: examples stand in blocks, a term's largest weight in
-each block bounds what the block can score, and a text opens its best block first, then all whose bound
-reaches the neighbour found last.  Weights are single-precision numbers.  Opened blocks are scored in single precision, for many texts at once (the ``COMMON`` most frequent
-terms by a matrix product, others by postings); the cosines of all that come near the last place are then added up in double precision.
+each block bounds what the block can score.  The ``COMMON`` most frequent terms are scored for many texts at once by a
+matrix product; a block's bound is the largest of these parts with the largest weights of the other terms.  Examples of the best
+block give a cosine that the last neighbour reaches; the postings from the first to the last block whose bound reaches it are added.  This is done in
+single precision; the cosines of all that come near the last place are then added up in double precision.
 
 The classifier is fitted on at most about ``MAX_EXAMPLES`` labelled rows, drawn by a hash of their ids, and its scale on
 about ``SCALE_EXAMPLES`` of them; these bounds are what the index's size rests on.  The index lies in the shared folder as files that
@@ -305,16 +306,22 @@ class NearestExamples:
         return self._counted(len(terms), row, self._ids(terms.flatten()), tf.flatten().to_numpy().astype(np.int64))
 
     def _add_rare(self, c: np.ndarray, weight: np.ndarray, at: np.ndarray, ends: np.ndarray, opens: np.ndarray) -> None:
-        """Add to ``c``, a text's cosines, what its rare terms bring in the blocks ``opens``; ``ends``: each term's postings up to each block."""
-        edges = np.flatnonzero(np.diff(np.r_[False, opens, False])).tolist()
-        for lo, hi in zip(edges[::2], edges[1::2]):  # neighbouring blocks at once
-            n = ends[:, hi] - ends[:, lo]
-            some = np.flatnonzero(n)
-            if len(some):
-                start, n = at[some] + ends[some, lo], n[some]
-                found = np.concatenate([self.rare[x:y] for x, y in zip(start.tolist(), (start + n).tolist())]).view(_POSTING)
-                first, size = lo * self.block, (hi - lo) * self.block
-                c[first:first + size] += np.bincount(found["example"] - np.int64(first), found["weight"] * np.repeat(weight[some], n), size)
+        """Add to ``c``, a text's cosines, what its rare terms bring from the first to the last block of ``opens``; ``at``, ``ends``: each term's postings, and those up to each block."""
+        blocks = np.flatnonzero(opens)
+        if not len(blocks):
+            return
+        begin, n = at + ends[:, blocks[0]], ends[:, blocks[-1] + 1] - ends[:, blocks[0]]
+        where = np.arange(n.sum())
+        where += np.repeat(begin - np.cumsum(n) + n, n)
+        found = self.rare.take(where).view(_POSTING)
+        c += np.bincount(found["example"], found["weight"] * np.repeat(weight, n), len(c))
+
+    def _exact(self, place: np.ndarray) -> np.ndarray:
+        """Cosines of examples with the text in ``query``, in double precision."""
+        ranges = list(map(slice, self.own_start[place].tolist(), self.own_start[place + 1].tolist()))
+        n = self.own_start[place + 1] - self.own_start[place]
+        parts = self.query.take(np.concatenate([self.own_term[x] for x in ranges])) * np.concatenate([self.own_weight[x] for x in ranges])
+        return np.add.reduceat(parts, np.cumsum(n) - n)
 
     def nearest(self, v: Vectors, k: int, skip: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """Places and cosines of each text's ``k`` nearest examples with a common term, without the example ``skip``; ties go to the first place."""
@@ -326,34 +333,27 @@ class NearestExamples:
         cosines, out = dense @ self.matrix, []
         for c, lo, hi, own in zip(cosines, v.start[:-1].tolist(), v.start[1:].tolist(), [-1] * v.rows if skip is None else skip.tolist()):
             t, w, rare = v.term[lo:hi], v.weight[lo:hi], column[lo:hi] < 0
-            # The bound holds for the whole cosine; a block that is not opened may keep a part of it, which is no larger.
-            bound = self.unit * (w.astype(np.float32) @ self.top[t].astype(np.float32))
+            self.query[t] = w
+            rare_terms, weight = t[rare], w[rare].astype(np.float32)
+            # What the common terms bring is known; a block's largest rare weights bound the rest.
+            by_block = c.reshape(self.blocks, self.block)
+            bound = by_block.max(axis=1) + self.unit * (weight @ self.top[rare_terms].astype(np.float32))
             first, last = int(bound.argmax()), 0.0
-            at, weight = self.rare_start[t[rare]], w[rare].astype(np.float32)
-            ends = np.zeros((len(at), self.blocks + 1), dtype=np.int64)
-            np.cumsum(self.rare_count[t[rare]], axis=1, out=ends[:, 1:])
-            opens = np.zeros(self.blocks, dtype=bool)
-            opens[first] = bound[first] > 0
-            self._add_rare(c, weight, at, ends, opens)
-            best = c[first * self.block:(first + 1) * self.block].copy()
-            if own // self.block == first:
-                best[own % self.block] = 0
-            if k <= len(best):
+            start = first * self.block
+            best = by_block[first, :self.count - start].copy()
+            if 0 <= own - start < len(best):
+                best[own - start] = -1
+            if len(best) > k:  # a part of the cosines of k examples; the nearest reach the least of them
                 last = float(np.partition(best, -k)[-k])
-            opens = (bound > 0) & (bound >= last - ROUNDING) & ~opens
-            self._add_rare(c, weight, at, ends, opens)
+            opens = (bound > 0) & (bound >= last - ROUNDING)
+            ends = np.zeros((len(weight), self.blocks + 1), dtype=np.int64)
+            np.cumsum(self.rare_count[rare_terms], axis=1, out=ends[:, 1:])
+            self._add_rare(c, weight, self.rare_start[rare_terms], ends, opens)
             place = np.flatnonzero((c > 0) & (c >= last - ROUNDING))
             place = place[place != own]
             if len(place) > k:
                 place = place[c[place] >= np.partition(c[place], -k)[-k] - ROUNDING]
-            if not len(place):
-                out.append((place, np.empty(0)))
-                continue
-            self.query[t] = w
-            ranges = list(zip(self.own_start[place].tolist(), self.own_start[place + 1].tolist()))
-            terms, weights = (np.concatenate([x[a:b] for a, b in ranges]) for x in (self.own_term, self.own_weight))
-            n = np.array([b - a for a, b in ranges])
-            exact = np.add.reduceat(self.query.take(terms) * weights, np.cumsum(n) - n)
+            exact = self._exact(place) if len(place) else np.empty(0)
             self.query[t] = 0
             order = np.lexsort((place, -exact))[:k]
             out.append((place[order], exact[order]))
