@@ -13,8 +13,8 @@ Every byte covered by a ``LENGTH``-byte string (a window) that starts at another
 4. The repeated windows of all places are united per text, and the bytes that are left are joined.
 
 Texts are told apart by digest: equal texts are read once, and their windows all repeat.  A hash with more than
-``CROWD`` classes (one line in many different surroundings) would fill a task; its windows are counted by a
-128-bit digest instead, spread over all tasks.
+``CROWD`` classes (one line in many different surroundings) would fill a task; its windows are counted by their
+128-bit BLAKE2 digest instead, spread over all tasks.
 """
 
 from __future__ import annotations
@@ -203,16 +203,14 @@ def _repeats(length: int, shard_bytes: int):
 
 
 def _window_digests(length: int):
-    names = ["h", "digest", "lo", "a", "b"]
+    names = ["h", "digest", "lo", "window"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = Roller(size=4 * length), Roller(_MIX | 5, size=4 * length)
         for batch in batches:
             for h, digest, seg in zip(*(batch.column(c).to_pylist() for c in ("h", "digest", "segment"))):
-                x = np.frombuffer(seg, dtype=np.uint8)
-                a, b = one.grams(x, length), two.grams(x, length)
-                yield pa.RecordBatch.from_arrays([pa.array([h] * len(a), pa.int64()), pa.array([digest] * len(a), pa.binary()),
-                                                  pa.array(np.arange(len(a))), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names)
+                found = [hashlib.blake2b(seg[i:i + length], digest_size=16).digest() for i in range(len(seg) - length + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([h] * len(found), pa.int64()), pa.array([digest] * len(found), pa.binary()),
+                                                  pa.array(np.arange(len(found))), pa.array(found, pa.binary())], names)
     return run
 
 
@@ -265,10 +263,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sha
     crowded = classes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("h")
     found = (classes.join(crowded, "h", "left_anti").repartition("h").sortWithinPartitions("h", "digest")
              .mapInArrow(_repeats(length, shard_bytes), "h long, digest binary, lo long, hi long"))
-    windows = classes.join(crowded, "h", "left_semi").mapInArrow(_window_digests(length), "h long, digest binary, lo long, a long, b long")
+    windows = classes.join(crowded, "h", "left_semi").mapInArrow(_window_digests(length), "h long, digest binary, lo long, window binary")
     windows = written(windows.join(classes.select("h", "digest", "places"), ["h", "digest"]), "span-windows")
-    twice = windows.groupBy("h", "a", "b").agg(F.sum("places").alias("n")).where("n > 1")
-    found = found.unionByName(windows.join(twice, ["h", "a", "b"], "left_semi").select("h", "digest", "lo", F.col("lo").alias("hi")))
+    twice = windows.groupBy("window").agg(F.sum("places").alias("n")).where("n > 1")
+    found = found.unionByName(windows.join(twice, "window", "left_semi").select("h", "digest", "lo", F.col("lo").alias("hi")))
 
     spans = (places.select("h", "digest", "key", F.col("lo").alias("at")).join(found, ["h", "digest"])
              .groupBy("key").agg(F.collect_set(F.struct((F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi"))).alias("spans")))
