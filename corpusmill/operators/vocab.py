@@ -6,13 +6,24 @@ both directions: word -> id (J4) and id -> word (J7).
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from corpusmill.functions.text import pct4
-from corpusmill.operators.ranking import global_row_number, one_row, text_bytes
+from corpusmill.operators.buckets import BUCKET, bucketed, looked_up
+from corpusmill.operators.ranking import global_row_number, one_row
 from corpusmill.session import cut_lineage
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
+
 # --- fixed values -----------------------------------------------------------
 # Special tokens of the first-seen vocabulary, appended in this order.
 SPECIALS_FIRST_SEEN = ["<UNK>", "<PAD>", "<EOS>", "<GO>"]
@@ -23,26 +34,46 @@ PAD, GO, EOS = "<PAD>", "<GO>", "<EOS>"
 FREQ_UNK = "UNK"
 # ---------------------------------------------------------------------------
 
-# Largest vocabulary, in bytes, that is broadcast to the token side of an encode join.
-BROADCAST_VOCAB_BYTES = 64 << 20
-
-
 # Token sources in stream order: 0 = texts, 1 = summaries.
 SOURCES = (0, 1)
 
 
-def _stream_items(src: int, toks: Column) -> Column:
-    """All tokens (``k`` null) and the document's distinct tokens (``k`` = index in
-    first-occurrence order) of one source, as ``array<struct<word, k, src>>``."""
-    n = F.size(toks)
-    d = F.array_distinct(toks)
-    nd = F.size(d)
-    every = F.arrays_zip(toks.alias("word"), F.array_repeat(F.lit(None).cast("int"), n).alias("k"),
-                         F.array_repeat(F.lit(src), n).alias("src"))
-    firsts = F.arrays_zip(d.alias("word"),
-                          F.when(nd > 0, F.sequence(F.lit(0), nd - 1)).otherwise(F.array().cast("array<int>")).alias("k"),
-                          F.array_repeat(F.lit(src), nd).alias("src"))
-    return F.concat(every, firsts)
+SLICE_TOKENS = 1 << 20  # tokens that a task counts at a time
+
+
+def _doc_slices(docs: pa.Array, lists: pa.Array) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
+    """Documents, tokens and the row of each, some ``SLICE_TOKENS`` at a time."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = np.cumsum(lengths) // SLICE_TOKENS
+    cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(lists)] if len(lists) else [0]
+    for a, b in zip(cuts, cuts[1:]):
+        yield docs[a:b], lists[a:b].flatten(), np.repeat(np.arange(b - a), lengths[a:b])
+
+
+def _partial_stats(sources: list[int]):
+    def count(src: int, docs: pa.Array, tokens: pa.Array, row: np.ndarray) -> pa.RecordBatch:
+        coded = tokens.dictionary_encode()
+        words, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        firsts = np.sort(np.unique(row * max(len(words), 1) + codes, return_index=True)[1])  # of each word in each document
+        r, c = row[firsts], codes[firsts]
+        k = np.arange(len(firsts)) - np.searchsorted(r, r)
+        rank = pc.rank(docs, null_placement="at_end").to_numpy().astype(np.int64)[r]
+        order = np.argsort(-rank, kind="stable")
+        order = order[~docs.is_null().to_numpy(zero_copy_only=False)[r[order]]]
+        best = np.full(len(words), -1)
+        best[c[order]] = order  # the smallest document comes last
+        lost = best < 0
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.full(len(words), src, dtype=np.int32)), words, pa.array(np.bincount(codes, minlength=len(words))),
+            docs.take(pa.array(r[best] if len(r) else best, mask=lost)), pa.array((k[best] if len(k) else best).astype(np.int32), mask=lost)],
+            ["src", "word", "n", "doc", "k"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, src in enumerate(sources):
+                for docs, tokens, row in _doc_slices(batch.column(0), batch.column(i + 1)):
+                    yield count(src, docs, tokens, row)
+    return run
 
 
 def word_stats(df: DataFrame, doc_col: str, token_cols: list[tuple[int, Column]]) -> DataFrame:
@@ -50,24 +81,23 @@ def word_stats(df: DataFrame, doc_col: str, token_cols: list[tuple[int, Column]]
 
     ``token_cols`` are ``(src, array<string> column)`` of ``df`` with ``src`` in
     ``SOURCES``.  ``first = (src, doc, k)`` orders words by first appearance:
-    ``k`` is the word's index in ``array_distinct(toks)``, which keeps
-    first-occurrence order inside a document.  One scan and one explode (all
-    array functions here are code-generated), one shuffle, hash aggregates only:
-    every token counts, and each document's distinct words feed ``min(doc)`` and
-    ``min_by(k, doc)`` per source (a word occurs once per document there, so no
-    ties).  Partial aggregation collapses hot words before the shuffle.
+    ``k`` is the word's index among the document's distinct words of that source, in
+    first-occurrence order.  Each task counts its tokens some million at a time, one row per word, source and
+    slice with the smallest document there; one shuffle with hash aggregates adds them up
+    (``min(doc)`` and ``min_by(k, doc)`` per source).
     """
     for src, _ in token_cols:
         if src not in SOURCES:
             raise ValueError(f"source {src} not in {SOURCES}")
-    items = F.concat(*[_stream_items(src, c) for src, c in token_cols])
-    u = df.select(F.col(doc_col).alias("doc"), F.explode(items).alias("x")).select(
-        "doc", F.col("x.src").alias("src"), F.col("x.word").alias("word"), F.col("x.k").alias("k"))
-    aggs = [F.count(F.when(F.col("k").isNull(), 1)).alias("cnt")]
-    aggs += [F.count(F.when(F.col("k").isNull() & (F.col("src") == s), 1)).alias(f"cnt{s}") for s in SOURCES]
+    sources = df.select(F.col(doc_col).alias("doc"), *[c.alias(f"t{i}") for i, (_, c) in enumerate(token_cols)])
+    schema = StructType([StructField("src", IntegerType()), StructField("word", StringType()), StructField("n", LongType()),
+                         StructField("doc", sources.schema["doc"].dataType), StructField("k", IntegerType())])
+    u = sources.mapInArrow(_partial_stats([src for src, _ in token_cols]), schema)
+    aggs = [F.sum("n").alias("cnt")]
     for s in SOURCES:
-        d = F.when((F.col("src") == s) & F.col("k").isNotNull(), F.col("doc"))
-        aggs += [F.min(d).alias(f"d{s}"), F.min_by(F.when(F.col("src") == s, F.col("k")), d).alias(f"k{s}")]
+        d = F.when(F.col("src") == s, F.col("doc"))
+        aggs += [F.sum(F.when(F.col("src") == s, F.col("n")).otherwise(0)).alias(f"cnt{s}"),
+                 F.min(d).alias(f"d{s}"), F.min_by(F.when(F.col("src") == s, F.col("k")), d).alias(f"k{s}")]
     b = u.groupBy("word").agg(*aggs)
     first = None
     for s in reversed(SOURCES):
@@ -198,34 +228,18 @@ def encode_many(df: DataFrame, id_col: str, text_cols: list[str], vocab: DataFra
                 broadcast_vocab: bool | None = None) -> DataFrame:
     """Q1 for several text columns at once: ``(id_col, <col>_ids ...)``.
 
-    Whitespace tokens are mapped by J4 (unknown -> ``unk_id``) and put back in
-    order.  With a broadcast vocabulary (at most ``BROADCAST_VOCAB_BYTES``, summed
-    first) each column is first hash-partitioned by ``id_col`` with only its
-    own text - a shuffle of the text, not of token rows - so explode, lookup and
-    re-collect run in one stage.  A larger vocabulary is a shuffle join where AQE
-    splits hot words.  Empty texts give empty arrays.
+    Whitespace tokens are mapped by J4 (unknown -> ``unk_id``), in order.  Texts are dealt by ``id_col`` into
+    buckets, and the different words of a bucket are joined with the vocabulary (broadcast or not, by size if not
+    said): neither tokens nor a vocabulary of any size travel once per token.  Empty texts give empty arrays.
     """
     from corpusmill.functions.text import ws_tokens
-    v = vocab.select("word", F.col("id").alias("vid"))
-    if broadcast_vocab is None:
-        broadcast_vocab = text_bytes(v, "word") <= BROADCAST_VOCAB_BYTES
+    v = vocab.select(F.col("word").alias("key"), F.col("id").cast("int").alias("value"))
     if broadcast_vocab:
         v = F.broadcast(v)
-    toks = None
-    for k, c in enumerate(text_cols):
-        src = df.select(F.col(id_col), F.col(c))
-        if broadcast_vocab:
-            src = src.repartition(id_col)  # union keeps this partitioning: no shuffle at the group-by
-        part = src.select(id_col, F.lit(k).alias("side"),
-                          F.posexplode_outer(ws_tokens(F.col(c))).alias("pos", "word"))
-        toks = part if toks is None else toks.unionByName(part)
-    joined = toks.join(v, "word", "left")
-    out = []
-    for k, c in enumerate(text_cols):
-        item = F.when((F.col("side") == k) & F.col("pos").isNotNull(), F.struct(
-            F.col("pos"), F.coalesce(F.col("vid"), F.lit(unk_id)).cast("int").alias("id")))
-        out.append(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["id"]).alias(f"{c}_ids"))
-    return joined.groupBy(id_col).agg(*out)
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in text_cols), F.lit(16))
+    docs = bucketed(df.select(id_col, *text_cols), id_col, size)
+    tokens = docs.select(BUCKET, id_col, *[ws_tokens(F.col(c)).alias(f"{c}_ids") for c in text_cols])
+    return looked_up(tokens, id_col, [f"{c}_ids" for c in text_cols], v, IntegerType(), unk_id)
 
 
 def encode_texts(df: DataFrame, id_col: str, text_col: str, vocab: DataFrame, unk_id: int,
@@ -235,23 +249,22 @@ def encode_texts(df: DataFrame, id_col: str, text_col: str, vocab: DataFrame, un
         f"{text_col}_ids", "ids")
 
 
+def decode_many(df: DataFrame, id_col: str, ids_cols: list[str], vocab: DataFrame,
+                sep: str = " ", broadcast_vocab: bool | None = None) -> DataFrame:
+    """J7 for several id columns at once: ``(id_col, ids_cols)`` as texts, buckets as in ``encode_many``."""
+    v = vocab.select(F.col("id").cast("int").alias("key"), F.col("word").alias("value"))
+    if broadcast_vocab:
+        v = F.broadcast(v)
+    size = sum((F.coalesce(F.size(c), F.lit(0)).cast("long") * 8 for c in ids_cols), F.lit(16))
+    ids = bucketed(df.select(id_col, *[F.col(c).cast("array<int>").alias(c) for c in ids_cols]), id_col, size)
+    words = looked_up(ids, id_col, ids_cols, v, StringType(), "")
+    return words.select(id_col, *[F.array_join(c, sep).alias(c) for c in ids_cols])
+
+
 def decode_ids(df: DataFrame, id_col: str, ids_col: str, vocab: DataFrame,
                sep: str = " ", broadcast_vocab: bool | None = None) -> DataFrame:
     """``(id_col, text)`` - ids mapped back to words and joined in order.
 
     An id outside the vocabulary becomes an empty word.
     """
-    v = vocab.select(F.col("id").cast("int").alias("tid"), "word")
-    if broadcast_vocab is None:
-        broadcast_vocab = text_bytes(v, "word") <= BROADCAST_VOCAB_BYTES
-    src = df.select(F.col(id_col), F.col(ids_col))
-    if broadcast_vocab:
-        src = src.repartition(id_col)
-        v = F.broadcast(v)
-    items = src.select(id_col, F.posexplode_outer(ids_col).alias("pos", "tid"))
-    joined = items.join(v, "tid", "left")
-    item = F.when(F.col("pos").isNotNull(),
-                  F.struct(F.col("pos"), F.coalesce(F.col("word"), F.lit("")).alias("w")))
-    return joined.groupBy(id_col).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["w"]), sep)
-        .alias("text"))
+    return decode_many(df, id_col, [ids_col], vocab, sep, broadcast_vocab).withColumnRenamed(ids_col, "text")

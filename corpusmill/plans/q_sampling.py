@@ -8,9 +8,10 @@ from corpusmill.operators import sampling as M
 from corpusmill.operators import sequences as Q
 from corpusmill.plans import bindings as B
 from corpusmill.plans import sqlparts as S
-from corpusmill.plans.q_sequences import BATCH, kept_examples
+from corpusmill.plans.q_sequences import BATCH, example_lengths, kept_examples
 from corpusmill.plans.q_vocab import W1_SIZE, _frequency_vocab
 from corpusmill.plans.registry import query
+from corpusmill.session import cut_lineage
 
 SEED = 42
 VALID_WINDOW, VALID_SIZE = 100, 16  # word-vector pipeline: 16 of the first 100 ids
@@ -54,7 +55,7 @@ SELECT b.batch_id, b.slot, b.pair_id FROM batched b JOIN pick USING (batch_id)""
 def random_batch(spark, sf):
     """T5: one random full batch (the pick never falls past the last batch)."""
     kept, _ = kept_examples(spark, sf)
-    b = Q.assign_batches(kept, [F.size("t"), F.col("pair_id")], BATCH).select("batch_id", "slot", "pair_id")
+    b = cut_lineage(Q.assign_batches(example_lengths(kept), [F.col("len"), F.col("pair_id")], BATCH).select("batch_id", "slot", "pair_id"))
     pick = M.pick_one(b.select("batch_id").distinct(), "batch_id", SEED)
     return b.join(F.broadcast(pick), "batch_id")
 

@@ -12,6 +12,7 @@ from corpusmill.plans import bindings as B
 from corpusmill.plans import sqlparts as S
 from corpusmill.plans.q_vocab import first_seen
 from corpusmill.plans.registry import query
+from corpusmill.session import cut_lineage
 
 BATCH = 64          # batch_size of pipeline v3
 FIXED = 400         # fixed pad width of pipeline v1
@@ -24,13 +25,13 @@ def specials(vocab: DataFrame) -> dict[str, int]:
     return {r["word"]: int(r["id"]) for r in rows}
 
 
-def encoded_examples(spark, sf):
-    """``(pair_id, t, s)``: text ids with ``<EOS>`` (Q2, v3) and summary ids; plus special ids."""
+def encoded_examples(spark, sf, sides=("text", "summary")):
+    """``(pair_id, t, s)``: text ids with ``<EOS>`` (Q2, v3) and summary ids, or one of them; plus special ids."""
     vocab = first_seen(spark, sf)
     sp = specials(vocab)
-    e = V.encode_many(B.pairs(spark, sf), "pair_id", ["text", "summary"], vocab, sp["<UNK>"])
-    ex = e.select("pair_id", Q.append_eos(F.col("text_ids"), sp["<EOS>"]).alias("t"), F.col("summary_ids").alias("s"))
-    return ex, sp
+    e = V.encode_many(B.pairs(spark, sf), "pair_id", list(sides), vocab, sp["<UNK>"])
+    cols = {"text": lambda: Q.append_eos(F.col("text_ids"), sp["<EOS>"]).alias("t"), "summary": lambda: F.col("summary_ids").alias("s")}
+    return e.select("pair_id", *[cols[s]() for s in sides]), sp
 
 
 def kept_examples(spark, sf):
@@ -38,9 +39,15 @@ def kept_examples(spark, sf):
     return ex.filter(Q.example_filter(F.col("t"), F.col("s"), sp["<UNK>"])), sp
 
 
+def example_lengths(kept):
+    """``(pair_id, len)`` of the examples, materialised: all that the order of batches depends on, encoded once."""
+    return cut_lineage(kept.select("pair_id", F.size("t").alias("len")))
+
+
 def batches(spark, sf):
     """T1 + W5 + Q5 + Q6 on the kept examples."""
     kept, sp = kept_examples(spark, sf)
+    kept = cut_lineage(kept)  # ranked, counted and joined: encoded once (an example has at most 430 ids)
     b = Q.assign_batches(kept, [F.size("t"), F.col("pair_id")], BATCH)
     b = Q.pad_in_batch(b, "t", sp["<PAD>"], "text")
     b = Q.pad_in_batch(b, "s", sp["<PAD>"], "summary")
@@ -118,7 +125,7 @@ def length_histogram(spark, sf):
 SELECT pair_id, array_to_string(t, ' ') AS ids FROM ex""")
 def encode_text_eos(spark, sf):
     """Q2: text ids with <EOS> appended (pipeline v3)."""
-    ex, _ = encoded_examples(spark, sf)
+    ex, _ = encoded_examples(spark, sf, ["text"])
     return ex.select("pair_id", _ids(F.col("t")).alias("ids"))
 
 
@@ -135,7 +142,7 @@ SELECT pair_id, rn, batch_id, slot FROM batched""")
 def batch_assignment(spark, sf):
     """T1 + W5: kept examples by (text length, pair id), batches of 64, last partial batch dropped."""
     kept, _ = kept_examples(spark, sf)
-    return Q.assign_batches(kept, [F.size("t"), F.col("pair_id")], BATCH).select(
+    return Q.assign_batches(example_lengths(kept), [F.col("len"), F.col("pair_id")], BATCH).select(
         "pair_id", "rn", "batch_id", "slot")
 
 
@@ -193,7 +200,7 @@ SELECT pair_id, array_to_string(list_resize(t, {FIXED}, sp.pad), ' ') AS ids, le
 FROM ex, sp""")
 def pad_fixed(spark, sf):
     """Q4 + Q6 (v1): text ids cut or padded to 400, length capped at 400."""
-    ex, sp = encoded_examples(spark, sf)
+    ex, sp = encoded_examples(spark, sf, ["text"])
     return ex.select("pair_id", _ids(Q.pad_to(F.col("t"), FIXED, sp["<PAD>"])).alias("ids"),
                      Q.capped_len(F.col("t"), FIXED).alias("len"))
 
@@ -202,7 +209,7 @@ def pad_fixed(spark, sf):
 SELECT pair_id, array_to_string(s[1:{SUMMARY_CAP}], ' ') AS ids FROM ex""")
 def truncate_summaries(spark, sf):
     """Q3: summary ids cut to 50 (each side has its own limit)."""
-    ex, _ = encoded_examples(spark, sf)
+    ex, _ = encoded_examples(spark, sf, ["summary"])
     return ex.select("pair_id", _ids(Q.truncate(F.col("s"), SUMMARY_CAP)).alias("ids"))
 
 

@@ -154,8 +154,8 @@ def unk_per_sequence(spark, sf):
     unk = V.lookup_id(vocab, "<UNK>")
     e = V.encode_many(B.pairs(spark, sf), "pair_id", ["text", "summary"], vocab, unk)
     n_unk = lambda c: F.size(F.filter(c, lambda x: x == unk)).alias("unk")
-    return (e.select("pair_id", F.lit("text").alias("side"), n_unk("text_ids"))
-            .unionByName(e.select("pair_id", F.lit("summary").alias("side"), n_unk("summary_ids"))))
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), n_unk(f"{s}_ids")) for s in ("text", "summary")])  # each pair is encoded once
+    return e.select("pair_id", F.explode(sides).alias("x")).select("pair_id", "x.side", "x.unk")
 
 
 @query("decode_text", f"""WITH {S.FIRST_SEEN_VOCAB},
@@ -168,6 +168,7 @@ GROUP BY e.pair_id, e.side""")
 def decode_text(spark, sf):
     """Text and summary ids back to words (unknown words come back as <UNK>)."""
     vocab = first_seen(spark, sf)
-    e = V.encode_many(B.pairs(spark, sf), "pair_id", ["text", "summary"], vocab, V.lookup_id(vocab, "<UNK>"))
-    sides = [V.decode_ids(e, "pair_id", f"{s}_ids", vocab).select("pair_id", F.lit(s).alias("side"), "text") for s in ("text", "summary")]
-    return sides[0].unionByName(sides[1])
+    e = cut_lineage(V.encode_many(B.pairs(spark, sf), "pair_id", ["text", "summary"], vocab, V.lookup_id(vocab, "<UNK>")))
+    d = V.decode_many(e, "pair_id", ["text_ids", "summary_ids"], vocab)
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_ids").alias("text")) for s in ("text", "summary")])
+    return d.select("pair_id", F.explode(sides).alias("x")).select("pair_id", "x.side", "x.text")
