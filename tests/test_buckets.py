@@ -36,3 +36,16 @@ def test_word_stats_counts_before_the_shuffle(spark):
     got = {r.word: (r.cnt, r.cnt0, r.cnt1, tuple(r.first)) for r in stats.collect()}
     assert got == {"x": (3, 2, 1, (0, 5, 0)), "y": (3, 3, 0, (0, 2, 1)), "z": (2, 0, 2, (1, 2, 0)), "q": (1, 1, 0, (0, 2, 0)), "n": (1, 1, 0, (1, None, None))}
     assert "Generate" not in plan(stats)
+
+
+def test_ngrams_of_repeated_and_missing_ids(spark):
+    from corpusmill.operators import scores as SC
+    rows = [(1, "a b a b".split(), "a b c".split()), (1, ["a", "b"], ["a", "b"]), (2, [], ["a"]), (3, None, None), (None, ["x", "y"], ["x", "y", "x y"]), (4, ["p q", "r"], ["p", "q r"])]
+    df = spark.createDataFrame(rows, "id long, c array<string>, r array<string>").repartition(3)
+    got = SC.clipped_counts(df, "id", "c", "r", [1, 2, 3])
+    assert {(r.id, r.n): (r.overlap, r.cand_total, r.ref_total) for r in got.collect()} == {
+        (1, 1): (4, 6, 5), (1, 2): (2, 4, 3), (1, 3): (0, 2, 1), (2, 1): (0, 0, 1), (2, 2): (0, 0, 0), (2, 3): (0, 0, 0), (3, 1): (0, 0, 0), (3, 2): (0, 0, 0),
+        (3, 3): (0, 0, 0), (None, 1): (2, 2, 3), (None, 2): (1, 1, 2), (None, 3): (0, 0, 1), (4, 1): (0, 2, 2), (4, 2): (1, 1, 1), (4, 3): (0, 0, 0)}
+    # All orders from one shuffle of whole pairs.
+    first = plan(got).split("Initial Plan")[0]
+    assert "Generate" not in first and first.count("Exchange hashpartitioning") == 1
