@@ -79,17 +79,27 @@ def pairs_of(docs: list[np.ndarray], window: int) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(centres)[order], np.concatenate(contexts)[order]
 
 
+def subtract_rows(table: np.ndarray, rows: np.ndarray, change: np.ndarray) -> None:
+    """``np.subtract.at(table, rows, change)``, also in its order of additions, by numpy's faster way over single numbers."""
+    flat = table.reshape(-1)  # a view: tables are contiguous
+    np.subtract.at(flat, (rows[:, None] * table.shape[1] + np.arange(table.shape[1])).reshape(-1), np.ascontiguousarray(change).reshape(-1))
+
+
 def learn(centres: np.ndarray, contexts: np.ndarray, c: np.ndarray, x: np.ndarray, negatives: np.ndarray, t: Training) -> None:
     """One step over a batch of pairs: gradient of the mean loss, both tables changed in place."""
     e, true, noise = centres[c], contexts[x], contexts[negatives]
 
     def probability(score: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+        p = np.clip(score, -30, 30)
+        np.negative(p, out=p)
+        np.exp(p, out=p)
+        p += 1
+        return np.divide(1, p, out=p)
 
     miss = ((probability((e * true[:, :-1]).sum(axis=1) + true[:, -1] - log_expected(x, t)) - 1) * (t.rate / len(c))).astype(np.float32)
     false = (probability(e @ noise[:, :-1].T + noise[:, -1] - log_expected(negatives, t)) * (t.rate / len(c))).astype(np.float32)
-    np.subtract.at(centres, c, miss[:, None] * true[:, :-1] + false @ noise[:, :-1])
-    np.subtract.at(contexts, x, miss[:, None] * np.c_[e, np.ones((len(e), 1), dtype=np.float32)])
+    subtract_rows(centres, c, miss[:, None] * true[:, :-1] + false @ noise[:, :-1])
+    subtract_rows(contexts, x, np.c_[miss[:, None] * e, miss])
     contexts[negatives] -= np.c_[false.T @ e, false.sum(axis=0)]
 
 
@@ -131,7 +141,7 @@ def _train(held, t: Training, turn: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from itertools import groupby
 
-        rows = ((s, np.array(ids, dtype=np.int64)) for b in batches for s, ids in zip(b.column("shard").to_pylist(), b.column("ids").to_pylist()))
+        rows = ((s.as_py(), ids.values.to_numpy(zero_copy_only=False).astype(np.int64)) for b in batches for s, ids in zip(b.column("shard"), b.column("ids")))
         for number, group in groupby(rows, lambda r: r[0]):
             yield from shard(number, (ids for _, ids in group))
     return run

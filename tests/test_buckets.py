@@ -49,3 +49,17 @@ def test_ngrams_of_repeated_and_missing_ids(spark):
     # All orders from one shuffle of whole pairs.
     first = plan(got).split("Initial Plan")[0]
     assert "Generate" not in first and first.count("Exchange hashpartitioning") == 1
+
+
+def test_rows_subtracted_as_subtract_at_does():
+    import numpy as np
+
+    from corpusmill.operators import skipgram as SG
+    rng = np.random.default_rng(1)
+    for width in (1, 7, 129):
+        table = rng.standard_normal((40, width), dtype=np.float32)
+        rows, change = rng.integers(0, 9, 300), rng.standard_normal((300, width + 1), dtype=np.float32)[:, :-1]
+        want = table.copy()
+        np.subtract.at(want, rows, change)
+        SG.subtract_rows(table, rows, change)
+        assert np.array_equal(table, want)
