@@ -65,7 +65,7 @@ def pair_tokens(pairs: DataFrame) -> DataFrame:
 
 def pair_streams(pairs: DataFrame) -> tuple[DataFrame, str, list[tuple[int, Column]]]:
     """U1 as ``word_stats`` arguments: texts (src 0) then summaries (src 1) of one scan."""
-    return pairs, "pair_id", [(0, ws_tokens(F.col("text"))), (1, ws_tokens(F.col("summary")))]
+    return pairs, "pair_id", [(0, F.col("text")), (1, F.col("summary"))]
 
 
 def corpus_arrays(claims: DataFrame, id_col: str = "pair_id", sentences_col: str = "sentences",

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from corpusmill.functions.text import pct4
-from corpusmill.operators.buckets import BUCKET, bucketed, looked_up
+from corpusmill.operators.buckets import bucketed, items_of, looked_up
 from corpusmill.operators.ranking import global_row_number, one_row
 from corpusmill.session import cut_lineage
 
@@ -41,13 +41,14 @@ SOURCES = (0, 1)
 SLICE_TOKENS = 1 << 20  # tokens that a task counts at a time
 
 
-def _doc_slices(docs: pa.Array, lists: pa.Array) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
-    """Documents, tokens and the row of each, some ``SLICE_TOKENS`` at a time."""
-    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    part = np.cumsum(lengths) // SLICE_TOKENS
-    cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(lists)] if len(lists) else [0]
+def _doc_slices(docs: pa.Array, column: pa.Array) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
+    """Documents, tokens (of lists, or the words of texts) and the row of each, some ``SLICE_TOKENS`` at a time."""
+    size = pc.list_value_length(column) if pa.types.is_list(column.type) else pc.divide(pc.binary_length(column), 6)
+    part = np.cumsum(pc.fill_null(size, 0).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE_TOKENS
+    cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(column)] if len(column) else [0]
     for a, b in zip(cuts, cuts[1:]):
-        yield docs[a:b], lists[a:b].flatten(), np.repeat(np.arange(b - a), lengths[a:b])
+        tokens, lengths = items_of(pa.chunked_array([column[a:b]]))
+        yield docs[a:b], tokens, np.repeat(np.arange(b - a), lengths)
 
 
 def _partial_stats(sources: list[int]):
@@ -79,8 +80,8 @@ def _partial_stats(sources: list[int]):
 def word_stats(df: DataFrame, doc_col: str, token_cols: list[tuple[int, Column]]) -> DataFrame:
     """A1 + U1 on token arrays: ``(word, cnt, cnt0, cnt1, first)``, ``cnt0`` and ``cnt1`` per source.
 
-    ``token_cols`` are ``(src, array<string> column)`` of ``df`` with ``src`` in
-    ``SOURCES``.  ``first = (src, doc, k)`` orders words by first appearance:
+    ``token_cols`` are ``(src, column)`` of ``df`` with ``src`` in ``SOURCES``; a column holds
+    tokens (array<string>), or texts whose words (``ws_tokens``) are the tokens.  ``first = (src, doc, k)`` orders words by first appearance:
     ``k`` is the word's index among the document's distinct words of that source, in
     first-occurrence order.  Each task counts its tokens some million at a time, one row per word, source and
     slice with the smallest document there; one shuffle with hash aggregates adds them up
@@ -232,14 +233,12 @@ def encode_many(df: DataFrame, id_col: str, text_cols: list[str], vocab: DataFra
     buckets, and the different words of a bucket are joined with the vocabulary (broadcast or not, by size if not
     said): neither tokens nor a vocabulary of any size travel once per token.  Empty texts give empty arrays.
     """
-    from corpusmill.functions.text import ws_tokens
     v = vocab.select(F.col("word").alias("key"), F.col("id").cast("int").alias("value"))
     if broadcast_vocab:
         v = F.broadcast(v)
     size = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in text_cols), F.lit(16))
-    docs = bucketed(df.select(id_col, *text_cols), id_col, size)
-    tokens = docs.select(BUCKET, id_col, *[ws_tokens(F.col(c)).alias(f"{c}_ids") for c in text_cols])
-    return looked_up(tokens, id_col, [f"{c}_ids" for c in text_cols], v, IntegerType(), unk_id)
+    docs = bucketed(df.select(id_col, *text_cols), id_col, size).withColumnsRenamed({c: f"{c}_ids" for c in text_cols})
+    return looked_up(docs, id_col, [f"{c}_ids" for c in text_cols], v, IntegerType(), unk_id)
 
 
 def encode_texts(df: DataFrame, id_col: str, text_col: str, vocab: DataFrame, unk_id: int,
@@ -257,8 +256,7 @@ def decode_many(df: DataFrame, id_col: str, ids_cols: list[str], vocab: DataFram
         v = F.broadcast(v)
     size = sum((F.coalesce(F.size(c), F.lit(0)).cast("long") * 8 for c in ids_cols), F.lit(16))
     ids = bucketed(df.select(id_col, *[F.col(c).cast("array<int>").alias(c) for c in ids_cols]), id_col, size)
-    words = looked_up(ids, id_col, ids_cols, v, StringType(), "")
-    return words.select(id_col, *[F.array_join(c, sep).alias(c) for c in ids_cols])
+    return looked_up(ids, id_col, ids_cols, v, StringType(), "", sep)
 
 
 def decode_ids(df: DataFrame, id_col: str, ids_col: str, vocab: DataFrame,

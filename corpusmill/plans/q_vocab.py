@@ -50,7 +50,7 @@ UNION ALL SELECT id, word, cnt FROM top"""
 
 
 def _frequency_vocab(spark, sf, size):
-    return V.frequency_vocab(V.word_stats(B.corpus_stream(spark, sf), "doc", [(0, F.col("toks"))]), size)
+    return V.frequency_vocab(V.word_stats(B.corpus_text(spark, sf), "pair_id", [(0, F.col("text"))]), size)
 
 
 @query("frequency_vocab", FREQ_SQL.replace("__N__", str(W1_SIZE - 1)))

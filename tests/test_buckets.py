@@ -29,6 +29,31 @@ def test_words_of_a_bucket_are_looked_up_once(spark):
     assert "FlatMapCoGroupsInArrow" in plan(got) and "posexplode" not in plan(got).lower()
 
 
+def test_texts_of_a_bucket_are_shuffled_once_and_whole(spark):
+    docs = spark.createDataFrame([(i, f"w{i} the a") for i in range(200)], "doc long, text string")
+    vocab = spark.createDataFrame([(0, "a"), (1, "the")], "id long, word string")
+    got = V.encode_many(docs, "doc", ["text"], vocab, 2, False)
+    assert {tuple(r.text_ids) for r in got.collect()} == {(2, 1, 0)}
+    final = plan(got).split("Initial Plan")[0]
+    assert "ReusedExchange" in final and "split(" not in final
+    assert "split(" not in plan(V.word_stats(docs, "doc", [(0, F.col("text"))]))
+
+
+def test_words_of_texts_are_those_of_token_arrays(spark):
+    import pyarrow as pa
+
+    from corpusmill.functions.text import ws_tokens
+    from corpusmill.operators import buckets as BU
+    texts = [None, "", " ", "one", *(f"{chr(c)}a{chr(c)}{chr(c)}b {c}" for c in [*range(1, 0xD800), *range(0xE000, 0x10000), 0x1F600])]
+    want = [r.t for r in spark.createDataFrame([(t,) for t in texts], "t string").select(ws_tokens(F.col("t")).alias("t")).collect()]
+    items, lengths = BU.items_of(pa.chunked_array([texts[:7], texts[7:]], pa.string()))
+    assert items.to_pylist() == [w for ws in want for w in ws or []] and lengths.tolist() == [len(ws or []) for ws in want]
+    rows = [(d, t) for d, t in enumerate(["b a\u2003b", None, "c\x1ca", ""])]
+    df = spark.createDataFrame(rows, "doc long, t string")
+    stats = [sorted(V.word_stats(df, "doc", [(0, c)]).collect()) for c in (F.col("t"), ws_tokens(F.col("t")))]
+    assert stats[0] == stats[1] and len(stats[0]) == 3
+
+
 def test_word_stats_counts_before_the_shuffle(spark):
     docs = spark.createDataFrame([(5, ["x", "y", "x"], ["z"]), (2, None, ["z", "x"]), (None, ["n", "y"], []), (2, ["q", "y"], None)],
                                  "doc long, a array<string>, b array<string>")
