@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from corpusmill.functions.text import l2_norm, normalize
 
@@ -42,10 +43,15 @@ def minstd_powers(n: int) -> list[int]:
     return [pow(MINSTD_A, k, MINSTD_M) for k in range(1, n + 1)]
 
 
+def first_state(key: Column) -> Column:
+    """State from 1 to ``MINSTD_M - 1`` that ``md5(key)`` seeds a MINSTD stream with."""
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % (MINSTD_M - 1) + 1
+
+
 def hash_units(key: Column, n: int) -> Column:
     """``n`` uniforms in (0, 1): one ``md5(key)`` seeds a MINSTD stream, expanded in
     closed form - one hash per key, one multiply and modulo per draw."""
-    x0 = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % (MINSTD_M - 1) + 1
+    x0 = first_state(key)
     powers = F.lit(np.array(minstd_powers(n), dtype=np.int64))
     # Bound by an outer one-element transform: inside the inner one the hash would run once per draw.
     return F.transform(F.array(x0), lambda x: F.transform(
@@ -89,6 +95,44 @@ def log_uniform(u: Column, vocab_size: int) -> Column:
 
 
 DRAWS = (4, 64)  # draws per sample that is wanted, first and in the second round
+STREAMS = 1024  # that are drawn from at a time
+
+
+def _first_different(classes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows have ``k`` different numbers, and the first ``k`` of each such row in the order they came."""
+    order = np.argsort(classes, axis=1, kind="stable")
+    ordered = np.take_along_axis(classes, order, axis=1)
+    new = np.zeros(classes.shape, dtype=bool)
+    np.put_along_axis(new, order, np.c_[np.ones(len(classes), dtype=bool), ordered[:, 1:] != ordered[:, :-1]], axis=1)
+    nth = np.cumsum(new, axis=1)
+    enough = nth[:, -1] >= k
+    return enough, classes[enough][(new & (nth <= k))[enough]].reshape(-1, k)
+
+
+def _drawn(vocab_size: int, k: int):
+    """The first ``k`` different classes of each batch's stream, which starts at ``x0``."""
+    small = np.uint16 if vocab_size <= 1 << 16 else np.int64
+
+    def classes(x0: np.ndarray, n: int) -> np.ndarray:
+        u = (x0[:, None] * np.array(minstd_powers(n), dtype=np.int64) % MINSTD_M).astype(float) / float(MINSTD_M)
+        return (np.floor(np.exp(u * math.log(vocab_size + 1))) - 1).astype(small)
+
+    def all_of(x0: int) -> np.ndarray:
+        stream = np.r_[classes(np.array([x0]), DRAWS[1] * k)[0].astype(np.int64), np.arange(vocab_size)]
+        return stream[np.sort(np.unique(stream, return_index=True)[1])][:k]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(a, STREAMS) for b in batches for a in range(0, b.num_rows, STREAMS)):
+            x0, out, left = b.column("x0").to_numpy(), np.empty((b.num_rows, k), dtype=np.int64), np.arange(b.num_rows)
+            for n in (2 * k, DRAWS[0] * k):  # beginnings of one stream
+                enough, first = _first_different(classes(x0[left], n), k) if len(left) else (np.empty(0, dtype=bool), out[:0])
+                out[left[enough]] = first
+                left = left[~enough]
+            for i in left.tolist():
+                out[i] = all_of(int(x0[i]))
+            ends = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * k)
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("batch"), pa.ListArray.from_arrays(ends, pa.array(out.reshape(-1)))], ["doc", "batch", "classes"])
+    return run
 
 
 def negative_samples(seqs: DataFrame, id_col: str, ids_col: str, vocab_size: int, k: int = 64,
@@ -96,8 +140,9 @@ def negative_samples(seqs: DataFrame, id_col: str, ids_col: str, vocab_size: int
     """Q12: ``k`` different log-uniform class ids per batch of ``centers_per_batch`` centres of a document.
 
     The stream of a batch (``hash_units`` of (seed, doc, batch)) is drawn from without repeats: a class that has come
-    already is passed over, until there are ``k``.  A stream of 4 draws a sample has them nearly always; if
-    not, it goes on to 64, and what is then still missing are the smallest ids that have not come.
+    already is passed over, until there are ``k``.  Its first 2 draws a sample have them nearly always, its first 4 more often; if
+    not, it goes on to 64, and what is then still missing are the smallest ids that have not come.  Streams are drawn from in
+    blocks of ``STREAMS``.
     """
     if k > vocab_size:
         raise ValueError("no more than vocab_size different classes can be drawn")
@@ -105,15 +150,9 @@ def negative_samples(seqs: DataFrame, id_col: str, ids_col: str, vocab_size: int
     batches = F.when(n_batches > 0, F.sequence(F.lit(0), n_batches - 1))
     b = seqs.select(F.col(id_col).alias("doc"), F.explode(batches).alias("batch"))
     key = F.concat_ws(":", F.lit(str(seed)), F.col("doc").cast("string"), F.col("batch").cast("string"))
-
-    def drawn(n: int) -> Column:
-        return F.array_distinct(F.transform(hash_units(key, n), lambda u: log_uniform(u, vocab_size)))  # in the order they came
-
-    b = b.withColumn("__c", drawn(DRAWS[0] * k))
-    more = drawn(DRAWS[1] * k)
-    b = b.withColumn("__c", F.when(F.size("__c") >= k, F.col("__c")).otherwise(
-        F.array_union(more, F.sequence(F.lit(0).cast("long"), F.lit(vocab_size - 1).cast("long")))))
-    return b.select("doc", "batch", F.posexplode(F.slice("__c", 1, k)).alias("k", "class_id"))
+    schema = StructType([StructField("doc", b.schema["doc"].dataType), StructField("batch", IntegerType()), StructField("classes", ArrayType(LongType()))])
+    drawn = b.select("doc", "batch", first_state(key).alias("x0")).mapInArrow(_drawn(vocab_size, k), schema)
+    return drawn.select("doc", "batch", F.posexplode("classes").alias("k", "class_id"))
 
 
 def embedding_matrix(vocab: DataFrame, dictionary: DataFrame, dim: int, seed: int = 0) -> DataFrame:

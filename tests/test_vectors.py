@@ -186,3 +186,16 @@ def test_skipgram_pairs_and_gradient():
             both = [(centres + step * s, contexts) if table == 0 else (centres, contexts + step * s) for s in (1, -1)]
             slope = (loss(*both[0]) - loss(*both[1])) / 2e-5
             assert abs((was[i, j] - now[i, j]) / t.rate - slope) < 1e-4
+
+
+def test_negative_draws_are_those_of_the_stream(spark):
+    seqs = spark.createDataFrame([(i, list(range(150))) for i in range(20)] + [(None, [1]), (77, None), (78, [])], "doc long, ids array<int>")
+    for vocab, k in ((20000, 64), (70000, 8), (70, 64)):
+        key = F.concat_ws(":", F.lit("3"), F.col("doc").cast("string"), F.col("batch").cast("string"))
+        draws = F.array_distinct(F.transform(VX.hash_units(key, 64 * k), lambda u: VX.log_uniform(u, vocab)))  # noqa: B023
+        rest = F.array_union(draws, F.sequence(F.lit(0).cast("long"), F.lit(vocab - 1).cast("long")))
+        s = VX.negative_samples(seqs, "doc", "ids", vocab, k, seed=3)
+        got = {(r.doc, r.batch): [x[1] for x in sorted(r.c)] for r in s.groupBy("doc", "batch").agg(F.collect_list(F.struct("k", "class_id")).alias("c")).collect()}
+        want = {(r.doc, r.batch): r.c for r in s.select("doc", "batch").distinct().select("doc", "batch", F.slice(rest, 1, k).alias("c")).collect()}
+        assert got == want and len(got) == 61
+    assert "MapInArrow" in s._jdf.queryExecution().executedPlan().toString()
