@@ -102,14 +102,11 @@ def vector_lookup(spark, sf):
     vocab = first_seen(spark, sf, d, words)
     m = VX.normalized(_matrix(spark, sf, words, vocab, d)).select("id", "norm", F.col("vec")[0].cast("double").alias("v0"))
     e = V.encode_many(B.pairs(spark, sf), "pair_id", ["text", "summary"], vocab, V.lookup_id(vocab, "<UNK>"))
-    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_ids").alias("ids")) for s in ("text", "summary")])
-    # Ids are counted per pair first: a frequent word joins once per pair.
-    ids = (e.select("pair_id", F.explode(sides).alias("x")).select("pair_id", "x.side", F.explode("x.ids").alias("id"))
-           .groupBy("pair_id", "side", "id").agg(F.count(F.lit(1)).alias("n")))
-    n = F.sum("n")
-    return ids.join(m, "id").groupBy("pair_id", "side").agg(
-        n.cast("long").alias("n_ids"), F.round(F.sum(F.col("norm") * F.col("n")) / n, 4).alias("mean_norm"),
-        F.round(F.sum(F.col("v0") * F.col("n")) / n, 4).alias("mean_first"))
+    e = cut_lineage(e)  # weighed, then looked up: encoded once
+    # Each different id of a bucket of pairs is joined once.
+    sums = VX.lookup_sums(e, "pair_id", {"text": "text_ids", "summary": "summary_ids"}, m, ["norm", "v0"])
+    return sums.select("pair_id", "side", F.col("n").alias("n_ids"), F.round(F.col("norm") / F.col("n"), 4).alias("mean_norm"),
+                       F.round(F.col("v0") / F.col("n"), 4).alias("mean_first"))
 
 
 @query("normalized_vectors", f"""SELECT vec_id, round({S.norm_sql('embedding')}, 6) AS norm,
