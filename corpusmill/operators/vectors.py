@@ -171,28 +171,33 @@ def embedding_matrix(vocab: DataFrame, dictionary: DataFrame, dim: int, seed: in
 def _summed(id_col: str, sides: dict[str, str], values: list[str]):
     def add(rows: pa.Table, table: pa.Table) -> pa.Table:
         ids, group = numbered(rows[id_col])
-        keys, out = whole(table["key"]), []
+        keys, code = numbered(table["key"])  # an id may have several rows
+        columns = [whole(table[v]) for v in values]
+        known = [~x.is_null().to_numpy(zero_copy_only=False) for x in columns]
+        has = [np.bincount(code[y], minlength=len(keys)) for y in known]
+        total = [np.bincount(code[y], x.drop_null().to_numpy(), len(keys)) for x, y in zip(columns, known)]
+        times, out = np.bincount(code, minlength=len(keys)), []
+
+        def added(owner: np.ndarray, x: np.ndarray) -> np.ndarray:
+            return np.bincount(owner, x, len(ids)).astype(float)  # of none: whole numbers
+
         for name, c in sides.items():
             items, lengths = items_of(rows[c])
             at = pc.index_in(items, value_set=keys)
-            found = ~at.is_null().to_numpy(zero_copy_only=False)
-            at, owner = at.drop_null(), np.repeat(group, lengths)[found]
-            n = np.bincount(owner, minlength=len(ids))
+            owner = np.repeat(group, lengths)[~at.is_null().to_numpy(zero_copy_only=False)]
+            at = at.drop_null().to_numpy()
+            n = added(owner, times[at])
             here = pa.array(np.flatnonzero(n))
-            cols = [ids.take(here), pa.array([name] * len(here), pa.string()), pa.array(n).take(here)]
-            for v in values:
-                x = whole(table[v]).take(at)
-                known = ~x.is_null().to_numpy(zero_copy_only=False)
-                total = np.bincount(owner[known], x.drop_null().to_numpy(), len(ids)).astype(float)  # of none: int
-                cols.append(pa.array(total, mask=np.bincount(owner[known], minlength=len(ids)) == 0).take(here))
-            out.append(pa.table(cols, names=[id_col, "side", "n", *values]))
+            sums = [pa.array(added(owner, t[at]), mask=added(owner, h[at]) == 0).take(here) for t, h in zip(total, has)]
+            out.append(pa.table([ids.take(here), pa.array([name] * len(here), pa.string()), pa.array(n.astype(np.int64)).take(here), *sums],
+                                names=[id_col, "side", "n", *values]))
         return pa.concat_tables(out)
     return add
 
 
 def lookup_sums(df: DataFrame, id_col: str, sides: dict[str, str], matrix: DataFrame, values: list[str]) -> DataFrame:
-    """``(id_col, side, n, values)``: how many items of the id arrays ``sides`` (name: column) of ``df`` are in ``matrix (id, values)``, different ids,
-    and the sums of its ``values`` (double; nulls left out) over them; no row for a side without any.
+    """``(id_col, side, n, values)``: how many rows of ``matrix (id, values)`` the items of the id arrays ``sides`` (name: column) of ``df`` meet, an
+    id may have several, and the sums of its ``values`` (double; nulls left out) over them; no row for a side without any.
 
     Rows are dealt by ``id_col`` into buckets and the different ids of a bucket are joined with the matrix.
     """

@@ -202,9 +202,10 @@ def test_negative_draws_are_those_of_the_stream(spark):
 
 
 def test_lookup_sums(spark):
-    e = spark.createDataFrame([(1, [0, 1, 1], [2]), (1, [1], None), (None, [3, 9], []), (4, [], [0, 3])], "pair long, t array<int>, s array<int>").repartition(3)
-    m = spark.createDataFrame([(0, 1.0, 0.5), (1, 2.0, None), (2, None, None), (3, float("nan"), 4.0)], "id long, a double, b double")
+    e = spark.createDataFrame([(1, [0, 1, 1], [2]), (1, [1], None), (None, [3, 9], []), (6, [5, 5], [9]), (4, [], [0, 3])], "pair long, t array<int>, s array<int>").repartition(3)
+    m = spark.createDataFrame([(0, 1.0, 0.5), (1, 2.0, None), (2, None, None), (3, float("nan"), 4.0), (5, 1.0, 1.0), (5, 3.0, None)], "id long, a double, b double")
     got = VX.lookup_sums(e, "pair", {"text": "t", "summary": "s"}, m, ["a", "b"])
     assert {(r.pair, r.side): str((r.n, r.a, r.b)) for r in got.collect()} == {
-        (1, "text"): "(4, 7.0, 0.5)", (1, "summary"): "(1, None, None)", (None, "text"): "(1, nan, 4.0)", (4, "summary"): "(2, nan, 4.5)"}
+        (1, "text"): "(4, 7.0, 0.5)", (1, "summary"): "(1, None, None)", (None, "text"): "(1, nan, 4.0)", (4, "summary"): "(2, nan, 4.5)",
+        (6, "text"): "(4, 8.0, 2.0)"}
     assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
