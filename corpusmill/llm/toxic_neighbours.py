@@ -37,6 +37,7 @@ from corpusmill.llm.common import scratch_path, share, shared, table, written
 MAX_EXAMPLES, SCALE_EXAMPLES = 10_000, 2_000
 NEIGHBOURS, PRIOR_WEIGHT, THRESHOLD, BLOCK = 15, 0.5, 0.7, 512
 ROWS, PART_CHARS = 512, 1 << 21  # texts and characters in Python at a time
+COUNTED = 64  # texts whose terms are counted at a time
 PART = 1 << 20  # postings at a time when the index is built
 COMMON = 2000  # terms scored by matrix product
 ROUNDING = 1e-4  # above any error of a cosine in single precision
@@ -52,7 +53,7 @@ def terms_of(word: str) -> list[str]:
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Labelled texts ``(doc_id, toxic, row)`` with their terms and how often each occurs."""
-    for b in batches:
+    for b in (b.slice(a, COUNTED) for b in batches for a in range(0, b.num_rows, COUNTED)):
         tfs = []
         for text in b.column("text").to_pylist():
             tf = Counter()
@@ -276,7 +277,9 @@ class NearestExamples:
         if not (self.size and len(names)):
             return np.full(len(names), -1)
         h = _hashes(names)
-        at = np.minimum(np.searchsorted(self.hashes, h), self.size - 1)
+        by = np.argsort(h)  # looked up in order: neighbouring places of the index
+        at = np.empty(len(h), dtype=np.int64)
+        at[by] = np.minimum(np.searchsorted(self.hashes, h[by]), self.size - 1)
         ids = np.where(self.hashes[at] == h, self.by_hash[at], -1)
         known = np.flatnonzero(ids >= 0)
         same = pc.equal(names.take(pa.array(known)), self.terms.take(pa.array(ids[known]))).to_numpy(zero_copy_only=False)
@@ -305,16 +308,18 @@ class NearestExamples:
         row = np.repeat(np.arange(len(terms)), pc.list_value_length(terms).to_numpy())
         return self._counted(len(terms), row, self._ids(terms.flatten()), tf.flatten().to_numpy().astype(np.int64))
 
-    def _add_rare(self, c: np.ndarray, weight: np.ndarray, at: np.ndarray, ends: np.ndarray, opens: np.ndarray) -> None:
-        """Add to ``c``, a text's cosines, what its rare terms bring from the first to the last block of ``opens``; ``at``, ``ends``: each term's postings, and those up to each block."""
+    def _add_rare(self, c: np.ndarray, weight: np.ndarray, terms: np.ndarray, opens: np.ndarray) -> None:
+        """Add to ``c``, a text's cosines, what its rare ``terms`` bring from the first to the last block of ``opens``."""
         blocks = np.flatnonzero(opens)
-        if not len(blocks):
+        if not (len(blocks) and len(terms)):
             return
-        begin, n = at + ends[:, blocks[0]], ends[:, blocks[-1] + 1] - ends[:, blocks[0]]
-        where = np.arange(n.sum())
-        where += np.repeat(begin - np.cumsum(n) + n, n)
-        found = self.rare.take(where).view(_POSTING)
-        c += np.bincount(found["example"], found["weight"] * np.repeat(weight, n), len(c))
+        begin, end = self.rare_start[terms], self.rare_start[terms + 1]
+        if blocks[0] > 0:
+            begin = begin + self.rare_count[terms, :blocks[0]].sum(axis=1, dtype=np.int64)
+        if blocks[-1] + 1 < self.blocks:
+            end = end - self.rare_count[terms, blocks[-1] + 1:].sum(axis=1, dtype=np.int64)
+        found = np.concatenate([self.rare[x] for x in map(slice, begin.tolist(), end.tolist())]).view(_POSTING)
+        c += np.bincount(found["example"], found["weight"] * np.repeat(weight, end - begin), len(c))
 
     def _exact(self, place: np.ndarray) -> np.ndarray:
         """Cosines of examples with the text in ``query``, in double precision."""
@@ -346,9 +351,7 @@ class NearestExamples:
             if len(best) > k:  # a part of the cosines of k examples; the nearest reach the least of them
                 last = float(np.partition(best, -k)[-k])
             opens = (bound > 0) & (bound >= last - ROUNDING)
-            ends = np.zeros((len(weight), self.blocks + 1), dtype=np.int64)
-            np.cumsum(self.rare_count[rare_terms], axis=1, out=ends[:, 1:])
-            self._add_rare(c, weight, self.rare_start[rare_terms], ends, opens)
+            self._add_rare(c, weight, rare_terms, opens)
             place = np.flatnonzero((c > 0) & (c >= last - ROUNDING))
             place = place[place != own]
             if len(place) > k:

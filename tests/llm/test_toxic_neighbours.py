@@ -130,3 +130,12 @@ def test_every_labelled_text_is_an_example_and_ordinary_words_count(spark):
     clean = spark.createDataFrame([(1, "ka lo"), (2, "lo mi")], "doc_id long, text string")
     got = N.toxicity(clean, spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int")).collect()
     assert {r.score for r in got} == {0.0}
+
+
+def test_terms_are_counted_some_texts_at_a_time():
+    import pyarrow as pa
+    n = 3 * N.COUNTED + 1
+    b = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([0] * n, pa.int32()), pa.array(range(n)), pa.array([f"word w{i}" for i in range(n)])], ["doc_id", "toxic", "row", "text"])
+    got = list(N._terms(iter([b])))
+    assert [x.num_rows for x in got] == [N.COUNTED] * 3 + [1]
+    assert [r for x in got for r in x["doc_id"].to_pylist()] == list(range(n)) and all("word" in t for x in got for t in x["terms"].to_pylist())
