@@ -92,7 +92,7 @@ def met(rows: DataFrame, cols: list[str], table: DataFrame, function: Callable[[
     return rows.groupBy(BUCKET).cogroup(found.groupBy("__of")).applyInArrow(function, schema)
 
 
-def _looker(id_col: str, cols: list[str], default, sep: str | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _looker(id_col: str, cols: list[str], default, sep: str | None, over: str | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def look(rows: pa.Table, table: pa.Table) -> pa.Table:
         ids, group = numbered(rows[id_col])
         keys, values = whole(table["key"]), whole(table["value"])
@@ -109,17 +109,20 @@ def _looker(id_col: str, cols: list[str], default, sep: str | None) -> Callable[
             ends = np.r_[0, np.cumsum(lengths)].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), found)
             out.append(lists if sep is None else pc.binary_join(lists, sep))
-        return pa.table([ids, *out], names=[id_col, *cols])
+        found = pa.table([ids, *out], names=[id_col, *cols])
+        return found if over is None else found.filter(pa.array(np.bincount(group[whole(rows[over]).to_numpy(zero_copy_only=False)], minlength=len(ids)) == 0))
     return look
 
 
-def looked_up(rows: DataFrame, id_col: str, cols: list[str], table: DataFrame, value_type: DataType, default, sep: str | None = None) -> DataFrame:
+def looked_up(rows: DataFrame, id_col: str, cols: list[str], table: DataFrame, value_type: DataType, default, sep: str | None = None,
+              over: str | None = None) -> DataFrame:
     """``(id_col, cols)``: the items of the array columns ``cols`` of ``rows`` (as ``bucketed`` gives them), or the words of text columns, replaced by the
     ``value`` of their ``key`` in ``table`` (different keys), or by ``default``; one row for each id.
 
     Items of rows with the same id are put together by place, then value.  With ``sep`` they are joined into a text.
+    Ids of which a row is marked in the boolean column ``over`` give no row.
     """
-    rows = rows.select(BUCKET, id_col, *cols)
+    rows = rows.select(BUCKET, id_col, *cols, *([over] if over else []))
     result = ArrayType(value_type) if sep is None else StringType()
     schema = StructType([StructField(id_col, rows.schema[id_col].dataType), *[StructField(c, result) for c in cols]])
-    return met(rows, cols, table.select("key", "value"), _looker(id_col, cols, default, sep), schema)
+    return met(rows, cols, table.select("key", "value"), _looker(id_col, cols, default, sep, over), schema)

@@ -63,8 +63,11 @@ def unk_count(ids: Column, unk_id: int) -> Column:
     return F.size(F.filter(ids, lambda x: x == unk_id))
 
 
+MAX_TEXT_LENGTH, MAX_SUMMARY_LENGTH = 400, 30  # of P9: the first is not reached, the second is
+
+
 def example_filter(text_ids: Column, summary_ids: Column, unk_id: int, *,
-                   min_length: int = 2, max_text_length: int = 400, max_summary_length: int = 30,
+                   min_length: int = 2, max_text_length: int = MAX_TEXT_LENGTH, max_summary_length: int = MAX_SUMMARY_LENGTH,
                    unk_text_limit: int = 30, unk_summary_limit: int = 5) -> Column:
     """P9 as one predicate.
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from corpusmill.functions.text import pct4
+from corpusmill.functions.text import pct4, ws_tokens
 from corpusmill.operators.buckets import bucketed, items_of, looked_up
 from corpusmill.operators.ranking import global_row_number, one_row
 from corpusmill.session import cut_lineage
@@ -226,19 +228,27 @@ def lookup_id(vocab: DataFrame, word: str) -> int:
 
 
 def encode_many(df: DataFrame, id_col: str, text_cols: list[str], vocab: DataFrame, unk_id: int,
-                broadcast_vocab: bool | None = None) -> DataFrame:
+                broadcast_vocab: bool | None = None, limits: dict[str, int] | None = None) -> DataFrame:
     """Q1 for several text columns at once: ``(id_col, <col>_ids ...)``.
 
     Whitespace tokens are mapped by J4 (unknown -> ``unk_id``), in order.  Texts are dealt by ``id_col`` into
     buckets, and the different words of a bucket are joined with the vocabulary (broadcast or not, by size if not
     said): neither tokens nor a vocabulary of any size travel once per token.  Empty texts give empty arrays.
+    ``limits`` are the most tokens of a text column: ids of which a row has more give no row, as if filtered by the
+    sizes of their arrays, and the texts of such rows are not shuffled.
     """
     v = vocab.select(F.col("word").alias("key"), F.col("id").cast("int").alias("value"))
     if broadcast_vocab:
         v = F.broadcast(v)
     size = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in text_cols), F.lit(16))
-    docs = bucketed(df.select(id_col, *text_cols), id_col, size).withColumnsRenamed({c: f"{c}_ids" for c in text_cols})
-    return looked_up(docs, id_col, [f"{c}_ids" for c in text_cols], v, IntegerType(), unk_id)
+    docs, over = df.select(id_col, *text_cols), None
+    if limits:
+        over = "__over"
+        # n + 1 tokens take more than 2 n bytes, so short texts are not split.
+        longer = [F.when(F.octet_length(c) > 2 * n, F.size(ws_tokens(F.col(c))) > n).otherwise(False) for c, n in limits.items()]
+        docs = docs.withColumn(over, reduce(or_, longer)).withColumns({c: F.when(~F.col(over), F.col(c)) for c in text_cols})
+    docs = bucketed(docs, id_col, size).withColumnsRenamed({c: f"{c}_ids" for c in text_cols})
+    return looked_up(docs, id_col, [f"{c}_ids" for c in text_cols], v, IntegerType(), unk_id, over=over)
 
 
 def encode_texts(df: DataFrame, id_col: str, text_col: str, vocab: DataFrame, unk_id: int,

@@ -25,17 +25,18 @@ def specials(vocab: DataFrame) -> dict[str, int]:
     return {r["word"]: int(r["id"]) for r in rows}
 
 
-def encoded_examples(spark, sf, sides=("text", "summary")):
-    """``(pair_id, t, s)``: text ids with ``<EOS>`` (Q2, v3) and summary ids, or one of them; plus special ids."""
+def encoded_examples(spark, sf, sides=("text", "summary"), limits=None):
+    """``(pair_id, t, s)``: text ids with ``<EOS>`` (Q2, v3) and summary ids, or one of them, within ``limits`` of tokens; plus special ids."""
     vocab = first_seen(spark, sf)
     sp = specials(vocab)
-    e = V.encode_many(B.pairs(spark, sf), "pair_id", list(sides), vocab, sp["<UNK>"])
+    e = V.encode_many(B.pairs(spark, sf), "pair_id", list(sides), vocab, sp["<UNK>"], limits=limits)
     cols = {"text": lambda: Q.append_eos(F.col("text_ids"), sp["<EOS>"]).alias("t"), "summary": lambda: F.col("summary_ids").alias("s")}
     return e.select("pair_id", *[cols[s]() for s in sides]), sp
 
 
 def kept_examples(spark, sf):
-    ex, sp = encoded_examples(spark, sf)
+    # Encoding keeps lengths, so texts that P9 drops for their length need not be encoded (<EOS> is one of the text's ids).
+    ex, sp = encoded_examples(spark, sf, limits={"text": Q.MAX_TEXT_LENGTH - 2, "summary": Q.MAX_SUMMARY_LENGTH})
     return ex.filter(Q.example_filter(F.col("t"), F.col("s"), sp["<UNK>"])), sp
 
 

@@ -88,3 +88,45 @@ def test_rows_subtracted_as_subtract_at_does():
         np.subtract.at(want, rows, change)
         SG.subtract_rows(table, rows, change)
         assert np.array_equal(table, want)
+
+
+def test_texts_over_their_limits_are_not_shuffled(spark):
+    import random
+    rng = random.Random(3)
+    rows = [(1, "a b", "a"), (1, "a b a", "b"), (2, "a  b c ", "a"), (3, "a b c a", "a"), (4, None, None), (5, "a", "b a a"), (None, "a", None), (None, "c c c c c", "b"),
+            (6, "", "a"), (7, "a bb ccc", "b a")]
+    rows += [(rng.randrange(8, 300), " ".join(rng.choices(["a", "b", "zz"], k=rng.randrange(7))), " ".join(rng.choices("ab", k=rng.randrange(4)))) for _ in range(400)]
+    docs = spark.createDataFrame(rows, "doc long, t string, s string").repartition(3)
+    vocab = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "id long, word string")
+    # An id with a longer row goes; several rows of an id may be longer together, which is for the filter behind.
+    fits = (F.size("t_ids") <= 3) & (F.size("s_ids") <= 2)
+    want = V.encode_many(docs, "doc", ["t", "s"], vocab, 9, False).where(fits)
+    got = V.encode_many(docs, "doc", ["t", "s"], vocab, 9, False, limits={"t": 3, "s": 2})
+    assert sorted(map(str, got.where(fits).collect())) == sorted(map(str, want.collect()))
+    assert {1, 2, 4, 6, 7} <= {r.doc for r in got.collect()} and not {3, 5, None} & {r.doc for r in got.collect()}
+    from corpusmill.operators import buckets as BU
+    before, seen = BU.bucketed, []
+    try:
+        V.bucketed = lambda df, *a: seen.append(df) or before(df, *a)
+        V.encode_many(docs, "doc", ["t", "s"], vocab, 9, False, limits={"t": 3, "s": 2})
+    finally:
+        V.bucketed = before
+    assert {(r.doc, r.t, r.s) for r in seen[0].where("doc in (3, 5)").collect()} == {(3, None, None), (5, None, None)}
+
+
+def test_examples_too_long_for_p9_are_not_encoded(spark):
+    import tempfile
+
+    from corpusmill.operators import sequences as Q
+    from corpusmill.plans import q_sequences as S
+    folder = tempfile.mkdtemp(prefix="corpusmill-test-")
+    words = [(i, "a b " + "c " * 5 + "\n" + "a b " * n + "c") for i, n in enumerate([1, 198, 199, 200, 300])]
+    words += [(9, "a " * n + "\na b") for n in (2,)] + [(10, "a " * 30 + "\na b"), (11, "a " * 31 + "\na b"), (12, "a b\na b"), (12, "a b\n" + "b " * 399), (13, "a b\na b"), (13, "a b\n" + "b " * 397)]
+    spark.createDataFrame(words, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+    ex, sp = S.encoded_examples(spark, folder)
+    want = ex.filter(Q.example_filter(F.col("t"), F.col("s"), sp["<UNK>"])).collect()
+    kept, _ = S.kept_examples(spark, folder)
+    got = kept.collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and {r.pair_id for r in got} == {0, 1, 9, 10}
+    assert {r.pair_id for r in S.encoded_examples(spark, folder, limits={"text": Q.MAX_TEXT_LENGTH - 2, "summary": Q.MAX_SUMMARY_LENGTH})[0].collect()} == {0, 1, 9, 10, 13}
