@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ from corpusmill.llm.common import components, table, written
 
 SHINGLE_WORDS, MAX_BITS, SEED = 4, 4, 42
 SMALL_RUN, TILE = 64, 2048
+ROWS = 256  # texts in Python at a time
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
@@ -43,11 +45,15 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")[0])
 
 
+def fingerprints(texts: pa.Array, words: int = SHINGLE_WORDS) -> pa.Array:
+    return pa.array([fingerprint(t, words) for a in range(0, len(texts), ROWS) for t in texts.slice(a, ROWS).to_pylist()], pa.int64())
+
+
 def with_fingerprint(docs: DataFrame, words: int = SHINGLE_WORDS, name: str = "fp") -> DataFrame:
     """Add the signed fingerprint of ``text``."""
-    @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t, words) for t in texts], dtype="int64")
+    @F.arrow_udf("long")
+    def of(texts: pa.Array) -> pa.Array:
+        return fingerprints(texts, words)
 
     return docs.withColumn(name, of(F.col("text")))
 

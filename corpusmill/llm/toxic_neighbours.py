@@ -446,7 +446,7 @@ def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 def _scored(held, schema: pa.Schema, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = _search(held)
-        for whole in batches:
+        for whole in (b.slice(a, ROWS) for b in batches for a in range(0, b.num_rows, ROWS)):
             texts = whole.column("text").to_pylist()
             for lo, hi in _parts(texts):
                 b, out = whole.slice(lo, hi - lo), search.scores(texts[lo:hi])

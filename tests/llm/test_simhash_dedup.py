@@ -98,3 +98,16 @@ def test_clashing_columns_stay(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "x", "y"), (2, "a b c d e f", "z", "w"), (3, "q r s t u v w", "k", "l")], "doc_id long, text string, `__row` string, `__c0` string")
     kept = H.keep_one_per_group(docs)
     assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [(1, "a b c d e f", "x", "y"), (3, "q r s t u v w", "k", "l")]
+
+
+def test_few_texts_of_a_batch_are_python_strings_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+    texts = pa.array([None, "", *("x" * 10_000 + f" {i}" for i in range(2000))], pa.string())
+    tracemalloc.start()
+    got = H.fingerprints(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == [H.fingerprint(t) for t in texts.to_pylist()]
+    assert peak < texts.nbytes / 3

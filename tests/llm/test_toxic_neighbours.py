@@ -139,3 +139,26 @@ def test_terms_are_counted_some_texts_at_a_time():
     got = list(N._terms(iter([b])))
     assert [x.num_rows for x in got] == [N.COUNTED] * 3 + [1]
     assert [r for x in got for r in x["doc_id"].to_pylist()] == list(range(n)) and all("word" in t for x in got for t in x["terms"].to_pylist())
+
+
+def test_few_texts_of_a_batch_are_python_strings_when_scored():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from corpusmill.llm import toxic_neighbours as T
+    texts = [f"{i} " + "x" * 4000 for i in range(6000)]
+    batch = pa.record_batch([pa.array(range(6000), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
+    search = SimpleNamespace(scores=lambda some: [(int(t.split()[0]) / 6000, []) for t in some])
+    run = T._scored(SimpleNamespace(value={"search": search}), pa.schema([("score", pa.float64()), ("evidence", kind)]), ["doc_id"])
+    del texts
+    seen = []
+    tracemalloc.start()
+    for out in run(iter([batch])):
+        seen += zip(out.column("doc_id").to_pylist(), out.column("score").to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == [(i, round(i / 6000, 6)) for i in range(6000)]
+    assert peak < batch.nbytes / 2
