@@ -22,7 +22,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,6 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
 from corpusmill.llm.common import scratch_path, share, shared, table, written
 
@@ -176,7 +175,7 @@ def layout(names: list[str], idf: np.ndarray, t: np.ndarray, e: np.ndarray, tf:
     size, count, blocks = len(names), len(toxic), -(-len(toxic) // block)
     yield "name_ends", np.cumsum([0, *(len(x.encode()) for x in names)]).astype(np.int32)
     yield "names", np.frombuffer("".join(names).encode(), dtype=np.uint8)
-    hashes = _hashes(pa.array(names, pa.string()))
+    hashes = _hashes_of(pa.array(names, pa.string()))
     by_hash = np.argsort(hashes, kind="stable").astype(np.int32)
     yield "hashes", hashes[by_hash]
     yield "by_hash", by_hash
@@ -246,8 +245,39 @@ class Vectors:
         self.weight = weight / length[row]
 
 
-def _hashes(words: pa.Array) -> np.ndarray:
-    return np.fromiter(map(xxh64_intdigest, words.to_pylist()), dtype=np.uint64, count=len(words))
+@cache
+def _letters() -> np.ndarray:
+    """For every code point whether it is part of a word."""
+    out = np.zeros(0x110000, dtype=bool)
+    for m in _WORD.finditer("".join(map(chr, range(len(out))))):
+        out[m.start():m.end()] = True
+    return out
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _hashes(codes: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words of ``size`` code points, one after another in ``codes``: sums of code points times a factor of their place."""
+    factor = np.arange(1, int(size.max(initial=0)) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        factor = (factor ^ (factor >> np.uint64(shift))) * np.uint64(by)
+    start = np.cumsum(size) - size
+    parts = (factor | np.uint64(1))[np.arange(len(codes)) - np.repeat(start, size)]
+    parts *= codes
+    out, some = np.zeros(len(size), dtype=np.uint64), size > 0
+    if len(codes):
+        out[some] = np.add.reduceat(parts, start[some])
+    return out
+
+
+def _hashes_of(words: pa.Array) -> np.ndarray:
+    if not len(words):
+        return np.empty(0, dtype=np.uint64)
+    words = words.cast(pa.string())
+    begin, end = np.frombuffer(words.buffers()[1], dtype=np.int32)[[words.offset, words.offset + len(words)]].tolist()
+    return _hashes(_codes(words.buffers()[2][begin:end].to_pybytes().decode()), pc.utf8_length(words).to_numpy().astype(np.int64))
 
 
 class NearestExamples:
@@ -259,13 +289,12 @@ class NearestExamples:
         self.blocks = self.top.shape[1]
         self.terms = pa.StringArray.from_buffers(self.size, pa.py_buffer(self.name_ends), pa.py_buffer(self.names))
         self.rare_start = np.r_[0, np.cumsum(self.rare_count.sum(axis=1, dtype=np.int64))]
-        self.query = np.zeros(self.size)
 
     def _counted(self, rows: int, row: np.ndarray, term: np.ndarray, n: np.ndarray) -> Vectors:
         """Vectors of ``n`` occurrences of terms (-1: unknown) in texts."""
         known = term >= 0
         key = row[known] * np.int64(max(1, self.size)) + term[known]
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         key, n = key[by], n[known][by]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, dtype=np.int64)
         row, term = key[first] // max(1, self.size), key[first] % max(1, self.size)
@@ -276,7 +305,7 @@ class NearestExamples:
         """Numbers of terms, -1 where unknown: looked up by hash, then compared."""
         if not (self.size and len(names)):
             return np.full(len(names), -1)
-        h = _hashes(names)
+        h = _hashes_of(names)
         by = np.argsort(h)  # looked up in order: neighbouring places of the index
         at = np.empty(len(h), dtype=np.int64)
         at[by] = np.minimum(np.searchsorted(self.hashes, h[by]), self.size - 1)
@@ -287,12 +316,24 @@ class NearestExamples:
         return ids
 
     def vectors(self, texts: list[str | None]) -> Vectors:
-        """Vectors of texts; empty for a text without known terms."""
-        found = [_WORD.findall((t or "").lower()) for t in texts]
-        coded = pa.array(chain.from_iterable(found), pa.string()).dictionary_encode()
-        words = coded.dictionary
-        key = np.repeat(np.arange(len(texts)), [len(f) for f in found]) * max(1, len(words)) + coded.indices.to_numpy()
-        key, n = np.unique(key, return_counts=True)
+        """Vectors of texts; empty for a text without known terms.  Words of a batch are told apart by their 64-bit hashes."""
+        low = [(t or "").lower() for t in texts]
+        ends = np.cumsum([len(t) + 1 for t in low])
+        whole = "\n".join(low)
+        del low
+        codes = _codes(whole)
+        inside = _letters()[codes]
+        edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        begin, end = edges[::2], edges[1::2]
+        h = _hashes(codes[inside], end - begin)
+        del codes, inside, edges
+        by = np.argsort(h)
+        first = np.diff(h[by], prepend=~h[by[:1]]) != 0
+        word = np.empty(len(h), dtype=np.int64)
+        word[by] = np.cumsum(first) - 1
+        by = by[first]
+        words = pa.array([whole[a:b] for a, b in zip(begin[by].tolist(), end[by].tolist())], pa.string())
+        key, n = np.unique(np.searchsorted(ends, begin, side="right") * max(1, len(words)) + word, return_counts=True)
         row, word = key // max(1, len(words)), key % max(1, len(words))
         long = pc.utf8_length(words)
         ids = [self._ids(words)]
@@ -318,14 +359,20 @@ class NearestExamples:
             begin = begin + self.rare_count[terms, :blocks[0]].sum(axis=1, dtype=np.int64)
         if blocks[-1] + 1 < self.blocks:
             end = end - self.rare_count[terms, blocks[-1] + 1:].sum(axis=1, dtype=np.int64)
-        found = np.concatenate([self.rare[x] for x in map(slice, begin.tolist(), end.tolist())]).view(_POSTING)
-        c += np.bincount(found["example"], found["weight"] * np.repeat(weight, end - begin), len(c))
-
-    def _exact(self, place: np.ndarray) -> np.ndarray:
-        """Cosines of examples with the text in ``query``, in double precision."""
+        n = end - begin
+        at = np.repeat(begin - np.cumsum(n) + n, n)
+        at += np.arange(len(at))
+        found = self.rare.take(at)
+        parts = found.view(_POSTING)["weight"] * np.repeat(weight, n)
+        found &= np.uint64(0xFFFFFFFF)  # the examples
+        np.add.at(c, found.view(np.int64), parts)
+
+    def _exact(self, place: np.ndarray, slot: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Cosines of examples with a text, in double precision; ``slot``: by term, the place in ``weight``, 0 where the text has it not."""
         ranges = list(map(slice, self.own_start[place].tolist(), self.own_start[place + 1].tolist()))
         n = self.own_start[place + 1] - self.own_start[place]
-        parts = self.query.take(np.concatenate([self.own_term[x] for x in ranges])) * np.concatenate([self.own_weight[x] for x in ranges])
+        parts = weight.take(slot.take(np.concatenate([self.own_term[x] for x in ranges])))
+        parts *= np.concatenate([self.own_weight[x] for x in ranges])
         return np.add.reduceat(parts, np.cumsum(n) - n)
 
     def nearest(self, v: Vectors, k: int, skip: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -336,9 +383,9 @@ class NearestExamples:
         dense = np.zeros((v.rows, len(self.matrix)), dtype=np.float32)
         dense[v.row[column >= 0], column[column >= 0]] = v.weight[column >= 0]
         cosines, out = dense @ self.matrix, []
+        slot = np.zeros(self.size, dtype=np.min_scalar_type(int(np.diff(v.start).max())))
         for c, lo, hi, own in zip(cosines, v.start[:-1].tolist(), v.start[1:].tolist(), [-1] * v.rows if skip is None else skip.tolist()):
             t, w, rare = v.term[lo:hi], v.weight[lo:hi], column[lo:hi] < 0
-            self.query[t] = w
             rare_terms, weight = t[rare], w[rare].astype(np.float32)
             # What the common terms bring is known; a block's largest rare weights bound the rest.
             by_block = c.reshape(self.blocks, self.block)
@@ -356,8 +403,9 @@ class NearestExamples:
             place = place[place != own]
             if len(place) > k:
                 place = place[c[place] >= np.partition(c[place], -k)[-k] - ROUNDING]
-            exact = self._exact(place) if len(place) else np.empty(0)
-            self.query[t] = 0
+            slot[t] = np.arange(1, len(t) + 1)
+            exact = self._exact(place, slot, np.r_[0.0, w]) if len(place) else np.empty(0)
+            slot[t] = 0
             order = np.lexsort((place, -exact))[:k]
             out.append((place[order], exact[order]))
         return out

@@ -162,3 +162,23 @@ def test_few_texts_of_a_batch_are_python_strings_when_scored():
     tracemalloc.stop()
     assert seen == [(i, round(i / 6000, 6)) for i in range(6000)]
     assert peak < batch.nbytes / 2
+
+
+def test_words_found_by_code_points_are_those_of_the_pattern():
+    import pyarrow as pa
+    texts = ["Ünï_çödé ΟΔΟΣ Σ İstanbul 4abc5 a1b ²x٣y", None, "", "  ", "中文字 𝒳yz \U0001f600no ẞß ab abcd abcde abcdef", "x" * 3000 + " x", "moron\nmoron Moron's", "tail"]
+    words = sorted({w for t in texts for w in N._WORD.findall((t or "").lower())})
+    names = sorted({x for w in words for x in N.terms_of(w)})
+    size = len(names)
+    arrays = dict(N.layout(names, np.arange(size) + 1.0, np.arange(size), np.zeros(size, dtype=np.int64), np.ones(size, dtype=np.int64), np.zeros(1), np.zeros(1, dtype=np.int64), 4))
+    search = N.NearestExamples(arrays | {"base": 0.5, "block": 4, "slope": 1.0, "shift": 0.0})
+    n = len(texts)
+    b = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([0] * n, pa.int32()), pa.array(range(n)), pa.array(texts)], ["doc_id", "toxic", "row", "text"])
+    counted = next(iter(N._terms(iter([b]))))
+    a, c = search.vectors(texts), search.vectors_of_terms(counted["terms"], counted["tf"])
+    assert (a.row == c.row).all() and (a.term == c.term).all() and (a.weight == c.weight).all()
+    assert [names[i] for i in a.term[a.row == 4]] == sorted({x for w in N._WORD.findall(texts[4].lower()) for x in N.terms_of(w)})
+    assert search.vectors([None, ""]).rows == 2 and len(search.vectors([]).row) == 0
+    some = pa.array(["skipped", *words, "skipped"]).slice(1, len(words))
+    assert len(set(N._hashes_of(some).tolist())) == len(words) and (N._hashes_of(some) == [N._hashes_of(pa.array([w]))[0] for w in words]).all()
+    assert (search._ids(pa.array(["nowhere", *names])) == [-1, *range(size)]).all()
