@@ -365,7 +365,7 @@ class NearestExamples:
         found = self.rare.take(at)
         parts = found.view(_POSTING)["weight"] * np.repeat(weight, n)
         found &= np.uint64(0xFFFFFFFF)  # the examples
-        np.add.at(c, found.view(np.int64), parts)
+        c += np.bincount(found.view(np.int64), parts, len(c))
 
     def _exact(self, place: np.ndarray, slot: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Cosines of examples with a text, in double precision; ``slot``: by term, the place in ``weight``, 0 where the text has it not."""
