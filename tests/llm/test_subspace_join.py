@@ -49,3 +49,26 @@ def test_empty(spark):
     df = spark.createDataFrame([(1, None)], "vec_id int, embedding array<float>")
     assert J.near_duplicates(df.limit(0)).count() == 0
     assert [tuple(r) for r in J.near_duplicates(df).collect()] == [(1, 0, 1, True)]
+
+
+def test_no_vector_is_copied_to_the_cells_it_meets(spark, monkeypatch):
+    plans = {}
+
+    def written(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return kept(df, label)
+
+    kept = J.written
+    monkeypatch.setattr(J, "written", written)
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, rng.standard_normal(64).tolist()) for i in range(300)], "vec_id long, embedding array<float>")
+    assert J.near_duplicates(df, chunk=64).where("kept and n_links = 0").count() == 300
+    assert "MapInArrow" in plans["vector-links"] and "Exchange" not in plans["vector-links"]
+
+
+def test_one_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(2)
+    centre, other = rng.standard_normal(64), rng.standard_normal(64)
+    df = spark.createDataFrame([(i, near(centre if i < 400 else other, 0.01, rng)) for i in range(500)], "vec_id long, embedding array<float>")
+    got = {tuple(r)[1:] for r in J.near_duplicates(df, chunk=32).where("not kept").collect()}
+    assert got == {(399, 0, False), (99, 400, False)}
