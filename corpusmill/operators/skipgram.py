@@ -22,10 +22,13 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.operators.vectors import first_different
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
 
 UNIT = float(1 << 36)  # changes are counted in its parts
 CENTRES, CONTEXTS = 0, 1
+DRAWN = 256  # batches whose negatives are drawn at a time
 
 
 @dataclass(frozen=True)
@@ -64,6 +67,33 @@ def distinct_negatives(rng: np.random.Generator, t: Training) -> np.ndarray:
     return drawn[:k]
 
 
+def all_negatives(rng: np.random.Generator, t: Training) -> Iterator[np.ndarray]:
+    """What ``distinct_negatives`` gives again and again with ``rng``, drawn for many batches at once."""
+    k = min(t.negatives, t.vocab_size)
+
+    def blocks() -> Iterator[tuple[np.ndarray, bool, np.ndarray | None]]:
+        while True:
+            more = np.exp(rng.random((DRAWN, 2 * t.negatives)) * np.log(t.vocab_size + 1.0)).astype(np.int64) - 1
+            ids = np.minimum(more, t.vocab_size - 1)
+            enough, first = first_different(ids.astype(np.uint16 if t.vocab_size <= 1 << 16 else np.int64), k)
+            found = iter(first.astype(np.int64))
+            for some, done in zip(ids, enough.tolist()):
+                yield some, done, next(found) if done else None
+
+    draws = blocks()
+    for some, done, first in draws:
+        if done:
+            yield first
+            continue
+        drawn = some
+        while True:
+            drawn = drawn[np.sort(np.unique(drawn, return_index=True)[1])]
+            if len(drawn) >= k:
+                break
+            drawn = np.r_[drawn, next(draws)[0]]
+        yield drawn[:k]
+
+
 def pairs_of(docs: list[np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray]:
     """Centres and contexts of all pairs within ``window`` of a document."""
     ids = np.concatenate(docs) if docs else np.empty(0, dtype=np.int64)
@@ -85,22 +115,46 @@ def subtract_rows(table: np.ndarray, rows: np.ndarray, change: np.ndarray) -> No
     np.subtract.at(flat, (rows[:, None] * table.shape[1] + np.arange(table.shape[1])).reshape(-1), np.ascontiguousarray(change).reshape(-1))
 
 
-def learn(centres: np.ndarray, contexts: np.ndarray, c: np.ndarray, x: np.ndarray, negatives: np.ndarray, t: Training) -> None:
-    """One step over a batch of pairs: gradient of the mean loss, both tables changed in place."""
-    e, true, noise = centres[c], contexts[x], contexts[negatives]
-
-    def probability(score: np.ndarray) -> np.ndarray:
-        p = np.clip(score, -30, 30)
-        np.negative(p, out=p)
-        np.exp(p, out=p)
-        p += 1
-        return np.divide(1, p, out=p)
-
-    miss = ((probability((e * true[:, :-1]).sum(axis=1) + true[:, -1] - log_expected(x, t)) - 1) * (t.rate / len(c))).astype(np.float32)
-    false = (probability(e @ noise[:, :-1].T + noise[:, -1] - log_expected(negatives, t)) * (t.rate / len(c))).astype(np.float32)
-    subtract_rows(centres, c, miss[:, None] * true[:, :-1] + false @ noise[:, :-1])
-    subtract_rows(contexts, x, np.c_[miss[:, None] * e, miss])
-    contexts[negatives] -= np.c_[false.T @ e, false.sum(axis=0)]
+def different(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each of ``ids``, all below ``size``, once, and the place there of each of them."""
+    at, n = np.empty(size, dtype=np.int64), np.arange(len(ids))
+    at[ids] = n
+    some = ids[at[ids] == n]
+    at[some] = n[:len(some)]
+    return some, at[ids]
+
+
+def probability(score: np.ndarray) -> np.ndarray:
+    p = np.minimum(score, 30)
+    np.maximum(p, -30, out=p)
+    np.negative(p, out=p)
+    np.exp(p, out=p)
+    p += 1
+    return np.divide(1, p, out=p)
+
+
+def learn(centres: np.ndarray, contexts: np.ndarray, c: np.ndarray, x: np.ndarray, negatives: np.ndarray, t: Training, expected: np.ndarray | None = None) -> None:
+    """One step over a batch of pairs: gradient of the mean loss, both tables changed in place.
+
+    A word scores the same wherever it stands in the batch, so each different centre meets each different context and each
+    negative once; pairs are summed in a matrix of centres and contexts.  ``expected``: ``log_expected`` of all ids.
+    """
+    expected = log_expected(np.arange(t.vocab_size), t) if expected is None else expected
+    (u, i), (v, j) = different(c, len(centres)), different(x, len(contexts))
+    e = np.ones((len(u), contexts.shape[1]), dtype=centres.dtype)  # the last column meets the bias
+    e[:, :-1] = centres[u]
+    met = np.concatenate([v, negatives])
+    w = contexts[met]
+    score = e @ w.T
+    score -= expected[met].astype(score.dtype)
+    weight = np.empty_like(score)
+    weight[:, :len(v)] = np.bincount(i * len(v) + j, (probability(score[i, j]) - 1) * (t.rate / len(c)), len(u) * len(v)).reshape(len(u), -1)
+    times = (np.bincount(i, minlength=len(u)) * (t.rate / len(c))).astype(score.dtype)
+    np.multiply(probability(score[:, len(v):]), times[:, None], out=weight[:, len(v):])
+    centres[u] = e[:, :-1] - (weight @ w)[:, :-1]
+    change = weight.T @ e
+    contexts[v] -= change[:len(v)]
+    contexts[negatives] -= change[len(v):]
 
 
 def _train(held, t: Training, turn: int):
@@ -108,7 +162,7 @@ def _train(held, t: Training, turn: int):
         old = held.value
         tables = [a.copy() for a in old]
         seen = [np.zeros(t.vocab_size, dtype=bool) for _ in old]
-        rng = np.random.default_rng([t.seed, turn, number])
+        draws, expected = all_negatives(np.random.default_rng([t.seed, turn, number]), t), log_expected(np.arange(t.vocab_size), t)
         c = x = np.empty(0, dtype=np.int64)
         part: list[np.ndarray] = []
 
@@ -118,11 +172,12 @@ def _train(held, t: Training, turn: int):
             part.clear()
             c, x = np.r_[c, more[0]], np.r_[x, more[1]]
             end = len(c) if last else len(c) - len(c) % t.batch
+            seen[CENTRES][c[:end]] = seen[CONTEXTS][x[:end]] = True
             for a in range(0, end, t.batch):
                 b = slice(a, min(a + t.batch, end))
-                negatives = distinct_negatives(rng, t)
-                learn(*tables, c[b], x[b], negatives, t)
-                seen[CENTRES][c[b]] = seen[CONTEXTS][x[b]] = seen[CONTEXTS][negatives] = True
+                negatives = next(draws)
+                learn(*tables, c[b], x[b], negatives, t, expected)
+                seen[CONTEXTS][negatives] = True
             c, x = c[end:], x[end:]
 
         for d in docs:

@@ -100,7 +100,7 @@ DRAWS = (4, 64)  # draws per sample that is wanted, first and in the second roun
 STREAMS = 1024  # that are drawn from at a time
 
 
-def _first_different(classes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def first_different(classes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Which rows have ``k`` different numbers, and the first ``k`` of each such row in the order they came."""
     order = np.argsort(classes, axis=1, kind="stable")
     ordered = np.take_along_axis(classes, order, axis=1)
@@ -127,7 +127,7 @@ def _drawn(vocab_size: int, k: int):
         for b in (b.slice(a, STREAMS) for b in batches for a in range(0, b.num_rows, STREAMS)):
             x0, out, left = b.column("x0").to_numpy(), np.empty((b.num_rows, k), dtype=np.int64), np.arange(b.num_rows)
             for n in (2 * k, DRAWS[0] * k):  # beginnings of one stream
-                enough, first = _first_different(classes(x0[left], n), k) if len(left) else (np.empty(0, dtype=bool), out[:0])
+                enough, first = first_different(classes(x0[left], n), k) if len(left) else (np.empty(0, dtype=bool), out[:0])
                 out[left[enough]] = first
                 left = left[~enough]
             for i in left.tolist():

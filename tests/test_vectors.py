@@ -209,3 +209,37 @@ def test_lookup_sums(spark):
         (1, "text"): "(4, 7.0, 0.5)", (1, "summary"): "(1, None, None)", (None, "text"): "(1, nan, 4.0)", (4, "summary"): "(2, nan, 4.5)",
         (6, "text"): "(4, 8.0, 2.0)"}
     assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_skipgram_step_scores_a_word_once_a_batch(monkeypatch):
+    import numpy as np
+
+    from corpusmill.operators import skipgram as SG
+    t = SG.Training(vocab_size=30, dim=6, negatives=4, batch=128)
+    rng = np.random.default_rng(5)
+    c, x, negatives = rng.integers(0, 5, 128), rng.integers(2, 9, 128), SG.distinct_negatives(rng, t)
+    centres, contexts = (a.astype(float) for a in SG.first_vectors(t))
+    new, scored, probability = (centres.copy(), contexts.copy()), [], SG.probability
+    monkeypatch.setattr(SG, "probability", lambda score: scored.append(score.size) or probability(score))
+    SG.learn(*new, c, x, negatives, t)
+    assert sum(scored) == 128 + 5 * 4  # of the pairs, and of each different centre with each negative
+    e, true, noise = centres[c], contexts[x], contexts[negatives]
+    miss = (1 / (1 + np.exp(-((e * true[:, :-1]).sum(axis=1) + true[:, -1] - SG.log_expected(x, t)))) - 1) / 128
+    false = 1 / (1 + np.exp(-(e @ noise[:, :-1].T + noise[:, -1] - SG.log_expected(negatives, t)))) / 128
+    np.subtract.at(centres, c, miss[:, None] * true[:, :-1] + false @ noise[:, :-1])
+    np.subtract.at(contexts, x, np.c_[miss[:, None] * e, miss])
+    contexts[negatives] -= np.c_[false.T @ e, false.sum(axis=0)]
+    assert np.allclose(new[0], centres, rtol=0, atol=1e-12) and np.allclose(new[1], contexts, rtol=0, atol=1e-12)
+
+
+def test_negatives_of_many_batches_are_those_of_one_after_another():
+    from itertools import islice
+
+    import numpy as np
+
+    from corpusmill.operators import skipgram as SG
+    for size, k in ((20000, 64), (70, 64), (9, 20), (1, 3)):
+        t = SG.Training(vocab_size=size, negatives=k)
+        one = np.random.default_rng(4)
+        for got in islice(SG.all_negatives(np.random.default_rng(4), t), 600):
+            assert np.array_equal(got, SG.distinct_negatives(one, t))
