@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.operators.vectors import first_different
@@ -133,6 +133,16 @@ def probability(score: np.ndarray) -> np.ndarray:
     return np.divide(1, p, out=p)
 
 
+def bounded(change: np.ndarray, t: Training) -> np.ndarray:
+    """Rows longer than any first centre vector cut to that length: where few words fill the batches, steps of the full length would
+    overshoot more and more and the vectors grow without end."""
+    most, length = float(np.sqrt(t.dim)), np.sqrt(np.einsum("ij,ij->i", change, change))
+    over = np.flatnonzero(length > most)
+    if len(over):
+        change[over] *= (most / length[over])[:, None]
+    return change
+
+
 def learn(centres: np.ndarray, contexts: np.ndarray, c: np.ndarray, x: np.ndarray, negatives: np.ndarray, t: Training, expected: np.ndarray | None = None) -> None:
     """One step over a batch of pairs: gradient of the mean loss, both tables changed in place.
 
@@ -151,8 +161,8 @@ def learn(centres: np.ndarray, contexts: np.ndarray, c: np.ndarray, x: np.ndarra
     weight[:, :len(v)] = np.bincount(i * len(v) + j, (probability(score[i, j]) - 1) * (t.rate / len(c)), len(u) * len(v)).reshape(len(u), -1)
     times = (np.bincount(i, minlength=len(u)) * (t.rate / len(c))).astype(score.dtype)
     np.multiply(probability(score[:, len(v):]), times[:, None], out=weight[:, len(v):])
-    centres[u] = e[:, :-1] - (weight @ w)[:, :-1]
-    change = weight.T @ e
+    centres[u] = e[:, :-1] - bounded((weight @ w)[:, :-1], t)
+    change = bounded(weight.T @ e, t)
     contexts[v] -= change[:len(v)]
     contexts[negatives] -= change[len(v):]
 
@@ -223,6 +233,13 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(held)
 
 
+def own_partitions(spark: SparkSession, n: int) -> list[int]:
+    """Numbers that ``repartition(n, ...)`` deals into partitions 0 to ``n`` - 1, one into each."""
+    tried = spark.range(100 * n).select(F.col("id").cast("int").alias("key"))
+    found = tried.groupBy(F.pmod(F.hash("key"), F.lit(n)).alias("part")).agg(F.min("key").alias("key")).collect()
+    return [r["key"] for r in sorted(found, key=lambda r: r["part"])]
+
+
 def train_skipgram(seqs: DataFrame, t: Training, id_col: str = "id", ids_col: str = "ids") -> np.ndarray:
     """Centre vectors (one row per id) trained on ``seqs``, arrays of ids from 0 below ``vocab_size``."""
     spark = seqs.sparkSession
@@ -230,10 +247,12 @@ def train_skipgram(seqs: DataFrame, t: Training, id_col: str = "id", ids_col: st
     rows = seqs.select(F.pmod(h, F.lit(t.shards)).cast("int").alias("shard"), F.pmod(F.shiftright(h, 20), F.lit(t.rounds)).cast("int").alias("turn"),
                        F.col(id_col).alias("doc"), F.col(ids_col).alias("ids")).where(F.size("ids") > 1)
     tables = first_vectors(t)
+    keys = F.array(*map(F.lit, own_partitions(spark, t.shards)))
+    rows = rows.withColumn("key", keys[F.col("shard")])  # dealt by their own numbers, shards would share some partitions and leave others empty
     schema = "kind int, id int, change binary, n long"
     for turn in range(t.rounds):
         held = spark.sparkContext.broadcast(tables)
-        dealt = rows.where(F.col("turn") == turn).repartition(t.shards, "shard").sortWithinPartitions("shard", "doc", "ids")
+        dealt = rows.where(F.col("turn") == turn).repartition(t.shards, "key").sortWithinPartitions("shard", "doc", "ids")
         changes = dealt.select("shard", "ids").mapInArrow(_train(held, t, turn), schema)
         added = changes.repartition("kind", "id").sortWithinPartitions("kind", "id").mapInArrow(_added, schema).toArrow()  # at most a row per word and table
         tables = tuple(a.copy() for a in tables)

@@ -243,3 +243,16 @@ def test_negatives_of_many_batches_are_those_of_one_after_another():
         one = np.random.default_rng(4)
         for got in islice(SG.all_negatives(np.random.default_rng(4), t), 600):
             assert np.array_equal(got, SG.distinct_negatives(one, t))
+
+
+def test_skipgram_vectors_stay_bounded_where_few_words_fill_the_text():
+    import numpy as np
+
+    from corpusmill.operators import skipgram as SG
+    t = SG.Training(vocab_size=2000)
+    rng = np.random.default_rng(6)
+    tables, draws = [a.copy() for a in SG.first_vectors(t)], SG.all_negatives(rng, t)
+    for _ in range(400):
+        c, x = (rng.choice([0, 1, 1500], 128, p=[0.7, 0.2, 0.1]) for _ in range(2))
+        SG.learn(*tables, c, x, next(draws), t)
+    assert all(np.isfinite(a).all() and np.abs(a).max() < 100 for a in tables)
