@@ -134,9 +134,9 @@ def probability(score: np.ndarray) -> np.ndarray:
 
 
 def bounded(change: np.ndarray, t: Training) -> np.ndarray:
-    """Rows longer than any first centre vector cut to that length: where few words fill the batches, steps of the full length would
+    """Rows over ten times as long as any first centre vector cut to that length: where few words fill the batches, steps of the full length would
     overshoot more and more and the vectors grow without end."""
-    most, length = float(np.sqrt(t.dim)), np.sqrt(np.einsum("ij,ij->i", change, change))
+    most, length = 10 * float(np.sqrt(t.dim)), np.sqrt(np.einsum("ij,ij->i", change, change))
     over = np.flatnonzero(length > most)
     if len(over):
         change[over] *= (most / length[over])[:, None]
